@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "equisel.plans.catalog_metrics",
+    "equisel.plans.catalog_prep",
 ]
 
 
