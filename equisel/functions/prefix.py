@@ -99,3 +99,68 @@ def dense_position(
         df.withColumn(one, F.lit(1).cast("long")), order_cols, [one], by, descending, prefix="__cum", n_buckets=n_buckets
     )
     return out.withColumnRenamed(f"__cum{one}", name).drop(one)
+
+
+def running_agg(
+    df: DataFrame,
+    order_cols: str | Sequence[str],
+    cols: Sequence[str],
+    fn: str = "max",
+    by: Sequence[str] = (),
+    descending: bool = False,
+    inclusive: bool = True,
+    prefix: str = "run_",
+    n_buckets: int | None = None,
+) -> DataFrame:
+    """Running ``min``/``max``/``sum`` of ``cols`` in the order of
+    ``order_cols`` within ``by``, with the same bucket decomposition as
+    ``running_totals``. ``inclusive=False`` excludes the current row (e.g.
+    "best among strictly earlier rows")."""
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    by = list(by)
+    agg = {"max": F.max, "min": F.min, "sum": F.sum}[fn]
+    b = add_range_bucket(df, order_cols[0], n_buckets)
+    bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
+    totals = b.groupBy(*by, _BUCKET).agg(*[agg(c).alias(f"__tot_{c}") for c in cols])
+    before = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, _BUCKET, *[agg(f"__tot_{c}").over(before).alias(f"__off_{c}") for c in cols])
+    ords = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    end = 0 if inclusive else -1
+    within = Window.partitionBy(*by, _BUCKET).orderBy(*ords).rowsBetween(Window.unboundedPreceding, end)
+    out = b.join(offsets, on=[*by, _BUCKET], how="inner")
+
+    def combine(c):
+        w = agg(c).over(within)
+        off = F.col(f"__off_{c}")
+        if fn == "sum":
+            return F.coalesce(off, F.lit(0)) + F.coalesce(w, F.lit(0))
+        pick = F.greatest if fn == "max" else F.least  # both skip NULLs
+        return pick(off, w)
+
+    return out.select(*[c for c in b.columns if c != _BUCKET], *[combine(c).alias(f"{prefix}{c}") for c in cols])
+
+
+def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int, salt_col: str,
+                    n_salts: int = 32, rank_col: str = "rank") -> DataFrame:
+    """Top ``k`` rows per group in two rounds: top k per (group, salt) over
+    a hash salt, then top k per group over at most ``n_salts × k`` rows,
+    so a hot group never lands in one window partition whole."""
+    by = list(by)
+    salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(n_salts))
+    w1 = Window.partitionBy(*by, "__salt").orderBy(*order)
+    first = df.withColumn("__salt", salt).withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)
+    w2 = Window.partitionBy(*by).orderBy(*order)
+    return first.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k).drop("__salt", "__r1")
+
+
+def sliding_sums(df: DataFrame, pos_col: str, cols: Sequence[str], width: int, by: Sequence[str] = (),
+                 prefix: str = "win_") -> DataFrame:
+    """Sum of ``cols`` over the last ``width`` positions (inclusive) per group:
+    cum(p) − cum(p − width), where ``pos_col`` is a dense 1-based position.
+    The lag is an equi-join on (by, position) — unique keys, no skew."""
+    by = list(by)
+    cum = running_totals(df, pos_col, list(cols), by=by, prefix="__c_")
+    back = cum.select(*by, (F.col(pos_col) + width).alias(pos_col), *[F.col(f"__c_{c}").alias(f"__b_{c}") for c in cols])
+    j = cum.join(back, on=[*by, pos_col], how="left")
+    return j.select(*[c for c in df.columns], *[(F.col(f"__c_{c}") - F.coalesce(F.col(f"__b_{c}"), F.lit(0))).alias(
+        f"{prefix}{c}") for c in cols])

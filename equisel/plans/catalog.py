@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "equisel.plans.catalog_metrics",
     "equisel.plans.catalog_prep",
+    "equisel.plans.catalog_trials",
 ]
 
 

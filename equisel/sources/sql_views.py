@@ -140,3 +140,20 @@ def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> st
     if not parts:
         return sql
     return "WITH " + ",\n".join(parts) + "\n" + sql
+
+VIEWS["analysis_requests"] = """
+SELECT event_id AS request_id, 'run-' || CAST(user_id AS VARCHAR) AS optimization_id,
+       CASE WHEN event_type <> 'click' THEN CAST(event_id % 5 AS INTEGER) END AS trial_number,
+       event_type <> 'error' AS use_proba,
+       CASE WHEN event_type <> 'view' THEN CAST(50 + (event_id % 3) * 25 AS INTEGER) END AS subset_size,
+       CAST(event_id % 2 AS INTEGER) AS class_index, NULL::INTEGER AS sample_index, ts AS created_at, event_type
+FROM events
+"""
+
+VIEWS["config_keys"] = """
+SELECT *, sha256(config_json) AS config_key FROM (
+  SELECT *, to_json(struct_pack(class_index := coalesce(class_index, 0), sample_index := coalesce(sample_index, 0),
+                                subset_size := coalesce(subset_size, 50), trial_number := trial_number,
+                                use_proba := coalesce(use_proba, true))) AS config_json
+  FROM analysis_requests)
+"""

@@ -248,3 +248,20 @@ def datasets(spark: SparkSession, d: str) -> DataFrame:
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+
+
+def analysis_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Analysis requests (one per event) for the snapshot store: run id per
+    user, settings derived from the event, some left to their defaults."""
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    return e.select(
+        F.col("event_id").alias("request_id"),
+        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("optimization_id"),
+        F.when(F.col("event_type") != "click", (F.col("event_id") % 5).cast("int")).alias("trial_number"),
+        (F.col("event_type") != "error").alias("use_proba"),
+        F.when(F.col("event_type") != "view", (50 + (F.col("event_id") % 3) * 25).cast("int")).alias("subset_size"),
+        (F.col("event_id") % 2).cast("int").alias("class_index"),
+        F.lit(None).cast("int").alias("sample_index"),
+        F.col("ts").alias("created_at"),
+        F.col("event_type"),
+    )
