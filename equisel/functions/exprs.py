@@ -51,5 +51,20 @@ def is_missing(c, numeric: bool) -> Column:
 
 
 def r6(c, digits: int = 6) -> Column:
-    """Round derived doubles so independent engines agree on printed values."""
-    return F.round(_col(c).cast("double"), digits)
+    """Round derived doubles so independent engines agree on printed values
+    (adding 0.0 turns a rounded −0.0 into 0.0)."""
+    return F.round(_col(c).cast("double"), digits) + F.lit(0.0)
+
+
+def xx_uniform(*parts) -> Column:
+    """Fast uniform [0, 1) from xxhash64 of the parts (for synthetic data
+    without a SQL oracle; reproducible on recomputation)."""
+    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    return F.pmod(F.xxhash64(*cols), F.lit(2 ** 53)).cast("double") / F.lit(float(2 ** 53))
+
+
+def xx_normal(*parts) -> Column:
+    """Standard normal by Box–Muller from two xxhash uniforms."""
+    u1 = (xx_uniform(*parts, "a") * F.lit(float(2 ** 53)) + 1) / F.lit(float(2 ** 53) + 1)
+    u2 = xx_uniform(*parts, "b")
+    return F.sqrt(-2 * F.ln(u1)) * F.cos(2 * 3.141592653589793 * u2)

@@ -8,6 +8,7 @@ _MODULES = [
     "equisel.plans.catalog_metrics",
     "equisel.plans.catalog_prep",
     "equisel.plans.catalog_trials",
+    "equisel.plans.catalog_models",
 ]
 
 

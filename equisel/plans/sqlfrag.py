@@ -9,7 +9,7 @@ def sdiv(num: str, den: str) -> str:
 
 
 def r6(expr: str, digits: int = 6) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits})"
+    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
 
 
 def counts_sql(src: str, group: str | None, by: list[str], fav: str = "1") -> str:
