@@ -9,6 +9,7 @@ _MODULES = [
     "equisel.plans.catalog_prep",
     "equisel.plans.catalog_trials",
     "equisel.plans.catalog_models",
+    "equisel.plans.catalog_streaming",
 ]
 
 

@@ -163,7 +163,12 @@ def split_input(spark: SparkSession, d: str) -> DataFrame:
 
 def trials(spark: SparkSession, d: str) -> DataFrame:
     """Trial log: one row per event; study = user, trial number = event id."""
-    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return trials_from_events(table(spark, d, "events"))
+
+
+def trials_from_events(e: DataFrame) -> DataFrame:
+    """Row-local transform events → trial log (usable on a stream)."""
+    e = e.select("event_id", "ts", "user_id", "event_type", "value")
     state = (
         F.when(F.col("event_type") == "error", "FAIL")
         .when(F.col("event_type") == "signup", "PRUNED")
@@ -208,7 +213,12 @@ def trials(spark: SparkSession, d: str) -> DataFrame:
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
     """Intermediate reports: (study, trial, step, value, ts); step is the raw step."""
-    e = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
+    return reports_from_events(table(spark, d, "events"))
+
+
+def reports_from_events(e: DataFrame) -> DataFrame:
+    """Row-local transform events → report log (usable on a stream)."""
+    e = e.select("event_id", "ts", "user_id", "value")
     return e.select(
         F.col("user_id").alias("study"),
         (F.col("event_id") % 9).alias("trial"),
