@@ -31,11 +31,11 @@ def to_ml_label(df: DataFrame, y: str = "y", out: str = "label", binary: bool =
 
 
 def fit_linear_svc(train: DataFrame, C: float = 1.0, class_weight: str | None = None, features: str = "features",
-                   label: str = "label", max_iter: int = 100):
+                   label: str = "label", max_iter: int = 50, tol: float = 1e-4):
     """M1: linear SVM (hinge loss); regParam = 1/(C·n). ``balanced`` class
     weights (T9) become ``weightCol``."""
     n = train.count()
-    est = LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (C * max(n, 1)), maxIter=max_iter)
+    est = LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (C * max(n, 1)), maxIter=max_iter, tol=tol)
     if class_weight == "balanced":
         from equisel.operators.target import balanced_class_weights
         train = balanced_class_weights(train, label, "weight")

@@ -308,3 +308,17 @@ def _bundle(s, d):
 
 
 reg("v11_evidence_bundle", _bundle)
+
+
+def _evaluate(s, d):
+    from equisel.plans.evaluate import evaluate_trials, prepare
+    from equisel.sources.views import features
+
+    data, feats, spec = prepare(features(s, d), "p_partkey", "target", "ordinal")
+    configs = [{"model_type": "SVClinear", "C": 1.0}, {"model_type": "SVClinear", "C": 100.0, "class_weight": "balanced"},
+               {"model_type": "LogisticRegression"}, {"model_type": "NotAModel"}]
+    log, _ = evaluate_trials(data, feats, configs, spec)
+    return log.drop("seconds")
+
+
+reg("h05_evaluate_trials", _evaluate)
