@@ -211,10 +211,18 @@ def score_counts(df: DataFrame, by: Sequence[str] = (), y_true="y_true", score="
     )
 
 
-def _cumulative(df, by, y_true, score, pos) -> DataFrame:
-    """Per distinct score, descending: cum_pos / cum_neg and group totals P / N."""
+def _materialise(df: DataFrame) -> DataFrame:
+    """Write a small intermediate table to the shared checkpoint folder and
+    cut its lineage: the bucket boundaries and the running sums then read
+    the same rows, and an executor loss never re-runs the raw scan."""
+    from equisel.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _cumulative_from_counts(sc: DataFrame, by) -> DataFrame:
     by = _by(by)
-    sc = score_counts(df, by, y_true, score, pos)
     cum = running_totals(sc, "score", ["pos", "neg"], by=by, descending=True)
     totals = sc.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if by:
@@ -222,6 +230,26 @@ def _cumulative(df, by, y_true, score, pos) -> DataFrame:
     return cum.crossJoin(F.broadcast(totals))  # one-row totals
 
 
+def _cumulative(df, by, y_true, score, pos) -> DataFrame:
+    """Per distinct score, descending: cum_pos / cum_neg and group totals P / N."""
+    sc = _materialise(score_counts(df, _by(by), y_true, score, pos))
+    return _cumulative_from_counts(sc, by)
+
+
+def _auc_ap(c: DataFrame, by) -> DataFrame:
+    """AUC (trapezoid) and AP from one cumulative table."""
+    by = _by(by)
+    c = c.where((F.col("P") > 0) & (F.col("N") > 0))
+    area = (F.col("neg") / F.col("N")) * ((2 * F.col("cum_pos") - F.col("pos")) / F.col("P")) / 2
+    term = (F.col("pos") / F.col("P")) * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+    return c.groupBy(*by).agg(r6(F.sum(area)).alias("auc"), r6(F.sum(term)).alias("average_precision"))
+
+
+def curve_summary(df: DataFrame, by: Sequence[str] = (), y_true="y_true", score="score", pos=1) -> DataFrame:
+    """AUC and average precision per group from a single cumulative pass."""
+    return _auc_ap(_cumulative(df, by, y_true, score, pos), by)
+
+
 def roc_curve(df: DataFrame, by: Sequence[str] = (), y_true="y_true", score="score", pos=1) -> DataFrame:
     """Q9: one point per distinct score (threshold, fpr, tpr) plus the (0, 0)
     start at threshold +inf. Groups with a single class are dropped (the
@@ -285,10 +313,7 @@ def ovr_auc(df: DataFrame, n_classes: int, by: Sequence[str] = (), y_true="y_tru
     indicator has one value only are skipped."""
     by = _by(by)
     long = one_vs_rest(df, n_classes, by, y_true, proba)
-    k = [*by, "class_code"]
-    auc = roc_auc(long, k, "y_ind", "score", 1)
-    ap = average_precision(long, k, "y_ind", "score", 1)
-    return auc.join(ap, on=k, how="inner")
+    return curve_summary(long, [*by, "class_code"], "y_ind", "score", 1)
 
 
 def ovr_curves(df: DataFrame, n_classes: int, by: Sequence[str] = (), y_true="y_true", proba="proba") -> DataFrame:
@@ -323,13 +348,57 @@ def downsample_curve(curve: DataFrame, order_col: str, by: Sequence[str] = (), m
 
 
 def metric_report(df: DataFrame, by: Sequence[str] = (), multiclass: bool = False, n_classes: int = 2,
-                  y_true="y_true", y_pred="y_pred", score="score", proba="proba") -> DataFrame:
+                  y_true="y_true", y_pred="y_pred", score="score", proba="proba", pos=1) -> DataFrame:
     """Q17: all metrics as rows ``(by, metric, value, error)``. A metric that
     cannot be computed for a group yields a null value with its message and
     never stops the others. Multiclass swaps in macro scores and the OvR
-    macro AUC instead of the binary curve metrics."""
+    macro AUC instead of the binary curve metrics.
+
+    Binary: one raw aggregate ``(by, score, y_pred) → pos, neg`` (written
+    once to the checkpoint folder) feeds every metric — confusion counts,
+    log loss per distinct score, and the curves."""
     by = _by(by)
-    groups = df.select(*by).distinct() if by else None
+    if multiclass:
+        return _metric_report_mc(df, by, n_classes, y_true, y_pred, proba)
+    is_pos = F.col(y_true) == F.lit(pos)
+    base = _materialise(df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score"), F.col(y_pred).alias("yp")).agg(
+        F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg")))
+    hit = F.col("yp") == F.lit(pos)
+    cnt = base.groupBy(*by).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"))
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+    s_ = tp + fp + fn + tn
+    p_, r_, f_ = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    # two-class marginals: predicted (tp+fp, fn+tn), true (tp+fn, fp+tn)
+    sum_pt = (tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)
+    sum_pp = (tp + fp) * (tp + fp) + (fn + tn) * (fn + tn)
+    sum_tt = (tp + fn) * (tp + fn) + (fp + tn) * (fp + tn)
+    c_ = tp + tn
+    mcc = safe_div(c_ * s_ - sum_pt, F.sqrt((s_ * s_ - sum_pp) * (s_ * s_ - sum_tt)))
+    kappa = safe_div(c_ / s_ - sum_pt / (s_ * s_), F.lit(1.0) - sum_pt / (s_ * s_))
+    scal = cnt.select(*by, r6(c_ / s_).alias("accuracy"), r6(p_).alias("precision"), r6(r_).alias("recall"),
+                      r6(f_).alias("f1"), r6(mcc).alias("mcc"), r6(kappa).alias("kappa"))
+    sc = base.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    clip = lambda c: F.least(F.greatest(c.cast("double"), F.lit(LOG_EPS)), F.lit(1.0 - LOG_EPS))
+    ll = sc.groupBy(*by).agg(r6(-(F.sum(F.col("pos") * F.ln(clip(F.col("score"))) +
+                                      F.col("neg") * F.ln(clip(F.lit(1.0) - F.col("score")))) /
+                               F.sum(F.col("pos") + F.col("neg")))).alias("log_loss"))
+    curves = _auc_ap(_cumulative_from_counts(sc, by), by).withColumnRenamed("auc", "roc_auc")
+    names = ["accuracy", "precision", "recall", "f1", "mcc", "kappa", "log_loss", "roc_auc", "average_precision"]
+    if by:
+        wide = scal.join(ll, by, "left").join(curves, by, "left")
+    else:  # one-row tables; an aggregate over an empty curve table still yields one (null) row
+        one = curves.agg(F.max("roc_auc").alias("roc_auc"), F.max("average_precision").alias("average_precision"))
+        wide = scal.crossJoin(ll).crossJoin(one)
+    stack = ", ".join(f"'{m}', `{m}`" for m in names)
+    long = wide.select(*by, F.expr(f"stack({len(names)}, {stack}) AS (metric, value)"))
+    err = F.when(F.col("value").isNull(), F.concat(F.lit("ValueError: "), F.col("metric"),
+                                                    F.lit(" undefined (evaluation labels contain a single class)")))
+    return long.select(*by, "metric", F.col("value").cast("double").alias("value"), err.alias("error"))
+
+
+def _metric_report_mc(df: DataFrame, by, n_classes, y_true, y_pred, proba) -> DataFrame:
     parts = []
 
     def long(frame, cols):
@@ -337,26 +406,13 @@ def metric_report(df: DataFrame, by: Sequence[str] = (), multiclass: bool = Fals
             parts.append(frame.select(*by, F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")))
 
     long(accuracy(df, by, y_true, y_pred), ["accuracy"])
-    prf = precision_recall_f1(df, by, "macro" if multiclass else "binary", 1, y_true, y_pred)
-    long(prf, ["precision", "recall", "f1"])
+    long(precision_recall_f1(df, by, "macro", 1, y_true, y_pred), ["precision", "recall", "f1"])
     long(matthews_corrcoef(df, by, y_true, y_pred), ["mcc"])
     long(cohens_kappa(df, by, y_true, y_pred), ["kappa"])
-    if multiclass:
-        long(log_loss(df, by, y_true, proba=proba), ["log_loss"])
-        long(macro_ovr_auc(df, n_classes, by, y_true, proba), ["macro_auc"])
-        wanted = ["accuracy", "precision", "recall", "f1", "mcc", "kappa", "log_loss", "macro_auc"]
-    else:
-        long(log_loss(df, by, y_true, score=score), ["log_loss"])
-        long(roc_auc(df, by, y_true, score).withColumnRenamed("auc", "roc_auc"), ["roc_auc"])
-        long(average_precision(df, by, y_true, score), ["average_precision"])
-        wanted = ["accuracy", "precision", "recall", "f1", "mcc", "kappa", "log_loss", "roc_auc", "average_precision"]
+    long(log_loss(df, by, y_true, proba=proba), ["log_loss"])
+    long(macro_ovr_auc(df, n_classes, by, y_true, proba), ["macro_auc"])
     got = parts[0]
     for p in parts[1:]:
         got = got.unionByName(p)
-    spark = df.sparkSession
-    names = spark.createDataFrame([(m,) for m in wanted], "metric string")
-    grid = groups.crossJoin(F.broadcast(names)) if by else names
-    out = grid.join(got, on=[*by, "metric"], how="left")
-    err = F.when(F.col("value").isNull(), F.concat(F.lit("ValueError: "), F.col("metric"),
-                                                    F.lit(" undefined (evaluation labels contain a single class)")))
-    return out.select(*by, "metric", "value", err.alias("error"))
+    err = F.when(F.col("value").isNull(), F.concat(F.lit("ValueError: "), F.col("metric"), F.lit(" undefined")))
+    return got.select(*by, "metric", "value", err.alias("error"))

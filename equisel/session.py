@@ -21,6 +21,7 @@ _LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.driver.memory": "8g",
     # Broadcast only what is proven small; AQE may still convert at runtime.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
