@@ -322,3 +322,75 @@ SELECT b.row_id, b.y, b.split, r.id AS draw FROM
   JOIN (SELECT 'test' AS split, range AS id, {H('range', 42)} AS hh FROM range(500)
         UNION ALL SELECT 'train', range, {H('range', 43)} FROM range(500)) r
   ON r.split = b.split AND b.pos = r.hh % b.n + 1"""))
+
+# ---------------------------------------------------------------- sources (S1–S4), head, E1, E14, T5
+from equisel.sources import tables as IO  # noqa: E402
+
+
+def _scratch(s, name):
+    import uuid
+
+    from equisel.session import checkpoint_dir
+    return f"{checkpoint_dir(s).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+reg("s01_read_table", lambda s, d: IO.read_table(s, f"{d}/lineitem.parquet", ["l_quantity", "l_extendedprice", "l_discount"],
+                                                 "l_returnflag"),
+    "SELECT l_quantity, l_extendedprice, l_discount, l_returnflag FROM lineitem")
+
+
+def _headerless(s, d):
+    path = _scratch(s, "headerless")
+    o = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    o.write.option("header", False).csv(path)  # a header-less CSV derived from the table
+    return IO.read_headerless_xy(s, path)
+
+
+reg("s02_read_headerless_xy", _headerless,
+    "SELECT o_orderkey AS x0, o_totalprice AS x1, o_orderstatus AS y FROM orders")
+
+
+def _attach(s, d):
+    o = table(s, d, "orders")
+    feats = o.select(F.col("o_orderkey").alias("row_id"), "o_totalprice", "o_orderdate")
+    targets = o.select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("y"))
+    return IO.attach_target(feats, targets, "row_id")
+
+
+reg("s03_attach_target", _attach,
+    "SELECT o_orderkey AS row_id, o_totalprice, o_orderdate, o_orderstatus AS y FROM orders")
+
+
+def _roundtrip(s, d):
+    path = _scratch(s, "written")
+    src = V.features(s, d).drop("flag")
+    IO.write_table(src, path, "csv")
+    schema = src.schema
+    return s.read.option("header", True).schema(schema).csv(path)
+
+
+reg("s04_write_table_csv_roundtrip", _roundtrip,
+    with_views("SELECT p_partkey, p_size, p_retailprice, p_brand, p_type, target FROM features", "features"))
+
+reg("p05_head", lambda s, d: PR.head(FEAT(s, d), 10, "p_partkey"),
+    with_views("SELECT * FROM features ORDER BY p_partkey LIMIT 10", "features"))
+reg("e01_bool_to_double", lambda s, d: E.bool_to_double(FEAT(s, d).select("p_partkey", "flag")),
+    with_views("SELECT p_partkey, CAST(flag AS DOUBLE) AS flag FROM features", "features"))
+
+
+def _e14(s, d):
+    sp = _split(s, d).join(table(s, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice"), "row_id")
+    z = E.zscore(sp, ["o_totalprice"], fit_on="train")
+    return z.select("row_id", "split", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+SQL_E14 = with_views("X", "split_input").replace("\nX", "," + _SPLIT + """,
+j_ AS (SELECT s.row_id, s.split, o.o_totalprice FROM split_ s JOIN orders o ON o.o_orderkey = s.row_id),
+st_ AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd FROM j_ WHERE split = 'train')
+SELECT row_id, split, round((o_totalprice - m) / CASE WHEN coalesce(sd, 0) = 0 THEN 1.0 ELSE sd END, 6) AS o_totalprice
+FROM j_ CROSS JOIN st_""")
+reg("e14_standardise_fit_on_train", _e14, SQL_E14)
+
+reg("t05_pass_through_if_encoded", lambda s, d: T.pass_through_if_encoded(V.predictions(s, d).select("row_id", "y_true"),
+                                                                        "y_true", "y")[0],
+    with_views("SELECT row_id, y_true, CAST(y_true AS INTEGER) AS y FROM predictions", "predictions"))
