@@ -217,8 +217,10 @@ def mitigate_thresholds(train: DataFrame, group="sensitive", constraint: str = "
                                                     F.floor((F.col("rate") + width) / width).cast("long"))))
     grid_b = grid.withColumn("b", F.floor(F.col("target") / width).cast("long"))
     cand = pts_b.join(F.broadcast(grid_b), "b").where(F.abs(F.col("rate") - F.col("target")) <= tol)
-    w = Window.partitionBy("target", "group").orderBy(F.col("correct").desc(), F.col("t").desc())
-    best = cand.withColumn("rk", F.row_number().over(w)).where("rk = 1")
+    # best threshold per (target, group) by partial aggregation (max_by), not a window
+    best = cand.groupBy("target", "group").agg(
+        F.max_by(F.struct("t", "correct"), F.struct(F.col("correct"), F.col("t"))).alias("b")).select(
+        "target", "group", "b.t", "b.correct")
     n_groups = tot.count()
     score_t = best.groupBy("target").agg(F.sum("correct").alias("tot_correct"), F.count(F.lit(1)).alias("k"))
     win = score_t.where(F.col("k") == n_groups).orderBy(F.col("tot_correct").desc(), F.col("target")).limit(1)

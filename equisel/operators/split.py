@@ -50,7 +50,8 @@ def stratified_split(df: DataFrame, key: str = "row_id", label: str = "y", frac:
     The class table is tiny (labels are capped), it is the only thing
     windowed globally."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    min_c = counts.agg(F.min("n_c")).first()[0]
+    st = counts.agg(F.min("n_c").alias("m"), F.count(F.lit(1)).alias("k")).first()
+    min_c, n_classes = st["m"], st["k"]
     base = df.withColumn(_H, hash32(key, seed))
     if min_c is None:
         return base.withColumn(out, F.lit(names[0])).drop(_H)
@@ -61,7 +62,9 @@ def stratified_split(df: DataFrame, key: str = "row_id", label: str = "y", frac:
         return pos.withColumn(out, F.when(F.col(_POS) <= k, names[0]).otherwise(names[1])).drop(_H, _POS)
     q = _quota(counts, label, frac, "floor")
     pos = dense_position(base, [_H, key], by=[label], name=_POS)
-    j = pos.join(F.broadcast(q.select(label, "quota")), on=label, how="inner")
+    qt = q.select(label, "quota")
+    qt = F.broadcast(qt) if n_classes <= 10000 else qt  # broadcast only a counted, small class table
+    j = pos.join(qt, on=label, how="inner")
     return j.withColumn(out, F.when(F.col(_POS) <= F.col("quota"), names[0]).otherwise(names[1])).drop(_H, _POS, "quota")
 
 
@@ -130,9 +133,8 @@ def even_downsample(df: DataFrame, order_col: str, by: Sequence[str] = (), max_p
     by = list(by)
     m = max_points
     pos = dense_position(df, order_col, by=by, name=_POS, descending=descending)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by)) if by else None
-    if by:
-        pos = pos.withColumn("__n", n)
+    if by:  # group sizes by partial aggregation, not a window over the whole group
+        pos = pos.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by)
     else:
         total = df.count()
         pos = pos.withColumn("__n", F.lit(total))

@@ -88,10 +88,29 @@ reg("k01_random_binary_features", _kqs)
 
 def _k5(s, d):
     v = _vec(s, d).where(F.col("label").isin(0, 1)).withColumn("y", F.when(F.col("label") == 0, -1).otherwise(1))
-    return K.class_mean_similarity(_vec(s, d), v, "x", "vec_id", "y", 10).select("vec_id", "proba", "y_pred")
+    out = K.class_mean_similarity(_vec(s, d), v, "x", "vec_id", "y", 10)
+    return out.select("vec_id", r6(F.element_at("proba", 1)).alias("p_neg"), r6(F.element_at("proba", 2)).alias("p_pos"),
+                      "y_pred")
 
 
-reg("k05_class_mean_similarity", _k5)
+def _k5_sql() -> str:
+    a, b = _ST("a.v"), _ST("l.v")
+    re = f"({b[0]}) * ({a[0]}) + ({b[1]}) * ({a[1]}) + ({b[2]}) * ({a[2]}) + ({b[3]}) * ({a[3]})"
+    im = f"({b[0]}) * ({a[1]}) - ({b[1]}) * ({a[0]}) + ({b[2]}) * ({a[3]}) - ({b[3]}) * ({a[2]})"
+    return f"""
+WITH e AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS f, unnest(embedding)::DOUBLE AS v FROM embeddings),
+ex AS (SELECT vec_id AS lid, CASE WHEN label = 0 THEN -1 ELSE 1 END AS cls FROM (
+         SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE label IN (0, 1))
+       WHERE rn <= 10),
+l AS (SELECT ex.lid, ex.cls, e.f, e.v FROM e JOIN ex ON ex.lid = e.vec_id),
+k AS (SELECT a.vec_id, l.lid, l.cls, product(({re}) * ({re}) + ({im}) * ({im})) AS k FROM e a JOIN l ON l.f = a.f
+      GROUP BY a.vec_id, l.lid, l.cls),
+m AS (SELECT vec_id, avg(CASE WHEN cls = -1 THEN k END) AS sn, avg(CASE WHEN cls = 1 THEN k END) AS sp FROM k GROUP BY vec_id)
+SELECT vec_id, round(sn / (sn + sp), 6) + 0.0 AS p_neg, round(sp / (sn + sp), 6) + 0.0 AS p_pos,
+       CASE WHEN sp / (sn + sp) > sn / (sn + sp) THEN 1 ELSE -1 END AS y_pred FROM m"""
+
+
+reg("k05_class_mean_similarity", _k5, _k5_sql())
 
 # ---------------------------------------------------------------- generators (one draw per order key)
 _OK = lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("k"))

@@ -21,7 +21,13 @@ reg("l01_live_trials", L.run_live_trials,
 reg("l02_live_progress", L.run_live_progress,
     with_views("""SELECT study, count_if(state IN ('COMPLETE', 'PRUNED', 'FAIL')) AS finished,
        max(CASE WHEN state = 'COMPLETE' THEN f1 END) AS best_value FROM trials GROUP BY study""", "trials"))
-reg("l03_live_asha", L.run_live_asha)
+def _l03_sql():
+    from equisel.plans.catalog_trials import _asha_sql
+    return with_views(_asha_sql(1, 3), "reports", extra={"reports_b": "SELECT * FROM reports"})
+
+
+# one micro-batch (availableNow over one file) → equals the batch rung table
+reg("l03_live_asha", L.run_live_asha, _l03_sql())
 reg("l04_live_convergence", L.run_live_convergence,
     with_views("""
 SELECT k.study, k.trial, k.n_steps, c.converged_step IS NOT NULL AS converged, c.converged_step

@@ -128,9 +128,11 @@ def request_snapshots(requests: DataFrame, jobs: DataFrame | None = None) -> Dat
     """One snapshot per (run, config_key) — the newest request wins —
     and whether a new job is needed (no active job for that snapshot)."""
     r = config_key(requests)
-    w = Window.partitionBy("optimization_id", "config_key").orderBy(F.col("created_at").desc(), F.col("request_id"))
-    snap = r.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    snap = snap.select("optimization_id", "config_key", "config_json", "created_at", "request_id")
+    # newest request per (run, key) by partial aggregation: a hot key is not one window partition
+    newest = F.max_by(F.struct("config_json", "created_at", "request_id"),
+                      F.struct(F.col("created_at"), -F.col("request_id")))
+    snap = r.groupBy("optimization_id", "config_key").agg(newest.alias("__s")).select(
+        "optimization_id", "config_key", "__s.config_json", "__s.created_at", "__s.request_id")
     if jobs is None:
         return snap.withColumn("new_job", F.lit(True))
     active = jobs.where(F.col("status").isin(*ACTIVE_JOB)).select("optimization_id", "config_key").distinct()
