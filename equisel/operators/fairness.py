@@ -97,7 +97,13 @@ def disparities(df: DataFrame, group="sensitive", by: Sequence[str] = (), favora
     (= disparate impact; NaN when every selection rate is 0), equalized-odds
     difference (max of TPR and FPR gaps), equal-opportunity difference."""
     by = _by(by)
-    r = _rates(group_counts(df, group, by, favorable, y_true, y_pred), by)
+    return disparities_from_counts(group_counts(df, group, by, favorable, y_true, y_pred), by)
+
+
+def disparities_from_counts(c: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """B3–B6 from a ``(by, group, tp, fp, fn, tn, n)`` table."""
+    by = _by(by)
+    r = _rates(c, by)
     g = r.groupBy(*by).agg(
         F.min("selection_rate").alias("sr_min"), F.max("selection_rate").alias("sr_max"),
         (F.max("recall") - F.min("recall")).alias("tpr_gap"),
@@ -126,13 +132,17 @@ def audit(df: DataFrame, group="sensitive", by: Sequence[str] = (), favorable=1,
     sections ``by_group``, ``overall`` and ``disparities``. More than
     ``max_groups`` distinct groups is an error (bounded check first)."""
     by = _by(by)
-    gm = group_metrics(df, group, by, favorable, y_true, y_pred)
+    # one raw pass: per-group counts feed the group rows, the overall row and the disparities
+    c = group_counts(df, group, by, favorable, y_true, y_pred)
+    tot = c.groupBy(*by).agg(F.lit(OVERALL).alias("group"), *[F.sum(x).alias(x) for x in ("tp", "fp", "fn", "tn", "n")])
+    r = _rates(c.unionByName(tot), by)
+    gm = r.select(*by, "group", *[r6(m).alias(m) for m in GROUP_METRICS])
     stack = ", ".join(f"'{m}', `{m}`" for m in GROUP_METRICS)
     long = gm.select(*by, "group", F.expr(f"stack({len(GROUP_METRICS)}, {stack}) as (metric, value)"))
     sect = F.when(F.col("group") == OVERALL, "overall").otherwise("by_group")
     long = long.select(*by, sect.alias("section"), "metric",
                        F.when(F.col("group") == OVERALL, None).otherwise(F.col("group")).alias("group"), "value")
-    d = disparities(df, group, by, favorable, y_true, y_pred)
+    d = disparities_from_counts(c, by)
     # the group cap is asserted inside the plan (no extra pass over the rows)
     too_many = F.raise_error(F.lit(f"sensitive column {group!r} has more than {max_groups} groups"))
     d = d.withColumn("n_groups", F.when(F.col("n_groups") > max_groups, too_many.cast("long")).otherwise(F.col("n_groups")))
