@@ -49,31 +49,39 @@ def _long(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """P1+P2+P3+P7 as one table: (column, dtype, is_numeric, n_rows,
-    n_missing, n_unique). Missing = NULL or NaN. ``exact=False`` uses
-    HyperLogLog for the distinct counts (one pass, no shuffle of values)."""
+    n_missing, n_unique). Missing = NULL or NaN.
+
+    Exact: a single long-form pass — every cell becomes (column, value or
+    NULL), grouped by (column, value) with map-side combining; rows,
+    missing and distinct counts per column come from that table.
+    ``exact=False`` uses one wide aggregate with HyperLogLog distinct counts."""
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    aggs += [F.count_if(_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)]
-    if not exact:
-        aggs += [F.approx_count_distinct(F.col(f"`{f.name}`")).alias(f"u{i}") for i, f in enumerate(fields)]
-    one = df.agg(*aggs)
     spark = df.sparkSession
     meta = spark.createDataFrame(
         [(i, f.name, f.dataType.simpleString(), is_numeric_type(f.dataType)) for i, f in enumerate(fields)],
         "i int, column string, dtype string, is_numeric boolean",
     )
-    m_stack = ", ".join(f"{i}, m{i}" for i in range(len(fields)))
-    miss = one.select("__rows", F.expr(f"stack({len(fields)}, {m_stack}) AS (i, n_missing)"))
-    out = meta.join(F.broadcast(miss), "i")
     if exact:
-        uniq = _long(df).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
-        out = out.join(uniq, "column", "left")
-    else:
-        u_stack = ", ".join(f"{i}, u{i}" for i in range(len(fields)))
-        out = out.join(F.broadcast(one.select(F.expr(f"stack({len(fields)}, {u_stack}) AS (i, n_unique)"))), "i")
+        parts = ", ".join(f"{i}, CASE WHEN m{i} THEN NULL ELSE CAST(`{f.name}` AS STRING) END" for i, f in enumerate(fields))
+        flagged = df.select(*[F.col(f"`{f.name}`") for f in fields],
+                            *[_missing(f.name, f.dataType).alias(f"m{i}") for i, f in enumerate(fields)])
+        long = flagged.select(F.expr(f"stack({len(fields)}, {parts}) AS (i, value)"))
+        vc = long.groupBy("i", "value").agg(F.count(F.lit(1)).alias("c"))
+        per = vc.groupBy("i").agg(F.sum("c").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("c"))).alias("n_missing"),
+                                  F.count("value").alias("n_unique"))
+        out = meta.join(per, "i", "left")
+        return out.select("column", "dtype", "is_numeric", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
+                          F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing"),
+                          F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"))
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    aggs += [F.count_if(_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)]
+    aggs += [F.approx_count_distinct(F.col(f"`{f.name}`")).alias(f"u{i}") for i, f in enumerate(fields)]
+    one = df.agg(*aggs)
+    mu = ", ".join(f"{i}, m{i}, u{i}" for i in range(len(fields)))
+    st = one.select("__rows", F.expr(f"stack({len(fields)}, {mu}) AS (i, n_missing, n_unique)"))
+    out = meta.join(F.broadcast(st), "i")  # one row per column
     return out.select("column", "dtype", "is_numeric", F.col("__rows").alias("n_rows"),
-                      F.col("n_missing").cast("long").alias("n_missing"),
-                      F.coalesce(F.col("n_unique"), F.lit(0)).cast("long").alias("n_unique"))
+                      F.col("n_missing").cast("long").alias("n_missing"), F.col("n_unique").cast("long").alias("n_unique"))
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -113,6 +121,11 @@ def exact_quantiles(df: DataFrame, probs: Sequence[float], cols: Sequence[str] |
     long = df.select(F.expr(f"stack({len(fields)}, {parts}) AS (column, value)"))
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+    # the value-count table feeds the bucket boundaries and the running counts:
+    # write it once to the shared checkpoint folder (lineage cut, one raw pass)
+    from equisel.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    vc = vc.checkpoint(eager=True)
     cum = running_totals(vc, "value", ["c"], by=["column"])  # cum_c = rows with value ≤ this one
     n = vc.groupBy("column").agg(F.sum("c").alias("n"))
     spark = df.sparkSession
