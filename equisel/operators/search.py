@@ -168,28 +168,40 @@ def tpe_rank(log: DataFrame, candidates: DataFrame, params: Sequence[str], gamma
 
 def tune_threshold(preds: DataFrame, by: Sequence[str] = ("trial",), score: str = "score", y_true: str = "y_true",
                    y_pred: str = "y_pred", pos: int = 1) -> DataFrame:
-    """H6: binary only. F1 at each cut k/20 (k = 1..19) from the per-score
-    count table (not the raw rows × 19); the first best cut wins and is
-    adopted only if strictly better than the F1 of the given predictions."""
+    """H6: binary only. F1 at each cut k/20 (k = 1..19); the first best cut
+    wins and is adopted only if strictly better than the F1 of the given
+    predictions.
+
+    No rows × cuts product: each row falls in cut bucket b = number of cuts
+    ≤ its score (exact comparison with the same k/20 doubles), one
+    aggregate gives ≤ 20 rows per group, and the counts at cut k are the
+    sums over buckets ≥ k (a window over those ≤ 20 rows)."""
     by = list(by)
-    spark = preds.sparkSession
+    steps = THRESHOLD_STEPS
+    t_ = F.col(y_true) == pos
     base = preds.groupBy(*by).agg(
-        F.count_if((F.col(y_true) == pos) & (F.col(y_pred) == pos)).alias("tp"),
-        F.count_if((F.col(y_true) != pos) & (F.col(y_pred) == pos)).alias("fp"),
-        F.count_if((F.col(y_true) == pos) & (F.col(y_pred) != pos)).alias("fn"))
+        F.count_if(t_ & (F.col(y_pred) == pos)).alias("tp"),
+        F.count_if(~t_ & (F.col(y_pred) == pos)).alias("fp"),
+        F.count_if(t_ & (F.col(y_pred) != pos)).alias("fn"))
     base = base.select(*by, safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("base_f1"))
-    sc = preds.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(y_true) == pos).alias("p"),
-                                                         F.count_if(F.col(y_true) != pos).alias("n"))
-    cuts = spark.range(1, THRESHOLD_STEPS).select(F.col("id").cast("int").alias("k"))
-    j = sc.crossJoin(F.broadcast(cuts))  # distinct scores × 19 cuts
-    at = j.groupBy(*by, "k").agg(
-        F.sum(F.when(F.col("s") >= F.col("k") / F.lit(float(THRESHOLD_STEPS)), F.col("p")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("s") >= F.col("k") / F.lit(float(THRESHOLD_STEPS)), F.col("n")).otherwise(0)).alias("fp"),
-        F.sum(F.when(F.col("s") < F.col("k") / F.lit(float(THRESHOLD_STEPS)), F.col("p")).otherwise(0)).alias("fn"))
-    at = at.select(*by, "k", safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
-    best = at.groupBy(*by).agg(F.max_by(F.struct("k", "f1"), F.struct(F.col("f1"), -F.col("k"))).alias("b"))
-    out = best.join(base, by).select(*by, (F.col("b.k") / F.lit(float(THRESHOLD_STEPS))).alias("best_threshold"),
-                                     r6("b.f1").alias("best_f1"), r6("base_f1").alias("base_f1"))
+    s_ = F.col(score)
+    b0 = F.least(F.greatest(F.floor(s_ * steps), F.lit(0)), F.lit(steps - 1)).cast("int")
+    cut = lambda k: k.cast("double") / F.lit(float(steps))
+    b1 = F.when((b0 > 0) & (s_ < cut(b0)), b0 - 1).when((b0 < steps - 1) & (s_ >= cut(b0 + 1)), b0 + 1).otherwise(b0)
+    bk = preds.where(s_.isNotNull()).groupBy(*by, b1.alias("b")).agg(
+        F.count_if(t_).alias("p"), F.count_if(~t_).alias("n"))
+    # every group gets all buckets 0..19 so that each cut k = 1..19 has a row
+    grid = preds.select(*by).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    g = grid.join(bk, [*by, "b"], "left").fillna(0, ["p", "n"])
+    above = Window.partitionBy(*by).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tot = Window.partitionBy(*by)
+    g = g.select(*by, "b", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"),
+                 F.sum("p").over(tot).alias("P"))
+    at = g.where(F.col("b") >= 1).select(*by, F.col("b").alias("k"), safe_div(
+        2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + (F.col("P") - F.col("tp"))).alias("f1"))
+    best = at.groupBy(*by).agg(F.max_by(F.struct("k", "f1"), F.struct(F.col("f1"), -F.col("k"))).alias("bst"))
+    out = best.join(base, by).select(*by, (F.col("bst.k") / F.lit(float(steps))).alias("best_threshold"),
+                                     r6("bst.f1").alias("best_f1"), r6("base_f1").alias("base_f1"))
     return out.withColumn("adopted", F.col("best_f1") > F.col("base_f1"))
 
 
