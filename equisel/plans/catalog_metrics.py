@@ -161,8 +161,9 @@ reg("q14_macro_ovr_auc_mc", lambda s, d: M.macro_ovr_auc(PM(s, d), 3),
 
 reg("q16_apply_threshold_counts",
     lambda s, d: M.binary_counts(M.apply_threshold(P(s, d), 0.35), by=["sensitive"]),
-    with_views(f"""SELECT sensitive, count_if(y_true = 1 AND yp = 1) AS tp, count_if(y_true <> 1 AND yp = 1) AS fp,
-       count_if(y_true = 1 AND yp <> 1) AS fn, count_if(y_true <> 1 AND yp <> 1) AS tn, count(*) AS n
+    with_views(f"""SELECT sensitive, CAST(count_if(y_true = 1 AND yp = 1) AS BIGINT) AS tp,
+       CAST(count_if(y_true <> 1 AND yp = 1) AS BIGINT) AS fp, CAST(count_if(y_true = 1 AND yp <> 1) AS BIGINT) AS fn,
+       CAST(count_if(y_true <> 1 AND yp <> 1) AS BIGINT) AS tn, count(*) AS n
        FROM (SELECT *, CASE WHEN score >= 0.35 THEN 1 ELSE -1 END AS yp FROM predictions) GROUP BY sensitive""",
                "predictions"))
 

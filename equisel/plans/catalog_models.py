@@ -289,7 +289,7 @@ reg("v07_waterfall", lambda s, d: AT.waterfall(*_lshap(s, d), top=2),
     _V1_SQL + """, rk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(value) DESC, feature) AS rk FROM sh),
 steps AS (SELECT row_id, rk, feature || ' = ' || printf('%.3f', feature_value) AS name, value FROM rk WHERE rk <= 2
           UNION ALL SELECT row_id, 3, 'other (' || CAST(count(*) AS VARCHAR) || ' features)', sum(value) FROM rk WHERE rk > 2 GROUP BY row_id)
-SELECT row_id, rk, name, round(value, 6) + 0.0 AS delta,
+SELECT row_id, CAST(rk AS INTEGER) AS rk, name, round(value, 6) + 0.0 AS delta,
        round((SELECT base_value FROM base) + sum(value) OVER (PARTITION BY row_id ORDER BY rk) - value, 6) + 0.0 AS start,
        round((SELECT base_value FROM base) + sum(value) OVER (PARTITION BY row_id ORDER BY rk), 6) + 0.0 AS "end" FROM steps""")
 reg("v08_beeswarm", lambda s, d: AT.beeswarm(_lshap(s, d)[0], top=3),

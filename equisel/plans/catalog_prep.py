@@ -34,7 +34,7 @@ LI_COLS = [("l_orderkey", False), ("l_partkey", False), ("l_suppkey", False), ("
 def _profile_sql(src: str, cols) -> str:
     parts = []
     for c, is_float in cols:
-        miss = f"count_if({c} IS NULL OR isnan({c}))" if is_float else f"count_if({c} IS NULL)"
+        miss = f"CAST(count_if({c} IS NULL OR isnan({c})) AS BIGINT)" if is_float else f"CAST(count_if({c} IS NULL) AS BIGINT)"
         parts.append(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, {miss} AS n_missing, "
                      f"count(DISTINCT {c}) AS n_unique FROM {src}")
     return "\nUNION ALL ".join(parts)
@@ -142,11 +142,11 @@ reg("e05_e06_encode_onehot",
 reg("e07_encoding_metadata",
     lambda s, d: E.encode_features(FEAT(s, d), "ordinal", keep=["p_partkey", "target"])[1],
     with_views("""
-SELECT 'p_size' AS "column", 'numeric' AS kind, NULL::VARCHAR[] AS categories, count_if(p_size IS NULL) AS imputed, ['p_size'] AS out_columns FROM features
-UNION ALL SELECT 'p_retailprice', 'numeric', NULL, count_if(p_retailprice IS NULL), ['p_retailprice'] FROM features
-UNION ALL SELECT 'p_brand', 'ordinal', list_sort(list(DISTINCT coalesce(p_brand, 'missing'))), count_if(p_brand IS NULL), ['p_brand'] FROM features
-UNION ALL SELECT 'p_type', 'ordinal', list_sort(list(DISTINCT coalesce(p_type, 'missing'))), count_if(p_type IS NULL), ['p_type'] FROM features
-UNION ALL SELECT 'flag', 'numeric', NULL, count_if(flag IS NULL), ['flag'] FROM features""", "features"))
+SELECT 'p_size' AS "column", 'numeric' AS kind, NULL::VARCHAR[] AS categories, CAST(count_if(p_size IS NULL) AS BIGINT) AS imputed, ['p_size'] AS out_columns FROM features
+UNION ALL SELECT 'p_retailprice', 'numeric', NULL, CAST(count_if(p_retailprice IS NULL) AS BIGINT), ['p_retailprice'] FROM features
+UNION ALL SELECT 'p_brand', 'ordinal', list_sort(list(DISTINCT coalesce(p_brand, 'missing'))), CAST(count_if(p_brand IS NULL) AS BIGINT), ['p_brand'] FROM features
+UNION ALL SELECT 'p_type', 'ordinal', list_sort(list(DISTINCT coalesce(p_type, 'missing'))), CAST(count_if(p_type IS NULL) AS BIGINT), ['p_type'] FROM features
+UNION ALL SELECT 'flag', 'numeric', NULL, CAST(count_if(flag IS NULL) AS BIGINT), ['flag'] FROM features""", "features"))
 
 reg("e07_passthrough_columns",
     lambda s, d: E.passthrough_columns(E.encode_features(FEAT(s, d).drop("p_brand"), "onehot", keep=["p_partkey", "target"])[1]),
@@ -197,7 +197,7 @@ reg("e10_amplitude_encode",
 reg("e11_pad_multiple_of_3",
     lambda s, d: E.pad_multiple_of_3(V.vectors(s, d).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))).select(
         "vec_id", F.size("x").alias("n"), F.element_at("x", -1).alias("last")),
-    "SELECT vec_id, len(embedding) + ((3 - len(embedding)) % 3 + 3) % 3 AS n, "
+    "SELECT vec_id, CAST(len(embedding) + ((3 - len(embedding)) % 3 + 3) % 3 AS INTEGER) AS n, "
     "CASE WHEN ((3 - len(embedding)) % 3 + 3) % 3 > 0 THEN 0.0 ELSE CAST(embedding[-1] AS DOUBLE) END AS last FROM embeddings")
 
 
@@ -343,7 +343,7 @@ def _headerless(s, d):
     path = _scratch(s, "headerless")
     o = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     o.write.option("header", False).csv(path)  # a header-less CSV derived from the table
-    return IO.read_headerless_xy(s, path)
+    return IO.read_headerless_xy(s, path, schema="x0 bigint, x1 double, y string")
 
 
 reg("s02_read_headerless_xy", _headerless,

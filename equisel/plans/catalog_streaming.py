@@ -19,7 +19,7 @@ reg("l01_live_trials", L.run_live_trials,
     with_views("SELECT study, trial, count(*) AS n_reports, arg_max(value, step) AS last_value FROM reports GROUP BY 1, 2",
                "reports"))
 reg("l02_live_progress", L.run_live_progress,
-    with_views("""SELECT study, count_if(state IN ('COMPLETE', 'PRUNED', 'FAIL')) AS finished,
+    with_views("""SELECT study, CAST(count_if(state IN ('COMPLETE', 'PRUNED', 'FAIL')) AS BIGINT) AS finished,
        max(CASE WHEN state = 'COMPLETE' THEN f1 END) AS best_value FROM trials GROUP BY study""", "trials"))
 def _l03_sql():
     from equisel.plans.catalog_trials import _asha_sql

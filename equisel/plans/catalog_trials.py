@@ -56,11 +56,11 @@ reg("a03_optimisation_history", lambda s, d: A.optimisation_history(TR(s, d)),
        FROM (SELECT *, {_VALUE} AS value FROM trials WHERE {_FIN})""", "trials"))
 
 reg("a04_progress", lambda s, d: A.progress(TR(s, d)),
-    with_views(f"""SELECT study, count_if({_FIN}) AS finished, count(*) AS total,
+    with_views(f"""SELECT study, CAST(count_if({_FIN}) AS BIGINT) AS finished, count(*) AS total,
        round(count_if({_FIN}) * 100.0::DOUBLE / count(*), 2) AS percent FROM trials GROUP BY study""", "trials"))
 
 reg("a05_leaderboard_top10", lambda s, d: A.leaderboard(TR(s, d), 10),
-    with_views(f"""SELECT study, trial, value, model_type, rank FROM (
+    with_views(f"""SELECT study, trial, value, model_type, CAST(rank AS INTEGER) AS rank FROM (
        SELECT study, trial, value, model_type,
               row_number() OVER (PARTITION BY study ORDER BY value DESC NULLS LAST, trial) AS rank
        FROM (SELECT *, {_VALUE} AS value FROM trials WHERE {_FIN})) WHERE rank <= 10""", "trials"))
@@ -273,7 +273,7 @@ reg("s07_list_runs", lambda s, d: S.list_newest_first(V.runs(s, d)), with_views(
 reg("s07_delete_runs", lambda s, d: S.delete_keys(V.runs(s, d), V.runs(s, d).where(F.col("status") == "failed"), "job_id"),
     with_views("SELECT * FROM runs WHERE job_id NOT IN (SELECT job_id FROM runs WHERE status = 'failed')", "runs"))
 reg("s08_count_active_runs", lambda s, d: S.count_active_runs(V.runs(s, d)),
-    with_views("SELECT count_if(status IN ('running', 'pending')) AS active FROM runs", "runs"))
+    with_views("SELECT CAST(count_if(status IN ('running', 'pending')) AS BIGINT) AS active FROM runs", "runs"))
 reg("s08_mark_stale_interrupted", lambda s, d: S.mark_stale_interrupted(V.runs(s, d)),
     with_views("SELECT * REPLACE (CASE WHEN status IN ('running', 'pending') THEN 'interrupted' ELSE status END AS status) "
                "FROM runs", "runs"))
@@ -290,12 +290,14 @@ reg("s09_merge_stores", _merge,
        CASE WHEN status = 'completed' THEN 's3' ELSE 'local' END AS artifact_storage FROM runs""", "runs"))
 reg("s09_merge_dry_run", lambda s, d: S.merge_counts(V.runs(s, d), V.runs(s, d).where(F.col("status") == "completed"),
                                                    "job_id", "runs"),
-    with_views("""SELECT 'runs' AS "table", count_if(status <> 'completed') AS inserted, count_if(status = 'completed') AS existing
+    with_views("""SELECT 'runs' AS "table", CAST(count_if(status <> 'completed') AS BIGINT) AS inserted,
+       CAST(count_if(status = 'completed') AS BIGINT) AS existing
        FROM runs""", "runs"))
 
 AR = V.analysis_requests
 reg("s11_config_key", lambda s, d: S.config_key(AR(s, d)).select("request_id", "config_json", "config_key"),
-    with_views("SELECT request_id, config_json, config_key FROM config_keys", "analysis_requests", "config_keys"))
+    with_views("SELECT request_id, CAST(config_json AS VARCHAR) AS config_json, config_key FROM config_keys",
+               "analysis_requests", "config_keys"))
 
 
 def _jobs(s, d):
@@ -304,7 +306,7 @@ def _jobs(s, d):
 
 
 reg("s12_request_snapshots", lambda s, d: S.request_snapshots(AR(s, d), _jobs(s, d)),
-    with_views("""SELECT optimization_id, config_key, config_json, created_at, request_id,
+    with_views("""SELECT optimization_id, config_key, CAST(config_json AS VARCHAR) AS config_json, created_at, request_id,
        (optimization_id, config_key) NOT IN (SELECT (optimization_id, config_key) FROM config_keys WHERE event_type = 'purchase') AS new_job
        FROM (SELECT *, row_number() OVER (PARTITION BY optimization_id, config_key ORDER BY created_at DESC, request_id) AS rn
              FROM config_keys) WHERE rn = 1""", "analysis_requests", "config_keys"))
@@ -319,7 +321,7 @@ def _snap_complete(s, d):
 
 
 reg("s13_complete_list_snapshots", _snap_complete,
-    with_views("""SELECT s.optimization_id, s.config_key, s.config_json, s.created_at, s.request_id, 1 AS revision,
+    with_views("""SELECT s.optimization_id, s.config_key, CAST(s.config_json AS VARCHAR) AS config_json, s.created_at, s.request_id, 1 AS revision,
        'done-' || CAST(v.mx AS VARCHAR) AS payload
        FROM (SELECT *, row_number() OVER (PARTITION BY optimization_id, config_key ORDER BY created_at DESC, request_id) AS rn
              FROM config_keys) s
@@ -338,7 +340,7 @@ def _cascade(s, d):
 
 
 reg("s14_delete_for_run", _cascade,
-    with_views("""SELECT optimization_id, config_key, config_json, created_at, request_id FROM (
+    with_views("""SELECT optimization_id, config_key, CAST(config_json AS VARCHAR) AS config_json, created_at, request_id FROM (
        SELECT *, row_number() OVER (PARTITION BY optimization_id, config_key ORDER BY created_at DESC, request_id) AS rn
        FROM config_keys) WHERE rn = 1
        AND optimization_id NOT IN (SELECT optimization_id FROM analysis_requests GROUP BY 1
@@ -347,5 +349,5 @@ reg("s14_delete_for_run", _cascade,
 
 reg("s16_json_rows", lambda s, d: S.json_rows(TR(s, d).select(
     "study", "trial", "state", F.when(F.col("state") == "FAIL", F.lit(float("nan"))).otherwise(F.col("f1")).alias("f1"))),
-    with_views("""SELECT to_json(struct_pack(study := study, trial := trial, state := state,
-       f1 := CASE WHEN state = 'FAIL' THEN NULL ELSE f1 END)) AS json FROM trials""", "trials"))
+    with_views("""SELECT CAST(to_json(struct_pack(study := study, trial := trial, state := state,
+       f1 := CASE WHEN state = 'FAIL' THEN NULL ELSE f1 END)) AS VARCHAR) AS json FROM trials""", "trials"))

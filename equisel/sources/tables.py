@@ -50,9 +50,12 @@ def read_table(
     return df.select(*x_cols, y_col)
 
 
-def read_headerless_xy(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """No header; the last column is the label, the rest are features."""
-    df = spark.read.option("header", False).option("inferSchema", True).option("sep", sep).csv(path)
+def read_headerless_xy(spark: SparkSession, path: str, sep: str = ",", schema=None) -> DataFrame:
+    """No header; the last column is the label, the rest are features.
+    An explicit ``schema`` avoids the inference pass."""
+    reader = spark.read.option("header", False).option("sep", sep)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    df = reader.csv(path)
     cols = df.columns
     return df.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate(cols[:-1])], F.col(cols[-1]).alias("y"))
 

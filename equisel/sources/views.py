@@ -192,7 +192,7 @@ def trials_from_events(e: DataFrame) -> DataFrame:
         n_steps.alias("n_steps"),
         F.lit(32).alias("batch_size"),
         F.col("ts").alias("start_ts"),
-        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + dur * 1000000).alias("end_ts"),
+        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + dur * 1000000).cast("timestamp_ntz").alias("end_ts"),
     )
     complete = F.col("state") == "COMPLETE"
     return out.select(
