@@ -175,7 +175,28 @@ def _tpe(s, d):
     return H.tpe_rank(t, cands, ["model_type", "C", "learning_rate", "n_layers"])
 
 
-reg("h04_tpe_rank", _tpe)
+_TPE_P = '(model_type, "C", learning_rate, n_layers)'
+_TPE_CTES = {
+    "lab": """SELECT study, trial, row_number() OVER (PARTITION BY study ORDER BY f1 DESC, trial)
+                 <= ceil(count(*) OVER (PARTITION BY study) * 0.25::DOUBLE) AS good
+              FROM trials WHERE state = 'COMPLETE'""",
+    "long_": f"""SELECT l.study, l.good, u.param, u.choice FROM lab l JOIN (
+                SELECT study, trial, param, choice FROM trials UNPIVOT (choice FOR param IN {_TPE_P})) u
+                ON u.study = l.study AND u.trial = l.trial""",
+    "cnt": "SELECT study, param, choice, count_if(good) AS ng_c, count_if(NOT good) AS nb_c FROM long_ GROUP BY 1, 2, 3",
+    "k_": 'SELECT study, param, count(*) AS "K" FROM cnt GROUP BY 1, 2',
+    "tot": "SELECT study, count_if(good) AS ng, count_if(NOT good) AS nb FROM lab GROUP BY 1",
+    "dens": """SELECT c.study, c.param, c.choice,
+                  ln((c.ng_c + 1) / (t.ng + k_."K")) - ln((c.nb_c + 1) / (t.nb + k_."K")) AS llr
+               FROM cnt c JOIN k_ ON k_.study = c.study AND k_.param = c.param JOIN tot t ON t.study = c.study""",
+    "cands": f"""SELECT study, trial AS cand_id, param, choice FROM trials UNPIVOT (choice FOR param IN {_TPE_P})
+                WHERE state <> 'COMPLETE'""",
+    "sc": """SELECT c.study, c.cand_id, round(sum(coalesce(d.llr, 0.0)), 6) + 0.0 AS score FROM cands c
+             LEFT JOIN dens d ON d.study = c.study AND d.param = c.param AND d.choice = c.choice GROUP BY 1, 2""",
+}
+reg("h04_tpe_rank", _tpe, with_views(
+    "SELECT study, cand_id, score, CAST(rank() OVER (PARTITION BY study ORDER BY score DESC, cand_id) AS INTEGER) AS rank FROM sc",
+    "trials", extra=_TPE_CTES))
 
 _PT_SC = "(SELECT trial, score AS s, count_if(y_true = 1) AS p, count_if(y_true <> 1) AS n FROM predictions_by_trial GROUP BY 1, 2)"
 reg("h06_tune_threshold", lambda s, d: H.tune_threshold(V.predictions_by_trial(s, d)),
