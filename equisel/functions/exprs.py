@@ -68,3 +68,17 @@ def xx_normal(*parts) -> Column:
     u1 = (xx_uniform(*parts, "a") * F.lit(float(2 ** 53)) + 1) / F.lit(float(2 ** 53) + 1)
     u2 = xx_uniform(*parts, "b")
     return F.sqrt(-2 * F.ln(u1)) * F.cos(2 * 3.141592653589793 * u2)
+
+
+def md5_uniform(*parts) -> Column:
+    """Uniform [0, 1) from the first 8 hex digits of md5(parts joined by ':')
+    — reproducible in DuckDB (slower than ``xx_uniform``)."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(TWO_POW_32)
+
+
+def md5_normal(*parts) -> Column:
+    """Standard normal by Box–Muller from two md5 uniforms (u1 shifted into (0, 1])."""
+    u1 = (md5_uniform(*parts, "a") * F.lit(TWO_POW_32) + 1) / F.lit(TWO_POW_32 + 1)
+    u2 = md5_uniform(*parts, "b")
+    return F.sqrt(-2 * F.ln(u1)) * F.cos(2 * 3.141592653589793 * u2)

@@ -2,7 +2,8 @@
 
 Each generator draws one candidate sample per row of a key table (any
 DataFrame with a key column), so generation is partitioned like its
-input and grows with it. Per-row randomness is a hash of (key, seed, tag);
+input and grows with it. Per-row randomness is a hash of (key, seed, tag)
+(md5 where a SQL oracle reproduces the draw, xxhash64 elsewhere);
 the few shared model constants (weight matrices of a few × d entries)
 come from a seeded numpy generator on the driver and enter the plan as
 literals. Labels that need a global statistic (median, class balance,
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import xx_normal, xx_uniform
+from equisel.functions.exprs import md5_normal, md5_uniform
 from equisel.operators.profile import exact_quantiles
 from equisel.operators.split import balanced_take
 
@@ -54,7 +55,7 @@ def gen_linearly_separable(keys: DataFrame, key: str, d: int, margin: float, see
     passing attempt per key), label −1 if Σx > 0 else +1; optionally the
     first ``n`` by key."""
     def cand(a):
-        return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: 2 * xx_uniform(F.col(key), seed, a, i) - 1)
+        return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: 2 * md5_uniform(F.col(key), seed, a, i) - 1)
     tries = F.array(*[cand(a) for a in range(attempts)])
     ok = F.filter(tries, lambda x: F.abs(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)) > margin)
     out = keys.select(key, F.element_at(ok, 1).alias("x")).where(F.col("x").isNotNull())
@@ -63,15 +64,30 @@ def gen_linearly_separable(keys: DataFrame, key: str, d: int, margin: float, see
     return out.orderBy(key).limit(n) if n else out
 
 
-def gen_hidden_manifold(keys: DataFrame, key: str, d: int, m: int, seed: int = 0) -> DataFrame:
-    """Latent c ~ N(0, I_m); x = tanh(c·F/√m − bias); label = sign of the
-    one-layer tanh net v·tanh(W c)/√m minus its exact median."""
+def hidden_manifold_constants(d: int, m: int, seed: int = 0):
+    """Feature matrix F (m × d), biases (d), hidden weights W (m × m), readout v (m)."""
     rng = np.random.default_rng(seed)
     Fm = rng.normal(size=(m, d))
     bias = 2 * rng.uniform(size=d) - 1
     W = rng.normal(size=(m, m))
     v = rng.normal(size=m)
-    c = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: xx_normal(F.col(key), seed, "c", i))
+    return Fm, bias, W, v
+
+
+def hyperplane_constants(d: int, n_hyperplanes: int, dim_hyperplanes: int, seed: int = 0):
+    """Hyperplane weights and biases, and the linear embedding into d features."""
+    rng = np.random.default_rng(seed)
+    Wh = rng.uniform(size=(n_hyperplanes, dim_hyperplanes))
+    bh = rng.uniform(size=n_hyperplanes)
+    emb = rng.uniform(size=(dim_hyperplanes, d))
+    return Wh, bh, emb
+
+
+def gen_hidden_manifold(keys: DataFrame, key: str, d: int, m: int, seed: int = 0) -> DataFrame:
+    """Latent c ~ N(0, I_m); x = tanh(c·F/√m − bias); label = sign of the
+    one-layer tanh net v·tanh(W c)/√m minus its exact median."""
+    Fm, bias, W, v = hidden_manifold_constants(d, m, seed)
+    c = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: md5_normal(F.col(key), seed, "c", i))
     base = keys.select(key, c.alias("c"))
     x = F.transform(_matvec(_lit_matrix(Fm.T), F.col("c")), lambda z, i: F.tanh(z / math.sqrt(m) - F.element_at(_lit_vec(bias), i + 1)))
     h = F.transform(_matvec(_lit_matrix(W), F.col("c")), lambda z: F.tanh(z))
@@ -87,11 +103,8 @@ def gen_hyperplanes_parity(keys: DataFrame, key: str, n: int, d: int, n_hyperpla
     number of hyperplanes with w·x + b > 0 (even parity → −1 after the
     class halves are stacked), first n/2 of each class (X8), linear
     embedding into d features, z-score."""
-    rng = np.random.default_rng(seed)
-    Wh = rng.uniform(size=(n_hyperplanes, dim_hyperplanes))
-    bh = rng.uniform(size=n_hyperplanes)
-    emb = rng.uniform(size=(dim_hyperplanes, d))
-    z = F.transform(F.sequence(F.lit(0), F.lit(dim_hyperplanes - 1)), lambda i: xx_normal(F.col(key), seed, "z", i))
+    Wh, bh, emb = hyperplane_constants(d, n_hyperplanes, dim_hyperplanes, seed)
+    z = F.transform(F.sequence(F.lit(0), F.lit(dim_hyperplanes - 1)), lambda i: md5_normal(F.col(key), seed, "z", i))
     base = keys.select(key, z.alias("z"))
     acts = F.transform(_matvec(_lit_matrix(Wh), F.col("z")), lambda s, i: F.when(s + F.element_at(_lit_vec(bh), i + 1) > 0, 1).otherwise(0))
     ones = F.aggregate(acts, F.lit(0), lambda acc, v: acc + v)
@@ -102,15 +115,20 @@ def gen_hyperplanes_parity(keys: DataFrame, key: str, n: int, d: int, n_hyperpla
     return _zscore_array(out, "x", d)
 
 
+def two_curves_coefficients(d: int, degree: int, seed: int = 0) -> np.ndarray:
+    """The shared Fourier coefficient tensor (d, degree + 1, 2), unit Frobenius norm."""
+    rng = np.random.default_rng(seed)
+    co = rng.uniform(size=(d, degree + 1, 2))
+    return co / np.linalg.norm(co)
+
+
 def gen_two_curves(keys: DataFrame, key: str, d: int, degree: int, offset: float, noise: float, seed: int = 0) -> DataFrame:
     """Points on a Fourier-series curve (shared unit-norm coefficient
     tensor) and on its copy shifted by ``offset``; class by a hash coin;
     Gaussian noise; z-score."""
-    rng = np.random.default_rng(seed)
-    co = rng.uniform(size=(d, degree + 1, 2))
-    co = co / np.linalg.norm(co)
-    t = xx_uniform(F.col(key), seed, "t")
-    cls = F.when(xx_uniform(F.col(key), seed, "cls") < 0.5, -1).otherwise(1)
+    co = two_curves_coefficients(d, degree, seed)
+    t = md5_uniform(F.col(key), seed, "t")
+    cls = F.when(md5_uniform(F.col(key), seed, "cls") < 0.5, -1).otherwise(1)
     scaling = math.pi
 
     def comp(i):
@@ -118,7 +136,7 @@ def gen_two_curves(keys: DataFrame, key: str, d: int, degree: int, offset: float
         for f in range(1, degree + 1):
             expr = expr + F.lit(float(co[i, f, 0])) * F.cos(F.lit(f * scaling) * t) + \
                 F.lit(float(co[i, f, 1])) * F.sin(F.lit(f * scaling) * t)
-        return expr + xx_normal(F.col(key), seed, "n", i) * noise + F.when(cls == 1, F.lit(offset)).otherwise(0.0)
+        return expr + md5_normal(F.col(key), seed, "n", i) * noise + F.when(cls == 1, F.lit(offset)).otherwise(0.0)
 
     out = keys.select(key, F.array(*[comp(i) for i in range(d)]).alias("x"), cls.alias("y"))
     return _zscore_array(out, "x", d)
@@ -128,14 +146,14 @@ def gen_bars_and_stripes(keys: DataFrame, key: str, height: int, width: int, noi
     """±1 images; a coin picks bars (rows switched on, label −1) or
     stripes (columns switched on, label +1); Gaussian pixel noise. The
     image is flattened row-major."""
-    bars = xx_uniform(F.col(key), seed, "coin") > 0.5
-    row_on = F.array(*[xx_uniform(F.col(key), seed, "r", r) > 0.5 for r in range(width)])
-    col_on = F.array(*[xx_uniform(F.col(key), seed, "c", c) > 0.5 for c in range(height)])
+    bars = md5_uniform(F.col(key), seed, "coin") > 0.5
+    row_on = F.array(*[md5_uniform(F.col(key), seed, "r", r) > 0.5 for r in range(width)])
+    col_on = F.array(*[md5_uniform(F.col(key), seed, "c", c) > 0.5 for c in range(height)])
 
     def pix(r, c):
         on = F.when(bars, F.element_at(row_on, r + 1) if r < width else F.lit(False)).otherwise(
             F.element_at(col_on, c + 1) if c < height else F.lit(False))
-        return F.when(on, 1.0).otherwise(-1.0) + xx_normal(F.col(key), seed, "px", r * width + c) * noise_std
+        return F.when(on, 1.0).otherwise(-1.0) + md5_normal(F.col(key), seed, "px", r * width + c) * noise_std
 
     img = F.array(*[pix(r, c) for r in range(height) for c in range(width)])
     return keys.select(key, img.alias("x"), F.when(bars, -1).otherwise(1).alias("y"))

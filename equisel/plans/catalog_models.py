@@ -341,3 +341,125 @@ def _evaluate(s, d):
 
 
 reg("h05_evaluate_trials", _evaluate)
+
+
+# ---------------------------------------------------------------- generator oracles (md5 draws reproduced in SQL)
+def _MU(*parts) -> str:
+    args = ", ".join(p if not isinstance(p, (int, float)) else str(p) for p in parts)
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {args})), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def _MN(*parts) -> str:
+    u1 = f"(({_MU(*parts, chr(39) + 'a' + chr(39))} * 4294967296.0::DOUBLE + 1) / 4294967297.0::DOUBLE)"
+    u2 = _MU(*parts, "'b'")
+    return f"(sqrt(-2 * ln({u1})) * cos(2 * 3.141592653589793 * {u2}))"
+
+
+SQL["g01_linearly_separable"] = f"""
+SELECT k, x, CASE WHEN list_sum(x) > 0 THEN -1 ELSE 1 END AS y FROM (
+  SELECT o_orderkey AS k,
+         list_filter([[2 * {_MU('o_orderkey', 3, 'a', 'i')} - 1 for i in range(4)] for a in range(8)],
+                     lambda v: abs(list_sum(v)) > 0.1)[1] AS x
+  FROM orders) WHERE x IS NOT NULL"""
+
+
+def _g5(s, d):
+    g = G.gen_bars_and_stripes(_OK(s, d), "k", 4, 4, 0.1, seed=3)
+    return g.select("k", F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)).alias("x"), "y")
+
+
+QUERIES["g05_bars_and_stripes"] = _g5
+_bars = f"{_MU('o_orderkey', 3, chr(39) + 'coin' + chr(39))} > 0.5"
+_pix = []
+for _r in range(4):
+    for _c in range(4):
+        _on = (f"CASE WHEN {_bars} THEN {_MU('o_orderkey', 3, chr(39) + 'r' + chr(39), _r)} > 0.5 "
+               f"ELSE {_MU('o_orderkey', 3, chr(39) + 'c' + chr(39), _c)} > 0.5 END")
+        _pix.append(f"round(CASE WHEN {_on} THEN 1.0 ELSE -1.0 END + "
+                    f"{_MN('o_orderkey', 3, chr(39) + 'px' + chr(39), _r * 4 + _c)} * 0.1, 6) + 0.0")
+SQL["g05_bars_and_stripes"] = (f"SELECT o_orderkey AS k, [{', '.join(_pix)}] AS x, "
+                               f"CASE WHEN {_bars} THEN -1 ELSE 1 END AS y FROM orders")
+
+
+def _g4(s, d):
+    g = G.gen_two_curves(_OK(s, d), "k", 4, 3, 0.1, 0.05, seed=3)
+    return g.select("k", F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)).alias("x"), "y")
+
+
+QUERIES["g04_two_curves"] = _g4
+
+
+def _g4_sql() -> str:
+    co = G.two_curves_coefficients(4, 3, 3)
+    t = _MU("o_orderkey", 3, "'t'")
+    cls = f"CASE WHEN {_MU('o_orderkey', 3, chr(39) + 'cls' + chr(39))} < 0.5 THEN -1 ELSE 1 END"
+    comps = []
+    for i in range(4):
+        e = repr(float(co[i, 0, 0] + co[i, 0, 1]))
+        for f in range(1, 4):
+            e = f"{e} + {float(co[i, f, 0])!r} * cos({f * math.pi!r} * t) + {float(co[i, f, 1])!r} * sin({f * math.pi!r} * t)"
+        e = f"{e} + {_MN('o_orderkey', 3, chr(39) + 'n' + chr(39), i)} * 0.05 + CASE WHEN y = 1 THEN 0.1 ELSE 0.0 END"
+        comps.append(f"{e} AS x{i}")
+    z = [f"round((x{i} - avg(x{i}) OVER ()) / CASE WHEN coalesce(stddev_pop(x{i}) OVER (), 0) = 0 THEN 1.0 "
+         f"ELSE stddev_pop(x{i}) OVER () END, 6) + 0.0" for i in range(4)]
+    return f"""SELECT k, [{', '.join(z)}] AS x, y FROM (
+  SELECT k, y, {', '.join(comps)} FROM (SELECT o_orderkey, o_orderkey AS k, {t} AS t, {cls} AS y FROM orders))"""
+
+
+SQL["g04_two_curves"] = _g4_sql()
+
+
+def _dot_sql(weights, xs) -> str:
+    """Left-to-right dot product from 0.0, the association Spark's aggregate uses."""
+    e = "0.0"
+    for w, x in zip(weights, xs):
+        e = f"({e} + {float(w)!r} * {x})"
+    return e
+
+
+def _g2(s, d):
+    g = G.gen_hidden_manifold(_OK(s, d), "k", 6, 3, seed=3)
+    return g.select("k", F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)).alias("x"), "y")
+
+
+def _g2_sql() -> str:
+    Fm, bias, W, v = G.hidden_manifold_constants(6, 3, 3)
+    m = 3
+    cs = [f"c{i}" for i in range(m)]
+    xs = [f"round(tanh({_dot_sql(Fm[:, j], cs)} / {math.sqrt(m)!r} - {float(bias[j])!r}), 6) + 0.0" for j in range(6)]
+    h = [f"tanh({_dot_sql(W[r], cs)})" for r in range(m)]
+    net = f"{_dot_sql(v, h)} / {math.sqrt(m)!r}"
+    draws = ", ".join(f"{_MN('o_orderkey', 3, chr(39) + 'c' + chr(39), i)} AS c{i}" for i in range(m))
+    return f"""
+WITH c AS (SELECT o_orderkey AS k, {draws} FROM orders),
+g AS (SELECT k, [{', '.join(xs)}] AS x, {net} AS net FROM c)
+SELECT k, x, CASE WHEN net - (SELECT quantile_cont(net, 0.5) FROM g) < 0 THEN -1 ELSE 1 END AS y FROM g"""
+
+
+QUERIES["g02_hidden_manifold"] = _g2
+SQL["g02_hidden_manifold"] = _g2_sql()
+
+
+def _g3(s, d):
+    g = G.gen_hyperplanes_parity(_OK(s, d), "k", 2000, 5, 3, 3, seed=3)
+    return g.select("k", F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)).alias("x"), "y")
+
+
+def _g3_sql() -> str:
+    Wh, bh, emb = G.hyperplane_constants(5, 3, 3, 3)
+    zs = [f"z{i}" for i in range(3)]
+    acts = " + ".join(f"CASE WHEN {_dot_sql(Wh[h], zs)} + {float(bh[h])!r} > 0 THEN 1 ELSE 0 END" for h in range(3))
+    draws = ", ".join(f"{_MN('o_orderkey', 3, chr(39) + 'z' + chr(39), i)} AS z{i}" for i in range(3))
+    xs = [f"{_dot_sql(emb[:, j], zs)} AS x{j}" for j in range(5)]
+    zsc = [f"round((x{j} - avg(x{j}) OVER ()) / CASE WHEN coalesce(stddev_pop(x{j}) OVER (), 0) = 0 THEN 1.0 "
+           f"ELSE stddev_pop(x{j}) OVER () END, 6) + 0.0" for j in range(5)]
+    return f"""
+WITH z AS (SELECT o_orderkey AS k, {draws} FROM orders),
+lab AS (SELECT *, CASE WHEN ({acts}) % 2 = 0 THEN -1 ELSE 1 END AS y FROM z),
+take AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY k) AS rn FROM lab) WHERE rn <= 1000),
+e AS (SELECT k, y, {', '.join(xs)} FROM take)
+SELECT k, [{', '.join(zsc)}] AS x, y FROM e"""
+
+
+QUERIES["g03_hyperplanes_parity"] = _g3
+SQL["g03_hyperplanes_parity"] = _g3_sql()
