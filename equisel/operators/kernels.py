@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import TWO_POW_32, hash32, xx_uniform
+from equisel.functions.exprs import TWO_POW_32, hash32, md5_uniform
 
 MAX_LANDMARKS = 4096
 MAX_PARAMS = 2_000_000
@@ -74,7 +74,7 @@ def random_binary_features(df: DataFrame, x: str, key: str, episodes: int, q: in
     j = j.withColumn("__theta", theta).drop("omegas", "betas")
     # one measurement shot: bit ~ Bernoulli(sin²(θ/2)), seeded by (row, episode, qubit)
     raw = F.transform(F.col("__theta"), lambda ep, e: F.transform(ep, lambda t, i: F.when(
-        xx_uniform(F.col(key), seed, "bit", e, i) < F.pow(F.sin(t / 2), 2), 1).otherwise(0)))
+        md5_uniform(F.col(key), seed, "bit", e, i) < F.pow(F.sin(t / 2), 2), 1).otherwise(0)))
     j = j.withColumn("__raw", raw).drop("__theta")
     # CNOT(i, i+1) for even i
     j = j.withColumn("__c", F.transform(F.col("__raw"), lambda r: F.transform(

@@ -463,3 +463,37 @@ SELECT k, [{', '.join(zsc)}] AS x, y FROM e"""
 
 QUERIES["g03_hyperplanes_parity"] = _g3
 SQL["g03_hyperplanes_parity"] = _g3_sql()
+
+
+def _k1_sql() -> str:
+    E_, Q_, D_, seed = 3, 4, 4, 1
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    sc = ", ".join(f"""({c} * (2.0 / CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 1.0 ELSE max({c}) OVER () - min({c}) OVER () END)
+        + (-1.0 - min({c}) OVER () * (2.0 / CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 1.0
+        ELSE max({c}) OVER () - min({c}) OVER () END))) * 1.0 AS x{j}""" for j, c in enumerate(cols))
+    raw = {}
+    for e in range(E_):
+        for i in range(Q_):
+            th = "0.0"
+            for j in range(D_):
+                w = f"({_MN(seed, chr(39) + 'w' + chr(39), (e * Q_ + i) * D_ + j)} * 1.0)"
+                th = f"({th} + {w} * x{j})"
+            th = f"{th} + {_MU(seed, chr(39) + 'b' + chr(39), e * Q_ + i)} * 2 * 3.141592653589793"
+            raw[(e, i)] = (f"CASE WHEN {_MU('rk', seed, chr(39) + 'bit' + chr(39), e, i)} < pow(sin(({th}) / 2), 2) "
+                           f"THEN 1 ELSE 0 END")
+    sel = []
+    for e in range(E_):
+        sel += [f"{raw[(e, i)]} AS r{e}_{i}" for i in range(Q_)]
+    out = []
+    for e in range(E_):
+        c = [f"r{e}_{i}" if i % 2 == 0 else f"((r{e}_{i} + r{e}_{i - 1}) % 2)" for i in range(Q_)]
+        for i in range(Q_):
+            terms = [c[k] for k in range(i + 1) if k % 2 == i % 2]
+            out.append(f"CAST(({' + '.join(terms)}) % 2 AS INTEGER)")
+    return f"""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_orderkey * 100 + l_linenumber AS rk, {sc} FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber, {', '.join(sel)} FROM s)
+SELECT l_orderkey, l_linenumber, [{', '.join(out)}] AS qfeatures FROM r"""
+
+
+SQL["k01_random_binary_features"] = _k1_sql()
