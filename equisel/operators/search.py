@@ -179,19 +179,21 @@ def tune_threshold(preds: DataFrame, by: Sequence[str] = ("trial",), score: str
     by = list(by)
     steps = THRESHOLD_STEPS
     t_ = F.col(y_true) == pos
-    base = preds.groupBy(*by).agg(
-        F.count_if(t_ & (F.col(y_pred) == pos)).alias("tp"),
-        F.count_if(~t_ & (F.col(y_pred) == pos)).alias("fp"),
-        F.count_if(t_ & (F.col(y_pred) != pos)).alias("fn"))
-    base = base.select(*by, safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("base_f1"))
     s_ = F.col(score)
     b0 = F.least(F.greatest(F.floor(s_ * steps), F.lit(0)), F.lit(steps - 1)).cast("int")
     cut = lambda k: k.cast("double") / F.lit(float(steps))
     b1 = F.when((b0 > 0) & (s_ < cut(b0)), b0 - 1).when((b0 < steps - 1) & (s_ >= cut(b0 + 1)), b0 + 1).otherwise(b0)
-    bk = preds.where(s_.isNotNull()).groupBy(*by, b1.alias("b")).agg(
+    # the one raw pass: (group, cut bucket, given prediction) → positives / negatives
+    raw = preds.where(s_.isNotNull()).groupBy(*by, b1.alias("b"), (F.col(y_pred) == pos).alias("hit")).agg(
         F.count_if(t_).alias("p"), F.count_if(~t_).alias("n"))
+    base = raw.groupBy(*by).agg(
+        F.sum(F.when(F.col("hit"), F.col("p")).otherwise(0)).alias("tp"),
+        F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~F.col("hit"), F.col("p")).otherwise(0)).alias("fn"))
+    base = base.select(*by, safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("base_f1"))
+    bk = raw.groupBy(*by, "b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     # every group gets all buckets 0..19 so that each cut k = 1..19 has a row
-    grid = preds.select(*by).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    grid = raw.select(*by).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     g = grid.join(bk, [*by, "b"], "left").fillna(0, ["p", "n"])
     above = Window.partitionBy(*by).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy(*by)
