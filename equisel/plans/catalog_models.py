@@ -265,7 +265,7 @@ def _pshap(s, d):
     model = lambda arr: 1 / (1 + F.exp(-(F.aggregate(F.zip_with(arr, F.array(*[F.lit(w) for w in _W]), lambda a, b: a * b),
                                                     F.lit(0.0), lambda acc, v: acc + v) + F.lit(_B))))
     sh, base = AT.permutation_shap(px, "x", "p_partkey", model, bg, n_perm=3, seed=1, names=_NAMES)
-    return sh.select("row_id", "feature", F.round("value", 6).alias("value"))
+    return sh.select("row_id", "feature", r6("value").alias("value"))
 
 
 reg("v02_permutation_shap", _pshap)
@@ -497,3 +497,37 @@ SELECT l_orderkey, l_linenumber, [{', '.join(out)}] AS qfeatures FROM r"""
 
 
 SQL["k01_random_binary_features"] = _k1_sql()
+
+
+def _v2_sql() -> str:
+    from equisel.sources.sql_views import H as HS
+
+    d_ = 3
+    xs = [f"x[{i + 1}]" for i in range(d_)]
+    bs = [f"b[{i + 1}]" for i in range(d_)]
+    hs = [HS(f"concat_ws(':', p_partkey, p, {i})", 1) for i in range(d_)]
+    ranks = []
+    for i in range(d_):
+        terms = [f"CASE WHEN h{j} < h{i} OR (h{j} = h{i} AND {j} < {i}) THEN 1 ELSE 0 END" for j in range(d_) if j != i]
+        ranks.append(f"({' + '.join(terms)}) AS r{i}")
+
+    def f_at(k):
+        comp = [f"CASE WHEN r{i} < {k} THEN {xs[i]} ELSE {bs[i]} END" for i in range(d_)]
+        return f"1 / (1 + exp(-({_dot_sql(_W, comp)} + {_B!r})))"
+
+    fs = ", ".join(f"{f_at(k)} AS f{k}" for k in range(d_ + 1))
+    deltas = " UNION ALL ".join(
+        f"""SELECT p_partkey AS row_id, '{_NAMES[i]}' AS feature,
+                   CASE r{i} {' '.join(f'WHEN {k} THEN f{k + 1} - f{k}' for k in range(d_))} END AS delta FROM ev"""
+        for i in range(d_))
+    return f"""
+WITH x AS (SELECT p_partkey, {_X_SQL} AS x FROM part),
+bg AS (SELECT x AS b FROM x ORDER BY p_partkey LIMIT 20),
+pm AS (SELECT p_partkey, x, p, {', '.join(f'{h} AS h{i}' for i, h in enumerate(hs))}
+       FROM x CROSS JOIN (SELECT range AS p FROM range(3))),
+rk AS (SELECT p_partkey, x, p, {', '.join(ranks)} FROM pm),
+ev AS (SELECT p_partkey, r0, r1, r2, {fs} FROM rk CROSS JOIN bg)
+SELECT row_id, feature, round(avg(delta), 6) + 0.0 AS value FROM ({deltas}) GROUP BY row_id, feature"""
+
+
+SQL["v02_permutation_shap"] = _v2_sql()
