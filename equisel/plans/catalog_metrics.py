@@ -279,3 +279,45 @@ def _mitigation(s, d):
 
 
 reg("b10_b11_mitigation_comparison", _mitigation)
+
+
+def _mitigation_sql() -> str:
+    from equisel.sources.sql_views import H as HS
+
+    split = f"""
+s_ AS (SELECT *, {HS('row_id', 42)} AS h FROM predictions),
+c_ AS (SELECT y_true, count(*) AS n_c FROM s_ GROUP BY y_true),
+q_ AS (SELECT y_true, floor(n_c * 0.75::DOUBLE) AS base, n_c * 0.75::DOUBLE - floor(n_c * 0.75::DOUBLE) AS rem,
+              floor(sum(n_c) OVER () * 0.75::DOUBLE) - sum(floor(n_c * 0.75::DOUBLE)) OVER () AS left_ FROM c_),
+qq_ AS (SELECT y_true, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, y_true) <= left_ THEN 1 ELSE 0 END AS quota FROM q_),
+sp AS (SELECT s_.*, CASE WHEN row_number() OVER (PARTITION BY s_.y_true ORDER BY h, row_id) <= quota THEN 'train' ELSE 'test' END AS split
+       FROM s_ JOIN qq_ USING (y_true)),
+sc AS (SELECT CAST(sensitive AS VARCHAR) AS "group", score AS t, count_if(y_true = 1) AS pos, count_if(y_true <> 1) AS neg
+       FROM sp WHERE split = 'train' AND score IS NOT NULL GROUP BY 1, 2),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY "group" ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+               sum(neg) OVER (PARTITION BY "group" ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn,
+               sum(pos) OVER (PARTITION BY "group") AS "P", sum(neg) OVER (PARTITION BY "group") AS "N" FROM sc),
+pts AS (SELECT "group", t,
+               ((CASE WHEN "P" = 0 THEN 0.0 ELSE cp / "P" END) + (CASE WHEN "N" = 0 THEN 0.0 ELSE cn / "N" END)) / 2 AS rate,
+               cp + ("N" - cn) AS correct FROM cum),
+grid AS (SELECT range / 200.0::DOUBLE AS target FROM range(201)),
+cand AS (SELECT p."group", p.t, p.correct, g.target FROM pts p JOIN grid g
+         ON floor(g.target / 0.02) BETWEEN floor((p.rate - 0.02) / 0.02) AND floor((p.rate + 0.02) / 0.02)
+         AND abs(p.rate - g.target) <= 0.02),
+best AS (SELECT target, "group", t, correct FROM (
+           SELECT *, row_number() OVER (PARTITION BY target, "group" ORDER BY correct DESC, t DESC) AS rn FROM cand) WHERE rn = 1),
+win AS (SELECT target FROM best GROUP BY target HAVING count(*) = (SELECT count(DISTINCT "group") FROM sc)
+        ORDER BY sum(correct) DESC, target LIMIT 1),
+th AS (SELECT b."group", b.t AS threshold FROM best b JOIN win USING (target)),
+te AS (SELECT * FROM sp WHERE split = 'test'),
+after AS (SELECT te.row_id, te.y_true, te.sensitive,
+                 CASE WHEN te.score >= th.threshold THEN 1 ELSE -1 END AS y_pred
+          FROM te LEFT JOIN th ON CAST(te.sensitive AS VARCHAR) = th."group")"""
+    names = ", ".join(_DN)
+    before = f"SELECT measure, before FROM ({_disp_sql('te', 'sensitive', [])}) UNPIVOT (before FOR measure IN ({names}))"
+    aft = f"SELECT measure, \"after\" FROM ({_disp_sql('after', 'sensitive', [])}) UNPIVOT (\"after\" FOR measure IN ({names}))"
+    return with_views(f"SELECT b.measure, b.before, a.\"after\" FROM ({before}) b JOIN ({aft}) a USING (measure)",
+                      "predictions").replace("\nSELECT b.measure", "," + split + "\nSELECT b.measure", 1)
+
+
+SQL["b10_b11_mitigation_comparison"] = _mitigation_sql()
