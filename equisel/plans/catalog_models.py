@@ -159,7 +159,7 @@ def _perceptron(s, d):
     from equisel.operators.encode import assemble_array
     df = assemble_array(_prepared(s, d), _FEATS)
     w, b = M.fit_perceptron(df.where(F.col("split") == "train"), "x", "y", eta0=0.1, epochs=5)
-    return s.createDataFrame([(i, float(v)) for i, v in enumerate([*w, b])], "idx int, weight double")
+    return s.createDataFrame([(i, round(float(v), 6) + 0.0) for i, v in enumerate([*w, b])], "idx int, weight double")
 
 
 reg("m03_perceptron_weights", _perceptron)
@@ -531,3 +531,34 @@ SELECT row_id, feature, round(avg(delta), 6) + 0.0 AS value FROM ({deltas}) GROU
 
 
 SQL["v02_permutation_shap"] = _v2_sql()
+
+
+def _m03_sql() -> str:
+    from equisel.sources.sql_views import H as HS
+
+    prep = f"""
+o_ AS (SELECT o_orderkey AS row_id, o_totalprice / 100000 AS f_price, CAST(year(o_orderdate) - 1995 AS DOUBLE) AS f_year,
+              CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS f_prio,
+              CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS y FROM orders),
+s_ AS (SELECT *, {HS('row_id', 42)} AS h FROM o_),
+c_ AS (SELECT y, count(*) AS n_c FROM s_ GROUP BY y),
+q_ AS (SELECT y, floor(n_c * 0.75::DOUBLE) AS base, n_c * 0.75::DOUBLE - floor(n_c * 0.75::DOUBLE) AS rem,
+              floor(sum(n_c) OVER () * 0.75::DOUBLE) - sum(floor(n_c * 0.75::DOUBLE)) OVER () AS left_ FROM c_),
+qq_ AS (SELECT y, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, y) <= left_ THEN 1 ELSE 0 END AS quota FROM q_),
+tr AS (SELECT * FROM (SELECT s_.*, row_number() OVER (PARTITION BY s_.y ORDER BY h, row_id) AS rn FROM s_ JOIN qq_ USING (y))
+       JOIN qq_ USING (y) WHERE rn <= quota),
+w0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS b)"""
+    epochs = []
+    for e in range(5):
+        m = "(((0.0 + f_price * w.w0) + f_year * w.w1) + f_prio * w.w2) + w.b"
+        epochs.append(f"""w{e + 1} AS (SELECT w.w0 + 0.1 * coalesce(sum(f_price * y * 1.0), 0.0) AS w0,
+            w.w1 + 0.1 * coalesce(sum(f_year * y * 1.0), 0.0) AS w1, w.w2 + 0.1 * coalesce(sum(f_prio * y * 1.0), 0.0) AS w2,
+            w.b + 0.1 * coalesce(sum(y * 1.0), 0.0) AS b
+          FROM w{e} w LEFT JOIN tr ON y * ({m}) <= 0 GROUP BY w.w0, w.w1, w.w2, w.b)""")
+    return ("WITH " + prep + ",\n" + ",\n".join(epochs) +
+            "\nSELECT CAST(idx AS INTEGER) AS idx, round(weight, 6) + 0.0 AS weight FROM (SELECT w0, w1, w2, b FROM w5) "
+            "UNPIVOT (weight FOR name IN (w0, w1, w2, b)) JOIN (VALUES ('w0', 0), ('w1', 1), ('w2', 2), ('b', 3)) v(name, idx) "
+            "USING (name)")
+
+
+SQL["m03_perceptron_weights"] = _m03_sql()
