@@ -129,7 +129,10 @@ def _prepared(s, d):
                   (F.year("o_orderdate") - 1995).cast("double").alias("f_year"),
                   F.substring("o_orderpriority", 1, 1).cast("double").alias("f_prio"),
                   F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).alias("y"))
-    return X.stratified_split(df, "row_id", "y", 0.75, 42)
+    from equisel.session import checkpoint_dir
+    checkpoint_dir(s)
+    # iterative fits read the prepared table many times: cut its lineage once
+    return X.stratified_split(df, "row_id", "y", 0.75, 42).checkpoint(eager=True)
 
 
 _FEATS = ["f_price", "f_year", "f_prio"]
@@ -195,17 +198,20 @@ reg("m06_one_vs_rest_scores", _ovr)
 
 
 def _refit(s, d):
-    """M9: refit the best trial's configuration (C of the study's best
-    SVClinear-family trial) on the prepared data and score the test rows."""
+    """M9: refit the best classical trial of the best study (its C) on the
+    prepared orders data and score the test rows."""
     from equisel.operators.trials import best_per_family
-    best = best_per_family(V.trials(s, d)).where(F.col("family") == "classical").join(
-        V.trials(s, d).select("study", "trial", "C"), ["study", "trial"]).orderBy(F.col("value").desc(), "trial").first()
+    from equisel.plans.evaluate import refit_trial
+    from equisel.operators.target import TaskSpec
+
+    log = V.trials(s, d)
+    best = best_per_family(log).where(F.col("family") == "classical").orderBy(F.col("value").desc(), "trial").first()
     if best is None:
         raise ValueError("no classical trial to refit")
-    c = float(best["C"])
-    df = M.to_ml_label(M.assemble(_prepared(s, d), _FEATS))
-    m = M.fit_linear_svc(df.where(F.col("split") == "train"), C=c)
-    return M.score(m, df.where(F.col("split") == "test")).select("row_id", "y", "y_pred").withColumn("C", F.lit(c))
+    data = M.to_ml_label(_prepared(s, d)).drop("label")
+    spec = TaskSpec("binary", 2, ["-1", "1"], "1", 1)
+    out = refit_trial(log, data, _FEATS, spec, best["study"], best["trial"])
+    return out.select("row_id", "y", "y_pred", "trial")
 
 
 reg("m09_refit_best_trial", _refit)

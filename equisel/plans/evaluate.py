@@ -98,3 +98,34 @@ def evaluate_trials(data: DataFrame, feats: Sequence[str], configs: Sequence[dic
         th = H.tune_threshold(v, ["trial"]).select("trial", "best_threshold", "adopted")
         out = out.join(th, "trial", "left")
     return out, allp
+
+
+def refit_trial(log: DataFrame, data: DataFrame, feats: Sequence[str], spec: T.TaskSpec, study, trial=None) -> DataFrame:
+    """M9: take the parameters of the given trial (default: the study's best
+    COMPLETE trial), refit that configuration on the train rows and score
+    the test rows. An unknown trial number is an error."""
+    from equisel.operators.trials import best_trial
+
+    if trial is None:
+        b = best_trial(log.where(F.col("study") == study)).first()
+        if b is None:
+            raise ValueError(f"study {study!r} has no completed trial")
+        trial = b["trial"]
+    row = log.where((F.col("study") == study) & (F.col("trial") == trial)).select("params").first()
+    if row is None:
+        raise ValueError(f"Trial {trial} not found in study {study!r}")
+    params = {k: v for k, v in (row["params"] or {}).items() if k != "model_type"}
+    model_type = (row["params"] or {}).get("model_type", "SVClinear")
+    cfg = {"model_type": model_type if model_type in ("SVClinear", "MLPClassifier", "LogisticRegression") else "SVClinear",
+           **params}
+    binary = spec.kind == "binary"
+    df = M.to_ml_label(M.assemble(data, feats), "y", binary=binary)
+    train = df.where(F.col("split") == "train")
+    if cfg["model_type"] == "MLPClassifier":
+        m = M.fit_mlp(train, len(feats), spec.n_classes, cfg.get("hidden_layer_sizes", "(100,)"),
+                      float(cfg.get("learning_rate", 0.03)))
+    elif cfg["model_type"] == "LogisticRegression":
+        m = M.fit_logistic_head(train)
+    else:
+        m = M.fit_linear_svc(train, float(cfg.get("C", 1.0)), cfg.get("class_weight"))
+    return M.score(m, df.where(F.col("split") == "test"), binary=binary).withColumn("trial", F.lit(trial))
