@@ -163,7 +163,9 @@ def tpe_rank(log: DataFrame, candidates: DataFrame, params: Sequence[str], gamma
     cl = candidates.select("study", "cand_id", F.explode("params").alias("param", "choice")).where(F.col("param").isin(*params))
     sc = cl.join(dens, ["study", "param", "choice"], "left").groupBy("study", "cand_id").agg(
         r6(F.sum(F.coalesce("llr", F.lit(0.0)))).alias("score"))
-    return sc.withColumn("rank", F.rank().over(Window.partitionBy("study").orderBy(F.col("score").desc(), "cand_id")))
+    # candidate ids are unique, so rank = position by (score desc, id); bucketed, not one window per study
+    pos = dense_position(sc.withColumn("__neg", -F.col("score")), ["__neg", "cand_id"], by=["study"], name="rank")
+    return pos.select("study", "cand_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def tune_threshold(preds: DataFrame, by: Sequence[str] = ("trial",), score: str = "score", y_true: str = "y_true",

@@ -22,8 +22,12 @@ def upsert(store: DataFrame, records: DataFrame, key: str | Sequence[str]) -> Da
     """Register-or-overwrite by key; ``records`` win over ``store``."""
     keys = [key] if isinstance(key, str) else list(key)
     u = store.withColumn("__prec", F.lit(1)).unionByName(records.withColumn("__prec", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__prec")
-    return u.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__prec")
+    rest = [c for c in u.columns if c not in keys and c != "__prec"]
+    # winner per key by partial aggregation (min_by on precedence): a key with many
+    # duplicate records is combined map-side instead of landing in one window partition
+    win = u.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col("__prec")).alias("__w"))
+    return win.select(*keys, *[F.col(f"__w.{c}").alias(c) for c in rest]).select(
+        *[c for c in u.columns if c != "__prec"])
 
 
 def patch(store: DataFrame, patches: DataFrame, key: str) -> DataFrame:
