@@ -86,37 +86,57 @@ def random_binary_features(df: DataFrame, x: str, key: str, episodes: int, q: in
 
 
 # ---------------------------------------------------------------- separable overlap
-def _rx(theta, s):
-    """Apply RX(θ) to state struct (a_re, a_im, b_re, b_im)."""
-    c, sn = math.cos(theta / 2), math.sin(theta / 2)
+_C8, _S8 = math.cos(math.pi / 8), math.sin(math.pi / 8)
+
+
+def _layer(C, S, s):
+    """One layer RY(−x)·RX(−π/4) applied to the state struct (ar, ai, br, bi),
+    as one closed-form complex 2×2 matrix; C = cos(x/2), S = sin(x/2) are
+    lambda variables, so nothing is evaluated twice.
+
+    RX(−π/4) = [[c, i s], [i s, c]], RY(−x) = [[C, S], [−S, C]] with
+    c = cos(π/8), s = sin(π/8); the product is
+    [[C c + i S s, S c + i C s], [−S c + i C s, C c − i S s]]."""
+    m00r, m00i = C * _C8, S * _S8
+    m01r, m01i = S * _C8, C * _S8
+    m10r, m10i = -S * _C8, C * _S8
+    m11r, m11i = C * _C8, -S * _S8
+    ar, ai, br, bi = s["ar"], s["ai"], s["br"], s["bi"]
     return F.struct(
-        (s["ar"] * c + s["bi"] * sn).alias("ar"), (s["ai"] * c - s["br"] * sn).alias("ai"),
-        (s["br"] * c + s["ai"] * sn).alias("br"), (s["bi"] * c - s["ar"] * sn).alias("bi"))
+        (m00r * ar - m00i * ai + m01r * br - m01i * bi).alias("ar"),
+        (m00r * ai + m00i * ar + m01r * bi + m01i * br).alias("ai"),
+        (m10r * ar - m10i * ai + m11r * br - m11i * bi).alias("br"),
+        (m10r * ai + m10i * ar + m11r * bi + m11i * br).alias("bi"))
 
 
-def _ry(theta: F.Column, s):
-    c, sn = F.cos(theta / 2), F.sin(theta / 2)
-    return F.struct(
-        (s["ar"] * c - s["br"] * sn).alias("ar"), (s["ai"] * c - s["bi"] * sn).alias("ai"),
-        (s["ar"] * sn + s["br"] * c).alias("br"), (s["ai"] * sn + s["bi"] * c).alias("bi"))
+def _state_from_cs(C, S, layers: int) -> F.Column:
+    s0 = F.struct(F.lit(1.0).alias("ar"), F.lit(0.0).alias("ai"), F.lit(0.0).alias("br"), F.lit(0.0).alias("bi"))
+    if layers == 1:
+        return _layer(C, S, s0)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(layers)), s0, lambda acc, _: _layer(C, S, acc))
+
+
+def _states(arr: F.Column, layers: int) -> F.Column:
+    """Per feature the state; half-angle cos/sin are computed once per value."""
+    cs = F.transform(arr, lambda v: F.struct(F.cos(v / 2).alias("c"), F.sin(v / 2).alias("s")))
+    return F.transform(cs, lambda t: _state_from_cs(t["c"], t["s"], layers))
 
 
 def qubit_state(x: F.Column, layers: int) -> F.Column:
     """K2: φ(x) = (RY(−x)·RX(−π/4))^layers |0⟩ as struct(ar, ai, br, bi)."""
-    s = F.struct(F.lit(1.0).alias("ar"), F.lit(0.0).alias("ai"), F.lit(0.0).alias("br"), F.lit(0.0).alias("bi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(layers)), s, lambda acc, _: _ry(-x, _rx(-math.pi / 4, acc)))
+    return F.element_at(_states(F.array(x), layers), 1)
 
 
 def qubit_states(df: DataFrame, x: str, layers: int = 1, out: str = "states") -> DataFrame:
     """K2 on an array column: one state per feature."""
-    return df.withColumn(out, F.transform(F.col(x), lambda v: qubit_state(v, layers)))
+    return df.withColumn(out, _states(F.col(x), layers))
 
 
 def _overlap2(a, b) -> F.Column:
     """|⟨b|a⟩|² for two single-qubit states."""
     re = b["ar"] * a["ar"] + b["ai"] * a["ai"] + b["br"] * a["br"] + b["bi"] * a["bi"]
     im = b["ar"] * a["ai"] - b["ai"] * a["ar"] + b["br"] * a["bi"] - b["bi"] * a["br"]
-    return re * re + im * im
+    return F.pow(re, 2) + F.pow(im, 2)  # each part evaluated once (no CSE inside lambdas)
 
 
 def landmarks(df: DataFrame, key: str, cols: Sequence[str], m: int) -> DataFrame:
@@ -134,12 +154,22 @@ def _landmark_row(lm: DataFrame, key: str, value: F.Column, name: str) -> DataFr
 
 def overlap_kernel(df: DataFrame, lm: DataFrame, x: str, key: str, layers: int = 1, out: str = "kernel") -> DataFrame:
     """K3: K(row, l) = Π_f |⟨φ(l_f)|φ(row_f)⟩|² for every landmark l, as an
-    array per row (landmark order = key order)."""
-    lrow = _landmark_row(lm, key, F.transform(F.col(x), lambda v: qubit_state(v, layers)), "__lm")
-    j = df.withColumn("__st", F.transform(F.col(x), lambda v: qubit_state(v, layers))).crossJoin(F.broadcast(lrow))
-    k = F.transform(F.col("__lm"), lambda ls: F.aggregate(
-        F.zip_with(F.col("__st"), ls, lambda a, b: _overlap2(a, b)), F.lit(1.0), lambda acc, v: acc * v))
-    return j.withColumn(out, k).drop("__st", "__lm")
+    array per row (landmark order = key order).
+
+    Landmark states are attached transposed (per feature: the states of all
+    landmarks), and the loop runs over features outermost, so the row's
+    states are evaluated once per row, not once per landmark."""
+    lstates = _landmark_row(lm, key, _states(F.col(x), layers), "__lm")
+    d = F.size(F.element_at(F.col("__lm"), 1))  # vector width, from the landmark row itself (no extra job)
+    lrow = lstates.select(F.transform(F.sequence(F.lit(1), d),
+                                      lambda f: F.transform(F.col("__lm"), lambda ls: F.element_at(ls, f))).alias("__lmT"),
+                          F.size("__lm").alias("__m"))
+    j = df.crossJoin(F.broadcast(lrow))  # one row of bounded landmark states
+    per_feature = F.zip_with(_states(F.col(x), layers), F.col("__lmT"),
+                             lambda st, lms: F.transform(lms, lambda l: _overlap2(st, l)))
+    k = F.aggregate(per_feature, F.array_repeat(F.lit(1.0), F.col("__m")),
+                    lambda acc, arr: F.zip_with(acc, arr, lambda p, v: p * v))
+    return j.withColumn(out, k).drop("__lmT", "__m")
 
 
 def rbf_gamma(df: DataFrame, x: str) -> float:
