@@ -4,8 +4,9 @@ Pairwise kernels are never an n × n cross product. One side is a bounded
 landmark set (``max_landmarks`` is checked before anything is collected);
 its states are attached to every row as one broadcast row, and each row
 computes its whole kernel row as an array with higher-order array
-functions — no shuffle, no pair explosion. Random parameters come from
-``hash32`` so a recomputed partition yields the same features.
+functions — no shuffle, no pair explosion. Random parameters and draws
+come from md5 of (seed, tag, index / row key), so a recomputed partition
+yields the same features and SQL can reproduce them.
 """
 
 from __future__ import annotations
@@ -16,23 +17,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import TWO_POW_32, hash32, md5_uniform
+from equisel.functions.exprs import md5_normal, md5_uniform
 
 MAX_LANDMARKS = 4096
 MAX_PARAMS = 2_000_000
 
 
-def _u(*parts) -> F.Column:
-    """Uniform [0, 1) from md5 of the joined parts."""
-    text = F.concat_ws(":", *[p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(TWO_POW_32)
-
-
-def _normal(*parts) -> F.Column:
-    """Standard normal by Box–Muller from two hash uniforms (u1 kept > 0)."""
-    u1 = (F.floor(_u(*parts, "a") * F.lit(TWO_POW_32)) + 1) / F.lit(TWO_POW_32 + 1)
-    u2 = _u(*parts, "b")
-    return F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2)
+_u = md5_uniform
+_normal = md5_normal
 
 
 def kitchen_sink_params(spark: SparkSession, episodes: int, q: int, d: int, var: float = 1.0, seed: int = 0) -> DataFrame:

@@ -9,7 +9,6 @@ logs. ASHA / Hyperband are expressed as rung tables: report index
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window

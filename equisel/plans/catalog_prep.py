@@ -273,9 +273,8 @@ def _split(s, d):
     return X.stratified_split(V.split_input(s, d), "row_id", "y", 0.75, 42)
 
 
-reg("x01_stratified_split", _split, with_views("SELECT * FROM split_", "split_input") .replace("WITH split_input", "WITH split_input", 1))
-SQL["x01_stratified_split"] = with_views("SELECT * FROM split_", "split_input").replace(
-    "\nSELECT * FROM split_", "," + _SPLIT + "SELECT * FROM split_")
+reg("x01_stratified_split", _split, with_views("SELECT * FROM split_", "split_input").replace(
+    "\nSELECT * FROM split_", "," + _SPLIT + "SELECT * FROM split_"))
 
 _VAL = f"""
 t_ AS (SELECT *, {H('row_id', 42)} AS h FROM split_ WHERE split = 'train'),
