@@ -196,7 +196,7 @@ def log_loss(df: DataFrame, by: Sequence[str] = (), y_true="y_true", proba="prob
     if score is not None:
         p = F.when(F.col(y_true) == F.lit(pos), F.col(score)).otherwise(F.lit(1.0) - F.col(score))
     else:
-        p = F.element_at(F.col(proba), (F.col(y_true) + 1).cast("int"))
+        p = F.when(F.col(y_true).isNotNull(), F.element_at(F.col(proba), (F.col(y_true) + 1).cast("int")))
     p = F.least(F.greatest(p.cast("double"), F.lit(LOG_EPS)), F.lit(1.0 - LOG_EPS))
     return df.groupBy(*by).agg(r6(-F.avg(F.ln(p))).alias("log_loss"))
 

@@ -77,13 +77,12 @@ def encode_target(df: DataFrame, spec: TaskSpec, y: str = "y", out: str = "y") -
 
 def decode_labels(df: DataFrame, spec: TaskSpec, code: str = "y_pred", out: str = "label") -> DataFrame:
     """T4: −1/+1 (binary) or 0..K−1 → original name; out of range → its text."""
-    labels = F.array(*[F.lit(v) for v in spec.class_labels])
     c = F.col(code)
-    if spec.kind == "binary":
-        idx = F.when(c == -1, 1).when(c == 1, 2)
-    else:
-        idx = F.when((c >= 0) & (c < spec.n_classes), c + 1)
-    return df.withColumn(out, F.coalesce(F.element_at(labels, idx.cast("int")), c.cast("string")))
+    codes = [-1, 1] if spec.kind == "binary" else list(range(spec.n_classes))
+    # a map lookup yields NULL for an unknown code (element_at with a NULL
+    # index on a literal array is not safe to rely on)
+    m = F.create_map(*[x for k, v in zip(codes, spec.class_labels) for x in (F.lit(k), F.lit(v))])
+    return df.withColumn(out, F.coalesce(m[c], c.cast("string")))
 
 
 def pass_through_if_encoded(df: DataFrame, y: str = "y", out: str = "y") -> tuple[DataFrame, TaskSpec]:

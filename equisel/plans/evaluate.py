@@ -97,6 +97,11 @@ def evaluate_trials(data: DataFrame, feats: Sequence[str], configs: Sequence[dic
     if binary and "score" in allp.columns:
         th = H.tune_threshold(v, ["trial"]).select("trial", "best_threshold", "adopted")
         out = out.join(th, "trial", "left")
+        # test F1 with the tuned cut applied (only where it was adopted); ≤ trials rows, broadcast
+        cut = F.broadcast(th.where("adopted").select("trial", "best_threshold"))
+        tt = te.join(cut, "trial").withColumn("y_pred", F.when(F.col("score") >= F.col("best_threshold"), 1).otherwise(-1))
+        tfx = Q.precision_recall_f1(tt, ["trial"], "binary").select("trial", F.col("f1").alias("test_f1_thresholded"))
+        out = out.join(tfx, "trial", "left")
     return out, allp
 
 
