@@ -215,10 +215,9 @@ def _materialise(df: DataFrame) -> DataFrame:
     """Write a small intermediate table to the shared checkpoint folder and
     cut its lineage: the bucket boundaries and the running sums then read
     the same rows, and an executor loss never re-runs the raw scan."""
-    from equisel.session import checkpoint_dir
+    from equisel.session import materialise
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialise(df)
 
 
 def _cumulative_from_counts(sc: DataFrame, by) -> DataFrame:

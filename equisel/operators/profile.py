@@ -123,9 +123,8 @@ def exact_quantiles(df: DataFrame, probs: Sequence[float], cols: Sequence[str] |
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
     # the value-count table feeds the bucket boundaries and the running counts:
     # write it once to the shared checkpoint folder (lineage cut, one raw pass)
-    from equisel.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    vc = vc.checkpoint(eager=True)
+    from equisel.session import materialise
+    vc = materialise(vc)
     cum = running_totals(vc, "value", ["c"], by=["column"])  # cum_c = rows with value ≤ this one
     n = vc.groupBy("column").agg(F.sum("c").alias("n"))
     spark = df.sparkSession

@@ -129,10 +129,9 @@ def _prepared(s, d):
                   (F.year("o_orderdate") - 1995).cast("double").alias("f_year"),
                   F.substring("o_orderpriority", 1, 1).cast("double").alias("f_prio"),
                   F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).alias("y"))
-    from equisel.session import checkpoint_dir
-    checkpoint_dir(s)
+    from equisel.session import materialise
     # iterative fits read the prepared table many times: cut its lineage once
-    return X.stratified_split(df, "row_id", "y", 0.75, 42).checkpoint(eager=True)
+    return materialise(X.stratified_split(df, "row_id", "y", 0.75, 42))
 
 
 _FEATS = ["f_price", "f_year", "f_prio"]

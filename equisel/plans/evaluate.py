@@ -42,9 +42,8 @@ def prepare(df: DataFrame, key: str, target: str, method: str = "ordinal", frac:
     sp = E.zscore(sp, feats, passthrough, fit_on=scale_fit_on)
     # cut the lineage once: every fit and metric job reads the prepared table
     # from the shared checkpoint folder instead of re-running encode / split
-    from equisel.session import checkpoint_dir
-    checkpoint_dir(sp.sparkSession)
-    return sp.checkpoint(eager=True), feats, spec
+    from equisel.session import materialise
+    return materialise(sp), feats, spec
 
 
 def evaluate_trials(data: DataFrame, feats: Sequence[str], configs: Sequence[dict], spec: T.TaskSpec,

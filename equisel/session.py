@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
@@ -58,3 +58,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+
+    A reliable checkpoint runs one job to count and another to write the
+    files; persisting first lets the write reuse the computed blocks instead
+    of re-running the whole plan. The cached copy is dropped afterwards —
+    the checkpoint files (in ``spark.checkpoint.dir``) are what later jobs
+    read, so an executor loss never re-runs the upstream plan."""
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -48,11 +48,12 @@ SELECT t.trial, o.o_orderkey AS row_id,
        s.score,
        c.c_mktsegment AS sensitive,
        CASE WHEN s.score >= 0.5 THEN 1 ELSE -1 END AS y_pred
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+FROM (SELECT *, {H('o_orderkey', 100)} AS hh FROM orders) o JOIN customer c ON o.o_custkey = c.c_custkey
 CROSS JOIN (SELECT CAST(range AS INTEGER) AS trial FROM range(12)) t
 CROSS JOIN LATERAL (
   SELECT ((200 + 25 * t.trial) * CAST(o.o_orderstatus = 'F' AS INTEGER)
-          + floor((1000 - (200 + 25 * t.trial)) * {H('o.o_orderkey', 't.trial + 100')} / 4294967296.0::DOUBLE)) / 1000
+          + floor((1000 - (200 + 25 * t.trial))
+                  * ((o.hh * ((7919 * t.trial + 12345) * 2 + 1) + 104729 * t.trial) % 4294967296) / 4294967296.0::DOUBLE)) / 1000
          AS score) s
 """
 

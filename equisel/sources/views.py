@@ -75,12 +75,16 @@ def predictions_by_trial(spark: SparkSession, d: str, n_trials: int = N_TRIALS)
     The trial table is a fixed, bounded list (broadcast); the output grows
     linearly with orders."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    # one md5 per order, before the fan-out; each trial re-draws with an exact
+    # odd-multiplier affine map mod 2^32 (a bijection, reproducible in SQL)
+    o = o.withColumn("__h", hash32("o_orderkey", 100))
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     t = spark.range(n_trials).select(F.col("id").cast("int").alias("trial"))
     base = o.join(c, o["o_custkey"] == c["c_custkey"]).crossJoin(F.broadcast(t))
     f = (F.col("o_orderstatus") == "F").cast("int")
     w = F.lit(200) + F.lit(25) * F.col("trial")
-    h = hash32("o_orderkey", F.col("trial") + F.lit(100))
+    mult = (F.lit(7919) * F.col("trial") + F.lit(12345)) * 2 + 1
+    h = F.pmod(F.col("__h") * mult + F.lit(104729) * F.col("trial"), F.lit(4294967296))
     score = (w * f + F.floor((F.lit(1000) - w) * h / F.lit(TWO_POW_32))) / F.lit(1000.0)
     return base.select(
         "trial",
