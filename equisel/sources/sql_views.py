@@ -57,7 +57,8 @@ CROSS JOIN LATERAL (
          AS score) s
 """
 
-_w = [f"(floor(1000 * {H('o_orderkey', 11 + k)} / 4294967296.0::DOUBLE) + CASE WHEN y_true = {k} THEN 600 ELSE 0 END)" for k in range(3)]
+_w = [f"(floor(1000 * ((hh * {2 * (7919 * k + 12345) + 1} + {104729 * k}) % 4294967296) / 4294967296.0::DOUBLE) "
+      f"+ CASE WHEN y_true = {k} THEN 600 ELSE 0 END)" for k in range(3)]
 VIEWS["predictions_mc"] = f"""
 SELECT row_id, y_true,
        CASE WHEN w0 >= w1 AND w0 >= w2 THEN 0 WHEN w1 >= w2 THEN 1 ELSE 2 END AS y_pred,
@@ -67,7 +68,7 @@ SELECT row_id, y_true,
 FROM (
   SELECT row_id, y_true, sensitive, {_w[0]} AS w0, {_w[1]} AS w1, {_w[2]} AS w2
   FROM (SELECT o_orderkey, o_orderkey AS row_id, o_orderpriority AS sensitive,
-               CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y_true
+               CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y_true, {H('o_orderkey', 11)} AS hh
         FROM orders)
 )
 """

@@ -98,9 +98,11 @@ def predictions_by_trial(spark: SparkSession, d: str, n_trials: int = N_TRIALS)
 def predictions_mc(spark: SparkSession, d: str) -> DataFrame:
     """Three-class predictions with a probability array (classes F=0, O=1, P=2)."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    o = o.withColumn("__h", hash32("o_orderkey", 11))  # one md5 per order; classes re-drawn by affine maps mod 2^32
     y = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    hk = lambda k: F.pmod(F.col("__h") * F.lit(2 * (7919 * k + 12345) + 1) + F.lit(104729 * k), F.lit(4294967296))
     ws = [
-        F.floor(F.lit(1000) * hash32("o_orderkey", 11 + k) / F.lit(TWO_POW_32)) + F.when(y == k, 600).otherwise(0)
+        F.floor(F.lit(1000) * hk(k) / F.lit(TWO_POW_32)) + F.when(y == k, 600).otherwise(0)
         for k in range(3)
     ]
     df = o.select(
