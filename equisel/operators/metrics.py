@@ -316,12 +316,20 @@ def ovr_auc(df: DataFrame, n_classes: int, by: Sequence[str] = (), y_true="y_tru
 
 
 def ovr_curves(df: DataFrame, n_classes: int, by: Sequence[str] = (), y_true="y_true", proba="proba") -> DataFrame:
-    """Q13 (curve part): per class ROC points."""
+    """Q13 (curve part): per class ROC points (classes whose indicator has
+    one value only have no curve)."""
     by = _by(by)
     long = one_vs_rest(df, n_classes, by, y_true, proba)
     return roc_curve(long, [*by, "class_code"], "y_ind", "score", 1)
 
 
+def ovr_pr_curves(df: DataFrame, n_classes: int, by: Sequence[str] = (), y_true="y_true", proba="proba") -> DataFrame:
+    """Q13 (curve part): per class precision-recall points."""
+    by = _by(by)
+    long = one_vs_rest(df, n_classes, by, y_true, proba)
+    return pr_curve(long, [*by, "class_code"], "y_ind", "score", 1)
+
+
 def macro_ovr_auc(df: DataFrame, n_classes: int, by: Sequence[str] = (), y_true="y_true", proba="proba") -> DataFrame:
     """Q14: mean per-class AUC; null unless every class has a curve."""
     by = _by(by)

@@ -154,6 +154,18 @@ reg("q13_ovr_auc_ap_mc", lambda s, d: M.ovr_auc(PM(s, d), 3),
        {r6('sum((pos / "P") * (cum_pos / (cum_pos + cum_neg)))')} AS average_precision
        FROM {_cum_ovr} WHERE "P" > 0 AND "N" > 0 GROUP BY class_code""", "predictions_mc"))
 
+reg("q13_ovr_roc_curves_mc", lambda s, d: M.ovr_curves(PM(s, d), 3),
+    with_views(f"""SELECT class_code, 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+       FROM {_cum_ovr} WHERE "P" > 0 AND "N" > 0 GROUP BY class_code
+       UNION ALL SELECT class_code, CAST(score AS DOUBLE), {r6('cum_neg / "N"')}, {r6('cum_pos / "P"')}
+       FROM {_cum_ovr} WHERE "P" > 0 AND "N" > 0""", "predictions_mc"))
+
+reg("q13_ovr_pr_curves_mc", lambda s, d: M.ovr_pr_curves(PM(s, d), 3),
+    with_views(f"""SELECT class_code, CAST(score AS DOUBLE) AS threshold, {r6('cum_pos / (cum_pos + cum_neg)')} AS precision,
+       {r6('cum_pos / "P"')} AS recall FROM {_cum_ovr} WHERE "P" > 0 AND cum_pos - pos < "P"
+       UNION ALL SELECT class_code, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM {_cum_ovr} WHERE "P" > 0 GROUP BY class_code""",
+               "predictions_mc"))
+
 reg("q14_macro_ovr_auc_mc", lambda s, d: M.macro_ovr_auc(PM(s, d), 3),
     with_views(f"""SELECT CASE WHEN count(*) = 3 THEN {r6('avg(auc)')} END AS macro_auc FROM (
        SELECT class_code, sum((neg / "N") * ((2 * cum_pos - pos) / "P") / 2) AS auc
