@@ -372,3 +372,14 @@ reg("s16_json_rows", lambda s, d: S.json_rows(TR(s, d).select(
     "study", "trial", "state", F.when(F.col("state") == "FAIL", F.lit(float("nan"))).otherwise(F.col("f1")).alias("f1"))),
     with_views("""SELECT CAST(to_json(struct_pack(study := study, trial := trial, state := state,
        f1 := CASE WHEN state = 'FAIL' THEN NULL ELSE f1 END)) AS VARCHAR) AS json FROM trials""", "trials"))
+
+
+def _best_params(s, d):
+    r = S.parse_json_columns(V.runs(s, d), {"best_params_json": "map<string,int>"}, "_parsed")
+    return r.where(F.col("best_params_json_parsed").isNotNull()).select(
+        "job_id", F.col("best_params_json_parsed")["C"].alias("best_C"))
+
+
+reg("s06_parse_best_params_json", _best_params,
+    with_views("SELECT job_id, CAST(json_extract(best_params_json, '$.C') AS INTEGER) AS best_C FROM runs "
+               "WHERE best_params_json IS NOT NULL", "runs"))

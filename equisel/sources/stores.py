@@ -170,3 +170,9 @@ def json_rows(df: DataFrame, out: str = "json") -> DataFrame:
     cols = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(F.col(c)).alias(c) if c in fl else F.col(c)
             for c in df.columns]
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(out))
+
+
+def parse_json_columns(df: DataFrame, schemas: Mapping[str, str], suffix: str = "") -> DataFrame:
+    """JSON text columns of a store (``request_json``, ``best_params_json``,
+    ``columns_json``) as typed columns via ``from_json``; malformed text → NULL."""
+    return df.withColumns({f"{c}{suffix}": F.from_json(F.col(c), ddl, {"mode": "PERMISSIVE"}) for c, ddl in schemas.items()})
