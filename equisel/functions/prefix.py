@@ -40,12 +40,14 @@ def add_range_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None
     bounds = sorted({float(b) for b in (row["q"] or []) if b is not None})
     splits = [float("-inf"), *bounds, float("inf")]
     if len(splits) < 3:
-        return df.withColumn(_BUCKET, F.lit(0.0))
+        return df.withColumn(_BUCKET, F.when(F.col(order_col).isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)))
     tmp = "__order_dbl"
     out = Bucketizer(splits=splits, inputCol=tmp, outputCol=_BUCKET, handleInvalid="keep").transform(
         df.withColumn(tmp, F.col(order_col).cast("double"))
     )
-    return out.drop(tmp)
+    # NULL order values get bucket −1: first when ascending, last when descending,
+    # which is Spark's default null placement for both directions
+    return out.withColumn(_BUCKET, F.when(F.col(tmp).isNull(), F.lit(-1.0)).otherwise(F.col(_BUCKET))).drop(tmp)
 
 
 def running_totals(

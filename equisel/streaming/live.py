@@ -108,7 +108,9 @@ def live_asha(spark: SparkSession, reports_stream: DataFrame, min_resource: int
 
     def step(b: DataFrame, i: int, out: str):
         b.write.mode("append").parquet(acc)
-        seen = spark.read.parquet(acc)
+        # ranks are per (study, rung): only studies present in this batch can change
+        touched = b.select("study").distinct()
+        seen = spark.read.parquet(acc).join(touched, "study", "left_semi")
         dec = asha_prune(seen, min_resource, eta)
         new = b.select("study", "trial").distinct()
         return dec.join(new, ["study", "trial"], "left_semi")

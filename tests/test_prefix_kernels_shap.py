@@ -99,3 +99,18 @@ def test_shap_linear_exact_and_additive(spark):
     lin = {(r["row_id"], r["feature"]): r["value"] for r in sh.collect()}
     for r in ps.collect():
         assert r["value"] == pytest.approx(lin[(r["row_id"], r["feature"])], abs=1e-9)
+
+
+def test_running_totals_keep_null_order_rows(spark):
+    from pyspark.sql import Window
+
+    rows = [("a", None, 1), ("a", 1.0, 2), ("a", 2.0, 3), ("b", None, 4), ("b", 5.0, 5)] + \
+        [("a", float(i), 1) for i in range(3, 60)]
+    df = spark.createDataFrame(rows, "g string, t double, v long")
+    for desc in (False, True):
+        got = running_totals(df, "t", ["v"], by=["g"], descending=desc, n_buckets=4)
+        assert got.count() == df.count()
+        o = F.col("t").desc() if desc else F.col("t").asc()
+        want = df.withColumn("w", F.sum("v").over(Window.partitionBy("g").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)))
+        j = got.join(want, ["g", "t", "v"])
+        assert j.where(F.col("cum_v") != F.col("w")).count() == 0
