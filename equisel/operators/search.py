@@ -117,14 +117,23 @@ def relevant_params(log: DataFrame, registry: dict | None = None) -> DataFrame:
                                                                                   "choice")
 
 
-def grid(spark: SparkSession, models: Sequence[str], space: dict) -> DataFrame:
+def grid(spark: SparkSession, models: Sequence[str], space: dict, dedupe_irrelevant: bool = False,
+         registry: dict | None = None) -> DataFrame:
     """H2: flat Cartesian product of all params × models (successive
-    cross joins of tiny tables; the size is the product of choice counts)."""
+    cross joins of tiny tables; the size is the product of choice counts,
+    redundant on purpose). ``dedupe_irrelevant`` blanks the params a model
+    does not use and keeps one row per distinct relevant configuration."""
     g = spark.createDataFrame([(m,) for m in models], "model_type string")
     for p, vs in space.items():
         t = spark.createDataFrame([(choice_text(v),) for v in vs], f"`{p}` string")
         g = g.crossJoin(F.broadcast(t))
-    return g
+    if not dedupe_irrelevant:
+        return g
+    registry = registry or MODEL_PARAMS
+    blanked = g.select("model_type", *[
+        F.when(F.col("model_type").isin(*[m for m in models if p in registry.get(m, list(space))]), F.col(f"`{p}`"))
+        .alias(p) for p in space])
+    return blanked.dropDuplicates()
 
 
 def random_space(keys: DataFrame, key: str, models: Sequence[str], space: dict, seed: int = 0,

@@ -82,3 +82,13 @@ def test_pareto_matches_bruteforce(spark):
     want = {i for (_, i, f, d) in pts if not any(
         (f2 >= f and d2 <= d and (f2 > f or d2 < d)) for (_, _, f2, d2) in pts)}
     assert got == want
+
+
+def test_grid_dedupe_irrelevant(spark):
+    space = {"C": [0.1, 1], "learning_rate": [0.01, 0.1]}
+    full = H.grid(spark, ["SVClinear", "TreeTensorClassifier"], space)
+    assert full.count() == 2 * 2 * 2
+    d = H.grid(spark, ["SVClinear", "TreeTensorClassifier"], space, dedupe_irrelevant=True)
+    # SVClinear uses C only (2 rows), TreeTensorClassifier learning_rate only (2 rows)
+    assert d.count() == 4
+    assert d.where("model_type = 'SVClinear' AND learning_rate IS NOT NULL").count() == 0
