@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import hash32, r6
+from equisel.functions.exprs import hash32, indexed_explode, r6
 from equisel.functions.prefix import dense_position
 from equisel.operators.split import even_downsample
 
@@ -36,7 +36,7 @@ def linear_shap(df: DataFrame, x: str, key: str, weights: Sequence[float], bias:
     wl = F.array(*[F.lit(float(w)) for w in weights])
     ml = F.array(*[F.lit(float(m)) for m in means])
     nl = F.array(*[F.lit(n) for n in names])
-    ex = df.select(key, F.posexplode(F.col(x)).alias("i", "feature_value"))
+    ex = indexed_explode(df.select(key, x), x, "i", "feature_value")
     sh = ex.select(F.col(key).alias("row_id"), F.lit(0).alias("class_code"),
                    F.element_at(nl, F.col("i") + 1).alias("feature"),
                    (F.element_at(wl, F.col("i") + 1) * (F.col("feature_value") - F.element_at(ml, F.col("i") + 1))).alias("value"),
@@ -81,7 +81,7 @@ def permutation_shap(df: DataFrame, x: str, key: str, model: Callable[[F.Column]
     j = j.withColumn("__feat", F.element_at(F.col("__order"), F.col("__k")))
     agg = j.groupBy(key, "__feat").agg(F.avg("__delta").alias("value"))
     nl = F.array(*[F.lit(n) for n in names])
-    vals = df.select(key, F.posexplode(F.col(x)).alias("__feat", "feature_value"))
+    vals = indexed_explode(df.select(key, x), x, "__feat", "feature_value")
     sh = agg.join(vals, [key, "__feat"]).select(F.col(key).alias("row_id"), F.lit(0).alias("class_code"),
                                                 F.element_at(nl, F.col("__feat") + 1).alias("feature"), "value",
                                                 "feature_value")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import r6, safe_div
+from equisel.functions.exprs import indexed_explode, r6, safe_div
 from equisel.functions.prefix import running_totals
 
 LOG_EPS = 2.220446049250313e-16  # float64 machine epsilon (probability clip)
@@ -301,7 +301,8 @@ def one_vs_rest(df: DataFrame, n_classes: int, by: Sequence[str] = (), y_true="y
     against its probability column. Classes without a probability column
     produce no rows (skipped)."""
     by = _by(by)
-    ex = df.select(*by, F.col(y_true).alias("__y"), F.posexplode(F.col(proba)).alias("class_code", "score"))
+    ex = indexed_explode(df.select(*by, F.col(y_true).alias("__y"), F.col(proba).alias("__proba")), "__proba",
+                         "class_code", "score")
     return ex.where(F.col("class_code") < n_classes).select(
         *by, F.col("class_code").cast("int").alias("class_code"),
         F.when(F.col("__y") == F.col("class_code"), 1).otherwise(0).alias("y_ind"), F.col("score").cast("double").alias("score"))

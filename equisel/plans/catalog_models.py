@@ -14,7 +14,7 @@ from equisel.operators import train as M
 from equisel.sources import views as V
 from equisel.sources.sql_views import with_views
 from equisel.sources.tables import table
-from equisel.functions.exprs import r6
+from equisel.functions.exprs import indexed_explode, r6
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -52,7 +52,7 @@ def _k3(s, d):
     v = _vec(s, d)
     lm = K.landmarks(v, "vec_id", ["x"], N_LM)
     k = K.overlap_kernel(v, lm, "x", "vec_id", layers=1)
-    return k.select("vec_id", F.posexplode("kernel").alias("j", "k")).select("vec_id", "j", F.round("k", 6).alias("k"))
+    return indexed_explode(k.select("vec_id", "kernel"), "kernel", "j", "k").select("vec_id", "j", F.round("k", 6).alias("k"))
 
 
 reg("k02_k03_overlap_kernel", _k3, _k3_sql())
@@ -62,7 +62,7 @@ def _k4(s, d):
     v = _vec(s, d)
     lm = K.landmarks(v, "vec_id", ["x"], N_LM)
     k = K.rbf_kernel(v, lm, "x", "vec_id", gamma_factor=1.0)
-    return k.select("vec_id", F.posexplode("kernel").alias("j", "k")).select("vec_id", "j", F.round("k", 6).alias("k"))
+    return indexed_explode(k.select("vec_id", "kernel"), "kernel", "j", "k").select("vec_id", "j", F.round("k", 6).alias("k"))
 
 
 reg("k04_rbf_kernel", _k4, f"""
