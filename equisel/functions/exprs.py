@@ -95,3 +95,11 @@ def indexed_explode(df, arr: str, pos: str = "pos", value: str = "value", keep:
     cols = [F.col(c) for c in (keep if keep is not None else [c for c in df.columns if c != arr])]
     out = df.select(*cols, F.col(arr).alias("__arr"), F.explode(idx).alias(pos))
     return out.withColumn(value, F.element_at(F.col("__arr"), F.col(pos) + 1)).drop("__arr")
+
+
+def melt(df, pairs, key: str = "column", value: str = "value"):
+    """Wide → long: one row per (key literal, value Column) pair, via
+    ``inline`` over an array of structs (faster than ``stack`` on raw rows
+    in this Spark build)."""
+    arr = F.array(*[F.struct(F.lit(k).alias(key), v.alias(value)) for k, v in pairs])
+    return df.select(F.inline(arr))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from equisel.functions.exprs import melt
 from equisel.operators.profile import ONEHOT_CAP, ORDINAL_CAP, exact_quantiles, is_numeric_type
 
 MISSING = "missing"
@@ -60,8 +61,7 @@ def fit_categories(df: DataFrame, cols: Sequence[str], cap: int, method: str) ->
     gathered, so nothing unbounded reaches the driver."""
     if not cols:
         return {}
-    parts = ", ".join(f"'{c}', coalesce(CAST(`{c}` AS STRING), '{MISSING}')" for c in cols)
-    long = df.select(F.expr(f"stack({len(cols)}, {parts}) AS (column, value)")).distinct()
+    long = melt(df, [(c, F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING))) for c in cols]).distinct()
     n = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     for c in cols:
         if n.get(c, 0) > cap:

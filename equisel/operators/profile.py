@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equisel.functions.exprs import r6
+from equisel.functions.exprs import melt, r6
 from equisel.functions.prefix import running_totals
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -40,11 +40,9 @@ def _missing(c: str, dt) -> F.Column:
 def _long(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, value string) for every non-missing cell of the chosen columns."""
     fields = [f for f in df.schema.fields if cols is None or f.name in cols]
-    parts = ", ".join(f"'{f.name}', CAST(`{f.name}` AS STRING)" for f in fields)
-    nanfree = df.select(*[
-        F.when(_missing(f.name, f.dataType), None).otherwise(F.col(f"`{f.name}`")).alias(f.name) for f in fields
-    ])
-    return nanfree.select(F.expr(f"stack({len(fields)}, {parts}) AS (column, value)")).where(F.col("value").isNotNull())
+    pairs = [(f.name, F.when(_missing(f.name, f.dataType), None).otherwise(F.col(f"`{f.name}`")).cast("string"))
+             for f in fields]
+    return melt(df, pairs).where(F.col("value").isNotNull())
 
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -62,10 +60,9 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
         "i int, column string, dtype string, is_numeric boolean",
     )
     if exact:
-        parts = ", ".join(f"{i}, CASE WHEN m{i} THEN NULL ELSE CAST(`{f.name}` AS STRING) END" for i, f in enumerate(fields))
-        flagged = df.select(*[F.col(f"`{f.name}`") for f in fields],
-                            *[_missing(f.name, f.dataType).alias(f"m{i}") for i, f in enumerate(fields)])
-        long = flagged.select(F.expr(f"stack({len(fields)}, {parts}) AS (i, value)"))
+        pairs = [(i, F.when(_missing(f.name, f.dataType), None).otherwise(F.col(f"`{f.name}`").cast("string")))
+                 for i, f in enumerate(fields)]
+        long = melt(df, pairs, "i", "value")
         vc = long.groupBy("i", "value").agg(F.count(F.lit(1)).alias("c"))
         per = vc.groupBy("i").agg(F.sum("c").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("c"))).alias("n_missing"),
                                   F.count("value").alias("n_unique"))
@@ -117,8 +114,7 @@ def exact_quantiles(df: DataFrame, probs: Sequence[float], cols: Sequence[str] |
     ``(column, prob, value)``. Works from ``(column, value, count)`` and a
     bucketed prefix count, so no task holds a whole column."""
     fields = [f for f in df.schema.fields if is_numeric_type(f.dataType) and (cols is None or f.name in cols)]
-    parts = ", ".join(f"'{f.name}', CAST(`{f.name}` AS DOUBLE)" for f in fields)
-    long = df.select(F.expr(f"stack({len(fields)}, {parts}) AS (column, value)"))
+    long = melt(df, [(f.name, F.col(f"`{f.name}`").cast("double")) for f in fields])
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
     # the value-count table feeds the bucket boundaries and the running counts:
@@ -149,8 +145,7 @@ def describe(df: DataFrame) -> DataFrame:
     excluded, as pandas does): count, mean, std (ddof=1), min, 25%, 50%,
     75% (exact, linear), max; NaN → 0."""
     fields = [f for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
-    parts = ", ".join(f"'{f.name}', CAST(`{f.name}` AS DOUBLE)" for f in fields)
-    long = df.select(F.expr(f"stack({len(fields)}, {parts}) AS (column, value)")).where(
+    long = melt(df, [(f.name, F.col(f"`{f.name}`").cast("double")) for f in fields]).where(
         F.col("value").isNotNull() & ~F.isnan("value"))
     st = long.groupBy("column").agg(
         F.count("value").cast("double").alias("count"), F.avg("value").alias("mean"),
