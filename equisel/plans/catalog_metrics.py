@@ -333,3 +333,25 @@ after AS (SELECT te.row_id, te.y_true, te.sensitive,
 
 
 SQL["b10_b11_mitigation_comparison"] = _mitigation_sql()
+
+
+def _q17_mc_sql() -> str:
+    pc = percls_sql("predictions_mc", [])
+    marg = _marg_sql("predictions_mc", [])
+    ll = f"-avg(ln(least(greatest(proba[y_true + 1], {_EPS}), 1 - {_EPS})))"
+    body = f"""
+SELECT 'accuracy' AS metric, {r6('avg(CAST(y_true = y_pred AS DOUBLE))')} AS value FROM predictions_mc
+UNION ALL SELECT 'precision', {r6(f"avg({sdiv('tp', 'tp + fp')})")} FROM {pc}
+UNION ALL SELECT 'recall', {r6(f"avg({sdiv('tp', 'tp + fn')})")} FROM {pc}
+UNION ALL SELECT 'f1', {r6(f"avg({sdiv('2 * tp', '2 * tp + fp + fn')})")} FROM {pc}
+UNION ALL SELECT 'mcc', {r6(sdiv('c * s - sum_pt', 'sqrt((s * s - sum_pp) * (s * s - sum_tt))'))} FROM ({marg})
+UNION ALL SELECT 'kappa', {r6(sdiv('c / s - sum_pt / (s * s)', '1.0 - sum_pt / (s * s)'))} FROM ({marg})
+UNION ALL SELECT 'log_loss', {r6(ll)} FROM predictions_mc
+UNION ALL SELECT 'macro_auc', CASE WHEN count(*) = 3 THEN {r6('avg(auc)')} END FROM (
+    SELECT class_code, sum((neg / "N") * ((2 * cum_pos - pos) / "P") / 2) AS auc
+    FROM {_cum_ovr} WHERE "P" > 0 AND "N" > 0 GROUP BY class_code)"""
+    return with_views(f"""SELECT metric, value,
+       CASE WHEN value IS NULL THEN 'ValueError: ' || metric || ' undefined' END AS error FROM ({body})""", "predictions_mc")
+
+
+reg("q17_metric_report_mc", lambda s, d: M.metric_report(PM(s, d), multiclass=True, n_classes=3), _q17_mc_sql())
