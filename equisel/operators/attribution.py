@@ -192,13 +192,16 @@ def violin_summary(shap: DataFrame, bins: int = 20, class_code: int = 0) -> Data
 
 def evidence_bundle(sections: dict[str, DataFrame]) -> DataFrame:
     """One JSON document from bounded section tables: each section is
-    collected into an array of structs by an aggregate and the sections are
-    combined into one row; an empty section becomes an empty list."""
+    collected into a sorted array of structs by an aggregate and the
+    sections are combined into one row; an empty section becomes an empty
+    list. Only bounded tables (metric rows, confusion cells, feature
+    importances, audit rows) belong here."""
     cols = []
     spark = next(iter(sections.values())).sparkSession
     one = spark.range(1).select(F.lit(1).alias("__one"))
     for name, df in sections.items():
-        agg = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        # sorted rows: the same inputs always give the same document
+        agg = df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
         one = one.crossJoin(agg)
         cols.append(name)
     return one.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("bundle"))
