@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontam, substring
+from . import dac, decontam, lzprint, packing, substring, urls
 from .store import table
 
 
+def op1_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op4_token_files(spark, sf_dir):
+    return dac.documents(spark, dac.write(table(spark, sf_dir, "documents")), with_ids=False)
+
+
+def op6_lz_fingerprint(spark, sf_dir):
+    return lzprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_url_decisions(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages")).drop("component")
+
+
 def op8_decontamination(spark, sf_dir):
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -14,5 +30,6 @@ def op9_substring_dedup(spark, sf_dir):
     return substring.digest(substring.passages(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op8_decontamination, op9_substring_dedup)}
-SQL = {"op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op4_token_files, op6_lz_fingerprint, op7_url_decisions, op8_decontamination, op9_substring_dedup)}
+SQL = {"op7_url_decisions": urls.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL}

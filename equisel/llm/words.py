@@ -99,10 +99,13 @@ class Words:
         if not len(self.start):
             return np.zeros(0, dtype=U)
         size = self.end - self.start
-        at = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(at, size)
-        power = _powers(int(size.max()))
-        return mix(np.add.reduceat(_LETTER[self.raw[self.keep]] * power[place], at) ^ size.astype(U))
+        return segment_hashes(self.raw[self.keep], np.cumsum(size) - size, size)
+
+
+def segment_hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of every segment of ``raw``; the segments follow each other."""
+    place = np.arange(len(raw)) - np.repeat(start, size)
+    return mix(np.add.reduceat(_LETTER[raw] * _powers(int(size.max()))[place], start) ^ size.astype(U))
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
