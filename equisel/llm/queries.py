@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dac, decontam, lzprint, packing, substring, urls
+from . import dac, decontam, lzprint, neardup, packing, substring, urls
 from .store import table
 
 
@@ -10,6 +10,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_minhash_neardup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark, sf_dir):
     return dac.documents(spark, dac.write(table(spark, sf_dir, "documents")), with_ids=False)
 
@@ -31,5 +35,5 @@ def op9_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op4_token_files, op6_lz_fingerprint, op7_url_decisions, op8_decontamination, op9_substring_dedup)}
+    op1_packing, op3_minhash_neardup, op4_token_files, op6_lz_fingerprint, op7_url_decisions, op8_decontamination, op9_substring_dedup)}
 SQL = {"op7_url_decisions": urls.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL}
