@@ -30,7 +30,7 @@ class Encoder:
     its own, so words are looked up in a bounded table and only new ones are
     encoded, many in one call. Other vocabularies encode text by text."""
 
-    LIMIT = 300_000
+    LIMIT = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,6 +43,33 @@ class Encoder:
         self.mark = mark[0] if self.by_word else None
         self.whole: dict[str, bytes] = {}
         self.core: dict[str, bytes] = {}
+        self._prepare_letters(path)
+
+    def _prepare_letters(self, path: str) -> None:
+        """For words of Latin letters only: the same model behind a plain split
+        at spaces, where a word's last id is known by its end-of-word suffix."""
+        from tokenizers import Tokenizer, pre_tokenizers as pre
+
+        self.letters, suffix = None, getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not self.by_word or not suffix:
+            return
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = None
+        plain.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters = plain
+        self.ends = np.zeros(max(plain.get_vocab().values()) + 1, dtype=bool)
+        self.ends[[i for w, i in plain.get_vocab().items() if w.endswith(suffix)]] = True
+        probes = ["word", "zyx", "été", "straße", "ñandú", "œuvre", "q" * 30]
+        if self._letter_ids(probes) != [self._bytes(self._direct(p)) for p in probes]:
+            self.letters = None
+
+    def _letter_ids(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cut) != len(words):
+            raise ValueError("a word has several ends")
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cut.tolist()], cut.tolist())]
 
     def _direct(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -59,8 +86,9 @@ class Encoder:
         out: list[bytes] = []
         for i in range(0, len(texts), 256):
             some = texts[i : i + 256]
-            # str.split also cuts at four control characters that the vocabulary keeps
-            odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in some]
+            # str.split also cuts at four control characters that the vocabulary keeps,
+            # and a capital I with a dot becomes two characters in lower case
+            odd = [any(c in t for c in "\x1c\x1d\x1e\x1f\u0130") for t in some]
             words = [None if o else t.split() for t, o in zip(some, odd)]
             self._learn(set().union(*(w for w in words if w)).difference(self.whole))
             known = self.whole
@@ -74,16 +102,32 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         """Enter new words: a word's core (trailing stops and commas cut,
         plain letters in lower case) is encoded once for all its forms."""
-        forms = []
+        whole, core = self.whole, self.core
+        forms, new = [], set()
         for w in words:
-            core = w.rstrip(".,")
-            if not core or not core[-1].isalpha():
-                core = w
-            tail = w[len(core) :]
-            if core.isascii() and core.isalpha():
-                core = core.lower()
-            forms.append((w, core, tail))
-        new = list({x for _, c, t in forms for x in (c, t) if x}.difference(self.core))
+            if w.isalpha():
+                c, tail = w, ""
+            else:
+                c = w.rstrip(".,")
+                if not c or not c[-1].isalpha():
+                    c = w
+                tail = w[len(c) :]
+            if c.isalpha() and max(c) < "\u0250":
+                c = c.lower()
+            if tail and tail not in core:
+                new.add(tail)
+            if c in core:
+                whole[w] = core[c] + core[tail] if tail and tail in core else core[c]
+                if not tail or tail in core:
+                    continue
+            else:
+                new.add(c)
+            forms.append((w, c, tail))
+        if self.letters is not None:
+            simple = [w for w in new if w.isalpha() and max(w) < "\u0250"]
+            if simple:
+                self.core.update(zip(simple, self._letter_ids(simple)))
+                new = new.difference(simple)
         plain = [w for w in new if _SEPARATOR not in w]
         for w in new:
             if _SEPARATOR in w:
@@ -97,5 +141,5 @@ class Encoder:
             data = ids.tobytes()
             for w, a, b in zip(plain, [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(data)]):
                 self.core[w] = data[a:b]
-        for w, core, tail in forms:
-            self.whole[w] = self.core[core] + self.core[tail] if tail else self.core[core]
+        for w, c, tail in forms:
+            whole[w] = core[c] + core[tail] if tail else core[c]
