@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dac, decontam, lzprint, neardup, packing, substring, urls
+from . import dac, decontam, lzprint, neardup, packing, pseudolm, quality, substring, toxicity, urls
 from .store import table
 
 
@@ -10,6 +10,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op2_quality(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_token_files(spark, sf_dir):
     return dac.documents(spark, dac.write(table(spark, sf_dir, "documents")), with_ids=False)
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_lz_fingerprint(spark, sf_dir):
     return lzprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,11 @@ def op9_substring_dedup(spark, sf_dir):
     return substring.digest(substring.passages(table(spark, sf_dir, "documents")))
 
 
+def op10_pseudo_likelihood(spark, sf_dir):
+    return pseudolm.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_minhash_neardup, op4_token_files, op6_lz_fingerprint, op7_url_decisions, op8_decontamination, op9_substring_dedup)}
+    op1_packing, op2_quality, op3_minhash_neardup, op4_token_files, op5_toxicity, op6_lz_fingerprint, op7_url_decisions,
+    op8_decontamination, op9_substring_dedup, op10_pseudo_likelihood)}
 SQL = {"op7_url_decisions": urls.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL}
