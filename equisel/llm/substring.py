@@ -215,12 +215,21 @@ def _removed(texts: pa.Array, ranges: list) -> Iterator[tuple[int, int, bytes |
 
 
 def _joined(docs: DataFrame, text_col: str, id_col: str, k: int, m: int, hot: int) -> DataFrame:
-    """``docs`` with ``_rk`` and ``_ranges``. The row key hashes id and text;
-    rows that share both share their ranges, which are the same."""
+    """``docs`` with the array of removed word ranges as a last column. The row
+    key hashes id and text; rows that share both share their ranges, which are
+    the same."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     keyed = docs.select(key.alias("rk"), F.col(text_col).alias("text"))
-    found = repeated_ranges(keyed, k, m, hot).select(F.col("rk").alias("_rk"), F.col("ranges").alias("_ranges"))
-    return docs.withColumn("_rk", key).join(found, "_rk", "left")
+    rk, ranges = (_free(docs.columns, c) for c in ("_rk", "_ranges"))
+    found = repeated_ranges(keyed, k, m, hot).select(F.col("rk").alias(rk), F.col("ranges").alias(ranges))
+    return docs.withColumn(rk, key).join(found, rk, "left").select(*(F.col(f"`{c}`") for c in docs.columns), ranges)
+
+
+def _free(taken: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
 
 
 def passages(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +242,7 @@ def passages(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, id_col: st
     def run(batches):
         for batch in batches:
             texts = W.text_array(batch.column("text"))
-            rows = list(_removed(texts, batch.column("_ranges").to_pylist()))
+            rows = list(_removed(texts, batch.column(batch.num_columns - 1).to_pylist()))
             kept = [b" ".join(t.encode().split()) if x is None else x for (_, _, x), t in zip(rows, texts.to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
@@ -247,12 +256,12 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``; other columns as they
     are. A text that loses no word stays unchanged."""
     at = docs.columns.index("text")
-    joined = _joined(docs, "text", "doc_id", k, m, hot).select(*docs.columns, "_ranges")
+    joined = _joined(docs, "text", "doc_id", k, m, hot)
 
     def run(batches):
         for batch in batches:
             column = batch.column(at)
-            rows = list(_removed(W.text_array(column), batch.column("_ranges").to_pylist()))
+            rows = list(_removed(W.text_array(column), batch.column(batch.num_columns - 1).to_pylist()))
             new = [t if x is None else x.decode() for (_, _, x), t in zip(rows, column.to_pylist())]
             arrays = [pa.array(new, pa.string()) if c == at else batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-1])
