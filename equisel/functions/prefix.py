@@ -16,6 +16,7 @@ do) unless ``order_cols`` ends with a unique tie-breaker.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -32,12 +33,44 @@ def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def add_range_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
-    """Add ``__bucket``: quantile range bucket of a numeric ``order_col``."""
+def _is_numeric(df: DataFrame, c: str) -> bool:
+    from pyspark.sql import types as T
+
+    return isinstance(df.schema[c].dataType, T.NumericType)
+
+
+def add_range_bucket(df: DataFrame, order_cols: str | Sequence[str], n_buckets: int | None = None) -> DataFrame:
+    """Add ``__bucket``: range bucket of the order columns, in their order.
+
+    The first column is cut at approximate quantiles. A value that holds
+    several of them (a tie of at least 1/n of the rows) is cut again at the
+    quantiles of the next numeric order column, so a tied value is spread over
+    as many buckets as it has shares of the rows."""
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    order_col = order_cols[0]
     n = _n_buckets(df, n_buckets)
     probs = [i / n for i in range(1, n)]
     row = df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("q")).first()
-    bounds = sorted({float(b) for b in (row["q"] or []) if b is not None})
+    found = [float(b) for b in (row["q"] or []) if b is not None and math.isfinite(b)]
+    bounds = sorted(set(found))
+    tied = {b: found.count(b) for b in bounds if found.count(b) > 1}
+    out = _first_bucket(df, order_col, bounds)
+    if not tied or len(order_cols) == 1 or not _is_numeric(df, order_cols[1]):
+        return out
+    value, second = F.col(order_col).cast("double"), F.col(order_cols[1]).cast("double")
+    cuts = df.where(value.isin(list(tied))).groupBy(value.alias("v")).agg(F.percentile_approx(second, probs, 10000).alias("q"))
+    sub = F.lit(0)
+    for r in cuts.collect():  # at most n / 2 tied values with n cuts each
+        k, q = tied[r["v"]] + 1, [x for x in r["q"] or [] if math.isfinite(x)]
+        inner = sorted({q[i * len(q) // k] for i in range(1, k)}) if q else []
+        step = F.size(F.filter(F.array(*map(F.lit, inner)), lambda x: x < second)) if inner else F.lit(0)
+        sub = F.when(value == F.lit(r["v"]), step).otherwise(sub)
+    # a tied value is a lower limit: its rows come first in its bucket, by part, then the rest
+    return out.withColumn(_BUCKET, F.when(F.col(_BUCKET) < 0, F.col(_BUCKET)).otherwise(
+        F.col(_BUCKET) * (n + 1) + F.when(value.isin(list(tied)), F.coalesce(sub, F.lit(0))).otherwise(F.lit(n))))
+
+
+def _first_bucket(df: DataFrame, order_col: str, bounds: list[float]) -> DataFrame:
     splits = [float("-inf"), *bounds, float("inf")]
     if len(splits) < 3:
         return df.withColumn(_BUCKET, F.when(F.col(order_col).isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)))
@@ -66,7 +99,7 @@ def running_totals(
     """
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     by = list(by)
-    b = add_range_bucket(df, order_cols[0], n_buckets)
+    b = add_range_bucket(df, order_cols, n_buckets)
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
 
     totals = b.groupBy(*by, _BUCKET).agg(*[F.sum(c).alias(f"__tot_{c}") for c in sum_cols])
@@ -121,7 +154,7 @@ def running_agg(
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     by = list(by)
     agg = {"max": F.max, "min": F.min, "sum": F.sum}[fn]
-    b = add_range_bucket(df, order_cols[0], n_buckets)
+    b = add_range_bucket(df, order_cols, n_buckets)
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     totals = b.groupBy(*by, _BUCKET).agg(*[agg(c).alias(f"__tot_{c}") for c in cols])
     before = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -155,14 +188,18 @@ def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int, s
     return first.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k).drop("__salt", "__r1")
 
 
-def sliding_sums(df: DataFrame, pos_col: str, cols: Sequence[str], width: int, by: Sequence[str] = (),
-                 prefix: str = "win_") -> DataFrame:
-    """Sum of ``cols`` over the last ``width`` positions (inclusive) per group:
-    cum(p) − cum(p − width), where ``pos_col`` is a dense 1-based position.
-    The lag is an equi-join on (by, position) — unique keys, no skew."""
-    by = list(by)
-    cum = running_totals(df, pos_col, list(cols), by=by, prefix="__c_")
-    back = cum.select(*by, (F.col(pos_col) + width).alias(pos_col), *[F.col(f"__c_{c}").alias(f"__b_{c}") for c in cols])
-    j = cum.join(back, on=[*by, pos_col], how="left")
-    return j.select(*[c for c in df.columns], *[(F.col(f"__c_{c}") - F.coalesce(F.col(f"__b_{c}"), F.lit(0))).alias(
-        f"{prefix}{c}") for c in cols])
+def sliding(df: DataFrame, pos_col: str, aggs: dict, width: int, by: Sequence[str] = (), block: int = 4096) -> DataFrame:
+    """Aggregates over the last rows of each group in the order of the dense
+    1-based ``pos_col``. ``aggs`` maps an output name to (aggregate, first,
+    last): the frame from ``first`` to ``last`` rows back. Rows are cut into
+    blocks of positions, each with the ``width`` rows before it carried along,
+    so frames are exact (no differences of large sums) and a long group is
+    many window partitions."""
+    by, block = list(by), max(block, 2 * width)
+    at = F.floor((F.col(pos_col) - 1) / block)
+    own = df.withColumn("__block", at).withColumn("__carried", F.lit(False))
+    tail = df.where((F.col(pos_col) - 1) % block >= block - width).withColumn("__block", at + 1).withColumn("__carried", F.lit(True))
+    over = Window.partitionBy(*by, "__block").orderBy(pos_col)
+    out = own.unionByName(tail)
+    out = out.withColumns({name: agg.over(over.rowsBetween(-first, -last)) for name, (agg, first, last) in aggs.items()})
+    return out.where(~F.col("__carried")).drop("__block", "__carried")

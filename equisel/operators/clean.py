@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equisel.functions.exprs import safe_div
+from equisel.functions.exprs import nan_to_null, safe_div
 
 
 def select_features(df: DataFrame, x_cols: Sequence[str] | None = None, y_col: str | None = None) -> DataFrame:
@@ -46,9 +46,9 @@ def drop_missing_rows(df: DataFrame, subset: Sequence[str] | None = None) -> Dat
 def recode(df: DataFrame, col: str, mapping: Mapping, out: str | None = None, literal_limit: int = 1000) -> DataFrame:
     """C4: value replacement, many-to-one allowed; unmapped values stay.
 
-    Short maps become a literal map lookup (codegen'd); long maps are
-    joined as a broadcast table (size checked against ``literal_limit``
-    times a factor, otherwise a shuffle join)."""
+    Short maps become a literal map lookup (codegen'd); longer ones are
+    joined as a table, which Spark broadcasts where its size allows. The
+    result is the same."""
     out = out or col
     if not mapping:
         return df
@@ -58,7 +58,6 @@ def recode(df: DataFrame, col: str, mapping: Mapping, out: str | None = None, li
         return df.withColumn(out, F.coalesce(m[F.col(col)], F.col(col)))
     spark = df.sparkSession
     mdf = spark.createDataFrame([(k, mapping[k]) for k in keys], ["__k", "__v"])
-    mdf = F.broadcast(mdf) if len(keys) <= 100 * literal_limit else mdf
     return df.join(mdf, F.col(col) == F.col("__k"), "left").withColumn(
         out, F.coalesce(F.col("__v"), F.col(col))).drop("__k", "__v")
 
@@ -76,9 +75,9 @@ def two_class_filter(df: DataFrame, a, b, label: str = "label", out: str = "y")
 def minmax_normalise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x − min)/(max − min) per column in one aggregate pass; a
     constant column maps to 0."""
-    st = df.agg(*[F.min(c).alias(f"mn_{i}") for i, c in enumerate(cols)],
-                *[F.max(c).alias(f"mx_{i}") for i, c in enumerate(cols)]).first()
+    st = df.agg(*[F.min(nan_to_null(c)).alias(f"mn_{i}") for i, c in enumerate(cols)],
+                *[F.max(nan_to_null(c)).alias(f"mx_{i}") for i, c in enumerate(cols)]).first()
     return df.withColumns({
-        c: safe_div(F.col(c) - F.lit(st[f"mn_{i}"]), F.lit(st[f"mx_{i}"]) - F.lit(st[f"mn_{i}"]))
+        c: safe_div(nan_to_null(c) - F.lit(st[f"mn_{i}"]), F.lit(st[f"mx_{i}"]) - F.lit(st[f"mn_{i}"]))
         for i, c in enumerate(cols)
     })

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equisel.functions.exprs import melt
+from equisel.functions.exprs import melt, nan_to_null
 from equisel.operators.profile import ONEHOT_CAP, ORDINAL_CAP, exact_quantiles, is_numeric_type
 
 MISSING = "missing"
@@ -66,10 +66,8 @@ def fit_categories(df: DataFrame, cols: Sequence[str], cap: int, method: str) ->
     for c in cols:
         if n.get(c, 0) > cap:
             if method == "onehot":
-                raise ValueError(f"Column '{c}' has {n[c]} unique categories (max {cap} for one-hot encoding). "
-                                 "Use ordinal encoding or drop the column.")
-            raise ValueError(f"Column '{c}' has {n[c]} unique categories (max {cap} for ordinal encoding). "
-                             "It looks like an identifier — drop it before optimizing.")
+                raise ValueError(f"{c!r}: {n[c]} categories, one-hot columns are limited to {cap}; try ordinal codes")
+            raise ValueError(f"{c!r}: {n[c]} categories, ordinal codes are limited to {cap}; is it a key?")
     cats: dict[str, list[str]] = {c: [] for c in cols}
     for r in long.collect():  # ≤ cap × columns rows, checked above
         cats[r["column"]].append(r["value"])
@@ -95,7 +93,7 @@ def encode_features(df: DataFrame, method: str = "ordinal", keep: Sequence[str]
     ``(column, kind, categories, imputed, out_columns)``. Columns in
     ``keep`` (keys, target, split) pass through untouched."""
     if method not in ("ordinal", "onehot"):
-        raise ValueError(f"Unknown categorical encoding method: {method!r}")
+        raise ValueError(f"method is 'ordinal' or 'onehot', not {method!r}")
     fields = [f for f in df.schema.fields if f.name not in keep]
     bools = [f.name for f in fields if isinstance(f.dataType, T.BooleanType)]
     nums = [f.name for f in fields if is_numeric_type(f.dataType) and f.name not in bools]
@@ -137,8 +135,8 @@ def passthrough_columns(metadata: DataFrame) -> DataFrame:
 
 
 def fit_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    st = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    st = df.agg(*[F.avg(nan_to_null(_q(c))).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.stddev_pop(nan_to_null(_q(c))).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     return {c: (st[f"m{i}"], st[f"s{i}"]) for i, c in enumerate(cols)}
 
 
@@ -153,7 +151,7 @@ def zscore(df: DataFrame, cols: Sequence[str], passthrough: Sequence[str] = (),
     def z(c):
         m, s = mo[c]
         s = 1.0 if (s is None or s == 0 or math.isnan(s)) else s
-        return ((_q(c) - F.lit(m)) / F.lit(s) * F.lit(scaling)).alias(c)
+        return ((nan_to_null(_q(c)) - F.lit(m)) / F.lit(s) * F.lit(scaling)).alias(c)
     return df.withColumns({c: z(c) for c in cols})
 
 
@@ -162,13 +160,13 @@ def minmax_scale(df: DataFrame, cols: Sequence[str], lo: float = -math.pi / 2, h
     """Fit min/max on the train rows, map to [lo, hi], a constant
     column maps to lo; then × ``scaling``."""
     fit = df if fit_on == "all" else df.where(F.col(split) == "train")
-    st = fit.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(cols)],
-                 *[F.max(c).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    st = fit.agg(*[F.min(nan_to_null(_q(c))).alias(f"a{i}") for i, c in enumerate(cols)],
+                 *[F.max(nan_to_null(_q(c))).alias(f"b{i}") for i, c in enumerate(cols)]).first()
     def s(i, c):
         mn, mx = st[f"a{i}"], st[f"b{i}"]
         rng = (mx - mn) if (mx is not None and mn is not None and mx != mn) else 1.0
         scale = (hi - lo) / rng
-        return ((_q(c) * F.lit(scale) + F.lit(lo - (mn or 0.0) * scale)) * F.lit(scaling)).alias(c)
+        return ((nan_to_null(_q(c)) * F.lit(scale) + F.lit(lo - (mn or 0.0) * scale)) * F.lit(scaling)).alias(c)
     return df.withColumns({c: s(i, c) for i, c in enumerate(cols)})
 
 
@@ -197,7 +195,8 @@ def pad_multiple_of_3(df: DataFrame, arr: str = "x", out: str | None = None) ->
 
 def pca_project(df: DataFrame, cols: Sequence[str], k: int, split: str = "split", out: str = "pca") -> DataFrame:
     """StandardScaler fitted on train applied to all rows, then PCA
-    fitted on train and applied to all rows (``pyspark.ml``)."""
+    fitted on train and applied to all rows (``pyspark.ml``). Spark scales by
+    the sample deviation; the result is rescaled to the population one."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -206,4 +205,6 @@ def pca_project(df: DataFrame, cols: Sequence[str], k: int, split: str = "split"
     sc = StandardScaler(inputCol="__v", outputCol="__s", withMean=True, withStd=True).fit(train)
     scaled = sc.transform(va)
     pca = PCA(k=k, inputCol="__s", outputCol="__p").fit(scaled.where(F.col(split) == "train"))
-    return pca.transform(scaled).withColumn(out, vector_to_array("__p")).drop("__v", "__s", "__p")
+    n = max(2, train.count())
+    wider = math.sqrt(n / (n - 1))
+    return pca.transform(scaled).withColumn(out, F.transform(vector_to_array("__p"), lambda v: v * F.lit(wider))).drop("__v", "__s", "__p")

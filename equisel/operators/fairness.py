@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import r6, safe_div
+from equisel.functions.exprs import r6, safe_div, unit_hash
 
 MAX_SENSITIVE_GROUPS = 20
 WORST_DISPARITY = 1.0
@@ -144,8 +144,9 @@ def audit(df: DataFrame, group="sensitive", by: Sequence[str] = (), favorable=1,
                        F.when(F.col("group") == OVERALL, None).otherwise(F.col("group")).alias("group"), "value")
     d = disparities_from_counts(c, by)
     # the group cap is asserted inside the plan (no extra pass over the rows)
+    # as a filter, so that it is evaluated whichever columns are read later
     too_many = F.raise_error(F.lit(f"sensitive column {group!r} has more than {max_groups} groups"))
-    d = d.withColumn("n_groups", F.when(F.col("n_groups") > max_groups, too_many.cast("long")).otherwise(F.col("n_groups")))
+    d = d.where(F.when(F.col("n_groups") > max_groups, too_many.cast("boolean")).otherwise(F.lit(True)))
     dstack = ", ".join(f"'{m}', `{m}`" for m in DISPARITY_NAMES)
     dl = d.select(*by, F.lit("disparities").alias("section"),
                   F.expr(f"stack({len(DISPARITY_NAMES)}, {dstack}) as (metric, value)"),
@@ -160,7 +161,7 @@ def disparity(df: DataFrame, metric: str, group="sensitive", by: Sequence[str] =
     two groups cannot be compared and gets 1.0."""
     by = _by(by)
     if metric not in FAIRNESS_METRICS:
-        raise ValueError(f"Unknown fairness metric: {metric!r}. Expected one of {FAIRNESS_METRICS}.")
+        raise ValueError(f"{metric!r} is no fairness metric of the search; choose from {', '.join(FAIRNESS_METRICS)}")
     d = disparities(df, group, by, favorable, y_true, y_pred)
     if metric == "disparate_impact":
         v = F.when(F.isnan("disparate_impact"), F.lit(WORST_DISPARITY)).otherwise(
@@ -179,71 +180,140 @@ def group_chart_data(df: DataFrame, group="sensitive", by: Sequence[str] = (), f
     ms = [m for m in GROUP_METRICS if m != "count"]
     stack = ", ".join(f"'{m}', `{m}`" for m in ms)
     long = gm.select(*by, "group", F.expr(f"stack({len(ms)}, {stack}) as (metric, value)"))
-    per = long.where(F.col("group") != OVERALL)
-    ov = long.where(F.col("group") == OVERALL).select(*by, "metric", F.col("value").alias("overall"))
-    return per.join(ov, on=[*by, "metric"], how="inner")
+    # the overall value of a metric, over the few rows of that metric
+    overall = F.max(F.when(F.col("group") == OVERALL, F.col("value"))).over(Window.partitionBy(*by, "metric"))
+    return long.withColumn("overall", overall).where(F.col("group") != OVERALL)
 
 
 # ------------------------------------------------------------ mitigation
-def mitigation_grid(n: int = 20) -> list[float]:
-    return [k / n for k in range(n + 1)]
-
-
-def mitigate_thresholds(train: DataFrame, group="sensitive", constraint: str = "equalized_odds",
-                        score="score", y_true="y_true", favorable=1, tol: float = 0.02,
-                        n_grid: int = 200) -> DataFrame:
-    """Per-group decision thresholds that maximise accuracy under a
-    fairness constraint (Hardt et al. 2016, deterministic variant).
-
-    Each group's ROC points come from one grouped per-score aggregate and
-    the bucketed prefix sum. On a fixed grid of target rates (FPR+TPR for
-    equalized odds, selection rate for demographic parity) every group
-    takes its best threshold whose rate lies within ``tol`` of the target;
-    the grid point with the highest total accuracy wins. Result: one row
-    per group ``(group, threshold)`` — bounded by the group cap."""
+GRID = 1000
+THRESHOLDS = "group string, threshold_a double, threshold_b double, p_a double, p_const double, const double"
+
+
+def _upper_hull(points: list[tuple]) -> list[tuple]:
+    """Upper convex hull of (x, y, ...) points, by increasing x."""
+    hull: list[tuple] = []
+    for p in sorted(points, key=lambda q: (q[0], -q[1])):
+        if hull and hull[-1][0] == p[0]:
+            continue
+        while len(hull) > 1 and (hull[-1][0] - hull[-2][0]) * (p[1] - hull[-2][1]) >= (hull[-1][1] - hull[-2][1]) * (p[0] - hull[-2][0]):
+            hull.pop()
+        hull.append(p)
+    return hull
+
+
+def group_hulls(train: DataFrame, group="sensitive", constraint: str = "equalized_odds", score="score", y_true="y_true",
+                favorable=1, n_cells: int = GRID, max_groups: int = MAX_SENSITIVE_GROUPS) -> dict:
+    """Per group the upper hull of what its thresholds reach: (FPR, TPR) for
+    equalized odds, (selection rate, share correct) for demographic parity.
+
+    One raw aggregate per (group, score) and the bucketed prefix sum give the
+    points; equal abscissae keep their best point; hulls of ``n_cells``
+    abscissa ranges are formed in parallel and only their corners reach the
+    driver. A group with one class has no ROC curve: an error."""
+    import pyarrow as pa
+
     from equisel.functions.prefix import running_totals
+    from equisel.operators.metrics import required
+    from equisel.session import materialise
 
     if constraint not in ("equalized_odds", "demographic_parity"):
         raise ValueError(f"unknown constraint {constraint!r}")
     is_pos = F.col(y_true) == F.lit(favorable)
-    sc = train.where(F.col(score).isNotNull()).groupBy(F.col(group).cast("string").alias("group"),
-                                                         F.col(score).alias("t")).agg(
-        F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg"))
-    cum = running_totals(sc, "t", ["pos", "neg"], by=["group"], descending=True)
-    tot = sc.groupBy("group").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    c = cum.join(tot, "group")
-    tpr = safe_div(F.col("cum_pos"), F.col("P"))
-    fpr = safe_div(F.col("cum_neg"), F.col("N"))
-    sel = (F.col("cum_pos") + F.col("cum_neg")) / (F.col("P") + F.col("N"))
-    correct = F.col("cum_pos") + (F.col("N") - F.col("cum_neg"))
-    rate = ((tpr + fpr) / 2) if constraint == "equalized_odds" else sel
-    pts = c.select("group", "t", rate.alias("rate"), correct.alias("correct"))
-    spark = train.sparkSession
-    grid = spark.range(n_grid + 1).select((F.col("id") / F.lit(float(n_grid))).alias("target"))
-    # Each ROC point joins only grid targets within tol: a band join on a
-    # bucketed key, not a cross product.
-    width = tol
-    pts_b = pts.withColumn("b", F.explode(F.sequence(F.floor((F.col("rate") - width) / width).cast("long"),
-                                                    F.floor((F.col("rate") + width) / width).cast("long"))))
-    grid_b = grid.withColumn("b", F.floor(F.col("target") / width).cast("long"))
-    cand = pts_b.join(F.broadcast(grid_b), "b").where(F.abs(F.col("rate") - F.col("target")) <= tol)
-    # best threshold per (target, group) by partial aggregation (max_by), not a window
-    best = cand.groupBy("target", "group").agg(
-        F.max_by(F.struct("t", "correct"), F.struct(F.col("correct"), F.col("t"))).alias("b")).select(
-        "target", "group", "b.t", "b.correct")
-    n_groups = tot.count()
-    score_t = best.groupBy("target").agg(F.sum("correct").alias("tot_correct"), F.count(F.lit(1)).alias("k"))
-    win = score_t.where(F.col("k") == n_groups).orderBy(F.col("tot_correct").desc(), F.col("target")).limit(1)
-    return best.join(win.select("target"), "target").select("group", F.col("t").alias("threshold"))
-
-
-def apply_group_thresholds(df: DataFrame, thresholds: DataFrame, group="sensitive", score="score",
-                           out="y_pred", pos=1, neg=-1) -> DataFrame:
-    """Apply per-group thresholds (bounded table, broadcast)."""
-    t = thresholds.withColumnRenamed("group", "__g")
-    j = df.join(F.broadcast(t), F.col(group).cast("string") == F.col("__g"), "left")
-    return j.withColumn(out, F.when(F.col(score) >= F.col("threshold"), F.lit(pos)).otherwise(F.lit(neg))).drop(
-        "__g", "threshold")
+    sc = materialise(train.groupBy(F.col(group).cast("string").alias("group"), required(score).alias("t")).agg(
+        F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg")))
+    totals = sc.groupBy("group").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    sizes = {r["group"]: (r["P"], r["N"]) for r in totals.limit(max_groups + 1).collect()}
+    if len(sizes) > max_groups:
+        raise ValueError(f"more than {max_groups} groups in {group!r}")
+    flat = [g for g, (p, n) in sizes.items() if constraint == "equalized_odds" and not (p and n)]
+    if flat:
+        raise ValueError(f"equalized odds need both classes in every group; one class only: {sorted(map(str, flat))}")
+    c = running_totals(sc, "t", ["pos", "neg"], by=["group"], descending=True).join(totals, "group")
+    if constraint == "equalized_odds":
+        x, y = F.col("cum_neg") / F.col("N"), F.col("cum_pos") / F.col("P")
+    else:
+        n = F.col("P") + F.col("N")
+        x, y = (F.col("cum_pos") + F.col("cum_neg")) / n, (F.col("cum_pos") + F.col("N") - F.col("cum_neg")) / n
+    best = c.groupBy("group", x.alias("x")).agg(F.max(F.struct(y.alias("y"), F.col("t").alias("t"))).alias("b")).select(
+        "group", "x", "b.y", "b.t").withColumn("cell", F.floor(F.col("x") * n_cells))
+
+    def corners(table: pa.Table) -> pa.Table:
+        cols = [table.column(k).to_pylist() for k in ("x", "y", "t", "group")]
+        kept = _upper_hull(list(zip(*cols)))
+        return pa.table({k: pa.array([p[i] for p in kept], pa.float64() if k != "group" else pa.string())
+                         for i, k in enumerate(("x", "y", "t", "group"))})
+
+    rows = best.groupBy("group", "cell").applyInArrow(corners, "x double, y double, t double, group string").collect()
+    hulls = {}
+    for g, (pos, neg) in sizes.items():
+        start = 0.0 if constraint == "equalized_odds" else neg / (pos + neg)
+        own = [(r["x"], r["y"], r["t"]) for r in rows if r["group"] == g]
+        hulls[g] = (_upper_hull([*own, (0.0, start, float("inf"))]), pos, neg)
+    return hulls
+
+
+def _at(hull: list[tuple], x: float) -> tuple:
+    """(y, threshold a, threshold b, weight of a) on the hull at ``x``."""
+    for (xa, ya, ta), (xb, yb, tb) in zip(hull, hull[1:]):
+        if x <= xb:
+            w = (xb - x) / (xb - xa)
+            return w * ya + (1 - w) * yb, ta, tb, w
+    return hull[-1][1], hull[-1][2], hull[-1][2], 1.0
+
+
+def mitigate_thresholds(train: DataFrame, group="sensitive", constraint: str = "equalized_odds", score="score",
+                        y_true="y_true", favorable=1, n_grid: int = GRID) -> DataFrame:
+    """B10 (Hardt et al. 2016): per-group randomised thresholds of the highest
+    accuracy under a fairness constraint.
+
+    Equalized odds: every group gets the same (FPR, TPR), the best common point
+    below all groups' ROC hulls; a group whose hull lies above it mixes in a
+    constant. Demographic parity: every group gets the same selection rate.
+    Targets are the abscissae k / ``n_grid``. One row per group (bounded by the
+    group cap): a row is positive with probability
+    (1 − p_const)(p_a [score ≥ a] + (1 − p_a)[score ≥ b]) + p_const · const."""
+    hulls = group_hulls(train, group, constraint, score, y_true, favorable)
+    total = sum(p + n for _, p, n in hulls.values())
+    best = None
+    for k in range(n_grid + 1):
+        x = k / n_grid
+        on = {g: _at(h, x) for g, (h, _, _) in hulls.items()}
+        if constraint == "equalized_odds":
+            y = min(o[0] for o in on.values())
+            correct = sum(p * y + n * (1 - x) for _, p, n in hulls.values())
+        else:
+            y = None
+            correct = sum((p + n) * on[g][0] for g, (_, p, n) in hulls.items())
+        accuracy = round(correct / total, 9)
+        if best is None or accuracy > best[0]:
+            best = (accuracy, x, y, on)
+    _, x, y, on = best
+    rows = []
+    for g, (own, ta, tb, w) in on.items():
+        mix = (own - y) / (own - x) if y is not None and own > x else 0.0
+        rows.append((g, float(ta), float(tb), float(w), float(mix), float(x)))
+    return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: str(r[0])), THRESHOLDS)
+
+
+def with_favorable_probability(df: DataFrame, thresholds: DataFrame, group="sensitive", score="score", out="p_favorable") -> DataFrame:
+    """Probability that the mitigated decision is favorable; a group without
+    thresholds is an error."""
+    t = thresholds.withColumnRenamed("group", "__g").withColumn("__known", F.lit(True))
+    j = df.join(t, F.col(group).cast("string").eqNullSafe(F.col("__g")), "left")
+    s = F.col(score)
+    step = F.col("p_a") * (s >= F.col("threshold_a")).cast("int") + (1 - F.col("p_a")) * (s >= F.col("threshold_b")).cast("int")
+    p = (1 - F.col("p_const")) * step + F.col("p_const") * F.col("const")
+    lacking = F.raise_error(F.concat(F.lit("no thresholds for group "), F.coalesce(F.col(group).cast("string"), F.lit("NULL")))).cast("double")
+    return j.withColumn(out, F.when(F.col("__known").isNull(), lacking).otherwise(p)).select(*df.columns, out)
+
+
+def apply_group_thresholds(df: DataFrame, thresholds: DataFrame, group="sensitive", score="score", out="y_pred", pos=1, neg=-1,
+                           key: str = "row_id", seed: int = 0) -> DataFrame:
+    """Mitigated decisions: the randomised rule with a draw that is a hash of
+    (key, seed), so the same row always gets the same decision."""
+    p = with_favorable_probability(df, thresholds, group, score, "__p")
+    return p.withColumn(out, F.when(unit_hash(key, seed) < F.col("__p"), F.lit(pos)).otherwise(F.lit(neg))).drop("__p")
 
 
 def mitigation_comparison(before: DataFrame, after: DataFrame, group="sensitive", favorable=1) -> DataFrame:

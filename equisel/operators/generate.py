@@ -51,14 +51,23 @@ def _zscore_array(df: DataFrame, x: str, d: int) -> DataFrame:
 
 def gen_linearly_separable(keys: DataFrame, key: str, d: int, margin: float, seed: int = 0, attempts: int = 8,
                            n: int | None = None) -> DataFrame:
-    """G1: x uniform in [−1, 1]^d, kept only outside |Σx| ≤ margin (the first
-    passing attempt per key), label −1 if Σx > 0 else +1; optionally the
-    first ``n`` by key."""
+    """G1: x uniform in [−1, 1]^d outside |Σx| ≤ margin, label −1 if Σx > 0
+    else +1; optionally the first ``n`` by key. Each key draws ``attempts``
+    vectors and keeps the first that passes; where none does, the first draw is
+    moved: its coordinates are pushed towards the sign of their sum, each by the
+    same share of its way to ±1, until the sum is halfway between margin and d."""
+    if margin >= d:
+        raise ValueError(f"no vector of [-1, 1]^{d} lies outside a margin of {margin}")
     def cand(a):
         return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: 2 * md5_uniform(F.col(key), seed, a, i) - 1)
     tries = F.array(*[cand(a) for a in range(attempts)])
     ok = F.filter(tries, lambda x: F.abs(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)) > margin)
-    out = keys.select(key, F.element_at(ok, 1).alias("x")).where(F.col("x").isNotNull())
+    first = F.element_at(tries, 1)
+    total = F.aggregate(first, F.lit(0.0), lambda acc, v: acc + v)
+    sign = F.when(total > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    share = (F.lit((margin + d) / 2) - F.abs(total)) / (F.lit(float(d)) - F.abs(total))
+    moved = F.transform(first, lambda v: v + (sign - v) * share)
+    out = keys.select(key, F.when(F.size(ok) > 0, F.get(ok, F.lit(0))).otherwise(moved).alias("x"))
     s = F.aggregate(F.col("x"), F.lit(0.0), lambda acc, v: acc + v)
     out = out.withColumn("y", F.when(s > 0, -1).otherwise(1))
     return out.orderBy(key).limit(n) if n else out

@@ -1,8 +1,8 @@
 """Feature maps and similarity against landmarks (K1–K5).
 
 Pairwise kernels are never an n × n cross product. One side is a bounded
-landmark set (``max_landmarks`` is checked before anything is collected);
-its states are attached to every row as one broadcast row, and each row
+landmark set (``MAX_LANDMARKS`` is checked before anything is collected), a hash
+sample of the rows, attached to every row as one broadcast row, and each row
 computes its whole kernel row as an array with higher-order array
 functions — no shuffle, no pair explosion. Random parameters and draws
 come from md5 of (seed, tag, index / row key), so a recomputed partition
@@ -17,9 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import md5_normal, md5_uniform
+from equisel.functions.exprs import hash32, md5_normal, md5_uniform
 
 MAX_LANDMARKS = 4096
+LANDMARK_SEED = 11
 MAX_PARAMS = 2_000_000
 
 
@@ -77,65 +78,13 @@ def random_binary_features(df: DataFrame, x: str, key: str, episodes: int, q: in
     return j.withColumn(out, F.flatten(fin)).drop("__c")
 
 
-# ---------------------------------------------------------------- separable overlap
-_C8, _S8 = math.cos(math.pi / 8), math.sin(math.pi / 8)
-
-
-def _layer(C, S, s):
-    """One layer RY(−x)·RX(−π/4) applied to the state struct (ar, ai, br, bi),
-    as one closed-form complex 2×2 matrix; C = cos(x/2), S = sin(x/2) are
-    lambda variables, so nothing is evaluated twice.
-
-    RX(−π/4) = [[c, i s], [i s, c]], RY(−x) = [[C, S], [−S, C]] with
-    c = cos(π/8), s = sin(π/8); the product is
-    [[C c + i S s, S c + i C s], [−S c + i C s, C c − i S s]]."""
-    m00r, m00i = C * _C8, S * _S8
-    m01r, m01i = S * _C8, C * _S8
-    m10r, m10i = -S * _C8, C * _S8
-    m11r, m11i = C * _C8, -S * _S8
-    ar, ai, br, bi = s["ar"], s["ai"], s["br"], s["bi"]
-    return F.struct(
-        (m00r * ar - m00i * ai + m01r * br - m01i * bi).alias("ar"),
-        (m00r * ai + m00i * ar + m01r * bi + m01i * br).alias("ai"),
-        (m10r * ar - m10i * ai + m11r * br - m11i * bi).alias("br"),
-        (m10r * ai + m10i * ar + m11r * bi + m11i * br).alias("bi"))
-
-
-def _state_from_cs(C, S, layers: int) -> F.Column:
-    s0 = F.struct(F.lit(1.0).alias("ar"), F.lit(0.0).alias("ai"), F.lit(0.0).alias("br"), F.lit(0.0).alias("bi"))
-    if layers == 1:
-        return _layer(C, S, s0)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(layers)), s0, lambda acc, _: _layer(C, S, acc))
-
-
-def _states(arr: F.Column, layers: int) -> F.Column:
-    """Per feature the state; half-angle cos/sin are computed once per value."""
-    cs = F.transform(arr, lambda v: F.struct(F.cos(v / 2).alias("c"), F.sin(v / 2).alias("s")))
-    return F.transform(cs, lambda t: _state_from_cs(t["c"], t["s"], layers))
-
-
-def qubit_state(x: F.Column, layers: int) -> F.Column:
-    """K2: φ(x) = (RY(−x)·RX(−π/4))^layers |0⟩ as struct(ar, ai, br, bi)."""
-    return F.element_at(_states(F.array(x), layers), 1)
-
-
-def qubit_states(df: DataFrame, x: str, layers: int = 1, out: str = "states") -> DataFrame:
-    """K2 on an array column: one state per feature."""
-    return df.withColumn(out, _states(F.col(x), layers))
-
-
-def _overlap2(a, b) -> F.Column:
-    """|⟨b|a⟩|² for two single-qubit states."""
-    re = b["ar"] * a["ar"] + b["ai"] * a["ai"] + b["br"] * a["br"] + b["bi"] * a["bi"]
-    im = b["ar"] * a["ai"] - b["ai"] * a["ar"] + b["br"] * a["bi"] - b["bi"] * a["br"]
-    return F.pow(re, 2) + F.pow(im, 2)  # each part evaluated once (no CSE inside lambdas)
-
-
+# ---------------------------------------------------------------- product kernel
 def landmarks(df: DataFrame, key: str, cols: Sequence[str], m: int) -> DataFrame:
-    """A bounded landmark set: the first ``m`` rows by key (checked cap)."""
+    """A landmark set of ``m`` rows in the order of a seeded hash of the key (a
+    uniform sample; ``m`` is bounded because the set rides on every row)."""
     if m > MAX_LANDMARKS:
         raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
-    return df.orderBy(key).limit(m).select(key, *cols)
+    return df.orderBy(hash32(key, LANDMARK_SEED), key).limit(m).select(key, *cols)
 
 
 def _landmark_row(lm: DataFrame, key: str, value: F.Column, name: str) -> DataFrame:
@@ -144,24 +93,14 @@ def _landmark_row(lm: DataFrame, key: str, value: F.Column, name: str) -> DataFr
                               lambda s: s["v"]).alias(name))
 
 
-def overlap_kernel(df: DataFrame, lm: DataFrame, x: str, key: str, layers: int = 1, out: str = "kernel") -> DataFrame:
-    """K3: K(row, l) = Π_f |⟨φ(l_f)|φ(row_f)⟩|² for every landmark l, as an
-    array per row (landmark order = key order).
-
-    Landmark states are attached transposed (per feature: the states of all
-    landmarks), and the loop runs over features outermost, so the row's
-    states are evaluated once per row, not once per landmark."""
-    lstates = _landmark_row(lm, key, _states(F.col(x), layers), "__lm")
-    d = F.size(F.element_at(F.col("__lm"), 1))  # vector width, from the landmark row itself (no extra job)
-    lrow = lstates.select(F.transform(F.sequence(F.lit(1), d),
-                                      lambda f: F.transform(F.col("__lm"), lambda ls: F.element_at(ls, f))).alias("__lmT"),
-                          F.size("__lm").alias("__m"))
-    j = df.crossJoin(F.broadcast(lrow))  # one row of bounded landmark states
-    per_feature = F.zip_with(_states(F.col(x), layers), F.col("__lmT"),
-                             lambda st, lms: F.transform(lms, lambda l: _overlap2(st, l)))
-    k = F.aggregate(per_feature, F.array_repeat(F.lit(1.0), F.col("__m")),
-                    lambda acc, arr: F.zip_with(acc, arr, lambda p, v: p * v))
-    return j.withColumn(out, k).drop("__lmT", "__m")
+def product_kernel(df: DataFrame, lm: DataFrame, x: str, key: str, out: str = "kernel") -> DataFrame:
+    """K(row, l) = Π_f (3 + cos(row_f − l_f)) / 4 for every landmark l, as an
+    array per row (landmarks in key order)."""
+    lrow = _landmark_row(lm, key, F.col(x), "__lm")
+    j = df.crossJoin(F.broadcast(lrow))  # one row of bounded landmarks
+    k = F.transform(F.col("__lm"), lambda l: F.aggregate(
+        F.zip_with(F.col(x), l, lambda a, b: (F.lit(3.0) + F.cos(a - b)) / 4), F.lit(1.0), lambda acc, v: acc * v))
+    return j.withColumn(out, k).drop("__lm")
 
 
 def rbf_gamma(df: DataFrame, x: str) -> float:
@@ -181,17 +120,18 @@ def rbf_kernel(df: DataFrame, lm: DataFrame, x: str, key: str, gamma_factor: flo
     return j.withColumn(out, k).drop("__lm")
 
 
-def class_mean_similarity(df: DataFrame, train: DataFrame, x: str, key: str, y: str, n_examples: int, layers: int = 1,
-                          out: str = "proba") -> DataFrame:
-    """K5: mean overlap with the first ``n`` training examples of class −1
-    and of +1 (n clipped to the smaller class), normalised to sum 1; the
-    label is the larger side."""
-    counts = {r[0]: r[1] for r in train.groupBy(y).count().collect()}  # two classes
-    n = min([n_examples, *counts.values()])
+def class_mean_similarity(df: DataFrame, train: DataFrame, x: str, key: str, y: str, n_examples: int, out: str = "proba") -> DataFrame:
+    """Mean product kernel with ``n`` training examples of class −1 and of +1
+    (a hash sample of each, n clipped to the smaller class), normalised to sum
+    1; the label is the larger side."""
+    sides = train.agg(F.count_if(F.col(y) == -1).alias("neg"), F.count_if(F.col(y) == 1).alias("pos")).first()
+    n = min(n_examples, sides["neg"], sides["pos"])
+    if not n:
+        raise ValueError("both classes need at least one training example")
     neg = landmarks(train.where(F.col(y) == -1), key, [x], n)
     pos = landmarks(train.where(F.col(y) == 1), key, [x], n)
-    a = overlap_kernel(df, neg, x, key, layers, "__kn")
-    b = overlap_kernel(a, pos, x, key, layers, "__kp")
+    a = product_kernel(df, neg, x, key, "__kn")
+    b = product_kernel(a, pos, x, key, "__kp")
     mean = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda acc, v: acc + v) / F.size(F.col(c))
     s_neg, s_pos = mean("__kn"), mean("__kp")
     tot = s_neg + s_pos

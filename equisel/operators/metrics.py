@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from equisel.functions.exprs import indexed_explode, r6, safe_div
 from equisel.functions.prefix import running_totals
 
+MAX_LABELS = 20
 LOG_EPS = 2.220446049250313e-16  # float64 machine epsilon (probability clip)
 MAX_CURVE_POINTS = 500
 
@@ -52,6 +53,10 @@ def confusion_matrix(df: DataFrame, by: Sequence[str] = (), y_true="y_true", y_p
     by = _by(by)
     cells = confusion_counts(df, by, y_true, y_pred)
     labs = label_set(cells, by)
+    # the grid is labels x labels: its size is checked before it is formed
+    many = labs.groupBy(*by).agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") > MAX_LABELS)
+    if not many.isEmpty():
+        raise ValueError(f"more than {MAX_LABELS} labels; use confusion_counts for the cells that occur")
     grid = labs.select(*by, F.col("label").alias("y_true")).join(
         labs.select(*by, F.col("label").alias("y_pred")), on=by, how="inner"
     ) if by else labs.select(F.col("label").alias("y_true")).crossJoin(labs.select(F.col("label").alias("y_pred")))
@@ -202,11 +207,16 @@ def log_loss(df: DataFrame, by: Sequence[str] = (), y_true="y_true", proba="prob
 
 
 # ---------------------------------------------------------------- curves
+def required(score: str) -> "F.Column":
+    """The score; a row without one is an error, never left out."""
+    return F.coalesce(F.col(score), F.raise_error(F.lit(f"NULL in score column {score!r}")).cast("double"))
+
+
 def score_counts(df: DataFrame, by: Sequence[str] = (), y_true="y_true", score="score", pos=1) -> DataFrame:
     """Ties collapse first: ``(by, score, pos, neg)`` per distinct score."""
     by = _by(by)
     is_pos = F.col(y_true) == F.lit(pos)
-    return df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
+    return df.groupBy(*by, required(score).alias("score")).agg(
         F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg")
     )
 
@@ -303,7 +313,11 @@ def one_vs_rest(df: DataFrame, n_classes: int, by: Sequence[str] = (), y_true="y
     by = _by(by)
     ex = indexed_explode(df.select(*by, F.col(y_true).alias("__y"), F.col(proba).alias("__proba")), "__proba",
                          "class_code", "score")
-    return ex.where(F.col("class_code") < n_classes).select(
+    # a label that is no class code would count as "rest" everywhere
+    unknown = F.raise_error(F.concat(F.lit(f"class code outside 0..{n_classes - 1}: "), F.col("__y").cast("string")))
+    ex = ex.where(F.when((F.col("__y") < 0) | (F.col("__y") >= n_classes), unknown.cast("boolean")).otherwise(F.lit(True)))
+    beyond = F.raise_error(F.lit(f"more than {n_classes} probabilities in a row"))
+    return ex.where(F.when(F.col("class_code") >= n_classes, beyond.cast("boolean")).otherwise(F.lit(True))).select(
         *by, F.col("class_code").cast("int").alias("class_code"),
         F.when(F.col("__y") == F.col("class_code"), 1).otherwise(0).alias("y_ind"), F.col("score").cast("double").alias("score"))
 
@@ -369,7 +383,7 @@ def metric_report(df: DataFrame, by: Sequence[str] = (), multiclass: bool = Fals
     if multiclass:
         return _metric_report_mc(df, by, n_classes, y_true, y_pred, proba)
     is_pos = F.col(y_true) == F.lit(pos)
-    base = _materialise(df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score"), F.col(y_pred).alias("yp")).agg(
+    base = _materialise(df.groupBy(*by, F.col(score).alias("score"), F.col(y_pred).alias("yp")).agg(
         F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg")))
     hit = F.col("yp") == F.lit(pos)
     cnt = base.groupBy(*by).agg(
@@ -387,7 +401,9 @@ def metric_report(df: DataFrame, by: Sequence[str] = (), multiclass: bool = Fals
     kappa = safe_div(c_ / s_ - sum_pt / (s_ * s_), F.lit(1.0) - sum_pt / (s_ * s_))
     scal = cnt.select(*by, r6(c_ / s_).alias("accuracy"), r6(p_).alias("precision"), r6(r_).alias("recall"),
                       r6(f_).alias("f1"), r6(mcc).alias("mcc"), r6(kappa).alias("kappa"))
-    sc = base.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # counts use every row; score metrics are defined only where every row has a score
+    lacking = base.groupBy(*by).agg(F.sum(F.when(F.col("score").isNull(), F.col("pos") + F.col("neg")).otherwise(0)).alias("lacking"))
+    sc = base.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     clip = lambda c: F.least(F.greatest(c.cast("double"), F.lit(LOG_EPS)), F.lit(1.0 - LOG_EPS))
     ll = sc.groupBy(*by).agg(r6(-(F.sum(F.col("pos") * F.ln(clip(F.col("score"))) +
                                       F.col("neg") * F.ln(clip(F.lit(1.0) - F.col("score")))) /
@@ -395,14 +411,17 @@ def metric_report(df: DataFrame, by: Sequence[str] = (), multiclass: bool = Fals
     curves = _auc_ap(_cumulative_from_counts(sc, by), by).withColumnRenamed("auc", "roc_auc")
     names = ["accuracy", "precision", "recall", "f1", "mcc", "kappa", "log_loss", "roc_auc", "average_precision"]
     if by:
-        wide = scal.join(ll, by, "left").join(curves, by, "left")
+        wide = scal.join(ll, by, "left").join(curves, by, "left").join(lacking, by, "left")
     else:  # one-row tables; an aggregate over an empty curve table still yields one (null) row
         one = curves.agg(F.max("roc_auc").alias("roc_auc"), F.max("average_precision").alias("average_precision"))
-        wide = scal.crossJoin(ll).crossJoin(one)
+        wide = scal.crossJoin(ll.agg(F.max("log_loss").alias("log_loss"))).crossJoin(one).crossJoin(lacking)
     stack = ", ".join(f"'{m}', `{m}`" for m in names)
-    long = wide.select(*by, F.expr(f"stack({len(names)}, {stack}) AS (metric, value)"))
-    err = F.when(F.col("value").isNull(), F.concat(F.lit("ValueError: "), F.col("metric"),
-                                                    F.lit(" undefined (evaluation labels contain a single class)")))
+    for m in ("log_loss", "roc_auc", "average_precision"):
+        wide = wide.withColumn(m, F.when(F.col("lacking") == 0, F.col(m)))
+    long = wide.select(*by, "lacking", F.expr(f"stack({len(names)}, {stack}) AS (metric, value)"))
+    err = F.when(F.col("value").isNull(), F.concat(F.lit("ValueError: no "), F.col("metric"), F.when(
+        F.col("lacking") > 0, F.concat(F.lit(", "), F.col("lacking").cast("string"), F.lit(" rows have no score"))).otherwise(
+        F.lit(", all labels are of one class"))))
     return long.select(*by, "metric", F.col("value").cast("double").alias("value"), err.alias("error"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equisel.functions.exprs import hash32, r6, safe_div
-from equisel.functions.prefix import dense_position
+from equisel.functions.prefix import dense_position, sliding
 
 # Default search space (param → ordered choices) of the reference.
 DEFAULT_SEARCH_SPACE: dict = {
@@ -163,12 +163,14 @@ def tpe_rank(log: DataFrame, candidates: DataFrame, params: Sequence[str], gamma
     lab = pos.join(n, "study").withColumn("good", F.col("__pos") <= F.ceil(F.col("__n") * F.lit(gamma)))
     long = lab.select("study", "good", F.explode("params").alias("param", "choice")).where(F.col("param").isin(*params))
     cnt = long.groupBy("study", "param", "choice").agg(F.count_if("good").alias("ng_c"), F.count_if(~F.col("good")).alias("nb_c"))
+    cl = candidates.select("study", "cand_id", F.explode("params").alias("param", "choice")).where(F.col("param").isin(*params))
+    # a choice that no finished trial has counts 0 in both groups and as one of the K choices
+    cnt = cl.select("study", "param", "choice").distinct().join(cnt, ["study", "param", "choice"], "full").fillna(0, ["ng_c", "nb_c"])
     k = cnt.groupBy("study", "param").agg(F.count(F.lit(1)).alias("K"))
     tot = lab.groupBy("study").agg(F.count_if("good").alias("ng"), F.count_if(~F.col("good")).alias("nb"))
     dens = cnt.join(k, ["study", "param"]).join(tot, "study").select(
         "study", "param", "choice",
         (F.log((F.col("ng_c") + 1) / (F.col("ng") + F.col("K"))) - F.log((F.col("nb_c") + 1) / (F.col("nb") + F.col("K")))).alias("llr"))
-    cl = candidates.select("study", "cand_id", F.explode("params").alias("param", "choice")).where(F.col("param").isin(*params))
     sc = cl.join(dens, ["study", "param", "choice"], "left").groupBy("study", "cand_id").agg(
         r6(F.sum(F.coalesce("llr", F.lit(0.0)))).alias("score"))
     # candidate ids are unique, so rank = position by (score desc, id); bucketed, not one window per study
@@ -194,7 +196,8 @@ def tune_threshold(preds: DataFrame, by: Sequence[str] = ("trial",), score: str
     cut = lambda k: k.cast("double") / F.lit(float(steps))
     b1 = F.when((b0 > 0) & (s_ < cut(b0)), b0 - 1).when((b0 < steps - 1) & (s_ >= cut(b0 + 1)), b0 + 1).otherwise(b0)
     # the one raw pass: (group, cut bucket, given prediction) → positives / negatives
-    raw = preds.where(s_.isNotNull()).groupBy(*by, b1.alias("b"), (F.col(y_pred) == pos).alias("hit")).agg(
+    lacking = F.raise_error(F.lit(f"NULL in score column {score!r}"))
+    raw = preds.groupBy(*by, F.when(s_.isNull(), lacking.cast("int")).otherwise(b1).alias("b"), (F.col(y_pred) == pos).alias("hit")).agg(
         F.count_if(t_).alias("p"), F.count_if(~t_).alias("n"))
     base = raw.groupBy(*by).agg(
         F.sum(F.when(F.col("hit"), F.col("p")).otherwise(0)).alias("tp"),
@@ -212,9 +215,10 @@ def tune_threshold(preds: DataFrame, by: Sequence[str] = ("trial",), score: str
     at = g.where(F.col("b") >= 1).select(*by, F.col("b").alias("k"), safe_div(
         2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + (F.col("P") - F.col("tp"))).alias("f1"))
     best = at.groupBy(*by).agg(F.max_by(F.struct("k", "f1"), F.struct(F.col("f1"), -F.col("k"))).alias("bst"))
-    out = best.join(base, by).select(*by, (F.col("bst.k") / F.lit(float(steps))).alias("best_threshold"),
-                                     r6("bst.f1").alias("best_f1"), r6("base_f1").alias("base_f1"))
-    return out.withColumn("adopted", F.col("best_f1") > F.col("base_f1"))
+    # compared before rounding
+    return best.join(base, by).select(*by, (F.col("bst.k") / F.lit(float(steps))).alias("best_threshold"),
+                                      r6("bst.f1").alias("best_f1"), r6("base_f1").alias("base_f1"),
+                                      (F.col("bst.f1") > F.col("base_f1")).alias("adopted"))
 
 
 def family_attrs(scores: DataFrame, model_type: str = "model_type",
@@ -230,15 +234,23 @@ def family_attrs(scores: DataFrame, model_type: str = "model_type",
     return scores.withColumns(cols)
 
 
-def check_resume(log: DataFrame, current: dict, params: Sequence[str]) -> DataFrame:
-    """Choice lists seen in the stored log vs the current space; any
-    shared param whose (sorted) lists differ is a conflict, sorted by name."""
-    spark = log.sparkSession
-    stored = log.select(F.explode("params").alias("param", "choice")).where(F.col("param").isin(*params)).distinct()
-    st = stored.groupBy("param").agg(F.array_sort(F.collect_list("choice")).alias("stored"))
-    cur = spark.createDataFrame([(p, sorted(str(v) for v in vs)) for p, vs in current.items()],
-                                "param string, current array<string>")
-    return st.join(cur, "param").where(F.col("stored") != F.col("current")).orderBy("param")
+def stored_space(spark: SparkSession, space: dict, model_types: Sequence[str]) -> DataFrame:
+    """The choice lists of a search as a table to store with its run:
+    ``(param, choices, model_types)``, choices as JSON texts in their order."""
+    rows = [(p, [json.dumps(v, sort_keys=True) for v in vs], sorted(model_types)) for p, vs in space.items()]
+    return spark.createDataFrame(rows, "param string, choices array<string>, model_types array<string>")
+
+
+def check_resume(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """Parameters whose stored choice list differs from the current one
+    (content or order), by name; a changed list of model types is the conflict
+    ``model_type``. Parameters of one side only are no conflict. Both tables
+    are :func:`stored_space`'s, kept when a search starts; lists are never
+    inferred from the values that trials happened to draw."""
+    pick = lambda df, name: df.select("param", F.col("choices").alias(name)).unionByName(
+        df.select(F.lit("model_type").alias("param"), F.array_sort("model_types").alias(name)).distinct())
+    both = pick(stored, "stored").join(pick(current, "current"), "param")
+    return both.where(F.col("stored") != F.col("current")).orderBy("param")
 
 
 def report_index(reports: DataFrame) -> DataFrame:
@@ -249,46 +261,60 @@ def report_index(reports: DataFrame) -> DataFrame:
 
 def asha_prune(reports: DataFrame, min_resource: int = 1, eta: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """H12 (Li et al. 2018, successive halving on report indices): rung r
-    sits at report index min·eta^r. Trials reaching a rung are ranked by
-    their value there (desc, ties by trial); the top max(1, floor(n/eta))
-    survive. Output ``(by, study, trial, rung, resource, value, rank, n, kept)``."""
+    sits at report index min·eta^r. The trials that reach a rung and survived
+    the rung below are ranked by their value there (desc, ties by trial); the
+    top max(1, floor(n/eta)) survive. Output
+    ``(by, study, trial, rung, resource, value, rank, n, kept)``.
+
+    One index pass over the reports keeps only rung rows (written once); each
+    rung then works on the survivors, a 1/eta share, and the number of rungs is
+    the logarithm of the longest run."""
+    from equisel.session import materialise
+
     by = list(by)
     ri = report_index(reports)
     r = F.log(F.col("report_idx") / F.lit(float(min_resource))) / F.log(F.lit(float(eta)))
-    rung = F.round(r).cast("int")
-    at = ri.where(F.col("report_idx") >= min_resource).withColumn("rung", rung).where(
+    at = ri.where(F.col("report_idx") >= min_resource).withColumn("rung", F.round(r).cast("int")).where(
         F.col("report_idx") == F.lit(min_resource) * F.pow(F.lit(float(eta)), F.col("rung")).cast("long"))
-    at = at.withColumn("__neg", -F.col("value"))
-    ranked = dense_position(at, ["__neg", "trial"], by=[*by, "study", "rung"], name="rank")
-    n = at.groupBy(*by, "study", "rung").agg(F.count(F.lit(1)).alias("n"))
-    out = ranked.join(n, [*by, "study", "rung"]).select(
-        *by, "study", "trial", "rung", F.col("report_idx").alias("resource"), "value", "rank", "n",
-        (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(eta)))).alias("kept"))
+    at = materialise(at.withColumn("__neg", -F.col("value")))
+    top = at.agg(F.max("rung").alias("r")).first()["r"]
+    out = kept = None
+    for rung in range(0 if top is None else top + 1):
+        here = at.where(F.col("rung") == rung)
+        if kept is not None:
+            here = here.join(kept, [*by, "study", "trial"], "left_semi")
+        ranked = dense_position(here, ["__neg", "trial"], by=[*by, "study"], name="rank")
+        n = here.groupBy(*by, "study").agg(F.count(F.lit(1)).alias("n"))
+        done = ranked.join(n, [*by, "study"]).select(
+            *by, "study", "trial", "rung", F.col("report_idx").alias("resource"), "value", "rank", "n",
+            (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(eta)))).alias("kept"))
+        done = materialise(done)
+        kept = done.where("kept").select(*by, "study", "trial")
+        out = done if out is None else out.unionByName(done)
+    if out is None:
+        out = at.select(*by, "study", "trial", "rung", F.col("report_idx").alias("resource"), "value", F.lit(0).cast("long").alias("rank"),
+                        F.lit(0).cast("long").alias("n"), F.lit(False).alias("kept"))
     return out
 
 
 def hyperband_prune(reports: DataFrame, min_resource: int = 1, eta: int = 3, n_brackets: int = 2) -> DataFrame:
     """Trials hashed into brackets; bracket b runs successive halving
-    with minimum resource min·eta^b."""
+    with minimum resource min·eta^b. The brackets are few (a parameter), and
+    each reads only its own trials' reports."""
     b = reports.withColumn("bracket", (hash32("trial", 17) % n_brackets).cast("int"))
-    parts = []
+    out = None
     for k in range(n_brackets):
-        parts.append(asha_prune(b.where(F.col("bracket") == k).drop("bracket"), min_resource * eta ** k, eta)
-                     .withColumn("bracket", F.lit(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        own = asha_prune(b.where(F.col("bracket") == k), min_resource * eta ** k, eta, by=["bracket"])
+        out = own if out is None else out.unionByName(own)
     return out
 
 
 def intermediate_neg_loss(reports: DataFrame, window: int = 3) -> DataFrame:
     """H14 (loss form): per report −mean of the last ``window`` values of
-    its trial (cum-sum difference, no per-trial window partition)."""
-    from equisel.functions.prefix import sliding_sums
-
-    ri = report_index(reports).withColumn("__p", F.col("report_idx") + 1).withColumn("__one", F.lit(1))
-    s = sliding_sums(ri, "__p", ["value", "__one"], window, by=["study", "trial"])
-    return s.select("study", "trial", "step", "report_idx", r6(-F.col("win_value") / F.col("win___one")).alias("neg_loss"))
+    its trial."""
+    ri = report_index(reports).withColumn("__p", F.col("report_idx") + 1)
+    s = sliding(ri, "__p", {"__mean": (F.avg("value"), window - 1, 0)}, window - 1, ["study", "trial"])
+    return s.select("study", "trial", "step", "report_idx", r6(-F.col("__mean")).alias("neg_loss"))
 
 
 def fairness_feasible(log: DataFrame, threshold: float | None = None, metric: str = "demographic_parity_difference",

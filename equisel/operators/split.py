@@ -62,9 +62,7 @@ def stratified_split(df: DataFrame, key: str = "row_id", label: str = "y", frac:
         return pos.withColumn(out, F.when(F.col(_POS) <= k, names[0]).otherwise(names[1])).drop(_H, _POS)
     q = _quota(counts, label, frac, "floor")
     pos = dense_position(base, [_H, key], by=[label], name=_POS)
-    qt = q.select(label, "quota")
-    qt = F.broadcast(qt) if n_classes <= 10000 else qt  # broadcast only a counted, small class table
-    j = pos.join(qt, on=label, how="inner")
+    j = pos.join(q.select(label, "quota"), on=label, how="inner")  # Spark broadcasts the quotas where their size allows
     return j.withColumn(out, F.when(F.col(_POS) <= F.col("quota"), names[0]).otherwise(names[1])).drop(_H, _POS, "quota")
 
 
@@ -84,7 +82,7 @@ def validation_split(df: DataFrame, key: str = "row_id", label: str = "y", frac:
     q = _quota(counts, label, frac, "ceil")
     base = df.withColumn(_H, hash32(key, seed))
     pos = dense_position(base.where(F.col(split) == "train"), [_H, key], by=[label], name=_POS)
-    j = pos.join(F.broadcast(q.select(label, "quota")), on=label, how="inner")
+    j = pos.join(q.select(label, "quota"), on=label, how="inner")
     carved = j.withColumn(split, F.when(F.col(_POS) <= F.col("quota"), "val").otherwise("train")).drop(_POS, "quota")
     return carved.drop(_H).unionByName(df.where(F.col(split) != "train"))
 

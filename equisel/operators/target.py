@@ -30,10 +30,11 @@ def derive_task_spec(df: DataFrame, y: str = "y", label_mapping: dict | None = N
                      favorable=None) -> TaskSpec:
     """Distinct target values as sorted strings (at most 21 reach the
     driver). <2 or >20 → error; 2 → binary [negative, positive] (a mapping
-    ``{label: ±1}`` decides the order); >2 → multiclass, the favorable
+    ``{label: ±1}`` or ``{"neg": label, "pos": label}`` decides the order); >2 → multiclass, the favorable
     class must exist."""
-    vals = [r[0] for r in df.select(F.col(y).cast("string")).where(F.col(y).isNotNull()).distinct()
-            .limit(MAX_CLASSES + 1).collect()]
+    vals = [r[0] for r in df.select(F.col(y).cast("string")).distinct().limit(MAX_CLASSES + 2).collect()]
+    if None in vals:
+        raise ValueError(f"Column {y!r} has rows without a label; fill or drop them first")
     labels = sorted(vals)
     if len(labels) < 2:
         raise ValueError(f"Target column needs at least 2 classes, found {len(labels)}: {labels}")
@@ -41,10 +42,14 @@ def derive_task_spec(df: DataFrame, y: str = "y", label_mapping: dict | None = N
         raise ValueError(f"Target column has more than {MAX_CLASSES} classes")
     if len(labels) == BINARY_N_CLASSES:
         if label_mapping:
-            pos = [str(k) for k, v in label_mapping.items() if int(v) == 1]
-            neg = [str(k) for k, v in label_mapping.items() if int(v) == -1]
-            if pos and neg:
-                labels = [neg[0], pos[0]]
+            if set(label_mapping) == {"neg", "pos"}:
+                labels = [str(label_mapping["neg"]), str(label_mapping["pos"])]
+            else:
+                by_code = {int(v): str(k) for k, v in label_mapping.items()}
+                if by_code.keys() >= {-1, 1}:
+                    labels = [by_code[-1], by_code[1]]
+            if sorted(labels) != sorted(vals):
+                raise ValueError(f"Label mapping names {labels}, the column holds {sorted(vals)}")
         return TaskSpec("binary", 2, labels, labels[1], 1)
     fav = None if favorable is None else str(favorable)
     if fav is not None and fav not in labels:
@@ -58,8 +63,11 @@ def task_spec_frame(df: DataFrame, y: str = "y", **kw) -> DataFrame:
 
 
 def encode_binary(df: DataFrame, spec: TaskSpec, y: str = "y", out: str = "y") -> DataFrame:
-    """value = positive label → +1 else −1 (compared as text)."""
-    return df.withColumn(out, F.when(F.col(y).cast("string") == F.lit(spec.class_labels[1]), 1).otherwise(-1))
+    """Positive label → +1, negative label → −1 (compared as text). A NULL
+    or any other value is an error."""
+    v = F.col(y).cast("string")
+    other = F.raise_error(F.concat(F.lit(f"neither of the two labels {spec.class_labels}: "), F.coalesce(v, F.lit("NULL")))).cast("int")
+    return df.withColumn(out, F.when(v == F.lit(spec.class_labels[1]), 1).when(v == F.lit(spec.class_labels[0]), -1).otherwise(other))
 
 
 def encode_multiclass(df: DataFrame, spec: TaskSpec, y: str = "y", out: str = "y") -> DataFrame:
@@ -126,4 +134,4 @@ def balanced_class_weights(df: DataFrame, y: str = "y", out: str = "weight") ->
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("__nc"))
     tot = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
     w = counts.crossJoin(tot).select(y, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(w), y, "left")
+    return df.join(w, y, "left")  # Spark broadcasts the class table where its size allows

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equisel.functions.exprs import r6
-from equisel.functions.prefix import sliding_sums, dense_position
+from equisel.functions.prefix import dense_position, sliding
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -109,6 +109,57 @@ def fit_one_vs_rest(train: DataFrame, C: float = 1.0, parallelism: int = 4, feat
     return OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=parallelism).fit(train)
 
 
+def _margin(x: str, w: list[float], b: float) -> F.Column:
+    wl = F.array(*[F.lit(v) for v in w])
+    return F.aggregate(F.zip_with(F.col(x), wl, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v) + F.lit(b)
+
+
+def perceptron_scorer(train: DataFrame, n_classes: int | None = None, eta0: float = 1.0, epochs: int = 10,
+                      class_weight: str | None = None, features: str = "features", y: str = "y"):
+    """M3 on an assembled vector column: a function that adds ``y_pred``. With
+    ``n_classes`` one perceptron per class is fitted against the rest and the
+    largest margin wins (the smaller class on a tie)."""
+    def arrays(df):
+        return df.withColumn("__x", vector_to_array(features))
+
+    data = arrays(train)
+    if n_classes is None:
+        w, b = fit_perceptron(data, "__x", y, eta0, epochs, class_weight)
+        return lambda df: arrays(df).withColumn("y_pred", F.when(_margin("__x", w, b) > 0, 1).otherwise(-1)).drop("__x")
+    each = [fit_perceptron(data.withColumn("__y", F.when(F.col(y) == k, 1).otherwise(-1)), "__x", "__y", eta0, epochs, class_weight)
+            for k in range(n_classes)]
+
+    def scored(df):
+        best = F.greatest(*[F.struct(_margin("__x", w, b).alias("m"), F.lit(-k).alias("k")) for k, (w, b) in enumerate(each)])
+        return arrays(df).withColumn("y_pred", -best["k"]).drop("__x")
+
+    return scored
+
+
+def kernel_scorer(train: DataFrame, binary: bool, C: float = 1.0, gamma: float | None = None, n_landmarks: int = 50,
+                  features: str = "features", key: str = "row_id"):
+    """M5 on an assembled vector column: kernel values against ``n_landmarks``
+    train rows (in hash order of the key) as features of a linear machine, one
+    against the rest when there are more than two classes."""
+    from pyspark.ml.functions import array_to_vector
+
+    from equisel.operators.kernels import landmarks, rbf_gamma, rbf_kernel
+
+    def arrays(df):
+        return df.withColumn("__x", vector_to_array(features))
+
+    data = arrays(train)
+    lm = landmarks(data, key, ["__x"], n_landmarks)
+    g = float(gamma) if gamma not in (None, "scale") else rbf_gamma(data, "__x")
+
+    def mapped(df):
+        return rbf_kernel(arrays(df), lm, "__x", key, gamma=g).withColumn("__k", array_to_vector("kernel")).drop("kernel", "__x")
+
+    fitted = mapped(train)
+    m = fit_linear_svc(fitted, C, features="__k") if binary else fit_one_vs_rest(fitted, C, features="__k")
+    return lambda df: score(m, mapped(df), binary=binary).drop("__k")
+
+
 def score(model, df: DataFrame, binary: bool = True) -> DataFrame:
     """M7: ``y_pred`` (±1 or class code), probability array when the model
     gives one, positive-class probability and margin P(+1) − P(−1)."""
@@ -131,21 +182,15 @@ def loss_convergence(loss: DataFrame, w: int, by: Sequence[str] = ("study", "tri
                      value: str = "value") -> DataFrame:
     """A run converges at the first 0-based step s > 2w where
     |mean(last w) − mean(previous w)| ≤ std_pop(last w)/√w/2. Steps after
-    a NaN loss are ignored (training stops). Window sums are cum-sum
-    differences over a bucketed position (no per-trial window partition)."""
+    a NaN loss are ignored (training stops)."""
     by = list(by)
-    pos = dense_position(loss, step, by=by, name="__p")
+    pos = dense_position(loss.select(*by, step, value), step, by=by, name="__p")
     nan_at = pos.where(F.isnan(value)).groupBy(*by).agg(F.min("__p").alias("__nan"))
     pos = pos.join(nan_at, by, "left").where(F.col("__nan").isNull() | (F.col("__p") < F.col("__nan")))
-    pos = pos.withColumn("__sq", F.col(value) * F.col(value))
-    a = sliding_sums(pos, "__p", [value, "__sq"], w, by=by, prefix="a_")
-    b2 = sliding_sums(pos, "__p", [value], 2 * w, by=by, prefix="b_")
-    j = a.join(b2.select(*by, "__p", "b_" + value), [*by, "__p"])
-    m1 = F.col("a_" + value) / w
-    m2 = (F.col("b_" + value) - F.col("a_" + value)) / w
-    var = F.greatest(F.col("a___sq") / w - m1 * m1, F.lit(0.0))
-    cond = (F.col("__p") - 1 > 2 * w) & (F.abs(m2 - m1) <= F.sqrt(var) / F.lit(w ** 0.5) / 2)
-    first = j.where(cond).groupBy(*by).agg(F.min(F.col("__p") - 1).alias("converged_step"))
+    j = sliding(pos, "__p", {"__last": (F.avg(value), w - 1, 0), "__before": (F.avg(value), 2 * w - 1, w),
+                             "__spread": (F.stddev_pop(value), w - 1, 0)}, 2 * w - 1, by)
+    met = (F.col("__p") - 1 > 2 * w) & (F.abs(F.col("__before") - F.col("__last")) <= F.col("__spread") / F.lit(w ** 0.5) / 2)
+    first = j.where(met).groupBy(*by).agg(F.min(F.col("__p") - 1).alias("converged_step"))
     allk = loss.select(*by).distinct()
     return allk.join(first, by, "left").withColumn("converged", F.col("converged_step").isNotNull())
 

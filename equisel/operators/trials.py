@@ -100,13 +100,15 @@ def best_per_family(log: DataFrame) -> DataFrame:
 
 
 def repair_best_value(runs: DataFrame, log: DataFrame) -> DataFrame:
-    """A run's stored best differs from the recomputed max over its
-    finished trials → overwrite value and params (params of the best trial)."""
+    """Where a run's stored best differs from the maximum over its
+    finished trials, value and parameters (JSON, by name) become those of the
+    best trial."""
     best = best_trial(log).join(log.select("study", "trial", "params"), ["study", "trial"])
-    j = runs.join(best.select("study", F.col("value").alias("__v"), F.col("params").alias("__p")), "study", "left")
+    named = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("params"))))
+    j = runs.join(best.select("study", F.col("value").alias("__v"), named.alias("__p")), "study", "left")
     stale = F.col("__v").isNotNull() & ~F.col("best_value").eqNullSafe(F.col("__v"))
-    return j.select(*[c for c in runs.columns if c not in ("best_value",)],
-                    F.when(stale, F.col("__v")).otherwise(F.col("best_value")).alias("best_value"),
+    new = {"best_value": "__v", "best_params_json": "__p"}
+    return j.select(*[F.when(stale, F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in runs.columns],
                     stale.alias("repaired"))
 
 

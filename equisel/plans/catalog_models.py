@@ -12,9 +12,9 @@ from equisel.operators import kernels as K
 from equisel.operators import split as X
 from equisel.operators import train as M
 from equisel.sources import views as V
-from equisel.sources.sql_views import with_views
+from equisel.sources.sql_views import H as HS, with_views
 from equisel.sources.tables import table
-from equisel.functions.exprs import indexed_explode, r6
+from equisel.functions.exprs import hash32, indexed_explode, r6
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -31,31 +31,22 @@ def _vec(s, d):
 
 
 N_LM = 10
-_C8, _S8 = math.cos(math.pi / 8), math.sin(math.pi / 8)
-# one-layer state of a value v: (c·cos π/8, s·sin π/8, −s·cos π/8, c·sin π/8), c = cos(v/2), s = sin(v/2)
-_ST = lambda v: (f"cos({v} / 2) * {_C8!r}", f"sin({v} / 2) * {_S8!r}", f"-sin({v} / 2) * {_C8!r}", f"cos({v} / 2) * {_S8!r}")
-
-
-def _k3_sql() -> str:
-    a, b = _ST("a.v"), _ST("l.v")
-    re = f"({b[0]}) * ({a[0]}) + ({b[1]}) * ({a[1]}) + ({b[2]}) * ({a[2]}) + ({b[3]}) * ({a[3]})"
-    im = f"({b[0]}) * ({a[1]}) - ({b[1]}) * ({a[0]}) + ({b[2]}) * ({a[3]}) - ({b[3]}) * ({a[2]})"
-    return f"""
-WITH e AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS f, unnest(embedding)::DOUBLE AS v FROM embeddings),
-lm AS (SELECT vec_id AS lid, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS j FROM embeddings ORDER BY vec_id LIMIT {N_LM}),
-l AS (SELECT lm.j, e.f, e.v FROM e JOIN lm ON lm.lid = e.vec_id)
-SELECT a.vec_id, l.j, round(product(({re}) * ({re}) + ({im}) * ({im})), 6) AS k
-FROM e a JOIN l ON l.f = a.f GROUP BY a.vec_id, l.j"""
+_LM = f"""lm AS (SELECT vec_id AS lid, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS j FROM (
+        SELECT vec_id FROM embeddings ORDER BY {HS('vec_id', K.LANDMARK_SEED)}, vec_id LIMIT {N_LM}))"""
 
 
 def _k3(s, d):
     v = _vec(s, d)
     lm = K.landmarks(v, "vec_id", ["x"], N_LM)
-    k = K.overlap_kernel(v, lm, "x", "vec_id", layers=1)
+    k = K.product_kernel(v, lm, "x", "vec_id")
     return indexed_explode(k.select("vec_id", "kernel"), "kernel", "j", "k").select("vec_id", "j", F.round("k", 6).alias("k"))
 
 
-reg("k02_k03_overlap_kernel", _k3, _k3_sql())
+reg("k03_product_kernel", _k3, f"""
+WITH e AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS f, unnest(embedding)::DOUBLE AS v FROM embeddings),
+{_LM},
+l AS (SELECT lm.j, e.f, e.v FROM e JOIN lm ON lm.lid = e.vec_id)
+SELECT a.vec_id, l.j, round(product((3.0::DOUBLE + cos(a.v - l.v)) / 4), 6) AS k FROM e a JOIN l ON l.f = a.f GROUP BY a.vec_id, l.j""")
 
 
 def _k4(s, d):
@@ -68,7 +59,7 @@ def _k4(s, d):
 reg("k04_rbf_kernel", _k4, f"""
 WITH e AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS f, unnest(embedding)::DOUBLE AS v FROM embeddings),
 g AS (SELECT 1.0 / (var_pop(v) * max(f)) AS gamma FROM e),
-lm AS (SELECT vec_id AS lid, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS j FROM embeddings ORDER BY vec_id LIMIT {N_LM}),
+{_LM},
 l AS (SELECT lm.j, e.f, e.v FROM e JOIN lm ON lm.lid = e.vec_id)
 SELECT a.vec_id, l.j, round(exp(-(SELECT gamma FROM g) * sum((a.v - l.v) * (a.v - l.v))), 6) AS k
 FROM e a JOIN l ON l.f = a.f GROUP BY a.vec_id, l.j""")
@@ -94,17 +85,13 @@ def _k5(s, d):
 
 
 def _k5_sql() -> str:
-    a, b = _ST("a.v"), _ST("l.v")
-    re = f"({b[0]}) * ({a[0]}) + ({b[1]}) * ({a[1]}) + ({b[2]}) * ({a[2]}) + ({b[3]}) * ({a[3]})"
-    im = f"({b[0]}) * ({a[1]}) - ({b[1]}) * ({a[0]}) + ({b[2]}) * ({a[3]}) - ({b[3]}) * ({a[2]})"
     return f"""
 WITH e AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS f, unnest(embedding)::DOUBLE AS v FROM embeddings),
 ex AS (SELECT vec_id AS lid, CASE WHEN label = 0 THEN -1 ELSE 1 END AS cls FROM (
-         SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE label IN (0, 1))
-       WHERE rn <= 10),
+         SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {HS('vec_id', K.LANDMARK_SEED)}, vec_id) AS rn
+         FROM embeddings WHERE label IN (0, 1)) WHERE rn <= 10),
 l AS (SELECT ex.lid, ex.cls, e.f, e.v FROM e JOIN ex ON ex.lid = e.vec_id),
-k AS (SELECT a.vec_id, l.lid, l.cls, product(({re}) * ({re}) + ({im}) * ({im})) AS k FROM e a JOIN l ON l.f = a.f
-      GROUP BY a.vec_id, l.lid, l.cls),
+k AS (SELECT a.vec_id, l.lid, l.cls, product((3.0::DOUBLE + cos(a.v - l.v)) / 4) AS k FROM e a JOIN l ON l.f = a.f GROUP BY a.vec_id, l.lid, l.cls),
 m AS (SELECT vec_id, avg(CASE WHEN cls = -1 THEN k END) AS sn, avg(CASE WHEN cls = 1 THEN k END) AS sp FROM k GROUP BY vec_id)
 SELECT vec_id, round(sn / (sn + sp), 6) + 0.0 AS p_neg, round(sp / (sn + sp), 6) + 0.0 AS p_pos,
        CASE WHEN sp / (sn + sp) > sn / (sn + sp) THEN 1 ELSE -1 END AS y_pred FROM m"""
@@ -266,7 +253,7 @@ reg("v01_linear_shap", lambda s, d: _lshap(s, d)[0].select("row_id", "class_code
 
 def _pshap(s, d):
     px = _part_x(s, d)
-    bg = px.orderBy("p_partkey").limit(20)  # background set: first 20 rows (the explainer's parameter)
+    bg = px.orderBy(hash32("p_partkey", 13), "p_partkey").limit(20)  # background set: a hash sample of 20 rows (the explainer's parameter)
     model = lambda arr: 1 / (1 + F.exp(-(F.aggregate(F.zip_with(arr, F.array(*[F.lit(w) for w in _W]), lambda a, b: a * b),
                                                     F.lit(0.0), lambda acc, v: acc + v) + F.lit(_B))))
     sh, base = AT.permutation_shap(px, "x", "p_partkey", model, bg, n_perm=3, seed=1, names=_NAMES)
@@ -527,7 +514,7 @@ def _v2_sql() -> str:
         for i in range(d_))
     return f"""
 WITH x AS (SELECT p_partkey, {_X_SQL} AS x FROM part),
-bg AS (SELECT x AS b FROM x ORDER BY p_partkey LIMIT 20),
+bg AS (SELECT x AS b FROM x ORDER BY {HS('p_partkey', 13)}, p_partkey LIMIT 20),
 pm AS (SELECT p_partkey, x, p, {', '.join(f'{h} AS h{i}' for i, h in enumerate(hs))}
        FROM x CROSS JOIN (SELECT range AS p FROM range(3))),
 rk AS (SELECT p_partkey, x, p, {', '.join(ranks)} FROM pm),

@@ -23,7 +23,7 @@ reg("l02_live_progress", L.run_live_progress,
        max(CASE WHEN state = 'COMPLETE' THEN f1 END) AS best_value FROM trials GROUP BY study""", "trials"))
 def _l03_sql():
     from equisel.plans.catalog_trials import _asha_sql
-    return with_views(_asha_sql(1, 3), "reports", extra={"reports_b": "SELECT * FROM reports"})
+    return _asha_sql()
 
 
 # one micro-batch (availableNow over one file) → equals the batch rung table

@@ -73,13 +73,13 @@ reg("a06_best_per_family", lambda s, d: A.best_per_family(TR(s, d)),
                                  ORDER BY f1 DESC, trial) AS rn
        FROM trials WHERE state = 'COMPLETE') WHERE rn = 1""", "trials"))
 
-reg("a08_repair_best_value",
-    lambda s, d: A.repair_best_value(V.runs(s, d).drop("best_params_json"), TR(s, d)),
-    with_views("""SELECT r.job_id, r.dataset_id, r.study, r.status, r.started_at,
+reg("a08_repair_best_value", lambda s, d: A.repair_best_value(V.runs(s, d), TR(s, d)),
+    with_views("""SELECT r.job_id, r.dataset_id, r.study, r.status, r.started_at, b.value IS NOT NULL AND r.best_value IS DISTINCT FROM b.value AS repaired,
        CASE WHEN b.value IS NOT NULL AND r.best_value IS DISTINCT FROM b.value THEN b.value ELSE r.best_value END AS best_value,
-       b.value IS NOT NULL AND r.best_value IS DISTINCT FROM b.value AS repaired
-       FROM runs r LEFT JOIN (SELECT study, max(f1) AS value FROM trials WHERE state = 'COMPLETE' GROUP BY study) b
-       ON b.study = r.study""", "runs", "trials"))
+       CASE WHEN b.value IS NOT NULL AND r.best_value IS DISTINCT FROM b.value THEN b.params ELSE r.best_params_json END AS best_params_json
+       FROM runs r LEFT JOIN (SELECT study, f1 AS value, CAST(to_json(struct_pack("C" := "C", learning_rate := learning_rate, model_type := model_type,
+            n_layers := n_layers)) AS VARCHAR) AS params, row_number() OVER (PARTITION BY study ORDER BY f1 DESC, trial) AS rn
+            FROM trials WHERE state = 'COMPLETE' AND f1 IS NOT NULL) b ON b.study = r.study AND b.rn = 1""", "runs", "trials"))
 
 _LONG = f"""SELECT study, trial, {_VALUE} AS value, param, choice FROM trials
   UNPIVOT (choice FOR param IN (model_type, "C", learning_rate, n_layers)) WHERE {_FIN}"""
@@ -183,7 +183,11 @@ _TPE_CTES = {
     "long_": f"""SELECT l.study, l.good, u.param, u.choice FROM lab l JOIN (
                 SELECT study, trial, param, choice FROM trials UNPIVOT (choice FOR param IN {_TPE_P})) u
                 ON u.study = l.study AND u.trial = l.trial""",
-    "cnt": "SELECT study, param, choice, count_if(good) AS ng_c, count_if(NOT good) AS nb_c FROM long_ GROUP BY 1, 2, 3",
+    # every choice of the finished trials and of the candidates is one of the K
+    "cnt": f"""SELECT study, param, choice, sum(g) AS ng_c, sum(b) AS nb_c FROM (
+                SELECT study, param, choice, CAST(good AS INTEGER) AS g, CAST(NOT good AS INTEGER) AS b FROM long_
+                UNION ALL SELECT study, param, choice, 0, 0 FROM trials UNPIVOT (choice FOR param IN {_TPE_P}) WHERE state <> 'COMPLETE')
+              GROUP BY 1, 2, 3""",
     "k_": 'SELECT study, param, count(*) AS "K" FROM cnt GROUP BY 1, 2',
     "tot": "SELECT study, count_if(good) AS ng, count_if(NOT good) AS nb FROM lab GROUP BY 1",
     "dens": """SELECT c.study, c.param, c.choice,
@@ -202,7 +206,7 @@ _PT_SC = "(SELECT trial, score AS s, count_if(y_true = 1) AS p, count_if(y_true
 reg("h06_tune_threshold", lambda s, d: H.tune_threshold(V.predictions_by_trial(s, d)),
     with_views(f"""
 SELECT b.trial, k / 20 AS best_threshold, round(f1, 6) AS best_f1, round(base_f1, 6) AS base_f1,
-       round(f1, 6) > round(base_f1, 6) AS adopted
+       f1 > base_f1 AS adopted
 FROM (SELECT trial, k, f1, row_number() OVER (PARTITION BY trial ORDER BY f1 DESC, k) AS rn FROM (
         SELECT trial, k, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM (
           SELECT trial, k, sum(CASE WHEN s >= k / 20 THEN p ELSE 0 END) AS tp, sum(CASE WHEN s >= k / 20 THEN n ELSE 0 END) AS fp,
@@ -229,33 +233,58 @@ reg("h08_family_attrs", _fam,
        FROM (SELECT study, trial, model_type, round(1 - disparity, 6) AS accuracy, f1 AS f1_score, f1 AS score,
                     model_type IN {CLASSICAL_SQL} AS c FROM trials WHERE state = 'COMPLETE')""", "trials"))
 
-_CUR = {"C": [0.1, 1, 10], "learning_rate": [0.001, 0.01, 0.1], "n_layers": [1, 5, 10]}
-reg("h10_check_resume", lambda s, d: H.check_resume(TR(s, d), _CUR, list(_CUR)),
+# a study's own lists are what its trials were set up with: every choice that occurs, in text order
+_CUR = {"C": [0.1, 1, 10], "learning_rate": [0.001, 0.01, 0.1], "n_layers": [1, 10, 5]}
+
+
+def _resume(s, d):
+    """The choice lists kept for the trial log against a new space."""
+    t = TR(s, d).select(F.explode("params").alias("param", "choice")).where(F.col("param").isin(*_CUR))
+    kept = t.groupBy("param").agg(F.array_sort(F.collect_set("choice")).alias("choices")).withColumn(
+        "model_types", F.array(F.lit("Perceptron"), F.lit("SVC")))
+    return H.check_resume(kept, H.stored_space(s, _CUR, ["SVC", "SVClinear"]))
+
+
+reg("h10_check_resume", _resume,
     with_views("""SELECT param, stored, "current" FROM (
        SELECT param, list_sort(list(DISTINCT choice)) AS stored FROM trials
        UNPIVOT (choice FOR param IN ("C", learning_rate, n_layers)) GROUP BY param) s
        JOIN (VALUES ('C', ['0.1', '1', '10']), ('learning_rate', ['0.001', '0.01', '0.1']), ('n_layers', ['1', '10', '5']))
-            c(param, "current") USING (param) WHERE stored <> "current" ORDER BY param""", "trials"))
-
-
-def _asha_sql(min_resource: int, eta: int, bracket_filter: str = "", extra_cols: str = "") -> str:
-    return f"""
-SELECT {extra_cols} study, trial, rung, report_idx AS resource, value, rank, n,
-       rank <= greatest(1, floor(n / {eta})) AS kept FROM (
-  SELECT *, row_number() OVER (PARTITION BY {extra_cols} study, rung ORDER BY value DESC, trial) AS rank,
-         count(*) OVER (PARTITION BY {extra_cols} study, rung) AS n FROM (
-    SELECT *, CAST(round(ln(report_idx / {float(min_resource)}) / ln({float(eta)})) AS INTEGER) AS rung FROM (
-      SELECT {extra_cols} study, trial, step, value,
-             row_number() OVER (PARTITION BY study, trial ORDER BY step) - 1 AS report_idx FROM reports_b {bracket_filter})
-    WHERE report_idx >= {min_resource})
-  WHERE report_idx = CAST({min_resource} * pow({float(eta)}, rung) AS BIGINT))"""
-
-
-reg("h12_asha_prune", lambda s, d: H.asha_prune(RP(s, d), 1, 3),
-    with_views(_asha_sql(1, 3), "reports", extra={"reports_b": "SELECT * FROM reports"}))
-reg("h13_hyperband_prune", lambda s, d: H.hyperband_prune(RP(s, d), 1, 3, 2),
-    with_views(f"""{_asha_sql(1, 3, "WHERE bracket = 0", "bracket,")} UNION ALL {_asha_sql(3, 3, "WHERE bracket = 1", "bracket,")}""",
-               "reports", extra={"reports_b": f"SELECT *, CAST({HSQL('trial', 17)} % 2 AS INTEGER) AS bracket FROM reports"}))
+            c(param, "current") USING (param) WHERE stored <> "current"
+       UNION ALL SELECT 'model_type', ['Perceptron', 'SVC'], ['SVC', 'SVClinear'] FROM (SELECT 1 FROM trials LIMIT 1)""", "trials"))
+
+
+ASHA_RUNGS = 12
+
+
+def _asha_ctes(name: str, min_resource: int, eta: int, where: str = "true") -> tuple[dict, str]:
+    """One CTE per rung: the trials that kept the rung below, ranked there."""
+    ctes = {f"{name}_i": f"""SELECT *, row_number() OVER (PARTITION BY study, trial ORDER BY step) - 1 AS idx
+             FROM reports_b WHERE {where}"""}
+    for r in range(ASHA_RUNGS):
+        at = min_resource * eta ** r
+        below = "" if r == 0 else f"AND (study, trial) IN (SELECT (study, trial) FROM {name}_{r - 1} WHERE kept)"
+        ctes[f"{name}_{r}"] = f"""SELECT study, trial, rung, resource, value, rank, n, rank <= greatest(1, floor(n / {eta})) AS kept FROM (
+          SELECT study, trial, CAST({r} AS INTEGER) AS rung, idx AS resource, value,
+                 row_number() OVER (PARTITION BY study ORDER BY value DESC, trial) AS rank, count(*) OVER (PARTITION BY study) AS n
+          FROM {name}_i WHERE idx = {at} {below})"""
+    return ctes, " UNION ALL ".join(f"SELECT * FROM {name}_{r}" for r in range(ASHA_RUNGS))
+
+
+def _asha_sql() -> str:
+    ctes, rows = _asha_ctes("a", 1, 3)
+    return with_views(rows, "reports", extra={"reports_b": "SELECT * FROM reports", **ctes})
+
+
+def _hyperband_sql() -> str:
+    c0, r0 = _asha_ctes("a", 1, 3, "bracket = 0")
+    c1, r1 = _asha_ctes("b", 3, 3, "bracket = 1")
+    return with_views(f"SELECT CAST(0 AS INTEGER) AS bracket, * FROM ({r0}) UNION ALL SELECT CAST(1 AS INTEGER), * FROM ({r1})", "reports",
+                      extra={"reports_b": f"SELECT *, CAST({HSQL('trial', 17)} % 2 AS INTEGER) AS bracket FROM reports", **c0, **c1})
+
+
+reg("h12_asha_prune", lambda s, d: H.asha_prune(RP(s, d), 1, 3), _asha_sql())
+reg("h13_hyperband_prune", lambda s, d: H.hyperband_prune(RP(s, d), 1, 3, 2), _hyperband_sql())
 reg("h14_intermediate_neg_loss", lambda s, d: H.intermediate_neg_loss(RP(s, d), 3),
     with_views("""SELECT study, trial, step, row_number() OVER (PARTITION BY study, trial ORDER BY step) - 1 AS report_idx,
        round(-avg(value) OVER (PARTITION BY study, trial ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS neg_loss
@@ -357,11 +386,14 @@ def _cascade(s, d):
     gone = AR(s, d).groupBy("optimization_id").agg(
         F.count_if(F.col("event_type") == "error").alias("e"), F.count_if(F.col("event_type") == "purchase").alias("p")
     ).where(F.col("e") > F.col("p")).select("optimization_id")
-    return S.delete_for_run({"snapshots": snaps}, gone)["snapshots"]
+    jobs = snaps.select(F.concat_ws("/", F.col("optimization_id").cast("string"), "config_key").alias("snapshot_id"), F.col("request_id").alias("job_id"))
+    snaps = snaps.withColumn("snapshot_id", F.concat_ws("/", F.col("optimization_id").cast("string"), "config_key"))
+    left = S.delete_for_run({"snapshots": snaps, "jobs": jobs}, gone, via={"jobs": ("snapshots", "snapshot_id")})
+    return left["snapshots"].join(left["jobs"].select("snapshot_id", "job_id"), "snapshot_id", "full").drop("snapshot_id")
 
 
 reg("s14_delete_for_run", _cascade,
-    with_views("""SELECT optimization_id, config_key, CAST(config_json AS VARCHAR) AS config_json, created_at, request_id FROM (
+    with_views("""SELECT optimization_id, config_key, CAST(config_json AS VARCHAR) AS config_json, created_at, request_id, request_id AS job_id FROM (
        SELECT *, row_number() OVER (PARTITION BY optimization_id, config_key ORDER BY created_at DESC, request_id) AS rn
        FROM config_keys) WHERE rn = 1
        AND optimization_id NOT IN (SELECT optimization_id FROM analysis_requests GROUP BY 1

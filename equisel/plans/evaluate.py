@@ -46,12 +46,37 @@ def prepare(df: DataFrame, key: str, target: str, method: str = "ordinal", frac:
     return materialise(sp), feats, spec
 
 
+def fit_config(cfg: dict, train: DataFrame, feats: Sequence[str], spec: T.TaskSpec):
+    """A function that scores a frame with the configured model fitted on
+    ``train``. An unknown ``model_type`` is an error; more than two classes
+    use one-vs-rest where the model itself is binary."""
+    binary, mt = spec.kind == "binary", cfg["model_type"]
+    C = float(cfg.get("C", 1.0))
+    if mt == "MLPClassifier":
+        m = M.fit_mlp(train, len(feats), spec.n_classes, cfg.get("hidden_layer_sizes", "(100,)"),
+                      float(cfg.get("learning_rate", 0.03)), int(cfg.get("batch_size", 32)))
+    elif mt == "LogisticRegression":
+        m = M.fit_logistic_head(train)
+    elif mt == "SVClinear":
+        m = M.fit_linear_svc(train, C, cfg.get("class_weight")) if binary else M.fit_one_vs_rest(train, C)
+    elif mt == "Perceptron":
+        return M.perceptron_scorer(train, spec.n_classes if not binary else None, float(cfg.get("eta0", 1.0)),
+                                   int(cfg.get("epochs", 10)), cfg.get("class_weight"))
+    elif mt == "SVC":
+        return M.kernel_scorer(train, binary, C, cfg.get("gamma"), int(cfg.get("landmarks", 50)))
+    else:
+        raise ValueError(f"no such model type: {mt}")
+    return lambda df: M.score(m, df, binary=binary)
+
+
 def evaluate_trials(data: DataFrame, feats: Sequence[str], configs: Sequence[dict], spec: T.TaskSpec,
-                    sensitive: str | None = None) -> tuple[DataFrame, DataFrame]:
+                    sensitive: str | None = None, fairness_metric: str = "demographic_parity_difference") -> tuple[DataFrame, DataFrame]:
     """H5: returns ``(trial_log, predictions)``. ``configs`` are dicts with
-    ``model_type`` (SVClinear, MLPClassifier, Perceptron-like logistic
-    head) and its params. Validation F1 (macro when K > 2) is the value;
-    binary trials also get the threshold tuning of H6 on validation."""
+    ``model_type`` (SVClinear, SVC, Perceptron, MLPClassifier,
+    LogisticRegression) and its params. The value is the validation F1 (macro
+    when K > 2); for binary trials it is the F1 after the threshold tuning of
+    H6, and ``untuned_value`` the one before. With ``sensitive`` the log also
+    has the validation ``disparity`` of each trial."""
     binary = spec.kind == "binary"
     df = M.to_ml_label(M.assemble(data, feats), "y", binary=binary)
     train = df.where(F.col("split") == "train")
@@ -62,16 +87,7 @@ def evaluate_trials(data: DataFrame, feats: Sequence[str], configs: Sequence[dic
         t0 = time.time()
         try:
             mt = cfg["model_type"]
-            if mt == "SVClinear":
-                m = M.fit_linear_svc(train, float(cfg.get("C", 1.0)), cfg.get("class_weight"))
-            elif mt == "MLPClassifier":
-                m = M.fit_mlp(train, len(feats), spec.n_classes, cfg.get("hidden_layer_sizes", "(100,)"),
-                              float(cfg.get("learning_rate", 0.03)), int(cfg.get("batch_size", 32)))
-            elif mt == "LogisticRegression":
-                m = M.fit_logistic_head(train)
-            else:
-                raise ValueError(f"Unknown model type: {mt}")
-            p = M.score(m, df.where(F.col("split").isin(val_name, "test")), binary=binary)
+            p = fit_config(cfg, train, feats, spec)(df.where(F.col("split").isin(val_name, "test")))
             keep = ["row_id", "split", "y", "y_pred"] + (["score"] if "score" in p.columns else []) + \
                    ([sensitive] if sensitive else [])
             preds.append(p.select(*keep).withColumn("trial", F.lit(i)))
@@ -94,13 +110,18 @@ def evaluate_trials(data: DataFrame, feats: Sequence[str], configs: Sequence[dic
     ta = Q.accuracy(te, ["trial"]).withColumnRenamed("accuracy", "test_accuracy")
     out = logdf.join(vf, "trial", "left").join(tf, "trial", "left").join(ta, "trial", "left")
     if binary and "score" in allp.columns:
-        th = H.tune_threshold(v, ["trial"]).select("trial", "best_threshold", "adopted")
-        out = out.join(th, "trial", "left")
+        th = H.tune_threshold(v, ["trial"]).select("trial", "best_threshold", "adopted", "best_f1")
+        out = out.join(th, "trial", "left").withColumn("untuned_value", F.col("value")).withColumn(
+            "value", F.when(F.col("adopted"), F.col("best_f1")).otherwise(F.col("value"))).drop("best_f1")
         # test F1 with the tuned cut applied (only where it was adopted); ≤ trials rows, broadcast
         cut = F.broadcast(th.where("adopted").select("trial", "best_threshold"))
         tt = te.join(cut, "trial").withColumn("y_pred", F.when(F.col("score") >= F.col("best_threshold"), 1).otherwise(-1))
         tfx = Q.precision_recall_f1(tt, ["trial"], "binary").select("trial", F.col("f1").alias("test_f1_thresholded"))
         out = out.join(tfx, "trial", "left")
+    if sensitive:
+        from equisel.operators.fairness import disparity
+
+        out = out.join(disparity(v, fairness_metric, sensitive, ["trial"]), "trial", "left")
     return out, allp
 
 
@@ -118,18 +139,10 @@ def refit_trial(log: DataFrame, data: DataFrame, feats: Sequence[str], spec: T.T
     row = log.where((F.col("study") == study) & (F.col("trial") == trial)).select("params").first()
     if row is None:
         raise ValueError(f"Trial {trial} not found in study {study!r}")
-    params = {k: v for k, v in (row["params"] or {}).items() if k != "model_type"}
-    model_type = (row["params"] or {}).get("model_type", "SVClinear")
-    cfg = {"model_type": model_type if model_type in ("SVClinear", "MLPClassifier", "LogisticRegression") else "SVClinear",
-           **params}
+    cfg = dict(row["params"] or {})
+    if "model_type" not in cfg:
+        raise ValueError(f"Trial {trial} of study {study!r} names no model type")
     binary = spec.kind == "binary"
     df = M.to_ml_label(M.assemble(data, feats), "y", binary=binary)
-    train = df.where(F.col("split") == "train")
-    if cfg["model_type"] == "MLPClassifier":
-        m = M.fit_mlp(train, len(feats), spec.n_classes, cfg.get("hidden_layer_sizes", "(100,)"),
-                      float(cfg.get("learning_rate", 0.03)))
-    elif cfg["model_type"] == "LogisticRegression":
-        m = M.fit_logistic_head(train)
-    else:
-        m = M.fit_linear_svc(train, float(cfg.get("C", 1.0)), cfg.get("class_weight"))
-    return M.score(m, df.where(F.col("split") == "test"), binary=binary).withColumn("trial", F.lit(trial))
+    scored = fit_config(cfg, df.where(F.col("split") == "train"), feats, spec)
+    return scored(df.where(F.col("split") == "test")).withColumn("trial", F.lit(trial))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CONF = {
@@ -36,7 +37,7 @@ def get_spark(master: str | None = None, app: str = "equisel", conf: dict | None
     b = SparkSession.builder.master(master or os.environ.get("EQUISEL_MASTER", "local[8]")).appName(app)
     for k, v in {**_LOCAL_CONF, **(conf or {})}.items():
         b = b.config(k, v)
-    if "spark.checkpoint.dir" not in (conf or {}):
+    if not SparkConf().contains("spark.checkpoint.dir") and "spark.checkpoint.dir" not in (conf or {}):
         # Local runs only: a scratch folder stands in for the shared one.
         b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="equisel-ckpt-", dir="/tmp"))
     spark = b.getOrCreate()
@@ -48,12 +49,14 @@ def get_spark(master: str | None = None, app: str = "equisel", conf: dict | None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is created.
-    """
+    ``spark.checkpoint.dir`` names it and is used as is. Where it is unset, a
+    local session (one machine) gets a scratch folder; on a cluster that folder
+    would not be shared, so there it is an error."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="equisel-ckpt-", dir="/tmp")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

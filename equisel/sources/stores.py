@@ -36,7 +36,7 @@ def patch(store: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     missing key is a no-op (left join from the store)."""
     unknown = [c for c in patches.columns if c not in store.columns]
     if unknown:
-        raise ValueError(f"Unknown run columns: {set(unknown)}")
+        raise ValueError(f"the store has no column {', '.join(sorted(unknown))}")
     cols = [c for c in patches.columns if c != key]
     p = patches.select(key, *[F.col(c).alias(f"__p_{c}") for c in cols], F.lit(True).alias("__hit"))
     j = store.join(p, key, "left")
@@ -153,15 +153,51 @@ def complete_snapshots(snapshots: DataFrame, results: DataFrame) -> DataFrame:
                     F.when(F.col("__done"), F.col("__pl")).otherwise(F.col("payload")).alias("payload"))
 
 
+def complete_jobs(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """The active jobs of the snapshots that got results become completed."""
+    done = results.select("optimization_id", "config_key").distinct().withColumn("__done", F.lit(True))
+    j = jobs.join(done, ["optimization_id", "config_key"], "left")
+    over = F.col("__done") & F.col("status").isin(*ACTIVE_JOB)
+    return j.select(*[F.when(over, "completed").otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in jobs.columns])
+
+
 def list_snapshots(snapshots: DataFrame) -> DataFrame:
     """Only completed revisions (revision > 0), newest first."""
     return snapshots.where(F.col("revision") > 0).orderBy(F.col("created_at").desc(), "config_key")
 
 
-def delete_for_run(tables: Mapping[str, DataFrame], runs: DataFrame, key: str = "optimization_id") -> dict:
-    """Cascade delete of every table's rows belonging to the given runs."""
-    ids = runs.select(key).distinct()
-    return {name: t.join(ids, key, "left_anti") for name, t in tables.items()}
+def delete_for_run(tables: Mapping[str, DataFrame], runs: DataFrame, key: str = "optimization_id",
+                   via: Mapping[str, tuple[str, str]] | None = None) -> dict:
+    """Cascade delete. Tables with ``key`` lose the rows of the given
+    runs. ``via`` names, for a table without it, the table and column through
+    which its rows belong to a run, e.g. ``{"jobs": ("snapshots",
+    "snapshot_id")}``; chains of any length follow."""
+    via = dict(via or {})
+    gone = {}
+
+    def of(name: str) -> DataFrame:
+        """The rows of a table that go."""
+        if name not in gone:
+            t = tables[name]
+            if name in via:
+                parent, column = via[name]
+                gone[name] = t.join(of(parent).select(column).distinct(), column, "left_semi")
+            elif key in t.columns:
+                gone[name] = t.join(runs.select(key).distinct(), key, "left_semi")
+            else:
+                raise ValueError(f"table {name!r} has no {key!r} and no way to one in via")
+        return gone[name]
+
+    out = {}
+    for name, t in tables.items():
+        if name in via:
+            parent, column = via[name]
+            out[name] = t.join(of(parent).select(column).distinct(), column, "left_anti")
+        else:
+            of(name)
+            out[name] = t.join(runs.select(key).distinct(), key, "left_anti")
+    return out
+
 
 
 def json_rows(df: DataFrame, out: str = "json") -> DataFrame:

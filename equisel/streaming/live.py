@@ -10,11 +10,8 @@ folder and keeps the newest version of every key.
 * L1 ``live_trials``       – report count and last value per trial (update mode)
 * L2 ``live_progress``     – finished count and best value per study, each trial counted once
                              (``dropDuplicatesWithinWatermark``)
-* L3 ``live_asha``         – asynchronous successive halving: each micro-batch's rung reports are
-                             ranked against every report seen so far at that rung (distributed rank
-                             over the accumulated log, not a per-study state blob)
-* L4 ``live_convergence``  – the loss-convergence rule on arriving losses with a bounded buffer of
-                             2w values per trial (``applyInPandasWithState``)
+* L3 ``live_asha``         – successive halving of the studies that reports arrive for
+* L4 ``live_convergence``  – the loss-convergence rule for the trials that reports arrive for
 * L5 ``reports_per_window``– report count / mean per tumbling window with a watermark
 """
 
@@ -23,10 +20,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from equisel.session import checkpoint_dir
 from equisel.sources.views import reports_from_events, trials_from_events
@@ -96,68 +91,64 @@ def live_progress(trials: DataFrame, delay: str = "1 day") -> DataFrame:
                                   F.max(F.when(F.col("state") == "COMPLETE", F.col("f1"))).alias("best_value"))
 
 
+# ---------------------------------------------------------------- report log
+def report_log(spark: SparkSession, log: str) -> DataFrame:
+    """All reports of a log folder written by :func:`logged_batches`."""
+    return spark.read.option("basePath", log).parquet(f"{log}/batch=*").drop("batch")
+
+
+def logged_batches(reports: DataFrame, folder: str, rule, keys: Sequence[str]) -> str:
+    """Run ``rule`` for every micro-batch on all reports of the batch's
+    ``keys``. Reports go to ``folder/log/batch=<id>`` and results to
+    ``folder/data/batch=<id>``; both are written over when a batch is
+    replayed, so a replay changes nothing, and a stream started again on the
+    same folder goes on from its checkpoint. The rule sees whole histories, so
+    its result does not depend on how reports were cut into batches."""
+    log, data = f"{folder}/log", f"{folder}/data"
+
+    def step(b: DataFrame, i: int):
+        spark = b.sparkSession
+        b.write.mode("overwrite").parquet(f"{log}/batch={i}")
+        touched = spark.read.parquet(f"{log}/batch={i}").select(*keys).distinct()
+        rule(report_log(spark, log).join(touched, list(keys), "left_semi"), touched).write.mode("overwrite").parquet(f"{data}/batch={i}")
+
+    q = (reports.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/_checkpoint")
+         .foreachBatch(step).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return folder
+
+
+def newest(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """Each key's rows from the last batch that had the key."""
+    d = spark.read.option("basePath", f"{folder}/data").parquet(f"{folder}/data/batch=*")
+    last = d.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return d.join(last, [*keys, "batch"], "left_semi").drop("batch")
+
+
 # ---------------------------------------------------------------- L3
-def live_asha(spark: SparkSession, reports_stream: DataFrame, min_resource: int = 1, eta: int = 3) -> DataFrame:
-    """L3: keep / prune decision for every rung report as it arrives, against
-    all reports seen so far at that rung. The accumulated log is a parquet
-    table; each micro-batch re-ranks with the distributed batch operator."""
+def live_asha(spark: SparkSession, reports_stream: DataFrame, min_resource: int = 1, eta: int = 3, folder: str | None = None) -> DataFrame:
+    """L3: keep / prune decisions of the studies that reports arrive for, from
+    all their reports so far (the batch rule H12)."""
     from equisel.operators.search import asha_prune
 
-    name = "live-asha"
-    acc = output_dir(spark, name + "-log")
+    folder = folder or output_dir(spark, "live-asha")
+    logged_batches(reports_stream, folder, lambda seen, _: asha_prune(seen, min_resource, eta), ["study"])
+    return newest(spark, folder, ["study"])
 
-    def step(b: DataFrame, i: int, out: str):
-        b.write.mode("append").parquet(acc)
-        # ranks are per (study, rung): only studies present in this batch can change
-        touched = b.select("study").distinct()
-        seen = spark.read.parquet(acc).join(touched, "study", "left_semi")
-        dec = asha_prune(seen, min_resource, eta)
-        new = b.select("study", "trial").distinct()
-        return dec.join(new, ["study", "trial"], "left_semi")
 
-    out = run_available(reports_stream, name, "append", batch_fn=step)
-    return latest(spark, out, ["study", "trial", "rung"])
+# ---------------------------------------------------------------- L4
+def live_convergence(spark: SparkSession, reports_stream: DataFrame, w: int, folder: str | None = None) -> DataFrame:
+    """L4: the batch rule M11 for the trials that reports arrive for, from all
+    their reports so far, and the number of reports."""
+    from equisel.operators.train import loss_convergence
 
+    def rule(seen: DataFrame, _):
+        steps = seen.groupBy("study", "trial").agg(F.count(F.lit(1)).alias("n_steps"))
+        return steps.join(loss_convergence(seen, w), ["study", "trial"]).select("study", "trial", "n_steps", "converged", "converged_step")
 
-# ---------------------------------------------------------------- L4
-L4_OUT = "study long, trial long, n_steps long, converged boolean, converged_step long"
-L4_STATE = "buf array<double>, n long, conv long, stopped boolean"
-
-
-def _convergence_fn(w: int):
-    def fn(key, pdfs, state):
-        if state.exists:
-            buf, n, conv, stopped = state.get
-            buf = list(buf)
-        else:
-            buf, n, conv, stopped = [], 0, -1, False
-        for pdf in pdfs:
-            for v in pdf.sort_values("step")["value"].tolist():
-                step = n
-                n += 1  # every report is counted; decisions stop at convergence / NaN
-                if stopped or conv >= 0:
-                    continue
-                if v != v:  # NaN stops training
-                    stopped = True
-                    continue
-                buf = (buf + [float(v)])[-2 * w:]
-                if step > 2 * w and len(buf) == 2 * w:
-                    last, prev = buf[w:], buf[:w]
-                    m1, m2 = sum(last) / w, sum(prev) / w
-                    sd = (sum((x - m1) ** 2 for x in last) / w) ** 0.5
-                    if abs(m2 - m1) <= sd / w ** 0.5 / 2:
-                        conv = step
-        state.update((buf, n, conv, stopped))
-        yield pd.DataFrame({"study": [key[0]], "trial": [key[1]], "n_steps": [n], "converged": [conv >= 0],
-                            "converged_step": [conv if conv >= 0 else None]})
-    return fn
-
-
-def live_convergence(reports: DataFrame, w: int) -> DataFrame:
-    """L4: the M11 rule on arriving losses; the state per trial is the last
-    2w values, the step count and the decision (bounded)."""
-    return reports.groupBy("study", "trial").applyInPandasWithState(
-        _convergence_fn(w), L4_OUT, L4_STATE, "update", GroupStateTimeout.NoTimeout)
+    folder = folder or output_dir(spark, "live-convergence")
+    logged_batches(reports_stream, folder, rule, ["study", "trial"])
+    return newest(spark, folder, ["study", "trial"])
 
 
 # ---------------------------------------------------------------- L5
@@ -187,8 +178,7 @@ def run_live_asha(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def run_live_convergence(spark: SparkSession, data_dir: str, w: int = 2) -> DataFrame:
-    out = run_available(live_convergence(reports_from_events(events_stream(spark, data_dir)), w), "live-convergence")
-    return latest(spark, out, ["study", "trial"])
+    return live_convergence(spark, reports_from_events(events_stream(spark, data_dir)), w)
 
 
 def run_reports_per_window(spark: SparkSession, data_dir: str) -> DataFrame:

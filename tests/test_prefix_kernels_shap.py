@@ -56,28 +56,14 @@ def test_kitchen_sink_xor_law(spark):
         assert fin == _cnot_circuit(raw)
 
 
-def test_overlap_kernel_numpy(spark):
-    def RX(t):
-        c, s = math.cos(t / 2), math.sin(t / 2)
-        return np.array([[c, -1j * s], [-1j * s, c]])
-
-    def RY(t):
-        c, s = math.cos(t / 2), math.sin(t / 2)
-        return np.array([[c, -s], [s, c]])
-
-    def phi(x, L):
-        v = np.array([1, 0], dtype=complex)
-        for _ in range(L):
-            v = RY(-x) @ (RX(-math.pi / 4) @ v)
-        return v
-
+def test_product_kernel_numpy(spark):
     df = spark.createDataFrame([(i, [0.1 * i, -0.3 * i, 0.7]) for i in range(5)], "k long, x array<double>")
     lm = K.landmarks(df, "k", ["x"], 2)
-    got = K.overlap_kernel(df, lm, "x", "k", layers=3).collect()
+    got = K.product_kernel(df, lm, "x", "k").collect()
     lms = [r["x"] for r in sorted(lm.collect())]
     for r in got:
         for j, l in enumerate(lms):
-            want = np.prod([abs(np.vdot(phi(b, 3), phi(a, 3))) ** 2 for a, b in zip(r["x"], l)])
+            want = np.prod([math.cos((a - b) / 2) ** 2 + math.sin((a - b) / 2) ** 2 / 2 for a, b in zip(r["x"], l)])
             assert r["kernel"][j] == pytest.approx(want, abs=1e-12)
     with pytest.raises(ValueError):
         K.landmarks(df, "k", ["x"], K.MAX_LANDMARKS + 1)

@@ -24,7 +24,7 @@ def test_config_key_matches_python_canonical_json(spark):
 
 def test_patch_and_upsert_rules(spark):
     store = spark.createDataFrame([("a", "running", 0.1), ("b", "done", 0.2)], "job_id string, status string, best_value double")
-    with pytest.raises(ValueError, match="Unknown run columns"):
+    with pytest.raises(ValueError, match="the store has no column"):
         S.patch(store, spark.createDataFrame([("a", 1)], "job_id string, nope int"), "job_id")
     p = S.patch(store, spark.createDataFrame([("a", 0.9), ("zzz", 0.5)], "job_id string, best_value double"), "job_id")
     got = {r["job_id"]: (r["status"], r["best_value"]) for r in p.collect()}
