@@ -16,10 +16,9 @@ needs no comparison to know its component is not compared again:
   its ``h`` (two sets that share 8 must meet there). In such a list every set
   is compared with the list's purest member (fewest shingles that no other
   listed set has), not with every other;
-* what that leaves in different components: a set of ``n`` shingles, ``c`` of
-  them known elsewhere, can only be linked with sets of 0.8 n to 2.25 c - n
-  shingles (from I <= c and I >= 4/9 (n + m)), so only sets of that size range
-  in the same lists are compared. This is exact and no pair is given up.
+* what that leaves in different components is compared further only where
+  sizes and the shingles that the purest member lacks allow a link (see
+  :func:`_rest`). This is exact and no pair is given up.
 
 Scale: sketches and lists are equi-joins and map-side sums on hashes; tables
 that a skewed join reads are written first, so Spark can split them. Full sets
@@ -28,8 +27,8 @@ are formed only for sets with enough shared values.
 Defined cases: null and empty texts, and texts without words, have an empty
 set, are linked with nothing and are their own component; a text of one to
 three words is one shingle; rows that share a doc_id are judged each by its
-text; a null doc_id has a null component and is kept; other columns are ignored
-by :func:`near_duplicates` and kept by :func:`dedup`.
+text; a null doc_id is never a component's least and its row is kept; other
+columns are ignored by :func:`near_duplicates` and kept by :func:`dedup`.
 """
 
 from __future__ import annotations
@@ -107,31 +106,30 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         run, "fp binary, n long, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose full sets meet the limit."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool = False) -> DataFrame:
+    """Pairs (a, b) with linked (their full sets meet the limit), both (common
+    shingles) and, if asked for, extras (shingles of a that b lacks)."""
     left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    names = ["a", "b", "linked", "both"] + ["extras"] * extras
 
     def run(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                keep = []
+                linked, both, more = [], [], []
                 for x, y in zip(part.column("x"), part.column("y")):
                     u, v = (np.frombuffer(z.as_buffer(), dtype=W.U) for z in (x, y))
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(u) + len(v) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    n = len(np.intersect1d(u, v, assume_unique=True))
+                    linked.append(100 * n >= percent * (len(u) + len(v) - n))
+                    both.append(n)
+                    if extras:
+                        more.append(np.setdiff1d(u, v, assume_unique=True).view(np.int64))
+                arrays = [part.column("a"), part.column("b"), pa.array(linked, pa.bool_()), pa.array(both, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(more, pa.list_(pa.int64()))] if extras else []), names)
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
-
-
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose ends are not known to be in one component."""
-    for end in ("a", "b"):
-        p = parts.select(F.col("node").alias(end), F.col("component").alias("of_" + end))
-        pairs = pairs.join(p, end, "left").withColumn("of_" + end, F.coalesce("of_" + end, end))
-    return pairs.where("of_a <> of_b").drop("of_a", "of_b")
+    shape = "a binary, b binary, linked boolean, both long" + ", extras array<long>" * extras
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, shape)
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -165,44 +163,73 @@ def links(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> tuple[Data
     pairs = pairs.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.first(F.least("n_hot_a", "n_hot_b")).alias("more"), F.first(F.least("enough_a", "enough_b")).alias("least"))
     pairs = written(pairs.where("shared + more >= least").select("a", "b", "shared"), "pairs")
-    # first the best partner of each, then what is still apart
-    best = pairs.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
-    edges = written(_verified(best, sets, percent), "edges")
-    parts = written(components(edges), "parts")
-    edges = edges.unionByName(written(_verified(_apart(pairs.select("a", "b"), parts), sets, percent), "edges"))
+    edges = written(_compared(pairs, sets, percent).where("linked").select("a", "b"), "edges")
 
-    # frequent values
+    # frequent values: each set against the purest member of its lists
     listed = hits.where("size(hot) >= enough").select(
         "fp", "n", F.explode(F.slice("hot", 1, F.size("hot") - F.col("enough") + 1)).alias("v"))
     listed = written(listed, "listed")
     if listed.isEmpty():
         return table, components(edges)
     members = written(listed.select("fp").distinct(), "members")
-    alone = _alone(sets.join(members, "fp"))
-    known = written(members.join(sets.select("fp", "n"), "fp").join(alone, "fp", "left").select(
-        "fp", F.coalesce("alone", F.lit(0)).alias("alone")), "known")
-    listed = written(listed.join(known, "fp"), "listed")
-    lead = written(listed.groupBy("v").agg(F.min(F.struct("alone", -F.col("n"), "fp")).alias("lead")).select("v", F.col("lead.fp").alias("lead")), "lead")
-    star = listed.join(lead, "v").where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
+    alone = written(_alone(sets.join(members, "fp")), "alone")
+    listed = written(listed.join(alone, "fp", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "listed")
+    lead = written(listed.groupBy("v").agg(F.min(F.struct("alone", -F.col("n"), "fp")).alias("lead")).select("v", F.col("lead.fp").alias("b")), "lead")
+    # a linked set lacks at most this many shingles in the other
+    spare = F.floor(F.lit(1 - share) * F.col("n") + 1e-9)
+    star = listed.where(F.col("alone") <= spare).join(lead, "v").select(F.col("fp").alias("a"), "b", "n", "alone").distinct()
+    stars = written(star, "star")
+    near = written(_compared(stars.where("a <> b"), sets, percent, extras=True), "near")
+    edges = written(edges.unionByName(near.where("linked").select("a", "b")), "edges")
     parts = written(components(edges), "parts")
-    edges = edges.unionByName(written(_verified(_apart(star, parts), sets, percent), "edges"))
-    parts = written(components(edges), "parts")
-
-    # sets that no list leader holds, against the sizes that they can be linked with
-    top = F.floor(F.col("n") - F.col("alone")) / need - F.col("n")
-    placed = listed.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("of", F.coalesce("component", "fp")).drop("component")
-    placed = written(placed.withColumn("top", F.floor(top + 1e-9)).where(F.col("top") >= F.lit(share) * F.col("n")), "placed")
-    leads = lead.join(parts.select(F.col("node").alias("lead"), "component"), "lead", "left").select(
-        "v", F.coalesce("component", "lead").alias("of_lead"))
+    rest = _rest(stars, near, parts, share, need, percent)
+    more = written(_compared(rest, sets, percent).where("linked").select("a", "b"), "edges")
+    return table, parts if more.isEmpty() else components(edges.unionByName(more))
+
+
+def _rest(stars: DataFrame, near: DataFrame, parts: DataFrame, share: float, need: float, percent: int) -> DataFrame:
+    """Pairs (a, b) in one list, in different components so far, that may be
+    linked. ``near`` holds for each set a and list lead b the common shingles
+    (both) and those of a that b lacks (extras).
+
+    Two sets without a common extra share at most the lesser of their ``both``,
+    which limits their sizes. Two linked sets lack at most 0.2 n of each other,
+    so if they have a common extra, the first one (in one order for all sets,
+    frequent extras last) is among the first 0.2 n + 1 extras of each; what can
+    follow it, with the lesser ``both``, must suffice for a link."""
+    known = stars.join(near.select("a", "b", "both", "extras"), ["a", "b"], "left").withColumn(
+        "both", F.coalesce("both", "n")).withColumn("extras", F.coalesce("extras", F.array().cast("array<bigint>")))
+    for end in ("a", "b"):
+        known = known.join(parts.select(F.col("node").alias(end), F.col("component").alias("of_" + end)), end, "left").withColumn(
+            "of_" + end, F.coalesce("of_" + end, end))
+    known = written(known.withColumn("top", F.floor(F.col("both") / need - F.col("n") + 1e-9)), "known")
     step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * 25)
-    probes = placed.join(leads, "v").where("of <> of_lead").select(
-        "v", F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("of").alias("of_a"), F.col("top").alias("top_a"),
+    open_ = known.where("of_a <> of_b")
+    mine = open_.where(F.col("top") >= F.floor(F.lit(share) * F.col("n"))).select(
+        F.col("b").alias("lead"), F.col("a").alias("x"), F.col("n").alias("n_x"), F.col("of_a").alias("of_x"), F.col("top").alias("top_x"),
         F.explode(F.sequence(step(F.floor(F.lit(share) * F.col("n"))), step(F.least("top", F.floor(F.col("n") / share) + 1)))).alias("sizes"))
-    index = placed.select("v", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("of").alias("of_b"), F.col("top").alias("top_b"), step(F.col("n")).alias("sizes"))
-    rest = probes.join(index, ["v", "sizes"]).where("of_a <> of_b AND n_b <= top_a AND n_a <= top_b").where(
-        _sizes_fit("n_a", "n_b", percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = edges.unionByName(written(_verified(rest, sets, percent), "edges"))
-    return table, components(edges)
+    theirs = known.select(F.col("b").alias("lead"), F.col("a").alias("y"), F.col("n").alias("n_y"), F.col("of_a").alias("of_y"),
+                          F.col("top").alias("top_y"), step(F.col("n")).alias("sizes"))
+    by_size = mine.join(theirs, ["lead", "sizes"]).where("of_x <> of_y AND n_y <= top_x AND n_x <= top_y")
+    # common extras: those that no partner can have fill a set's first places
+    each = known.where(F.col("alone") <= F.floor(F.lit(1 - share) * F.col("n") + 1e-9)).select(
+        F.col("b").alias("lead"), F.col("a").alias("x"), "n", "both", F.col("of_a").alias("of_x"), (F.col("of_a") != F.col("of_b")).alias("open"),
+        F.size("extras").alias("n_extras"), F.explode("extras").alias("s"))
+    common = written(each.groupBy("lead", "s").agg(F.count(F.lit(1)).alias("df"), F.max("open").alias("asked")).where("df > 1 AND asked"), "common")
+    first = each.join(common.select("lead", "s", "df"), ["lead", "s"]).groupBy("lead", "x", "n", "both", "of_x", "open", "n_extras").agg(
+        F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    places = F.floor(F.lit(1 - share) * F.col("n") + 1e-9) + 1 - (F.col("n_extras") - F.size("all"))
+    first = first.withColumn("places", F.least(places, F.size("all"))).where("places > 0").select(
+        "lead", "x", "n", "both", "of_x", "open", F.size("all").alias("left"), F.posexplode(F.slice("all", 1, F.col("places").cast("int"))).alias("rank", "one"))
+    # extras that the two may still have in common, this one included
+    first = written(first.select("lead", "x", "n", "both", "of_x", "open", (F.col("left") - F.col("rank")).alias("left"), "one.s"), "extras")
+    ask, other = (first.select("lead", "s", F.col("x").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("n", "both", "left")), F.col("of_x").alias(f"of_{e}"), "open")
+                  for e in ("x", "y"))
+    at_most = F.least("both_x", "both_y") + F.least("left_x", "left_y")
+    met = ask.where("open").drop("open").join(other.drop("open"), ["lead", "s"]).where("of_x <> of_y").where(
+        at_most >= need * (F.col("n_x") + F.col("n_y")) - 1e-9)
+    both = by_size.select("x", "y", "n_x", "n_y").unionByName(met.select("x", "y", "n_x", "n_y")).where(_sizes_fit("n_x", "n_y", percent))
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _alone(sets: DataFrame) -> DataFrame:
@@ -245,5 +272,5 @@ def dedup(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id. Rows
     that repeat a kept doc_id are the same document and stay."""
     gone = near_duplicates(docs, percent, size).where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    kept = docs.join(written(gone, "gone"), "doc_id", "left_anti")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
