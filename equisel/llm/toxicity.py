@@ -54,17 +54,20 @@ PIECES = (4, 5)
 MARKS = 400
 RATE = 12.0
 RIDGE = 1e-3
-TOP = 5
+TOP = 3
+RAMPS = (-0.5, -0.25, 0.0, 0.25, 0.5, 0.75)
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S\s){3,}\S(?=\s|$)")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…"
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct lower-case words without outer punctuation."""
+    """Distinct lower-case words without outer punctuation; runs of single
+    characters (three different ones in the text at least) count joined, too."""
     text = text.lower()
-    found = {w.strip(_EDGE) for w in set(text.split())}
-    for run in _SPACED.findall(text):
-        found.add("".join(run.split()))
+    split = set(text.split())
+    found = set([w.strip(_EDGE) for w in split])
+    if len([w for w in split if len(w) == 1]) >= 3:
+        found.update("".join(run.split()) for run in _SPACED.findall(text))
     found.discard("")
     return found
 
@@ -119,28 +122,24 @@ def kernel(a: list[dict], b: list[dict]) -> np.ndarray:
 
 def squared_norms(codes: np.ndarray) -> np.ndarray:
     """Kernel of each word with itself, before scaling; ``codes`` is words by
-    characters. The recursion of Lodhi et al. over character positions."""
-    rows, n = codes.shape
-    inner = np.ones((rows, n + 1, n + 1))  # weight of shared prefixes that may go on
+    characters. The recursion of Lodhi et al. with both sums over gaps as
+    products with a matrix of decay powers."""
+    n = codes.shape[1]
+    gap = np.arange(n)[None, :] - np.arange(n)[:, None]
+    decay = np.where(gap >= 0, DECAY ** np.maximum(gap, 0), 0.0)  # from an earlier to a later place
+    before = np.roll(decay, 1, axis=1)  # shared prefixes end before the place that is matched
+    before[:, 0] = 0
+    same = (codes[:, :, None] == codes[:, None, :]) * (DECAY * DECAY)
+    inner = same
     for _ in range(2):
-        grown = np.zeros((rows, n + 1, n + 1))
-        for s in range(1, n + 1):
-            run = np.zeros(rows)
-            for t in range(1, n + 1):
-                run = DECAY * run + np.where(codes[:, s - 1] == codes[:, t - 1], DECAY * DECAY * inner[:, s - 1, t - 1], 0.0)
-                grown[:, s, t] = DECAY * grown[:, s - 1, t] + run
-        inner = grown
-    total = np.zeros(rows)
-    for s in range(1, n + 1):
-        for t in range(1, n + 1):
-            total += np.where(codes[:, s - 1] == codes[:, t - 1], DECAY * DECAY * inner[:, s - 1, t - 1], 0.0)
-    return total
+        inner = same * np.matmul(before.T, np.matmul(inner, before))
+    return inner.sum(axis=(1, 2))
 
 
 class Scorer:
     """Word margins and document scores of a trained machine."""
 
-    LIMIT = 400_000
+    LIMIT = 500_000
 
     def __init__(self, weights: dict[str, float], bias: float, logistic: np.ndarray):
         self.bias, self.logistic = bias, logistic
@@ -183,16 +182,20 @@ class Scorer:
         self.known.update(best)
 
     def top(self, texts: list[str]) -> np.ndarray:
-        """Per text: its ``TOP`` highest word margins, the logarithms of the
-        number of toxic words and of words, and a constant."""
-        out = np.full((len(texts), TOP + 3), -2.0)
+        """Per text: how far its ``TOP`` highest word margins have passed each
+        step of ``RAMPS`` (0 to 1), the logarithms of the number of words above
+        three margins and of all words, and a constant."""
+        best = np.full((len(texts), TOP), -2.0)
+        rest = np.ones((len(texts), 5))
         sets = [words_of(t) for t in texts]
         self.learn(set().union(*sets).difference(self.known))
         for i, s in enumerate(sets):
-            m = sorted((self.known[w] for w in s), reverse=True)
-            out[i, : min(TOP, len(m))] = m[:TOP]
-            out[i, TOP:] = np.log1p(sum(x > 0 for x in m)), np.log1p(len(m)), 1.0
-        return np.clip(out, -2.0, None)
+            m = np.fromiter(map(self.known.__getitem__, s), dtype=np.float64, count=len(s))
+            most = np.sort(np.partition(m, -TOP)[-TOP:] if len(m) > TOP else m)[::-1]
+            best[i, : len(most)] = most
+            rest[i, :4] = (m > 0).sum(), (m > 0.25).sum(), (m > 0.5).sum(), len(m)
+        rest[:, :4] = np.log1p(rest[:, :4])
+        return np.concatenate([*(np.clip((best - r) * 4, 0, 1) for r in RAMPS), rest], axis=1)
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not len(texts):
@@ -270,7 +273,7 @@ def _trained(good: list[str], seen: np.ndarray, bad: list[str], n_plain: int) ->
     for g, m in zip((root @ w).tolist(), land):
         for u, v in m.items():
             weights[u] = weights.get(u, 0.0) + g * v
-    return Scorer(weights, bias, np.zeros(TOP + 3))
+    return Scorer(weights, bias, np.zeros(TOP * len(RAMPS) + 5))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE) -> Scorer | None:
@@ -353,7 +356,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMP
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3] * (x.shape[1] - 1) + [1e-6])
+    ridge = np.diag([max(1e-4, 0.2 / len(y))] * (x.shape[1] - 1) + [1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge

@@ -108,7 +108,7 @@ def test_kernel_norm_and_margins():
         assert toxicity.squared_norms(codes)[0] == pytest.approx(sum(v * v for v in exact.values()))
     # a machine with one landmark gives the normalised kernel value
     mark = toxicity.subsequences(toxicity.marked("idiot"))
-    s = toxicity.Scorer(mark, 0.0, np.zeros(toxicity.TOP + 3))
+    s = toxicity.Scorer(mark, 0.0, np.zeros(1))
     s.learn({"idiot", "idxiot", "table", "i"})
     want = toxicity.kernel([toxicity.subsequences(toxicity.marked(w)) for w in ("idiot", "idxiot", "table", "i")], [mark])[:, 0]
     assert [s.known[w] for w in ("idiot", "idxiot", "table", "i")] == pytest.approx(want.tolist())
