@@ -76,7 +76,7 @@ def test_metric_report_isolates_failures(spark):
     df = _df(spark, [1, 1, 1], [1, -1, 1], [0.9, 0.2, 0.8])
     rep = {r["metric"]: r for r in Q.metric_report(df).collect()}
     assert rep["accuracy"]["value"] == pytest.approx(2 / 3, abs=1e-6)
-    assert rep["roc_auc"]["value"] is None and "single class" in rep["roc_auc"]["error"]
+    assert rep["roc_auc"]["value"] is None and "one class" in rep["roc_auc"]["error"]
 
 
 def test_macro_auc_null_when_class_absent(spark):

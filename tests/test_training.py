@@ -17,7 +17,7 @@ def test_failed_trial_is_recorded_and_study_goes_on(spark):
     log, preds = evaluate_trials(data, feats, [{"model_type": "LogisticRegression"}, {"model_type": "Bogus"}], spec)
     rows = {r["trial"]: r for r in log.collect()}
     assert rows[0]["state"] == "COMPLETE" and rows[0]["value"] is not None and rows[0]["value"] > 0.5
-    assert rows[1]["state"] == "FAIL" and rows[1]["error"].startswith("ValueError: Unknown model type")
+    assert rows[1]["state"] == "FAIL" and rows[1]["error"].startswith("ValueError: no such model type")
     with pytest.raises(RuntimeError, match="All trials failed"):
         evaluate_trials(data, feats, [{"model_type": "Bogus"}], spec)
 
