@@ -175,9 +175,12 @@ def _ovr(s, d):
     df = o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 100000).alias("f_price"),
                   (F.year("o_orderdate") - 1995).cast("double").alias("f_year"),
                   F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("y"))
+    from equisel.session import materialise
+
+    df = materialise(X.stratified_split(df, "row_id", "y", 0.75, 42))
     df = M.to_ml_label(M.assemble(df, ["f_price", "f_year"]), "y", binary=False)
-    m = M.fit_one_vs_rest(df, C=1.0, parallelism=3)
-    return M.score(m, df, binary=False).select("row_id", "y", "y_pred")
+    m = M.fit_one_vs_rest(df.where(F.col("split") == "train"), C=1.0, parallelism=3)
+    return M.score(m, df.where(F.col("split") == "test"), binary=False).select("row_id", "y", "y_pred")
 
 
 reg("m06_one_vs_rest_scores", _ovr)

@@ -195,10 +195,8 @@ reg("e10_amplitude_encode",
                 1.0 / 4 AS a3 FROM lineitem))""")
 
 reg("e11_pad_multiple_of_3",
-    lambda s, d: E.pad_multiple_of_3(V.vectors(s, d).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))).select(
-        "vec_id", F.size("x").alias("n"), F.element_at("x", -1).alias("last")),
-    "SELECT vec_id, CAST(len(embedding) + ((3 - len(embedding)) % 3 + 3) % 3 AS INTEGER) AS n, "
-    "CASE WHEN ((3 - len(embedding)) % 3 + 3) % 3 > 0 THEN 0.0 ELSE CAST(embedding[-1] AS DOUBLE) END AS last FROM embeddings")
+    lambda s, d: E.pad_multiple_of_3(V.vectors(s, d).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))),
+    "SELECT vec_id, list_concat(CAST(embedding AS DOUBLE[]), [0.0::DOUBLE for i in range(((3 - len(embedding)) % 3 + 3) % 3)]) AS x FROM embeddings")
 
 
 def _pca(s, d):
@@ -283,6 +281,18 @@ tq_ AS (SELECT y, floor(n_c * 0.2::DOUBLE) AS base, n_c * 0.2::DOUBLE - floor(n_
                ceil(sum(n_c) OVER () * 0.2::DOUBLE) - sum(floor(n_c * 0.2::DOUBLE)) OVER () AS left_ FROM tc_),
 tqq_ AS (SELECT y, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, y) <= left_ THEN 1 ELSE 0 END AS quota FROM tq_)
 """
+def _one_alone(s, d):
+    """The split input with a class of a single row: the split is unstratified."""
+    v = V.split_input(s, d)
+    alone = v.agg(F.min("row_id").alias("k"))
+    return v.crossJoin(F.broadcast(alone)).withColumn("y", F.when(F.col("row_id") == F.col("k"), "alone").otherwise(F.col("y"))).drop("k")
+
+
+reg("x02_split_fallback", lambda s, d: X.stratified_split(_one_alone(s, d), "row_id", "y", 0.75, 42),
+    with_views(f"""SELECT row_id, CASE WHEN row_id = (SELECT min(row_id) FROM split_input) THEN 'alone' ELSE y END AS y,
+       CASE WHEN row_number() OVER (ORDER BY {H('row_id', 42)}, row_id) <= floor(count(*) OVER () * 0.75::DOUBLE) THEN 'train' ELSE 'test' END AS split
+       FROM split_input""", "split_input"))
+
 reg("x03_validation_split", lambda s, d: X.validation_split(_split(s, d), "row_id", "y", 0.2, 42),
     with_views("X", "split_input").replace("\nX", "," + _SPLIT + "," + _VAL + """
 SELECT row_id, y, CASE WHEN row_number() OVER (PARTITION BY y ORDER BY h, row_id) <= quota THEN 'val' ELSE 'train' END AS split
@@ -362,14 +372,14 @@ reg("s03_attach_target", _attach,
 
 def _roundtrip(s, d):
     path = _scratch(s, "written")
-    src = V.features(s, d).drop("flag")
+    src = V.features(s, d)
     IO.write_table(src, path, "csv")
     schema = src.schema
     return s.read.option("header", True).schema(schema).csv(path)
 
 
 reg("s04_write_table_csv_roundtrip", _roundtrip,
-    with_views("SELECT p_partkey, p_size, p_retailprice, p_brand, p_type, target FROM features", "features"))
+    with_views("SELECT * FROM features", "features"))
 
 reg("p05_head", lambda s, d: PR.head(FEAT(s, d), 10, "p_partkey"),
     with_views("SELECT * FROM features ORDER BY p_partkey LIMIT 10", "features"))

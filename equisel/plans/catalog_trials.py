@@ -25,8 +25,11 @@ RP = V.reports
 _VALUE = "CASE WHEN state = 'COMPLETE' THEN f1 END"
 _FIN = "state IN ('COMPLETE', 'PRUNED', 'FAIL')"
 
-reg("s10_scan_trials", lambda s, d: A.scan_trials(TR(s, d)).drop("params", "values"),
-    with_views(f"SELECT study, trial, state, model_type, {_VALUE} AS value FROM trials WHERE {_FIN}", "trials"))
+reg("s10_scan_trials", lambda s, d: A.scan_trials(TR(s, d)).withColumn(
+    "params", F.array_join(F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")),
+    with_views(f"""SELECT study, trial, state, model_type, {_VALUE} AS value, CASE WHEN state = 'COMPLETE' THEN [f1, disparity] END AS values,
+       'C=' || "C" || ',learning_rate=' || learning_rate || ',model_type=' || model_type || ',n_layers=' || n_layers AS params
+       FROM trials WHERE {_FIN}""", "trials"))
 
 reg("a01_best_trial", lambda s, d: A.best_trial(TR(s, d)),
     with_views(f"""SELECT study, trial, value FROM (SELECT study, trial, {_VALUE} AS value,
