@@ -274,3 +274,19 @@ def dedup(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     gone = near_duplicates(docs, percent, size).where("NOT kept").select("doc_id").distinct()
     kept = docs.join(written(gone, "gone"), "doc_id", "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+SQL = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * i >= 80 * (p.n + q.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least_ AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, component_id, doc.doc_id = component_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) JOIN least_ USING (doc_id)
+"""

@@ -49,4 +49,4 @@ def op10_pseudo_likelihood(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_quality, op3_minhash_neardup, op4_token_files, op5_toxicity, op6_lz_fingerprint, op7_url_decisions,
     op8_decontamination, op9_substring_dedup, op10_pseudo_likelihood)}
-SQL = {"op7_url_decisions": urls.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL}
+SQL = {"op3_minhash_neardup": neardup.SQL, "op7_url_decisions": urls.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL}
