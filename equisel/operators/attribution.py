@@ -68,18 +68,22 @@ def permutation_shap(df: DataFrame, x: str, key: str, model: Callable[[F.Column]
                      lambda i: F.struct(hash32(F.concat_ws(":", F.col(key).cast("string"), F.col("__p").cast("string"),
                                                            i.cast("string")), seed).alias("h"), i.alias("i")))
     perms = perms.withColumn("__order", F.transform(F.array_sort(hs), lambda s: s["i"]))
-    j = perms.crossJoin(F.broadcast(bg))  # bounded background
-    j = j.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    # position of feature i in the order
-    rank_of = lambda i: F.array_position(F.col("__order"), i) - 1
-    comp = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                       lambda i: F.when(rank_of(i) < F.col("__k"), F.element_at(F.col(x), i + 1)).otherwise(
-                           F.element_at(F.col("__b"), i + 1)))
-    j = j.withColumn("__f", model(comp))
-    w = Window.partitionBy(key, "__p", "__bi").orderBy("__k")
-    j = j.withColumn("__delta", F.col("__f") - F.lag("__f").over(w)).where(F.col("__k") > 0)
-    j = j.withColumn("__feat", F.element_at(F.col("__order"), F.col("__k")))
-    agg = j.groupBy(key, "__feat").agg(F.avg("__delta").alias("value"))
+    rank = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position(F.col("__order"), i))
+    one = bg.agg(F.transform(F.array_sort(F.collect_list(F.struct("__bi", "__b"))), lambda r: r["__b"]).alias("__bg"))
+    j = perms.withColumn("__rank", rank).crossJoin(F.broadcast(one))  # one row of bounded background
+
+    def mixed(k, b):
+        """The row's values for the first k features of the order, else b's."""
+        return F.transform(F.arrays_zip(F.col(x).alias("v"), F.col("__rank").alias("r"), b.alias("b")),
+                           lambda z: F.when(z["r"] <= k, z["v"]).otherwise(z["b"]))
+
+    # model values along the order for each background row, then their differences, all inside the row
+    path = F.transform(F.col("__bg"), lambda b: F.transform(F.sequence(F.lit(0), F.lit(d)), lambda k: model(mixed(k, b))))
+    j = j.withColumn("__path", path)
+    change = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda k: F.struct(
+        F.element_at(F.col("__order"), k).alias("__feat"),
+        (F.aggregate(F.col("__path"), F.lit(0.0), lambda acc, f: acc + (F.element_at(f, k + 1) - F.element_at(f, k))) / F.size("__path")).alias("__delta")))
+    agg = j.select(key, F.inline(change)).groupBy(key, "__feat").agg(F.avg("__delta").alias("value"))
     nl = F.array(*[F.lit(n) for n in names])
     vals = indexed_explode(df.select(key, x), x, "__feat", "feature_value")
     sh = agg.join(vals, [key, "__feat"]).select(F.col(key).alias("row_id"), F.lit(0).alias("class_code"),
@@ -190,18 +194,28 @@ def violin_summary(shap: DataFrame, bins: int = 20, class_code: int = 0) -> Data
     return hist, q
 
 
-def evidence_bundle(sections: dict[str, DataFrame]) -> DataFrame:
+def evidence_bundle(sections: dict) -> DataFrame:
     """One JSON document from bounded section tables: each section is
-    collected into a sorted array of structs by an aggregate and the
-    sections are combined into one row; an empty section becomes an empty
-    list. Only bounded tables (metric rows, confusion cells, feature
-    importances, audit rows) belong here."""
-    cols = []
-    spark = next(iter(sections.values())).sparkSession
-    one = spark.range(1).select(F.lit(1).alias("__one"))
-    for name, df in sections.items():
-        # sorted rows: the same inputs always give the same document
-        agg = df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
-        one = one.crossJoin(agg)
-        cols.append(name)
-    return one.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("bundle"))
+    collected into a sorted array of structs by an aggregate and the sections
+    are combined into one row; an empty section becomes an empty list. A
+    section is a table, or a function that makes one: if that fails, the
+    section is null and ``warnings`` has its name and error, and the others
+    stay. Only bounded tables (metric rows, confusion cells, feature summaries,
+    downsampled curves, audit rows) belong here."""
+    warnings, made = [], {}
+    for name, section in sections.items():
+        try:
+            df = section() if callable(section) else section
+            # sorted rows: the same inputs always give the same document
+            made[name] = df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+        except Exception as e:
+            warnings.append((name, f"{type(e).__name__}: {e}"))
+    if not made:
+        raise ValueError(f"no section could be made: {warnings}")
+    one = None
+    for agg in made.values():
+        one = agg if one is None else one.crossJoin(agg)  # one-row tables
+    notes = [F.struct(F.lit(n).alias("section"), F.lit(e).alias("error")) for n, e in warnings]
+    empty = F.array().cast("array<struct<section:string,error:string>>")
+    cols = [F.col(n) if n in made else F.lit(None).cast("string").alias(n) for n in sections]
+    return one.select(F.to_json(F.struct(*cols, (F.array(*notes) if notes else empty).alias("warnings")), {"ignoreNullFields": "false"}).alias("bundle"))

@@ -311,13 +311,18 @@ reg("v10_violin_quartiles", lambda s, d: AT.violin_summary(_lshap(s, d)[0])[1].s
 def _bundle(s, d):
     from equisel.operators import fairness as B
     from equisel.operators import metrics as Q
+    from equisel.operators.trials import leaderboard
     p = V.predictions(s, d)
     sh, base = _lshap(s, d)
     return AT.evidence_bundle({
         "metrics": Q.metric_report(p),
         "confusion": Q.confusion_matrix(p),
+        "curves": lambda: Q.downsample_curve(Q.roc_curve(p), "threshold", max_points=50, descending=True),
         "importance": AT.feature_importance(sh),
-        "fairness": B.audit(p),
+        "shap": lambda: AT.violin_summary(sh)[1],
+        "shap_base": base,
+        "fairness": lambda: B.audit(p),
+        "trials": lambda: leaderboard(V.trials(s, d), 3),
     })
 
 
