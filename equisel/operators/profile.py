@@ -128,14 +128,11 @@ def exact_quantiles(df: DataFrame, probs: Sequence[float], cols: Sequence[str] |
     ranks = n.crossJoin(F.broadcast(pr)).select(
         "column", "prob", "n", (F.col("prob") * (F.col("n") - 1)).alias("r"))
     ranks = ranks.select("*", F.floor("r").alias("lo"), F.ceil("r").alias("hi"))
-    # the value at 0-based rank k is the one with cum_c - c <= k < cum_c
-    def at(k):
-        j = cum.join(F.broadcast(ranks.select("column", "prob", k, "r", "lo")), "column").where(
-            (F.col("cum_c") - F.col("c") <= F.col(k)) & (F.col(k) < F.col("cum_c")))
-        return j.select("column", "prob", "r", "lo", F.col("value").alias(f"v_{k}"))
-    lo = at("lo")
-    hi = at("hi").select("column", "prob", "v_hi")
-    q = lo.join(hi, ["column", "prob"])
+    # the value at 0-based rank k is the one with cum_c - c <= k < cum_c; both ranks in one join (columns x probs rows)
+    before = F.col("cum_c") - F.col("c")
+    holds = lambda k: (before <= F.col(k)) & (F.col(k) < F.col("cum_c"))
+    q = cum.join(F.broadcast(ranks), "column").where(holds("lo") | holds("hi")).groupBy("column", "prob", "r", "lo").agg(
+        *(F.max(F.when(holds(k), F.col("value"))).alias(f"v_{k}") for k in ("lo", "hi")))
     val = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("r") - F.col("lo"))
     return q.select("column", "prob", val.alias("value"))
 

@@ -18,14 +18,21 @@ ACTIVE_RUN = ("running", "pending")
 ACTIVE_JOB = ("pending", "running")
 
 
-def upsert(store: DataFrame, records: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Register-or-overwrite by key; ``records`` win over ``store``."""
+def upsert(store: DataFrame, records: DataFrame, key: str | Sequence[str], newest: str | None = None) -> DataFrame:
+    """Register-or-overwrite by key; ``records`` win over ``store``.
+    Of several records for one key the one with the largest ``newest`` wins,
+    then (or without it) the one with the least hash of its values, so the
+    result never depends on the order of rows."""
     keys = [key] if isinstance(key, str) else list(key)
     u = store.withColumn("__prec", F.lit(1)).unionByName(records.withColumn("__prec", F.lit(0)), allowMissingColumns=True)
     rest = [c for c in u.columns if c not in keys and c != "__prec"]
     # winner per key by partial aggregation (min_by on precedence): a key with many
     # duplicate records is combined map-side instead of landing in one window partition
-    win = u.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col("__prec")).alias("__w"))
+    tie = F.xxhash64(*[F.col(c) for c in rest]) if rest else F.lit(0)
+    age = [F.max(F.col(newest)).alias("__n")] if newest else []
+    if newest:  # the newest row of each side first, then the usual precedence
+        u = u.join(u.groupBy(*keys, "__prec").agg(*age), [*keys, "__prec"]).where(F.col(newest).eqNullSafe(F.col("__n"))).drop("__n")
+    win = u.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("__prec", tie.alias("t"))).alias("__w"))
     return win.select(*keys, *[F.col(f"__w.{c}").alias(c) for c in rest]).select(
         *[c for c in u.columns if c != "__prec"])
 
@@ -108,6 +115,27 @@ def merge_counts(src: DataFrame | None, dst: DataFrame | None, key: str | Sequen
                    F.count_if(F.col("__d").isNotNull()).alias("existing"))
 
 
+def merge_all(src: Mapping[str, DataFrame | None], dst: Mapping[str, DataFrame | None], keys: Mapping[str, str | Sequence[str]],
+              defaults: Mapping[str, Mapping[str, F.Column]] | None = None) -> tuple[dict, DataFrame]:
+    """S9 over all tables of a store: the merged tables, and one row per table
+    with the rows that were inserted and already present. A run without its own
+    study storage key takes its database name."""
+    src = dict(src)
+    runs = src.get("runs")
+    if runs is not None and "db_name" in runs.columns:
+        own = F.col("study_storage_key") if "study_storage_key" in runs.columns else F.lit(None).cast("string")
+        src["runs"] = runs.withColumn("study_storage_key", F.coalesce(own, F.col("db_name")))
+    merged, counts = {}, None
+    for name, key in keys.items():
+        s, d = src.get(name), dst.get(name)
+        if s is None and d is None:
+            continue
+        merged[name] = merge_store(s, d, key, (defaults or {}).get(name))
+        c = merge_counts(s, d, key, name)
+        counts = c if counts is None else counts.unionByName(c)
+    return merged, counts
+
+
 CONFIG_DEFAULTS = {"use_proba": True, "subset_size": 50, "class_index": 0, "sample_index": 0}
 
 

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from equisel.functions.exprs import nan_to_null
 
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
@@ -47,7 +50,10 @@ def read_table(
     missing = [c for c in x_cols if c not in cols]
     if missing:
         raise ValueError(f"feature columns not in table: {missing}")
-    return df.select(*x_cols, y_col)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    # NaN is a missing value
+    cell = lambda c: nan_to_null(F.col(f"`{c}`")).alias(c) if isinstance(kinds[c], (T.FloatType, T.DoubleType)) else F.col(f"`{c}`")
+    return df.select(*(cell(c) for c in (*x_cols, y_col)))
 
 
 def read_headerless_xy(spark: SparkSession, path: str, sep: str = ",", schema=None) -> DataFrame:

@@ -227,3 +227,31 @@ def test_streams_replay_and_restart(spark, tmp_path):
     assert {x["n_steps"] for x in got.collect()} == {30}
     asha = L.live_asha(spark, stream(), 1, 3, folder=f"{tmp_path}/asha")
     assert sorted(map(tuple, asha.collect())) == sorted(map(tuple, H.asha_prune(whole, 1, 3).select(asha.columns).collect()))
+
+
+def test_upsert_with_several_records_for_a_key(spark):
+    schema = "k int, v string, at int"
+    store = spark.createDataFrame([(1, "old", 9), (2, "kept", 1)], schema)
+    records = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (3, "new", 1)], schema)
+    got = {r["k"]: r["v"] for r in S.upsert(store, records, "k", newest="at").collect()}
+    assert got == {1: "b", 2: "kept", 3: "new"}
+    one = {r["v"] for i in range(3) for r in S.upsert(store, records.repartition(i + 1), "k").where("k = 1").collect()}
+    assert len(one) == 1
+
+
+def test_merging_all_tables_of_a_store(spark):
+    src = {"runs": spark.createDataFrame([(1, "db1"), (2, "db2")], "id int, db_name string"), "datasets": None,
+           "jobs": spark.createDataFrame([(7, 1)], "job int, id int")}
+    dst = {"runs": spark.createDataFrame([(2, "db2", "mine")], "id int, db_name string, study_storage_key string"),
+           "datasets": spark.createDataFrame([(5,)], "id int"), "jobs": None}
+    merged, counts = S.merge_all(src, dst, {"runs": "id", "datasets": "id", "jobs": "job", "snapshots": "id"})
+    assert {r["id"]: r["study_storage_key"] for r in merged["runs"].collect()} == {1: "db1", 2: "mine"}
+    assert {tuple(r) for r in counts.collect()} == {("runs", 1, 1), ("datasets", 0, 0), ("jobs", 1, 0)}
+    assert set(merged) == {"runs", "datasets", "jobs"}
+
+
+def test_reading_turns_nan_into_null(spark, tmp_path):
+    from equisel.sources.tables import read_table
+
+    spark.createDataFrame([(1.0, "a"), (float("nan"), "b")], "x double, y string").write.parquet(f"{tmp_path}/t.parquet")
+    assert read_table(spark, f"{tmp_path}/t.parquet").where("x IS NULL").count() == 1
