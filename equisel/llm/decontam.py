@@ -21,15 +21,14 @@ columns beyond ids and texts are ignored here and kept by ``remove``.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .store import written
 
 WINDOW = 13
 SHARD_CHARS = 8_000_000
@@ -207,72 +206,96 @@ def _shards(benchmark: DataFrame, window: int, shard_chars: int, item_col: str,
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5, shard_chars: int = SHARD_CHARS,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted array),
-    spans (hit ranges ``[from, to)`` in words), contaminated (n_hit > 0 and
-    100 * n_hit >= percent * n_words)."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, n_words long, items array<string>, spans array<struct<from:long,to:long>>"
-    shards = list(_shards(benchmark, window, shard_chars, item_col, "text"))
-    if len(shards) == 1:
-        found = base.mapInArrow(_task(spark.sparkContext.broadcast(shards[0])), shape)
-    else:
-        # one pass that applies every shard to a batch before the next batch is read
-        held = [spark.sparkContext.broadcast(s) for s in shards]
-        found = base.mapInArrow(_task(*held), shape)
+    spans (hit ranges ``[from, to)`` in words), text_hash, contaminated
+    (n_hit > 0 and 100 * n_hit >= percent * n_words)."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    found = None
+    for shard, more in _marked_last(_shards(benchmark, window, shard_chars, item_col, "text")):
+        held = docs.sparkSession.sparkContext.broadcast(shard)
+        part = base.mapInArrow(_task(held), _shape(base))
+        if found is None and not more:
+            break
+        # one of several shards: keep its hits (equal rows have equal hits) and let the automaton go
+        part = written(part.where("size(items) > 0").dropDuplicates(["doc_id", "th"]), "hits")
+        found = part if found is None else found.unionByName(part)
+        held.unpersist()
+    if found is not None:
+        each = found.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+                                                 F.flatten(F.collect_list("spans")).alias("spans")).withColumnRenamed("doc_id", "id_")
+        part = base.join(each.withColumnRenamed("th", "th_"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left").select(
+            "doc_id", "text", "th", "items", "spans").mapInArrow(_merged, _shape(base))
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
-    return found.select("doc_id", "n_words", length.alias("n_hit"), "items", "spans").withColumn(
+    return part.select("doc_id", "n_words", length.alias("n_hit"), "items", "spans", F.col("th").alias("text_hash")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
 
 
-def _task(*held):
+def _marked_last(shards: Iterator[Shard]) -> Iterator[tuple[Shard, bool]]:
+    """Each shard with whether another one follows; one is held at a time."""
+    last = next(shards)
+    for shard in shards:
+        yield last, True
+        last = shard
+    yield last, False
+
+
+def _shape(base: DataFrame) -> str:
+    return f"doc_id {base.schema['doc_id'].dataType.simpleString()}, th long, n_words long, items array<string>, spans array<struct<from:long,to:long>>"
+
+
+_SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+
+
+def _batch(ids, th, n_words, items, spans) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, th, pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)],
+                                      ["doc_id", "th", "n_words", "items", "spans"])
+
+
+def _task(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = W.text_array(batch.column(1))
-            per = None
-            for b in held:
-                rows = list(_search(b.value, texts))
-                if per is None:
-                    per = rows
-                else:
-                    per = [(i, n, m if o is None else o if m is None else m | o, x | y)
-                           for (i, n, m, x), (_, _, o, y) in zip(per, rows)]
-            spans, items = [], []
-            for _, _, mask, found in per or []:
-                spans.append([] if mask is None else _ranges(mask))
-                items.append(sorted(found))
-            struct = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p[1] for p in per or []], pa.int64()), pa.array(items, pa.list_(pa.string())),
-                 pa.array(spans, struct)], ["doc_id", "n_words", "items", "spans"])
+            rows = list(_search(held.value, W.text_array(batch.column(1))))
+            yield _batch(batch.column(0), batch.column(2), [n for _, n, _, _ in rows], [sorted(x) for *_, x in rows],
+                         [[] if m is None else _ranges(m) for _, _, m, _ in rows])
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts, and the spans of several shards as one set of ranges."""
+    for batch in batches:
+        n_words, spans = [], []
+        texts = W.text_array(batch.column(1))
+        for _, _, raw, offs in W.blocks(texts):
+            n_words += W.Words(W.LOWER[raw], offs, W.NON_ALNUM).count.tolist()
+        for n, found in zip(n_words, batch.column(4).to_pylist()):
+            mask = np.zeros(n if found else 0, dtype=bool)
+            for s in found or []:
+                mask[s["from"] : s["to"]] = True
+            spans.append(_ranges(mask))
+        items = [x or [] for x in batch.column(3).to_pylist()]
+        yield _batch(batch.column(0), batch.column(2), n_words, items, spans)
+
+
 def _ranges(mask: np.ndarray) -> list[dict]:
     edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
     return [{"from": int(a), "to": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, percent: int = 5, **options) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, percent: int = 5, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Documents whose coverage stays below the limit, columns unchanged."""
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(s) for s in _shards(benchmark, options.get("window", WINDOW),
-                                                            options.get("shard_chars", SHARD_CHARS), "item_id", "text")]
-    at = docs.columns.index("text")
+    shards = _marked_last(_shards(benchmark, window, shard_chars, "item_id", "text"))
+    shard, more = next(shards)
+    if more:
+        bad = contamination(docs, benchmark, window, percent, shard_chars).where("contaminated").select(
+            F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
+        return docs.join(written(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    held, at = docs.sparkSession.sparkContext.broadcast(shard), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = W.text_array(batch.column(at))
-            hit, count = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-            masks: dict[int, np.ndarray] = {}
-            for b in held:
-                for i, n, mask, _ in _search(b.value, texts):
-                    count[i] = n
-                    if mask is not None:
-                        masks[i] = masks[i] | mask if i in masks else mask
-            for i, mask in masks.items():
-                hit[i] = int(mask.sum())
+            rows = list(_search(held.value, W.text_array(batch.column(at))))
+            count = np.array([n for _, n, _, _ in rows], dtype=np.int64)
+            hit = np.array([0 if m is None else int(m.sum()) for _, _, m, _ in rows], dtype=np.int64)
             yield batch.filter(pa.array((hit == 0) | (100 * hit < percent * count)))
 
     return docs.mapInArrow(run, docs.schema)

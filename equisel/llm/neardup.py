@@ -1,7 +1,7 @@
 """Near-duplicate components from bottom-k sketches of one hash function.
 
-A document's set is its distinct 4-word shingles; its sketch the ``SKETCH``
-least shingle hashes. Inverted lists of the retained values give candidates,
+A document's set is its distinct shingles of five words (a parameter); its
+sketch the ``SKETCH`` least shingle hashes. Inverted lists of the retained values give candidates,
 the sketches' overlap filters them, and the exact Jaccard index of the full
 sets decides (``100 * intersection >= percent * union``).
 
@@ -25,8 +25,8 @@ that a skewed join reads are written first, so Spark can split them. Full sets
 are formed only for sets with enough shared values.
 
 Defined cases: null and empty texts, and texts without words, have an empty
-set, are linked with nothing and are their own component; a text of one to
-three words is one shingle; rows that share a doc_id are judged each by its
+set, are linked with nothing and are their own component; a text of fewer
+words than a shingle is one shingle; rows that share a doc_id are judged each by its
 text; a null doc_id is never a component's least and its row is kept; other
 columns are ignored by :func:`near_duplicates` and kept by :func:`dedup`.
 """
@@ -41,9 +41,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .components import components
-from .store import written
+from .store import files_for, written
 
-SHINGLE = 4
+SHINGLE = 5
 SKETCH = 24
 SHARED = 8
 COLD = 48
@@ -142,18 +142,19 @@ def links(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> tuple[Data
     # I >= need * (n + m) for a linked pair
     need = share / (1 + share)
     table = written(sketches(docs, size), "sketches")
+    files = files_for(table)
     one = table.where("fp IS NOT NULL").select("fp", "n", "sketch").dropDuplicates(["fp"])
     listed = one.select("fp", "n", F.explode("sketch").alias("v"))
-    often = written(listed.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "values")
+    often = written(listed.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "values", files)
     enough = F.least(F.lit(SHARED), F.ceil(F.lit(share) * F.col("n")).cast("int"))
     hits = listed.join(often, "v").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("hits"))
     hits = hits.withColumn("enough", enough).where("size(hits) >= enough")
     cold = F.transform(F.filter("hits", lambda x: x["df"] <= COLD), lambda x: x["v"])
     hot = F.transform(F.filter("hits", lambda x: x["df"] > COLD), lambda x: x["v"])
-    hits = written(hits.select("fp", "n", "enough", cold.alias("cold"), hot.alias("hot")), "hits")
+    hits = written(hits.select("fp", "n", "enough", cold.alias("cold"), hot.alias("hot")), "hits", files)
 
     own = table.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(hits.select("fp"), "fp").select("doc_id", "fp")
-    sets = written(_full_sets(docs, own, size), "sets")
+    sets = written(_full_sets(docs, own, size), "sets", files)
 
     # rare values: every pair of a bounded list, with its count of shared values
     rare = hits.select("fp", "n", "enough", F.size("hot").alias("n_hot"), F.explode("cold").alias("v"))
@@ -162,32 +163,32 @@ def links(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> tuple[Data
     pairs = a.join(b, "v").where("fp_a > fp_b").where(_sizes_fit("n_a", "n_b", percent))
     pairs = pairs.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.first(F.least("n_hot_a", "n_hot_b")).alias("more"), F.first(F.least("enough_a", "enough_b")).alias("least"))
-    pairs = written(pairs.where("shared + more >= least").select("a", "b", "shared"), "pairs")
-    edges = written(_compared(pairs, sets, percent).where("linked").select("a", "b"), "edges")
+    pairs = written(pairs.where("shared + more >= least").select("a", "b", "shared"), "pairs", files)
+    edges = written(_compared(pairs, sets, percent).where("linked").select("a", "b"), "edges", files)
 
     # frequent values: each set against the purest member of its lists
     listed = hits.where("size(hot) >= enough").select(
         "fp", "n", F.explode(F.slice("hot", 1, F.size("hot") - F.col("enough") + 1)).alias("v"))
-    listed = written(listed, "listed")
+    listed = written(listed, "listed", files)
     if listed.isEmpty():
-        return table, components(edges)
-    members = written(listed.select("fp").distinct(), "members")
-    alone = written(_alone(sets.join(members, "fp")), "alone")
-    listed = written(listed.join(alone, "fp", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "listed")
-    lead = written(listed.groupBy("v").agg(F.min(F.struct("alone", -F.col("n"), "fp")).alias("lead")).select("v", F.col("lead.fp").alias("b")), "lead")
+        return table, components(edges, files=files)
+    members = written(listed.select("fp").distinct(), "members", files)
+    alone = written(_alone(sets.join(members, "fp")), "alone", files)
+    listed = written(listed.join(alone, "fp", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "listed", files)
+    lead = written(listed.groupBy("v").agg(F.min(F.struct("alone", -F.col("n"), "fp")).alias("lead")).select("v", F.col("lead.fp").alias("b")), "lead", files)
     # a linked set lacks at most this many shingles in the other
     spare = F.floor(F.lit(1 - share) * F.col("n") + 1e-9)
     star = listed.where(F.col("alone") <= spare).join(lead, "v").select(F.col("fp").alias("a"), "b", "n", "alone").distinct()
-    stars = written(star, "star")
-    near = written(_compared(stars.where("a <> b"), sets, percent, extras=True), "near")
-    edges = written(edges.unionByName(near.where("linked").select("a", "b")), "edges")
-    parts = written(components(edges), "parts")
-    rest = _rest(stars, near, parts, share, need, percent)
-    more = written(_compared(rest, sets, percent).where("linked").select("a", "b"), "edges")
-    return table, parts if more.isEmpty() else components(edges.unionByName(more))
+    stars = written(star, "star", files)
+    near = written(_compared(stars.where("a <> b"), sets, percent, extras=True), "near", files)
+    edges = written(edges.unionByName(near.where("linked").select("a", "b")), "edges", files)
+    parts = written(components(edges, files=files), "parts", files)
+    rest = _rest(stars, near, parts, share, need, percent, files)
+    more = written(_compared(rest, sets, percent).where("linked").select("a", "b"), "edges", files)
+    return table, parts if more.isEmpty() else components(edges.unionByName(more), files=files)
 
 
-def _rest(stars: DataFrame, near: DataFrame, parts: DataFrame, share: float, need: float, percent: int) -> DataFrame:
+def _rest(stars: DataFrame, near: DataFrame, parts: DataFrame, share: float, need: float, percent: int, files: int) -> DataFrame:
     """Pairs (a, b) in one list, in different components so far, that may be
     linked. ``near`` holds for each set a and list lead b the common shingles
     (both) and those of a that b lacks (extras).
@@ -202,7 +203,7 @@ def _rest(stars: DataFrame, near: DataFrame, parts: DataFrame, share: float, nee
     for end in ("a", "b"):
         known = known.join(parts.select(F.col("node").alias(end), F.col("component").alias("of_" + end)), end, "left").withColumn(
             "of_" + end, F.coalesce("of_" + end, end))
-    known = written(known.withColumn("top", F.floor(F.col("both") / need - F.col("n") + 1e-9)), "known")
+    known = written(known.withColumn("top", F.floor(F.col("both") / need - F.col("n") + 1e-9)), "known", files)
     step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * 25)
     open_ = known.where("of_a <> of_b")
     mine = open_.where(F.col("top") >= F.floor(F.lit(share) * F.col("n"))).select(
@@ -215,14 +216,14 @@ def _rest(stars: DataFrame, near: DataFrame, parts: DataFrame, share: float, nee
     each = known.where(F.col("alone") <= F.floor(F.lit(1 - share) * F.col("n") + 1e-9)).select(
         F.col("b").alias("lead"), F.col("a").alias("x"), "n", "both", F.col("of_a").alias("of_x"), (F.col("of_a") != F.col("of_b")).alias("open"),
         F.size("extras").alias("n_extras"), F.explode("extras").alias("s"))
-    common = written(each.groupBy("lead", "s").agg(F.count(F.lit(1)).alias("df"), F.max("open").alias("asked")).where("df > 1 AND asked"), "common")
+    common = written(each.groupBy("lead", "s").agg(F.count(F.lit(1)).alias("df"), F.max("open").alias("asked")).where("df > 1 AND asked"), "common", files)
     first = each.join(common.select("lead", "s", "df"), ["lead", "s"]).groupBy("lead", "x", "n", "both", "of_x", "open", "n_extras").agg(
         F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
     places = F.floor(F.lit(1 - share) * F.col("n") + 1e-9) + 1 - (F.col("n_extras") - F.size("all"))
     first = first.withColumn("places", F.least(places, F.size("all"))).where("places > 0").select(
         "lead", "x", "n", "both", "of_x", "open", F.size("all").alias("left"), F.posexplode(F.slice("all", 1, F.col("places").cast("int"))).alias("rank", "one"))
     # extras that the two may still have in common, this one included
-    first = written(first.select("lead", "x", "n", "both", "of_x", "open", (F.col("left") - F.col("rank")).alias("left"), "one.s"), "extras")
+    first = written(first.select("lead", "x", "n", "both", "of_x", "open", (F.col("left") - F.col("rank")).alias("left"), "one.s"), "extras", files)
     ask, other = (first.select("lead", "s", F.col("x").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("n", "both", "left")), F.col("of_x").alias(f"of_{e}"), "open")
                   for e in ("x", "y"))
     at_most = F.least("both_x", "both_y") + F.least("left_x", "left_y")
@@ -256,14 +257,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_
 
 
 def _labelled(table: DataFrame, parts: DataFrame) -> DataFrame:
+    files = files_for(table)
     named = table.select("doc_id", "n", "fp")
     # a fingerprint's least document, then a component's
     least = named.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     label = least.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("of")), "fp", "left").withColumn("of", F.coalesce("of", "fp"))
-    label = written(label, "labels")
+    label = written(label, "labels", files)
     whole = label.groupBy("of").agg(F.min("first").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
-    whole = written(whole, "groups")
-    shared = written(label.select("fp", "of").join(whole, "of").select("fp", "component_id"), "shared")
+    whole = written(whole, "groups", files)
+    shared = written(label.select("fp", "of").join(whole, "of").select("fp", "component_id"), "shared", files)
     out = named.join(shared, "fp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -165,6 +165,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, max_ope
                     take(packer.add(doc, ids))
                 if len(rows) > 5000:
                     yield out()
+        encoder.forget()
         take(packer.close())
         if rows:
             yield out()

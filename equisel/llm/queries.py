@@ -15,7 +15,7 @@ def op2_quality(spark, sf_dir):
 
 
 def op3_minhash_neardup(spark, sf_dir):
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
 def op4_token_files(spark, sf_dir):

@@ -25,12 +25,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the
-    lineage, so a lost executor never re-runs what came before."""
+    lineage, so a lost executor never re-runs what came before. ``files`` (see
+    :func:`files_for`) limits the number of files."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -38,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files_for(docs: DataFrame, rows: int = 4000) -> int:
+    """Files for tables with at most a few rows per document: one for every
+    ``rows`` documents, up to the session's shuffle partitions, so a small
+    corpus does not write hundreds of nearly empty files."""
+    return min(tasks(docs.sparkSession), max(1, -(-docs.count() // rows)))
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for an explicit shuffle: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

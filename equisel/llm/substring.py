@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .store import tasks, written
+from .store import files_for, tasks, written
 
 K = 35
 M = 8
@@ -180,16 +180,16 @@ def repeated_ranges(keyed: DataFrame, k: int = K, m: int = M, hot: int = HOT) ->
     """(rk, ranges): for each row key the word ranges ``[lo, hi)`` covered by a
     window that also starts elsewhere. ``keyed`` has ``rk`` (long) and ``text``."""
     spark = keyed.sparkSession
-    n = tasks(spark)
+    n, files = tasks(spark), files_for(keyed)
     pieces = keyed.select("rk", "text").mapInArrow(_pieces(k, m), "rk long, mz long")
     often = pieces.groupBy("mz").count().where("count > 1").select(
         "mz", F.ceil(F.col("count") / hot).cast("int").alias("salts"))
-    often = written(often, "pieces")
+    often = written(often, "pieces", files)
     hits = (pieces.join(often, "mz").groupBy("rk").agg(F.collect_set(F.struct("mz", "salts")).alias("hits")))
     packed = keyed.select("rk", "text").join(hits, "rk").mapInArrow(
         _pack(k, m), "mz long, salt long, rk long, at long, packed binary")
     counted = packed.repartition(n, "mz", "salt").mapInArrow(_count(k), "rk long, lo long, hi long, wh long, mz long")
-    counted = written(counted, "windows")
+    counted = written(counted, "windows", files)
     sure = counted.where("wh IS NULL").select("rk", "lo", "hi")
     across = (counted.where("wh IS NOT NULL").groupBy("mz", "wh").agg(F.collect_list(F.struct("rk", "lo", "hi")).alias("at"))
               .where(F.size("at") > 1).select(F.explode("at").alias("at")).select("at.*"))

@@ -30,7 +30,7 @@ class Encoder:
     its own, so words are looked up in a bounded table and only new ones are
     encoded, many in one call. Other vocabularies encode text by text."""
 
-    LIMIT = 800_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -99,6 +99,11 @@ class Encoder:
                 self.core.clear()
         return out
 
+    def forget(self) -> None:
+        """Empty the word table (at the end of a task; workers live on)."""
+        self.whole.clear()
+        self.core.clear()
+
     def _learn(self, words: set[str]) -> None:
         """Enter new words: a word's core (trailing stops and commas cut,
         plain letters in lower case) is encoded once for all its forms."""

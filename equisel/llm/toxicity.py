@@ -106,18 +106,30 @@ def subsequences(word: str) -> dict[str, float]:
     return {u: v / norm for u, v in out.items()} if norm else out
 
 
+class Strings:
+    """Subsequence maps of many strings as flat arrays (string, subsequence
+    number, weight)."""
+
+    def __init__(self, maps: list[dict]):
+        number: dict[str, int] = {}
+        self.cols = np.array([number.setdefault(u, len(number)) for m in maps for u in m], dtype=np.int64)
+        self.vals = np.array([v for m in maps for v in m.values()])
+        self.rows = np.repeat(np.arange(len(maps)), [len(m) for m in maps])
+        self.count, self.width, self.number = len(maps), len(number), number
+
+    def like(self, m: dict) -> np.ndarray:
+        """Normalised kernel value of every string with one map."""
+        x = np.zeros(self.width)
+        for u, v in m.items():
+            if u in self.number:
+                x[self.number[u]] = v
+        return np.bincount(self.rows, weights=self.vals * x[self.cols], minlength=self.count)
+
+
 def kernel(a: list[dict], b: list[dict]) -> np.ndarray:
     """Normalised kernel values of subsequence maps."""
-    out = np.zeros((len(a), len(b)))
-    where: dict[str, list] = {}
-    for j, m in enumerate(b):
-        for u, v in m.items():
-            where.setdefault(u, []).append((j, v))
-    for i, m in enumerate(a):
-        for u, v in m.items():
-            for j, x in where.get(u, ()):
-                out[i, j] += v * x
-    return out
+    flat = Strings(a)
+    return np.stack([flat.like(m) for m in b], axis=1) if b else np.zeros((len(a), 0))
 
 
 def squared_norms(codes: np.ndarray) -> np.ndarray:
@@ -139,7 +151,7 @@ def squared_norms(codes: np.ndarray) -> np.ndarray:
 class Scorer:
     """Word margins and document scores of a trained machine."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, weights: dict[str, float], bias: float, logistic: np.ndarray):
         self.bias, self.logistic = bias, logistic
@@ -167,8 +179,6 @@ class Scorer:
         return found @ (DECAY ** (k - i + 1)) / np.sqrt(squared_norms(points)) + self.bias
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
         best: dict[str, float] = {}
         by_length: dict[int, list] = {}
         for w in words:
@@ -188,6 +198,8 @@ class Scorer:
         best = np.full((len(texts), TOP), -2.0)
         rest = np.ones((len(texts), 5))
         sets = [words_of(t) for t in texts]
+        if len(self.known) > self.LIMIT:  # before the look-up: what these texts need is learnt again
+            self.known.clear()
         self.learn(set().union(*sets).difference(self.known))
         for i, s in enumerate(sets):
             m = np.fromiter(map(self.known.__getitem__, s), dtype=np.float64, count=len(s))
@@ -239,14 +251,14 @@ def _gapped(word: str, k: int) -> str:
 def _spread(maps: list[dict], count: int) -> list[int]:
     """Indices of landmarks: in the order given, each string that is not close
     to one chosen before."""
-    chosen: list[int] = []
+    flat, chosen = Strings(maps), []
     like = np.zeros(len(maps))
     for i in range(len(maps)):
         if len(chosen) == count:
             break
         if like[i] < 0.8 and maps[i]:
             chosen.append(i)
-            like = np.maximum(like, kernel(maps, [maps[i]])[:, 0])
+            like = np.maximum(like, flat.like(maps[i]))
     return chosen
 
 

@@ -59,9 +59,10 @@ def test_items_and_removal(frame, clashing, odd_rows, words, items):
     docs = [(1, f"x {words(30, 200, 50)} y"), (2, f"{words(600, 8, 90_000)} short one"), (3, None), (4, "clean text of no item"), (5, "Short, one")]
     got = sorted(tuple(r) for r in decontam.digest(decontam.contamination(frame(docs), table)).collect())
     assert got == brute(docs, rows)
-    kept = decontam.remove(clashing(docs), table)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, *_, bad in brute(docs, rows) if not bad]
-    assert kept.schema == clashing(docs).schema
+    for shard_chars in (8_000_000, 150):
+        kept = decontam.remove(clashing(docs), table, shard_chars=shard_chars)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, *_, bad in brute(docs, rows) if not bad]
+        assert kept.schema == clashing(docs).schema
 
 
 def test_empty_benchmark_and_documents(spark, frame, odd_rows):

@@ -11,13 +11,13 @@ LOWER = {i: i + 32 for i in range(65, 91)}
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, size):
     w = WORD.findall((text or "").translate(LOWER))
-    return frozenset([tuple(w)] if 0 < len(w) < 4 else [tuple(w[i : i + 4]) for i in range(len(w) - 3)])
+    return frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[i : i + size]) for i in range(len(w) - size + 1)])
 
 
-def brute_components(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute_components(rows, size=4):
+    sets = [shingles(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -79,17 +79,17 @@ def test_near_duplicates_against_brute_force(frame, words, monkeypatch):
             rows.append((n, t))
             n += 1
     rows += [(n + 1, rows[0][1].upper()), (n + 2, "a b"), (n + 3, "A  b\n"), (n + 4, "a"), (n + 5, None), (n + 6, "")]
-    for cold in (48, 4):  # the second sends the large family through the frequent lists
+    for cold, size in ((48, 4), (4, 4), (4, 5)):  # a small COLD sends the large family through the frequent lists
         monkeypatch.setattr(neardup, "COLD", cold)
-        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame(rows)).collect())
-        assert got == sorted((i, n, c, i == c) for i, n, c in brute_components(rows))
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame(rows), size=size).collect())
+        assert got == sorted((i, n, c, i == c) for i, n, c in brute_components(rows, size))
 
 
 def test_near_duplicates_on_the_given_documents(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     monkeypatch.setattr(neardup, "COLD", 2)
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect())
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, size=4).collect())
     assert got == sorted(brute_components(rows))
 
 

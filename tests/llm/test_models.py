@@ -115,6 +115,17 @@ def test_kernel_norm_and_margins():
     assert s.known["idiot"] == pytest.approx(1) and s.known["idxiot"] > 0.3 > s.known["table"]
 
 
+def test_full_word_table_is_emptied_and_learnt_again(monkeypatch):
+    mark = toxicity.subsequences(toxicity.marked("idiot"))
+    logistic = np.ones(toxicity.TOP * len(toxicity.RAMPS) + 5)
+    texts = [[f"word{i} idiot table{i % 3}" for i in range(k, k + 5)] for k in (0, 3, 40, 1)]
+    plain = toxicity.Scorer(mark, 0.0, logistic)
+    want = [plain.score(t).tolist() for t in texts]
+    monkeypatch.setattr(toxicity.Scorer, "LIMIT", 3)
+    small = toxicity.Scorer(mark, 0.0, logistic)
+    assert [small.score(t).tolist() for t in texts] == want
+
+
 def test_spaced_words_are_joined():
     assert "idiot" in toxicity.words_of("you i d i o t there") and "idiot" in toxicity.words_of("(IDIOT!!)")
 

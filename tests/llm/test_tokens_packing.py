@@ -23,6 +23,15 @@ def test_word_table_equals_plain_encoding(direct):
         assert ids == direct(t).tobytes(), t
 
 
+def test_full_word_table_is_emptied(direct, monkeypatch):
+    monkeypatch.setattr(T.Encoder, "LIMIT", 5)
+    e = T.Encoder(T.vocabulary())
+    texts = [f"some words {i}, Some. words{i % 7}" for i in range(600)]
+    assert e.encode(texts) == [direct(t).tobytes() for t in texts]
+    e.forget()
+    assert not e.whole and e.encode(texts[:3]) == [direct(t).tobytes() for t in texts[:3]]
+
+
 def test_other_vocabulary_is_encoded_text_by_text():
     e = T.Encoder(T.vocabulary("byte_bpe_50k.json"))
     assert not e.by_word
