@@ -148,7 +148,6 @@ def write(docs: DataFrame, target: str | None = None, path: str | None = None, b
                     if held >= shard_tokens:
                         yield shard()
                         docs_, ids, seq, first, held = [], [], seq + 1, first + held, 0
-        encoder.forget()
         if docs_:
             yield shard()
 

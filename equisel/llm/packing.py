@@ -131,9 +131,11 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, max_open: int = MAX_OPEN, end_id: int = T.END_ID,
-         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep_words: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset and, ``with_ids``, the ids as uint32 bytes."""
+    sequence_id, offset and, ``with_ids``, the ids as uint32 bytes.
+    ``keep_words=False`` gives a worker's table of known words back after each
+    task: slower, but it leaves the memory to later stages."""
     path = path or T.vocabulary()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -165,7 +167,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, max_ope
                     take(packer.add(doc, ids))
                 if len(rows) > 5000:
                     yield out()
-        encoder.forget()
+        if not keep_words:
+            encoder.forget()
         take(packer.close())
         if rows:
             yield out()

@@ -30,7 +30,7 @@ class Encoder:
     its own, so words are looked up in a bounded table and only new ones are
     encoded, many in one call. Other vocabularies encode text by text."""
 
-    LIMIT = 600_000
+    LIMIT = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -100,7 +100,7 @@ class Encoder:
         return out
 
     def forget(self) -> None:
-        """Empty the word table (at the end of a task; workers live on)."""
+        """Empty the word table, which otherwise serves the worker's next tasks."""
         self.whole.clear()
         self.core.clear()
 
