@@ -141,8 +141,8 @@ def links(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> tuple[Data
     share = percent / 100
     # I >= need * (n + m) for a linked pair
     need = share / (1 + share)
-    table = written(sketches(docs, size), "sketches")
-    files = files_for(table)
+    files = files_for(docs)
+    table = written(sketches(docs, size), "sketches", files)
     one = table.where("fp IS NOT NULL").select("fp", "n", "sketch").dropDuplicates(["fp"])
     listed = one.select("fp", "n", F.explode("sketch").alias("v"))
     often = written(listed.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "values", files)
@@ -169,11 +169,9 @@ def links(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> tuple[Data
     # frequent values: each set against the purest member of its lists
     listed = hits.where("size(hot) >= enough").select(
         "fp", "n", F.explode(F.slice("hot", 1, F.size("hot") - F.col("enough") + 1)).alias("v"))
-    listed = written(listed, "listed", files)
     if listed.isEmpty():
         return table, components(edges, files=files)
-    members = written(listed.select("fp").distinct(), "members", files)
-    alone = written(_alone(sets.join(members, "fp")), "alone", files)
+    alone = written(_alone(sets.join(listed.select("fp").distinct(), "fp")), "alone", files)
     listed = written(listed.join(alone, "fp", "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "listed", files)
     lead = written(listed.groupBy("v").agg(F.min(F.struct("alone", -F.col("n"), "fp")).alias("lead")).select("v", F.col("lead.fp").alias("b")), "lead", files)
     # a linked set lacks at most this many shingles in the other
@@ -181,8 +179,8 @@ def links(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> tuple[Data
     star = listed.where(F.col("alone") <= spare).join(lead, "v").select(F.col("fp").alias("a"), "b", "n", "alone").distinct()
     stars = written(star, "star", files)
     near = written(_compared(stars.where("a <> b"), sets, percent, extras=True), "near", files)
-    edges = written(edges.unionByName(near.where("linked").select("a", "b")), "edges", files)
-    parts = written(components(edges, files=files), "parts", files)
+    edges = edges.unionByName(near.where("linked").select("a", "b"))
+    parts = components(edges, files=files)
     rest = _rest(stars, near, parts, share, need, percent, files)
     more = written(_compared(rest, sets, percent).where("linked").select("a", "b"), "edges", files)
     return table, parts if more.isEmpty() else components(edges.unionByName(more), files=files)
@@ -234,17 +232,29 @@ def _rest(stars: DataFrame, near: DataFrame, parts: DataFrame, share: float, nee
 
 
 def _alone(sets: DataFrame) -> DataFrame:
-    """(fp, alone): how many of a set's shingles no other set here has."""
+    """(fp, alone): how many of a set's shingles no other set here has. Tasks
+    add up first: a shingle that several of a task's sets have is one row."""
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for f, x in zip(batch.column("fp"), batch.column("shingles")):
-                s = np.frombuffer(x.as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.DictionaryArray.from_arrays(
-                    pa.array(np.zeros(len(s), dtype=np.int32)), pa.array([f.as_py()], pa.binary())).cast(pa.binary())], ["s", "fp"])
-
-    each = sets.select("fp", "shingles").mapInArrow(run, "s long, fp binary")
-    return each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("fp").alias("fp")).where("df = 1").groupBy("fp").agg(
+                held.append((f.as_py(), np.frombuffer(x.as_buffer(), dtype=np.int64).copy()))
+                size += len(held[-1][1])
+                if size > 500_000:
+                    yield from added(held)
+                    held, size = [], 0
+        if held:
+            yield from added(held)
+
+    def added(held):
+        values, first, n = np.unique(np.concatenate([s for _, s in held]), return_index=True, return_counts=True)
+        owner = np.repeat(np.arange(len(held)), [len(s) for _, s in held])[first]
+        names = pa.array([f for f, _ in held], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n), names.take(pa.array(owner))], ["s", "n", "fp"])
+
+    each = sets.select("fp", "shingles").mapInArrow(run, "s long, n long, fp binary")
+    return each.groupBy("s").agg(F.sum("n").alias("df"), F.min("fp").alias("fp")).where("df = 1").groupBy("fp").agg(
         F.count(F.lit(1)).alias("alone"))
 
 
@@ -274,8 +284,9 @@ def dedup(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id. Rows
     that repeat a kept doc_id are the same document and stay."""
     gone = near_duplicates(docs, percent, size).where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(written(gone, "gone"), "doc_id", "left_anti")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    files = files_for(docs)
+    kept = docs.join(written(gone, "gone", files), "doc_id", "left_anti")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).coalesce(files)
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
