@@ -7,14 +7,18 @@ group). A document's score is the sum of the conditional log-probabilities of
 its tokens (pseudo-log-likelihood; Salazar et al., 2020) and their mean.
 
 Tokens are lower-case words; the most frequent have an id each, the others
-share hash buckets. Word counts come from all documents. Training masks a
+share hash buckets. A bucket word's probability is its bucket's times the
+word's share of the bucket's count (:func:`likelihoods`; :func:`scored` leaves
+the share out and scores ids). Word counts come from all documents. Training masks a
 hashed 15 % of all positions of all documents in each of ``ROUNDS`` passes:
 every task trains in numpy on its documents from the common parameters, and the
 parameters are averaged by tokens (two levels, so the driver receives about the
 square root of the number of tasks).
 
-Scale: passes are map-side; only word counts and parameter vectors are
-shuffled. The model's size is a parameter and does not follow the corpus.
+Scale: passes are map-side; word counts, parameter vectors and, to look up
+counts, the rarer words of each document are shuffled. A word with at least
+1 / ``HELD`` of all tokens is looked up in the task, so no joined word is hot.
+The network's size is a parameter and does not follow the corpus.
 
 Defined cases: null and empty texts have no tokens, log-likelihood 0 and a null
 mean; a repeated row gets the same score again; neighbours beyond the text's ends are a
@@ -40,6 +44,7 @@ WIDTH = 16
 SPAN = 3
 ROUNDS = 2
 MASKED = 0.15
+HELD = 1 << 18
 BATCH = 8192
 RATE = 0.01
 
@@ -145,6 +150,25 @@ class Vocabulary:
         return np.where(self.hashes[at] == h, self.ids[at], rare)
 
 
+class Shares:
+    """Log share of a bucket word in its bucket's count, for the words that
+    ``hashes`` and ``n`` list; for others without the log of their own count."""
+
+    def __init__(self, hashes: np.ndarray, n: np.ndarray, buckets: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.logs, self.buckets = hashes[order], np.log(n[order]), np.log(np.maximum(buckets, 1))
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log share of every hash, and which hashes are not listed."""
+        out = -self.buckets[(h % W.U(BUCKETS)).astype(np.int64)]
+        if not len(self.hashes):
+            return out, np.ones(len(h), dtype=bool)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        known = self.hashes[at] == h
+        out[known] += self.logs[at[known]]
+        return out, ~known
+
+
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, W.Words, np.ndarray]]:
     for i, _, raw, offs in W.blocks(texts):
         w = W.Words(W.LOWER[raw], offs, W.NON_ALNUM)
@@ -211,8 +235,9 @@ def _mean(vectors: DataFrame, tasks: int) -> np.ndarray | None:
     return (sum(np.frombuffer(r["flat"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["task"])) / weight).astype(np.float32)
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, groups: int = GROUPS, per_group: int = PER_GROUP) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network from all texts of ``docs`` (column text)."""
+def train(docs: DataFrame, rounds: int = ROUNDS, groups: int = GROUPS, per_group: int = PER_GROUP) -> tuple[Vocabulary, Network, DataFrame, np.ndarray]:
+    """Vocabulary and network from all texts of ``docs`` (column text), the
+    written count table (h, n) of all words and the count of every id."""
     v = groups * per_group
     counted = written(word_counts(docs), "counts")
     top = counted.orderBy(F.desc("n"), "h").limit(v - BUCKETS).collect()
@@ -254,7 +279,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, groups: int = GROUPS, per_group
         if mean is None:
             break
         net = Network(v, mean)
-    return vocabulary, net
+    return vocabulary, net, counted, counts
 
 
 class _Adam:
@@ -281,18 +306,20 @@ class _Adam:
         return [(ctx[:, stop:], target[stop:])] if stop < len(target) else []
 
 
-def scored(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, log_likelihood, mean_log_prob."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    vocabulary, net = train(base, rounds)
+def _pass(base: DataFrame, vocabulary: Vocabulary, net: Network, shares: Shares | None = None) -> DataFrame:
+    """Scores of the ids, one row per document. With ``shares``, also those of
+    the words, a key ``row``, and the words (``h``) without a listed count with
+    their number of occurrences (``times``), still to be added."""
     kind = base.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, net.v, net.flat))
+    held = base.sparkSession.sparkContext.broadcast((vocabulary, net.v, net.flat, shares))
+    names = ["doc_id", "n_tokens", "log_likelihood"] + ["row", "h", "times"] * (shares is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, v, flat = held.value
-        own = Network(v, flat)
+        known, v, flat, shares = held.value
+        own, row = Network(v, flat), TaskContext.get().partitionId() << 40
         for batch in batches:
             count, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
+            size, rest = np.zeros(batch.num_rows, dtype=np.int64), []
             for i, w, h in _tokens(W.text_array(batch.column(1))):
                 ids = known.of(h)
                 for a in range(0, len(ids), 4 * BATCH):
@@ -300,8 +327,59 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_c
                     logs = own.scores(around(ids, w.doc, at, v), ids[at]).astype(np.float64)
                     total[i : i + len(w.count)] += np.bincount(w.doc[at], weights=logs, minlength=len(w.count))
                 count[i : i + len(w.count)] = w.count
-            mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(total), mean],
-                                             ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
+                if shares is not None:
+                    at = np.flatnonzero(ids >= v - BUCKETS)
+                    logs, unlisted = shares.of(h[at])
+                    total[i : i + len(w.count)] += np.bincount(w.doc[at], weights=logs, minlength=len(w.count))
+                    doc, words, times = _distinct(w.doc[at[unlisted]], h[at[unlisted]])
+                    size[i : i + len(w.count)] = np.bincount(doc, minlength=len(w.count))
+                    rest.append((words, times))
+            arrays = [batch.column(0), pa.array(count), pa.array(total)]
+            if shares is not None:
+                words, times = (np.concatenate([np.zeros(0, dtype=np.int64), *(x.view(np.int64) for x in c)]) for c in (zip(*rest) if rest else ((), ())))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+                arrays += [pa.array(row + np.arange(batch.num_rows)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (words, times))]
+                row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return base.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double" + ", row long, h array<long>, times array<long>" * (shares is not None))
 
-    return base.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_prob double")
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, word) by document, with how often each occurs."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], h[first], np.diff(np.append(first, len(h)))
+
+
+def _with_mean(out: DataFrame) -> DataFrame:
+    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+
+
+def scored(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of the network's ids, one row per document: doc_id, n_tokens,
+    log_likelihood, mean_log_prob. A bucket word counts as its whole bucket;
+    see :func:`likelihoods` for the words themselves."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _with_mean(_pass(base, *train(base, rounds)[:2]))
+
+
+def likelihoods(docs: DataFrame, rounds: int = ROUNDS, held: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of the words, one row per document: doc_id, n_tokens,
+    log_likelihood, mean_log_prob. Words with at least 1 / ``held`` of all
+    tokens (so at most ``held`` words) are looked up in the tasks, the others
+    by a join with the count table."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    vocabulary, net, counted, counts = train(base, rounds)
+    listed = F.col("n") * F.lit(held) >= F.lit(int(counts.sum()))
+    top = counted.where(listed).toArrow()
+    shares = Shares(*(top.column(c).to_numpy().view(t) for c, t in (("h", W.U), ("n", np.int64))), counts[net.v - BUCKETS :])
+    # written: the row keys below belong to this one pass
+    each = written(_pass(base, vocabulary, net, shares), "scores")
+    words = each.select("row", F.explode(F.arrays_zip("h", "times")).alias("w")).select("row", "w.h", "w.times")
+    more = words.join(counted.where(~listed), "h").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    whole = each.select("row", "doc_id", "n_tokens", "log_likelihood").join(more, "row", "left")
+    return _with_mean(whole.select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood")))

@@ -43,7 +43,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 
 def op10_pseudo_likelihood(spark, sf_dir):
-    return pseudolm.scored(table(spark, sf_dir, "documents"))
+    return pseudolm.likelihoods(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -1,6 +1,9 @@
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from equisel.llm import lzprint, pseudolm, quality, toxicity
@@ -162,3 +165,41 @@ def test_window_neighbours_stay_inside_the_document():
     ids, doc = np.arange(6), np.array([0, 0, 0, 1, 1, 1])
     got = pseudolm.around(ids, doc, np.array([0, 2, 3]), 99)
     assert got[:, 1].tolist() == [99, 0, 1, 99, 99, 99] and got[:, 2].tolist() == [99, 99, 99, 4, 5, 99]
+
+
+def test_likelihood_of_every_word_is_its_own(frame, clashing):
+    texts = [(1, "Rare rare once other " * 3 + "unique"), (1, "other twin twin"), (None, "twin rare"), (2, None), (3, "")]
+    many = [(9, " ".join(f"w{i}" for i in range(3000) for _ in range(2)))]  # more words than the model has ids
+    docs = clashing(texts + many)
+    count = Counter(w for _, t in texts + many for w in (t or "").lower().split())
+    vocabulary, net, _, _ = pseudolm.train(docs, rounds=0)
+    hashed = {w: h for w in count for _, _, h in pseudolm._tokens(pa.array([w]))}
+    ids = {w: int(vocabulary.of(h)[0]) for w, h in hashed.items()}
+    bucket = Counter()
+    for w, n in count.items():
+        bucket[ids[w]] += n
+    by_id = {(r["doc_id"], r["n_tokens"]): r for r in pseudolm.scored(docs, rounds=0).collect()}
+    for held in (1, 1000, 1 << 18):  # all words joined, some, none
+        out = pseudolm.likelihoods(docs, rounds=0, held=held).collect()
+        assert len(out) == len(texts) + 1
+        got = {(r["doc_id"], r["n_tokens"]): r for r in out}
+        for i, t in texts + many:
+            w = (t or "").lower().split()
+            share = sum(math.log(count[x] / bucket[ids[x]]) for x in w if ids[x] >= net.v - pseudolm.BUCKETS)
+            r = got[(i, len(w))]
+            assert r["log_likelihood"] == pytest.approx(by_id[(i, len(w))]["log_likelihood"] + share)
+            assert r["mean_log_prob"] == (pytest.approx(r["log_likelihood"] / len(w)) if w else None)
+    assert pseudolm.likelihoods(frame([])).count() == 0
+
+
+def test_word_probabilities_of_a_context_sum_to_one(frame):
+    docs = frame([(i, " ".join(f"w{(i * 7 + k) % 2000}" for k in range(20))) for i in range(150)])
+    vocabulary, net, counted, counts = pseudolm.train(docs)
+    table = counted.toPandas()
+    h = table.h.to_numpy().view(np.uint64)
+    ids = vocabulary.of(h)
+    shares = pseudolm.Shares(h, table.n.to_numpy(), counts[net.v - pseudolm.BUCKETS :])
+    ctx = np.random.default_rng(1).integers(0, net.v, (2 * pseudolm.SPAN, 1))
+    logs = net.scores(np.repeat(ctx, len(h), axis=1), ids).astype(float) + np.where(ids >= net.v - pseudolm.BUCKETS, shares.of(h)[0], 0)
+    used = np.unique(ids)  # ids that no word has keep a little of the softmax
+    assert np.exp(logs).sum() == pytest.approx(np.exp(net.scores(np.repeat(ctx, len(used), axis=1), used).astype(float)).sum(), rel=1e-4)
