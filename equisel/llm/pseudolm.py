@@ -9,11 +9,12 @@ its tokens (pseudo-log-likelihood; Salazar et al., 2020) and their mean.
 Tokens are lower-case words; the most frequent have an id each, the others
 share hash buckets. A bucket word's probability is its bucket's times the
 word's share of the bucket's count (:func:`likelihoods`; :func:`scored` leaves
-the share out and scores ids). Word counts come from all documents. Training masks a
-hashed 15 % of all positions of all documents in each of ``ROUNDS`` passes:
-every task trains in numpy on its documents from the common parameters, and the
-parameters are averaged by tokens (two levels, so the driver receives about the
-square root of the number of tasks).
+the share out and scores ids). Word counts come from all documents. Every
+position of every document is a training target once, in one of ``ROUNDS``
+passes by hash; its own word is never an input. Every task trains in numpy on
+its documents from the common parameters, and the parameters are averaged by
+tokens (two levels, so the driver receives about the square root of the number
+of tasks).
 
 Scale: passes are map-side; word counts, parameter vectors and, to look up
 counts, the rarer words of each document are shuffled. A word with at least
@@ -43,7 +44,6 @@ BUCKETS = 256
 WIDTH = 16
 SPAN = 3
 ROUNDS = 2
-MASKED = 0.15
 HELD = 1 << 18
 BATCH = 8192
 RATE = 0.01
@@ -82,18 +82,21 @@ class Network:
     def hidden(self, around: np.ndarray) -> np.ndarray:
         z = np.repeat(self.shift[None, :], around.shape[1], axis=0)
         for k in range(len(around)):
-            z += self.embed[around[k]] * self.place[k]
-        return np.tanh(z)
+            z += (self.embed * self.place[k])[around[k]]
+        return np.tanh(z, out=z)
 
     def scores(self, around: np.ndarray, target: np.ndarray, grads: "Network | None" = None) -> np.ndarray:
         """Log-probability of each target; adds the gradient of their negative
-        sum to ``grads``."""
+        sum to ``grads``. Rows are taken in the order of their groups."""
+        order = _order(target % GROUPS, GROUPS)
+        around, target = around[:, order], target[order]
         h = self.hidden(around)
         g, slot = target % GROUPS, target // GROUPS
         rows = np.arange(len(target))
-        p = h @ self.group.T + self.group_bias
+        p = h @ self.group.T
+        p += self.group_bias
         p -= p.max(axis=1, keepdims=True)
-        out = p[rows, g].copy()
+        out = p[rows, g]
         np.exp(p, out=p)
         total = p.sum(axis=1)
         out -= np.log(total)
@@ -104,35 +107,44 @@ class Network:
             grads.group += p.T @ h
             grads.group_bias += p.sum(axis=0)
             dh = p @ self.group
-        order = np.argsort(g, kind="stable")
-        cut = np.searchsorted(g[order], np.arange(GROUPS + 1))
+        cut = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
         for k in range(GROUPS):
-            at = order[cut[k] : cut[k + 1]]
-            if not len(at):
+            a, b = cut[k], cut[k + 1]
+            if a == b:
                 continue
-            own = h[at]
-            q = own @ self.token[k].T + self.token_bias[k]
+            own = h[a:b]
+            q = own @ self.token[k].T
+            q += self.token_bias[k]
             q -= q.max(axis=1, keepdims=True)
-            mine = np.arange(len(at))
-            out[at] += q[mine, slot[at]]
+            mine = rows[: b - a]
+            out[a:b] += q[mine, slot[a:b]]
             np.exp(q, out=q)
-            total = q.sum(axis=1)
-            out[at] -= np.log(total)
+            q_total = total[a:b] = q.sum(axis=1)
             if dh is not None:
-                q /= total[:, None]
-                q[mine, slot[at]] -= 1
+                q /= q_total[:, None]
+                q[mine, slot[a:b]] -= 1
                 grads.token[k] += q.T @ own
                 grads.token_bias[k] += q.sum(axis=0)
-                dh[at] += q @ self.token[k]
+                dh[a:b] += q @ self.token[k]
+        out -= np.log(total)
         if dh is not None:
             dz = dh * (1 - h * h)
             grads.shift += dz.sum(axis=0)
             for k in range(len(around)):
-                grads.place[k] += (self.embed[around[k]] * dz).sum(axis=0)
-                ids = np.argsort(around[k], kind="stable")
-                first = np.flatnonzero(np.diff(around[k][ids], prepend=-1))
-                grads.embed[around[k][ids][first]] += np.add.reduceat((dz * self.place[k])[ids], first, axis=0)
-        return out
+                ids = _order(around[k], self.v + 1)
+                found = around[k][ids]
+                first = np.flatnonzero(np.diff(found, prepend=-1))
+                used, part = found[first], np.add.reduceat(dz[ids], first, axis=0)
+                grads.place[k] += (self.embed[used] * part).sum(axis=0)
+                grads.embed[used] += part * self.place[k]
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+
+def _order(ids: np.ndarray, n: int) -> np.ndarray:
+    """Stable order of ids below ``n``; 16 bits are sorted by digits."""
+    return np.argsort(ids.astype(np.uint16) if n <= 1 << 16 else ids, kind="stable")
 
 
 class Vocabulary:
@@ -188,6 +200,13 @@ def around(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, pad: int) -> np.nda
     return out
 
 
+def turns(w: W.Words, h: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each position is a target, by its word and its place
+    in the document."""
+    place = np.arange(len(h)) - np.repeat(w.first[:-1], w.count)
+    return W.mix(h + place.astype(W.U) * W.U(0x9E3779B97F4A7C15)) % W.U(rounds)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, n) of every word hash, summed in each task first."""
 
@@ -261,8 +280,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, groups: int = GROUPS, per_group
             for batch in batches:
                 for _, w, h in _tokens(W.text_array(batch.column(0))):
                     ids = vocabulary.of(h)
-                    chosen = W.mix(h + np.arange(len(h), dtype=W.U) * W.U(0x9E3779B97F4A7C15) + W.U(turn)) < W.U(int(MASKED * 2**64))
-                    at = np.flatnonzero(chosen)
+                    at = np.flatnonzero(turns(w, h, rounds) == turn)
                     if len(at):
                         held.append((around(ids, w.doc, at, v), ids[at]))
                         seen += len(at)
@@ -283,7 +301,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, groups: int = GROUPS, per_group
 
 
 class _Adam:
-    """Adam steps of one task on batches of masked positions."""
+    """Adam steps of one task on batches of targets."""
 
     def __init__(self, net: Network, rate: float):
         self.net, self.rate, self.t = net, rate, 0

@@ -203,3 +203,21 @@ def test_word_probabilities_of_a_context_sum_to_one(frame):
     logs = net.scores(np.repeat(ctx, len(h), axis=1), ids).astype(float) + np.where(ids >= net.v - pseudolm.BUCKETS, shares.of(h)[0], 0)
     used = np.unique(ids)  # ids that no word has keep a little of the softmax
     assert np.exp(logs).sum() == pytest.approx(np.exp(net.scores(np.repeat(ctx, len(used), axis=1), used).astype(float)).sum(), rel=1e-4)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_position_is_a_target_once(clashing, odd_rows, monkeypatch, rounds):
+    seen, mean = [], pseudolm._mean
+
+    def noted(vectors, tasks):
+        seen.append(sum(r["weight"] for r in vectors.collect()))
+        return mean(vectors, tasks)
+
+    monkeypatch.setattr(pseudolm, "_mean", noted)
+    docs = clashing(odd_rows)
+    pseudolm.train(docs, rounds=rounds)
+    tokens = pseudolm.word_counts(docs).groupBy().sum("n").first()[0]
+    assert len(seen) == rounds and sum(seen) == tokens and min(seen) > 0.2 * tokens
+    # a text's rounds do not depend on the rows around it
+    of = lambda *texts: [pseudolm.turns(w, h, 2).tolist() for _, w, h in pseudolm._tokens(pa.array(texts))][0]
+    assert of("a b c a", "d e") == of("a b c a") + of("d e")
