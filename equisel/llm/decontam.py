@@ -3,8 +3,10 @@
 The normalised items of a benchmark become one automaton over word ids. Every
 document is streamed through it; the state keeps the longest item passage that
 ends at the current word. Where that length reaches the window (13 words, or a
-whole shorter item) the covered words are hit. Spans over the length limit are
-reported or removed, documents over the coverage limit are contaminated.
+whole shorter item) the covered words are hit. Hit spans are reported
+(``contamination``), those over a length limit can be cut from the texts
+(``cut``), and documents over the coverage limit are contaminated and can be
+left out (``remove``).
 
 Scale: documents are never shuffled; each task holds one automaton. The
 automaton's size follows the benchmark, not the corpus: items are dealt by
@@ -16,7 +18,7 @@ words at least as long as the shortest window are walked in Python.
 Defined cases: a null or empty text has no words and is clean; a null or empty
 item has no window; repeated items are reported under each of their ids;
 repeated documents give one row each; an empty benchmark leaves all clean;
-columns beyond ids and texts are ignored here and kept by ``remove``.
+columns beyond ids and texts are ignored here and kept by ``remove`` and ``cut``.
 """
 
 from __future__ import annotations
@@ -301,6 +303,45 @@ def remove(docs: DataFrame, benchmark: DataFrame, percent: int = 5, window: int
     return docs.mapInArrow(run, docs.schema)
 
 
+def cut(docs: DataFrame, benchmark: DataFrame, limit: int = WINDOW - 1, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """``docs`` with the hit spans of more than ``limit`` words cut from
+    ``text``, from a span's first byte to its last; what is outside the spans
+    and the other columns stay as they are. Words that meet over a cut are not
+    searched again."""
+    shards = _marked_last(_shards(benchmark, window, shard_chars, "item_id", "text"))
+    shard, more = next(shards)
+    names, joined, held = docs.columns, docs, None
+    at = names.index("text")
+    if more:
+        found = contamination(docs, benchmark, window, shard_chars=shard_chars).where("size(spans) > 0").select(
+            F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_th"])
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+        joined = docs.join(written(found, "spans"), same, "left").select(*(docs[f"`{c}`"] for c in docs.columns), "_spans")
+    else:
+        held = docs.sparkSession.sparkContext.broadcast(shard)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            if held is None:
+                spans = [s or [] for s in batch.column(batch.num_columns - 1).to_pylist()]
+            else:
+                spans = [[] if m is None else _ranges(m) for _, _, m, _ in _search(held.value, W.text_array(column))]
+            over = [[(s["from"], s["to"]) for s in x if s["to"] - s["from"] > limit] for x in spans]
+            new = [_without(t, x) if x else t for t, x in zip(column.to_pylist(), over)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == at else batch.column(c) for c in range(len(names))], names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the spans, which are in words."""
+    raw = text.encode()
+    w = W.Words(W.LOWER[np.frombuffer(raw, dtype=np.uint8)], np.array([0, len(raw)]), W.NON_ALNUM)
+    ends = [0, *(int(w.end[b - 1]) for _, b in spans)]
+    return b"".join(raw[a:b] for a, b in zip(ends, [*(int(w.start[a]) for a, _ in spans), len(raw)])).decode()
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns from :func:`contamination`'s."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

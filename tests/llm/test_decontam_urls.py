@@ -65,6 +65,39 @@ def test_items_and_removal(frame, clashing, odd_rows, words, items):
         assert kept.schema == clashing(docs).schema
 
 
+@pytest.mark.parametrize("shard_chars", [8_000_000, 150])
+def test_long_spans_are_cut_against_brute_force(clashing, words, items, odd_rows, shard_chars):
+    rows, table = items
+    whole = words(30, 200, 50)
+    docs = [(1, f"été {whole} y"), (2, f"{words(1000, 8, 90_000)} {whole.upper()}! {words(1000, 9, 90_000)}"), (3, f"{whole}; {words(13, 201, 50)}"),
+            (4, f"x {words(13, 201, 50)} 中文 short one"), (None, f"a {whole}"), (1, f"other {whole} z"), *odd_rows]
+    wind = {tuple(w[i : i + min(13, len(w))]) for w in (WORD.findall((t or "").translate(LOWER)) for _, t in rows) for i in range(max(0, len(w) - 13) + 1) if w}
+
+    def brute_cut(text, limit):
+        found = list(WORD.finditer((text or "").translate(LOWER)))
+        w, hit = [m.group() for m in found], set()
+        for n in {len(x) for x in wind}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in wind:
+                    hit |= set(range(i, i + n))
+        out, at, i = "", 0, 0
+        while i < len(w):
+            j = i
+            while j in hit:
+                j += 1
+            if j - i > limit:
+                out, at = out + text[at : found[i].start()], found[j - 1].end()
+            i = max(j, i + 1)
+        return text if text is None else out + text[at:]
+
+    for limit in (12, 0, 20):
+        left = decontam.cut(clashing(docs), table, limit=limit, shard_chars=shard_chars)
+        assert left.schema == clashing(docs).schema
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect()) == sorted((str(i), str(brute_cut(t, limit))) for i, t in docs)
+    left = {r["doc_id"]: r["text"] for r in decontam.cut(clashing(docs[1:2]), table).collect()}
+    assert len(WORD.findall(left[2])) == 2000  # below 5 % of the words, so remove() keeps the item
+
+
 def test_empty_benchmark_and_documents(spark, frame, odd_rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] or r["n_hit"] for r in decontam.contamination(frame(odd_rows), none).collect())
