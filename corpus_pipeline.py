@@ -40,8 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a training window."""
-    return packing.pack(docs, with_ids=False, keep_words=False)
+    """One row per piece of a training window, with its ids."""
+    return packing.pack(docs, keep_words=False)
 
 
 STAGES = [

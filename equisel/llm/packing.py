@@ -32,6 +32,7 @@ from . import words as W
 
 WINDOW = 4096
 MAX_OPEN = 2048
+HELD_BYTES = 8 << 20
 
 
 class Packer:
@@ -145,6 +146,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, max_ope
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         packer, encoder, rows, kept = Packer(window, max_open), T.encoder(path), [], None
+        held = 0
 
         def out():
             cols = list(zip(*rows))
@@ -155,21 +157,26 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, max_ope
             return pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
         def take(closed):
+            nonlocal held
             for sequence, offset, (doc, start, ids, size) in closed:
                 row = (doc, start, len(ids) // 4, zlib.crc32(ids), size, first + sequence, offset)
                 rows.append(row + (ids,) if with_ids else row)
+                held += len(ids) * with_ids
+                if held > HELD_BYTES:
+                    yield out()
+                    held = 0
 
         for batch in batches:
             kept = batch.schema.field(0).type
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(W.text_array(part.column(1)).to_pylist(), end_id)):
-                    take(packer.add(doc, ids))
+                    yield from take(packer.add(doc, ids))
                 if len(rows) > 5000:
                     yield out()
         if not keep_words:
             encoder.forget()
-        take(packer.close())
+        yield from take(packer.close())
         if rows:
             yield out()
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from equisel.llm import dac, packing, tokens as T
 
 
@@ -75,6 +76,16 @@ def test_packing_covers_every_id_once_without_padding(spark, clashing, odd_rows,
     assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in small)
 
 
+def test_pipeline_delivers_the_packed_ids(spark, clashing, odd_rows, direct, monkeypatch):
+    monkeypatch.setattr(packing, "HELD_BYTES", 10_000)
+    rows = corpus_pipeline.pack(spark, clashing(odd_rows), "").collect()
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in rows)
+    assert sorted(tuple(r)[:7] for r in rows if r["doc_id"] is not None) == sorted(
+        tuple(r) for r in packing.pack(clashing(odd_rows), with_ids=False).collect() if r["doc_id"] is not None)
+    got = b"".join(r["ids"] for r in sorted((r for r in rows if r["doc_id"] == 8), key=lambda r: r["start"]))
+    assert np.frombuffer(got, dtype="<u4").tolist() == list(direct(dict(odd_rows)[8]))
+
+
 def test_packer_chooses_the_least_sum_of_squares():
     p = packing.Packer(10, 100)
     ids = lambda n: bytes(4 * n)
