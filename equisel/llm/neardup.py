@@ -72,8 +72,9 @@ def fingerprint(values: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame:
-    """doc_id, n (set size), fp (fingerprint, null for an empty set), sketch."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """doc_id, n (set size), fp (fingerprint, null for an empty set), sketch,
+    and th where ``docs`` has it."""
+    kind, more = docs.schema["doc_id"].dataType.simpleString(), _text_hash(docs)
 
     def run(batches):
         for batch in batches:
@@ -83,10 +84,15 @@ def sketches(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame
                 fp.append(fingerprint(s) if len(s) else None)
                 sketch.append(s[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
-                ["doc_id", "n", "fp", "sketch"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sketch, pa.list_(pa.int64())),
+                 *batch.columns[2:]], ["doc_id", "n", "fp", "sketch", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp binary, sketch array<long>")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {kind}, n long, fp binary, sketch array<long>" + ", th long" * len(more))
+
+
+def _text_hash(table: DataFrame) -> list[str]:
+    """The column th (hash of a row's text), where ``table`` has it."""
+    return [c for c in ("th",) if c in table.columns]
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -268,7 +274,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_
 
 def _labelled(table: DataFrame, parts: DataFrame) -> DataFrame:
     files = files_for(table)
-    named = table.select("doc_id", "n", "fp")
+    more = _text_hash(table)
+    named = table.select("doc_id", "n", "fp", *more)
     # a fingerprint's least document, then a component's
     least = named.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     label = least.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("of")), "fp", "left").withColumn("of", F.coalesce("of", "fp"))
@@ -277,15 +284,18 @@ def _labelled(table: DataFrame, parts: DataFrame) -> DataFrame:
     whole = written(whole, "groups", files)
     shared = written(label.select("fp", "of").join(whole, "of").select("fp", "component_id"), "shared", files)
     out = named.join(shared, "fp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *more)
 
 
 def dedup(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id. Rows
-    that repeat a kept doc_id are the same document and stay."""
-    gone = near_duplicates(docs, percent, size).where("NOT kept").select("doc_id").distinct()
+    """``docs`` without the documents whose component has a smaller doc_id. Of
+    rows that share a doc_id, each goes or stays by its own text; exact repeats
+    of a kept row stay."""
+    text = F.xxhash64("text")
+    gone = _labelled(*links(docs.select("doc_id", "text", text.alias("th")), percent, size)).where("NOT kept").select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     files = files_for(docs)
-    kept = docs.join(written(gone, "gone", files), "doc_id", "left_anti")
+    kept = docs.join(written(gone, "gone", files), F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_th")), "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).coalesce(files)
 
 

@@ -93,6 +93,13 @@ def test_near_duplicates_on_the_given_documents(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(clashing, words):
+    first = words(90, 1)
+    docs = [(1, first), (5, first + " more"), (5, words(90, 2)), (5, None), (5, ""), (6, words(90, 2)), (None, first), (None, None), (1, first)]
+    left = neardup.dedup(clashing(docs))
+    assert sorted(map(str, (tuple(r)[:2] for r in left.collect()))) == sorted(map(str, [d for d in docs if d not in (docs[1], docs[5])]))
+
+
 def test_near_duplicates_of_odd_rows(clashing, odd_rows, frame):
     got = neardup.near_duplicates(clashing(odd_rows)).collect()
     assert len(got) == len(odd_rows)
