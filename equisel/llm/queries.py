@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunkdedup, dac, decontam, lzprint, neardup, packing, pseudolm, quality, substring, toxicity, urls
+from . import chunkdedup, dac, decontam, lzprint, neardup, packing, pseudolm, quality, substring, toxicity, urls, whitening
 from .store import table
 
 
@@ -46,12 +46,16 @@ def op10_pseudo_likelihood(spark, sf_dir):
     return pseudolm.likelihoods(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.components(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def op12_chunk_dedup(spark, sf_dir):
     return chunkdedup.digest(chunkdedup.duplicates(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_quality, op3_minhash_neardup, op4_token_files, op5_toxicity, op6_lz_fingerprint, op7_url_decisions,
-    op8_decontamination, op9_substring_dedup, op10_pseudo_likelihood, op12_chunk_dedup)}
+    op8_decontamination, op9_substring_dedup, op10_pseudo_likelihood, op11_whitening, op12_chunk_dedup)}
 SQL = {"op3_minhash_neardup": neardup.SQL, "op7_url_decisions": urls.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL,
        "op12_chunk_dedup": chunkdedup.SQL}
