@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunkdedup, dac, decontam, lzprint, neardup, packing, pseudolm, quality, substring, toxicity, urls, whitening
+from . import chunkdedup, dac, decontam, lzprint, neardup, packing, pseudolm, quality, substring, toxicity, trie, urls, whitening
 from .store import table
 
 
@@ -54,8 +54,12 @@ def op12_chunk_dedup(spark, sf_dir):
     return chunkdedup.digest(chunkdedup.duplicates(table(spark, sf_dir, "documents")))
 
 
+def op13_conversation_trie(spark, sf_dir):
+    return trie.digest(trie.trie(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_quality, op3_minhash_neardup, op4_token_files, op5_toxicity, op6_lz_fingerprint, op7_url_decisions,
-    op8_decontamination, op9_substring_dedup, op10_pseudo_likelihood, op11_whitening, op12_chunk_dedup)}
+    op8_decontamination, op9_substring_dedup, op10_pseudo_likelihood, op11_whitening, op12_chunk_dedup, op13_conversation_trie)}
 SQL = {"op3_minhash_neardup": neardup.SQL, "op7_url_decisions": urls.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL,
-       "op12_chunk_dedup": chunkdedup.SQL}
+       "op12_chunk_dedup": chunkdedup.SQL, "op13_conversation_trie": trie.SQL}
