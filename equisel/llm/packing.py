@@ -135,8 +135,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, max_ope
          id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep_words: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, ``with_ids``, the ids as uint32 bytes.
-    ``keep_words=False`` gives a worker's table of known words back after each
-    task: slower, but it leaves the memory to later stages."""
+    ``keep_words=False`` gives a worker's encoder and its table of known words
+    back after each task: slower, but it leaves the memory to later stages."""
     path = path or T.vocabulary()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -174,10 +174,11 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, max_ope
                     yield from take(packer.add(doc, ids))
                 if len(rows) > 5000:
                     yield out()
-        if not keep_words:
-            encoder.forget()
         yield from take(packer.close())
         if rows:
             yield out()
+        if not keep_words:
+            del encoder, packer
+            T.drop(path)
 
     return base.mapInArrow(run, shape)

@@ -4,6 +4,8 @@ unset (tests) a folder is created and the setting is filled in."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -13,9 +15,13 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share."""
-    conf = spark.sparkContext.getConf().get(KEY) or spark.conf.get(KEY, None) or spark.sparkContext.getCheckpointDir()
+    """Folder that driver and executors share. Where none is named, a local
+    session (tests) gets one; on a cluster that is an error."""
+    sc = spark.sparkContext
+    conf = sc.getConf().get(KEY) or spark.conf.get(KEY, None) or sc.getCheckpointDir()
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {KEY} to a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="equisel-llm-")
         spark.conf.set(KEY, conf)
     return conf.rstrip("/")
@@ -49,3 +55,16 @@ def files_for(docs: DataFrame, rows: int = 4000) -> int:
 def tasks(spark: SparkSession) -> int:
     """Partitions for an explicit shuffle: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the machine: workers outlive their
+    tasks, and what the allocators keep would count against the next stage."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .store import give_back
+
 END_ID = 2
 WORD_BPE = "word_bpe_49k.json"
 _SEPARATOR = "\x00"
@@ -23,6 +25,15 @@ def encoder(path: str) -> "Encoder":
     return _LOADED[path]
 
 
+def drop(path: str) -> None:
+    """Give up the worker's encoder for that file and its word table."""
+    known = _LOADED.pop(path, None)
+    if known is not None:
+        known.forget()
+    del known
+    give_back()
+
+
 class Encoder:
     """Exact ids of whole texts.
 

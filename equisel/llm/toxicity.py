@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .quality import held_out, learning_fold
-from .store import written
+from .store import give_back, written
 
 DECAY = 0.4
 SAMPLE = 20_000
@@ -55,6 +55,8 @@ MARKS = 400
 RATE = 12.0
 RIDGE = 1e-3
 TOP = 3
+#: Words times subsequences that are looked up at once.
+CELLS = 200_000
 RAMPS = (-0.5, -0.25, 0.0, 0.25, 0.5, 0.75)
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S\s){3,}\S(?=\s|$)")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…"
@@ -178,18 +180,23 @@ class Scorer:
         found = self.table[(codes[:, i] * self.size + codes[:, j]) * self.size + codes[:, k]]
         return found @ (DECAY ** (k - i + 1)) / np.sqrt(squared_norms(points)) + self.bias
 
-    def learn(self, words: set[str]) -> None:
+    def margins(self, words: set[str]) -> dict[str, float]:
+        """The margin of each word (of a long one: of its best part)."""
         best: dict[str, float] = {}
         by_length: dict[int, list] = {}
         for w in words:
             for p in _parts(w):
                 by_length.setdefault(len(p), []).append((w, p))
         for pairs in by_length.values():
-            for s in range(0, len(pairs), 1000):
-                some = pairs[s : s + 1000]
+            step = max(16, CELLS // max(1, len(_triples(len(pairs[0][1]))[0])))
+            for s in range(0, len(pairs), step):
+                some = pairs[s : s + step]
                 for (w, _), m in zip(some, self._margins([p for _, p in some]).tolist()):
                     best[w] = max(m, best.get(w, -np.inf))
-        self.known.update(best)
+        return best
+
+    def learn(self, words: set[str]) -> None:
+        self.known.update(self.margins(words))
 
     def top(self, texts: list[str]) -> np.ndarray:
         """Per text: how far its ``TOP`` highest word margins have passed each
@@ -209,6 +216,11 @@ class Scorer:
         rest[:, :4] = np.log1p(rest[:, :4])
         return np.concatenate([*(np.clip((best - r) * 4, 0, 1) for r in RAMPS), rest], axis=1)
 
+    def forget(self) -> None:
+        """Empty the table of known words (a task's end)."""
+        self.known.clear()
+        give_back()
+
     def score(self, texts: list[str]) -> np.ndarray:
         if not len(texts):
             return np.zeros(0)
@@ -346,12 +358,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMP
 
             def margins(batches, held=held):
                 for batch in batches:
-                    own, found = held.value, batch.column(0).to_pylist()
-                    own.learn(set(found))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.known[w] for w in found], pa.float64())], ["word", "margin"])
+                    found = batch.column(0).to_pylist()
+                    known = held.value.margins(set(found))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[w] for w in found], pa.float64())], ["word", "margin"])
 
             hard = words.where("c > 0").where(toxic_rate <= RATE).select("word").mapInArrow(margins, "word string, margin double")
             bad = list(dict.fromkeys([*bad, *(r["word"] for r in hard.orderBy(F.desc("margin"), "word").limit(HARD).collect())]))
+            held.destroy()
 
     def tops(batches):
         for batch in batches:
@@ -397,6 +410,7 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 for s in range(0, batch.num_rows, 256):
                     part = batch.slice(s, 256)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.score(W.text_array(part.column(1)).to_pylist()))], ["doc_id", "score"])
+            held.value.forget()
 
         out = base.mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -414,5 +428,6 @@ def clean(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 yield part.filter(pa.array(held.value.score(W.text_array(part.column(at)).to_pylist()) < THRESHOLD))
+        held.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
