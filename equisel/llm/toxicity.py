@@ -13,13 +13,12 @@ Because the machine is linear in kernel values and each value is linear in
 subsequence weights, the trained decision is one weight per subsequence: words
 are scored by table look-up and divided by their own kernel norm.
 
-Learning: labelled sentences are those of a bounded, hash-ordered sample of
-``SAMPLE`` labelled documents of the learning fold. Words are counted by the
-different words before them, so copies of a text count once. Character pieces
-frequent in toxic but not in clean documents mark the witness words, the
-positive instances; words of clean documents are the negative ones.
+Learning: labelled sentences are bags of words, those of a bounded,
+hash-ordered sample of the learning fold (:class:`Settings`); see :func:`train`.
+Words are counted by the different words before them, so copies of a text count
+once. Words have any length; none is left out.
 
-Scale: the sample is a broadcast of at most ``SAMPLE`` ids; scoring is one
+Scale: the sample is a broadcast of at most ``sample`` ids; scoring is one
 map-side pass with a bounded table of known words in each task.
 
 Defined cases: null and empty texts have no words and get the score of a text
@@ -32,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +42,39 @@ from .quality import held_out, learning_fold
 from .store import give_back, written
 
 DECAY = 0.4
-SAMPLE = 20_000
-LANDMARKS = 240
-POSITIVES = 600
-NEGATIVES = 4000
-HARD = 1000
-ROUNDS = 3
-LONGEST = 24
 THRESHOLD = 0.7
-PIECES = (4, 5)
-MARKS = 400
-RATE = 12.0
-RIDGE = 1e-3
+#: Strings up to this length are compared whole, longer ones by overlapping parts.
+LONGEST = 24
 TOP = 3
 #: Words times subsequences that are looked up at once.
 CELLS = 200_000
 RAMPS = (-0.5, -0.25, 0.0, 0.25, 0.5, 0.75)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What training may use; all of it bounds a sample, none of it limits what
+    is scored. ``sample``: labelled documents; ``landmarks``: strings of the
+    Nyström features; ``positives`` and ``negatives``: words that a machine is
+    trained on, ``hard`` more negatives per round; ``rounds``: machines, each with
+    the witnesses of the one before; ``marks``: character pieces that point to
+    the first witnesses, of the lengths ``pieces`` (a shorter word counts whole);
+    ``rate``: how much more frequent in toxic documents; ``ridge``: of the machine."""
+
+    sample: int = 20_000
+    landmarks: int = 240
+    positives: int = 600
+    negatives: int = 4000
+    hard: int = 1000
+    rounds: int = 3
+    marks: int = 400
+    pieces: tuple = (4, 5)
+    rate: float = 12.0
+    ridge: float = 1e-3
+
+
+DEFAULT = Settings()
+SAMPLE = DEFAULT.sample
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S\s){3,}\S(?=\s|$)")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…"
 
@@ -274,13 +291,25 @@ def _spread(maps: list[dict], count: int) -> list[int]:
     return chosen
 
 
-def _pieces(n: int):
-    """The ``n`` characters from every place of a marked word (fewer near its end)."""
+def _pieces(pieces: tuple):
+    """The pieces of a marked word, each once; a word too short for the least
+    length is its own piece."""
     whole = F.concat(F.lit("\x02"), F.col("word"), F.lit("\x03"))
-    return F.transform(F.sequence(F.lit(1), F.length(whole)), lambda i: F.substring(whole, i, F.lit(n)))
+    n = F.length(whole)
+
+    def of(k: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(whole, i, F.lit(k)))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, pieces))))
 
 
-def _trained(good: list[str], seen: np.ndarray, bad: list[str], n_plain: int) -> Scorer:
+def pieces_of(word: str, pieces: tuple) -> set[str]:
+    """:func:`_pieces` of one word."""
+    w = marked(word)
+    return {w[i : i + k] for k in pieces for i in range(max(1, len(w) - k + 1))}
+
+
+def _trained(good: list[str], seen: np.ndarray, bad: list[str], n_plain: int, by: Settings = DEFAULT) -> Scorer:
     """Machine on the Nyström features of the words; no logistic part yet."""
     maps = [subsequences(marked(w)) for w in good + bad]
     y = np.array([1.0] * len(good) + [-1.0] * len(bad))
@@ -288,11 +317,11 @@ def _trained(good: list[str], seen: np.ndarray, bad: list[str], n_plain: int) ->
     for sign in (1, -1):
         weight[y == sign] /= max(1e-12, weight[y == sign].sum())
     by_class = [maps[:n_plain], maps[len(good) :][::-1]]
-    land = [m[i] for m, n in zip(by_class, (LANDMARKS // 2, LANDMARKS // 2)) for i in _spread(m, n)]
+    land = [m[i] for m, n in zip(by_class, (by.landmarks // 2, by.landmarks // 2)) for i in _spread(m, n)]
     values, vectors = np.linalg.eigh(kernel(land, land))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^(-1/2), without its null space
-    w, bias = _machine(kernel(maps, land) @ root, y, weight, RIDGE)
+    w, bias = _machine(kernel(maps, land) @ root, y, weight, by.ridge)
     weights: dict[str, float] = {}
     for g, m in zip((root @ w).tolist(), land):
         for u, v in m.items():
@@ -300,12 +329,22 @@ def _trained(good: list[str], seen: np.ndarray, bad: list[str], n_plain: int) ->
     return Scorer(weights, bias, np.zeros(TOP * len(RAMPS) + 5))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE) -> Scorer | None:
-    """Scorer from the learning fold's labels; ``docs`` has doc_id and text."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str, sample: int | None = None, by: Settings = DEFAULT) -> Scorer | None:
+    """Scorer from the learning fold's labels; ``docs`` has doc_id and text.
+
+    The labelled documents are bags of words (multiple instances, Andrews et al.
+    2002): a toxic one has a word that makes it so, its witness; a clean one has
+    none. The first witnesses are words with character pieces that toxic
+    documents favour. Each round trains a machine on the witnesses against words
+    of clean documents, and takes from every bag the word that this machine finds
+    most toxic: those of toxic bags are the next witnesses, where toxic documents
+    favour the word itself; those of clean bags, and the worst clean words, the
+    next negatives."""
+    by = by if sample is None else replace(by, sample=sample)
     fold = labels.where(learning_fold("doc_id")).where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(
         F.max(F.col(label_col)).cast("int").alias("toxic"))
-    fold = fold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    taught = docs.join(F.broadcast(fold), "doc_id").select("text", "toxic")  # at most ``sample`` short rows
+    fold = fold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(by.sample)
+    taught = written(docs.join(F.broadcast(fold), "doc_id").select("text", "toxic"), "taught")  # rows of ``sample`` documents
 
     totals = taught.groupBy().agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not totals["t"] or totals["t"] == totals["n"]:
@@ -323,47 +362,42 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMP
     words = written(met.groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")), "words")
     mass = words.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     rate = lambda: (F.col("t") + 0.1) / mass["t"] / ((F.col("c") + 0.5) / mass["c"])
-    each = F.flatten(F.array(*(_pieces(n) for n in PIECES)))
-    marks = (words.where(F.length("word").between(PIECES[0], LONGEST)).select(F.explode(F.array_distinct(each)).alias("piece"), "t", "c")
-             .where(F.length("piece") >= PIECES[0]).groupBy("piece").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-             .where("t >= 3").withColumn("rate", rate()).where(f"rate > {RATE}")
-             .orderBy(F.desc(F.col("t") * F.log("rate")), "piece").limit(MARKS))
+    marks = (words.select(F.explode(_pieces(by.pieces)).alias("piece"), "t", "c").groupBy("piece").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+             .where("t >= 3").withColumn("rate", rate()).where(f"rate > {by.rate}")
+             .orderBy(F.desc(F.col("t") * F.log("rate")), "piece").limit(by.marks))
     marks = {r["piece"]: r["t"] * np.log(r["rate"]) for r in marks.collect()}
 
     def strength(batches):
         for batch in batches:
-            best = [max((marks.get(w[i : i + n], 0.0) for n in PIECES for i in range(len(w) - n + 1)), default=0.0) for w in map(marked, batch.column(0).to_pylist())]
+            best = [max((marks.get(p, 0.0) for p in pieces_of(w, by.pieces)), default=0.0) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.float64())], ["word", "t", "c", "strength"])
 
-    words = words.where(F.length("word").between(3, LONGEST)).mapInArrow(strength, "word string, t double, c double, strength double")
+    words = written(words.mapInArrow(strength, "word string, t double, c double, strength double"), "strength")
     toxic_rate = rate()
-    positive = words.where("strength > 0 AND t > 0").where(toxic_rate > RATE).orderBy(F.desc("t"), F.desc("strength"), "word").limit(POSITIVES).collect()
-    common = words.where("c > 0").where(toxic_rate <= RATE).orderBy(F.desc("c"), "word").limit(NEGATIVES // 2).collect()
+    first = words.where("strength > 0 AND t > 0").where(toxic_rate > by.rate).orderBy(F.desc("t"), F.desc("strength"), "word").limit(by.positives).collect()
+    common = words.where("c > 0").where(toxic_rate <= by.rate).orderBy(F.desc("c"), "word").limit(by.negatives // 2).collect()
     # clean words with a toxic piece, then any
-    close = words.where("c > 0 AND strength > 0").where(toxic_rate <= RATE).orderBy(F.desc("c"), "word").limit(NEGATIVES // 4).collect()
-    other = words.where("c > 0 AND t = 0").orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 4).collect()
-    good = [r["word"] for r in positive]
-    if not good:
+    close = words.where("c > 0 AND strength > 0").where(toxic_rate <= by.rate).orderBy(F.desc("c"), "word").limit(by.negatives // 4).collect()
+    other = words.where("c > 0 AND t = 0").orderBy(F.xxhash64("word"), "word").limit(by.negatives // 4).collect()
+    if not first:
         return None
-    taken = set(good)
-    bad = [w for w in dict.fromkeys(r["word"] for rows in (common, close, other) for r in rows) if w not in taken]
-    gapped = [_gapped(w, k) for k, w in enumerate(good)]
-    # a witness counts by the contexts it was met in
-    seen = np.minimum([r["t"] for r in positive], 20.0)
-    for turn in range(ROUNDS):
-        scorer = _trained(good + gapped, np.concatenate([seen, seen / 2]), bad, len(good))
-        if turn + 1 < ROUNDS:
-            # the clean words that it finds most toxic are the next negatives
+    seen = {r["word"]: r["t"] for r in first}  # a witness counts by the contexts it was met in
+    bad = list(dict.fromkeys(r["word"] for rows in (common, close, other) for r in rows))
+    for turn in range(by.rounds):
+        good = list(seen)
+        plain = np.minimum([seen[w] for w in good], 20.0)
+        gapped = [_gapped(w, k) for k, w in enumerate(good)]
+        scorer = _trained(good + gapped, np.concatenate([plain, plain / 2]), [w for w in bad if w not in seen], len(good), by)
+        if turn + 1 < by.rounds:
             held = docs.sparkSession.sparkContext.broadcast(scorer)
-
-            def margins(batches, held=held):
-                for batch in batches:
-                    found = batch.column(0).to_pylist()
-                    known = held.value.margins(set(found))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[w] for w in found], pa.float64())], ["word", "margin"])
-
-            hard = words.where("c > 0").where(toxic_rate <= RATE).select("word").mapInArrow(margins, "word string, margin double")
-            bad = list(dict.fromkeys([*bad, *(r["word"] for r in hard.orderBy(F.desc("margin"), "word").limit(HARD).collect())]))
+            top = _witnesses(taught, held).groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("bags"))
+            top = written(top.join(words, "word"), "witnesses")
+            found = top.where("toxic = 1 AND t > 0").where(toxic_rate > by.rate).orderBy(F.desc("bags"), "word").limit(by.positives).collect()
+            wrong = top.where("toxic = 0").where(toxic_rate <= by.rate).orderBy(F.desc("bags"), "word").limit(by.hard).collect()
+            hard = _worst(words.where("c > 0").where(toxic_rate <= by.rate).select("word"), held).orderBy(F.desc("margin"), "word").limit(by.hard).collect()
+            for r in found:
+                seen.setdefault(r["word"], r["t"])
+            bad = list(dict.fromkeys([*bad, *(r["word"] for r in wrong), *(r["word"] for r in hard)]))
             held.destroy()
 
     def tops(batches):
@@ -373,12 +407,37 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMP
                 x = scorer.top(W.text_array(part.column(0)).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], ["x", "toxic"])
 
-    rows = taught.mapInArrow(tops, "x array<double>, toxic int").collect()  # at most ``sample`` short rows
+    rows = taught.mapInArrow(tops, "x array<double>, toxic int").orderBy(F.xxhash64("x"), "x").limit(by.sample).collect()  # short rows
     x = np.array([r["x"] for r in rows])
     scorer.logistic = _logistic(x, np.array([r["toxic"] for r in rows], dtype=float))
     return scorer
 
 
+def _witnesses(taught: DataFrame, held) -> DataFrame:
+    """The word of every bag that the machine finds most toxic."""
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                sets = [words_of(t) for t in W.text_array(part.column(0)).to_pylist()]
+                known = held.value.margins(set().union(*sets))
+                best = [max(sorted(s), key=known.__getitem__, default=None) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(best, pa.string()), part.column(1)], ["word", "toxic"])
+
+    return taught.mapInArrow(run, "word string, toxic int").where("word IS NOT NULL")
+
+
+def _worst(words: DataFrame, held) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            known = held.value.margins(set(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[w] for w in found], pa.float64())], ["word", "margin"])
+
+    return words.mapInArrow(run, "word string, margin double")
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     w = np.zeros(x.shape[1])
     ridge = np.diag([max(1e-4, 0.2 / len(y))] * (x.shape[1] - 1) + [1e-6])
@@ -394,11 +453,11 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-           sample: int = SAMPLE) -> DataFrame:
+           sample: int | None = None, by: Settings = DEFAULT) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (score >= 0.7)."""
     base = _base(docs, id_col, text_col)
     named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col))
-    scorer = train(base, named, label_col, sample)
+    scorer = train(base, named, label_col, sample, by)
     if scorer is None:
         out = base.select("doc_id", F.lit(0.0).alias("score"))
     else:
@@ -416,9 +475,9 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def clean(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int | None = None, by: Settings = DEFAULT) -> DataFrame:
     """The rows of ``docs`` that are not toxic (score below 0.7)."""
-    scorer = train(docs.select("doc_id", "text"), labels.select("doc_id", label_col), label_col, sample)
+    scorer = train(docs.select("doc_id", "text"), labels.select("doc_id", label_col), label_col, sample, by)
     if scorer is None:
         return docs
     held, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index("text")
