@@ -35,11 +35,37 @@ RULES = [
 MAX_LISTED = 200
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = [
-    r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical["']?[^>]*href\s*=\s*["']?([^"'>\s]+)""",
-    r"""(?is)<link\s[^>]*href\s*=\s*["']?([^"'>\s]+)[^>]*rel\s*=\s*["']?canonical""",
-]
-_REFRESH = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*content\s*=\s*["']?[^"'>]*url\s*=\s*([^"'>\s]+)"""
+#: Tags that may hold an edge, and the value of an attribute inside a tag.
+_TAG = r"(?is)<(?:link|meta)\s[^>]*>"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute: quoted (blanks inside kept) or bare; an
+    empty string where the tag has none."""
+    found = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
+    value = F.regexp_replace(found, r"(?is)^[^=]*=\s*", "")
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
+
+
+def _target(tag: Column) -> Column:
+    """Where a canonical link or a refresh points to, whatever the order of its
+    attributes; an empty string for other tags."""
+    rel = F.concat(F.lit(" "), F.lower(_attribute(tag, "rel")), F.lit(" "))
+    canonical = F.lower(tag).startswith("<link") & rel.contains(" canonical ")
+    refresh = F.lower(tag).startswith("<meta") & (F.lower(F.trim(_attribute(tag, "http-equiv"))) == "refresh")
+    after = F.regexp_extract(_attribute(tag, "content"), r"""(?is)url\s*=\s*["']?([^"'>\s]+)""", 1)
+    return F.when(canonical, F.trim(_attribute(tag, "href"))).when(refresh, after).otherwise(F.lit(""))
+
+
+def _plain_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
+    parts = F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
+    up = lambda acc: F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc).when(s == "..", up(acc)).otherwise(
+        F.concat(acc, F.array(s))))
+    ends = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(F.lit("/"), F.array_join(kept, "/"), ends)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), plain).otherwise(path)
 
 
 def _rest(url: Column) -> Column:
@@ -103,16 +129,20 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     url, html = F.col("url"), F.col("html")
     asked = pages.select("url", "html").where(
         html.isNotNull() & url.contains("://") & (F.lower(html).contains("canonical") | F.lower(html).contains("refresh")))
-    named = asked.select("url", F.explode(F.array(*(F.regexp_extract(html, p, 1) for p in (*_CANONICAL, _REFRESH)))).alias("target"))
+    tags = F.regexp_extract_all(F.col("html"), F.lit(_TAG), F.lit(0))
     # written between the steps: each expression stays small, and few pages have links
-    named = written(named.where("target <> ''").select(
+    tags = written(asked.select("url", F.explode(tags).alias("tag")).where(F.lower("tag").contains("canonical") | F.lower("tag").contains("refresh")), "tags")
+    named = written(tags.select("url", _target(F.col("tag")).alias("target")).where("target <> ''").select(
         "target", node_of(url).alias("a"), F.substring_index(url, "://", 1).alias("scheme"), host_of(url).alias("host"),
         F.regexp_replace(F.when(path_of(url) == "", "/").otherwise(path_of(url)), r"[^/]*$", "").alias("folder")), "targets")
     to, origin = F.col("target"), F.concat("scheme", F.lit("://"), "host")
     whole = (F.when(to.contains("://"), to).when(to.startswith("//"), F.concat("scheme", F.lit(":"), to))
              .when(to.startswith("/"), F.concat(origin, to)).otherwise(F.concat(origin, "folder", to)))
     named = written(named.select("a", whole.alias("whole")), "targets")
-    return named.select("a", node_of(F.col("whole")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+    whole = F.col("whole")
+    host, query = host_of(whole), F.regexp_extract(_rest(whole), r"^[^?#]*(\?[^#]*)?", 1)
+    b = F.when(host != "", F.concat(host, _plain_path(path_of(whole)), query))
+    return named.select("a", b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id") -> DataFrame:
