@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
 from .store import tasks
@@ -146,11 +146,25 @@ def signature_of(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), dtype="<u4")
 
 
+#: Text ids that the limits of ranges are taken from.
+SAMPLED = 10_000
+
+
+def _in_order(doc_id):
+    """Spark's order of ids."""
+    return doc_id.encode() if isinstance(doc_id, str) else doc_id
+
+
 def _dealt(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
     """Rows with range ``p`` and mark ``tail`` (first row of the next range)."""
-    ids = docs.where("doc_id IS NOT NULL").agg(
-        F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q"), F.max("doc_id").alias("top")).first()
-    limits = sorted({x for x in [*(ids["q"] or []), ids["top"]] if x is not None}, reverse=True)
+    known = docs.where("doc_id IS NOT NULL")
+    if isinstance(docs.schema["doc_id"].dataType, T.NumericType):
+        ids = known.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q"), F.max("doc_id").alias("top")).first()
+        limits = sorted({x for x in [*(ids["q"] or []), ids["top"]] if x is not None}, reverse=True)
+    else:  # ranges of text ids from a sample; every id lies in one, whatever was sampled
+        some = sorted((r[0] for r in known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED).collect()), key=_in_order)
+        top = known.agg(F.max("doc_id")).first()[0]
+        limits = sorted({*(some[len(some) * i // n] for i in range(1, n) if some), *([top] if some else [])}, key=_in_order, reverse=True)
     if len(limits) < 2:
         return docs.select("*", F.lit(0).alias("p"), F.lit(0).alias("tail")), 1
     held = F.array(*(F.lit(x) for x in limits))
