@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .store import written
+from .store import free_name, tidy, written
 
 WINDOW = 13
 SHARD_CHARS = 8_000_000
@@ -214,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     found = None
     for shard, more in _marked_last(_shards(benchmark, window, shard_chars, item_col, "text")):
         held = docs.sparkSession.sparkContext.broadcast(shard)
-        part = base.mapInArrow(_task(held), _shape(base))
+        part = base.mapInArrow(tidy(_task(held)), _shape(base))
         if found is None and not more:
             break
         # one of several shards: keep its hits (equal rows have equal hits) and let the automaton go
@@ -288,9 +288,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, percent: int = 5, window: int
     shards = _marked_last(_shards(benchmark, window, shard_chars, "item_id", "text"))
     shard, more = next(shards)
     if more:
+        own, th = free_name(docs.columns, "_id"), free_name(docs.columns, "_th")
         bad = contamination(docs, benchmark, window, percent, shard_chars).where("contaminated").select(
-            F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-        return docs.join(written(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+            F.col("doc_id").alias(own), F.col("text_hash").alias(th)).distinct()
+        return docs.join(written(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(th)), "left_anti")
     held, at = docs.sparkSession.sparkContext.broadcast(shard), docs.columns.index("text")
 
     def run(batches):
@@ -300,7 +301,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, percent: int = 5, window: int
             hit = np.array([0 if m is None else int(m.sum()) for _, _, m, _ in rows], dtype=np.int64)
             yield batch.filter(pa.array((hit == 0) | (100 * hit < percent * count)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def cut(docs: DataFrame, benchmark: DataFrame, limit: int = WINDOW - 1, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -313,10 +314,11 @@ def cut(docs: DataFrame, benchmark: DataFrame, limit: int = WINDOW - 1, window:
     names, joined, held = docs.columns, docs, None
     at = names.index("text")
     if more:
+        own, th, marks = (free_name(docs.columns, c) for c in ("_id", "_th", "_spans"))
         found = contamination(docs, benchmark, window, shard_chars=shard_chars).where("size(spans) > 0").select(
-            F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_th"])
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
-        joined = docs.join(written(found, "spans"), same, "left").select(*(docs[f"`{c}`"] for c in docs.columns), "_spans")
+            F.col("doc_id").alias(own), F.col("text_hash").alias(th), F.col("spans").alias(marks)).dropDuplicates([own, th])
+        same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(th))
+        joined = docs.join(written(found, "spans"), same, "left").select(*(F.col(f"`{c}`") for c in docs.columns), marks)
     else:
         held = docs.sparkSession.sparkContext.broadcast(shard)
 
@@ -331,7 +333,7 @@ def cut(docs: DataFrame, benchmark: DataFrame, limit: int = WINDOW - 1, window:
             new = [_without(t, x) if x else t for t, x in zip(column.to_pylist(), over)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == at else batch.column(c) for c in range(len(names))], names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:

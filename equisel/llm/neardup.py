@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .components import components
-from .store import files_for, written
+from .store import free_name, files_for, written, tidy
 
 SHINGLE = 5
 SKETCH = 24
@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sketch, pa.list_(pa.int64())),
                  *batch.columns[2:]], ["doc_id", "n", "fp", "sketch", *more])
 
-    return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {kind}, n long, fp binary, sketch array<long>" + ", th long" * len(more))
+    return docs.select("doc_id", "text", *more).mapInArrow(tidy(run), f"doc_id {kind}, n long, fp binary, sketch array<long>" + ", th long" * len(more))
 
 
 def _text_hash(table: DataFrame) -> list[str]:
@@ -135,7 +135,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, extras: bool = Fa
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(more, pa.list_(pa.int64()))] if extras else []), names)
 
     shape = "a binary, b binary, linked boolean, both long" + ", extras array<long>" * extras
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, shape)
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), shape)
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -259,7 +259,7 @@ def _alone(sets: DataFrame) -> DataFrame:
         names = pa.array([f for f, _ in held], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n), names.take(pa.array(owner))], ["s", "n", "fp"])
 
-    each = sets.select("fp", "shingles").mapInArrow(run, "s long, n long, fp binary")
+    each = sets.select("fp", "shingles").mapInArrow(tidy(run), "s long, n long, fp binary")
     return each.groupBy("s").agg(F.sum("n").alias("df"), F.min("fp").alias("fp")).where("df = 1").groupBy("fp").agg(
         F.count(F.lit(1)).alias("alone"))
 
@@ -292,10 +292,11 @@ def dedup(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     rows that share a doc_id, each goes or stays by its own text; exact repeats
     of a kept row stay."""
     text = F.xxhash64("text")
+    own, th = free_name(docs.columns, "_id"), free_name(docs.columns, "_th")
     gone = _labelled(*links(docs.select("doc_id", "text", text.alias("th")), percent, size)).where("NOT kept").select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+        F.col("doc_id").alias(own), F.col("th").alias(th)).distinct()
     files = files_for(docs)
-    kept = docs.join(written(gone, "gone", files), F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_th")), "left_anti")
+    kept = docs.join(written(gone, "gone", files), F.col("doc_id").eqNullSafe(F.col(own)) & (text == F.col(th)), "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).coalesce(files)
 
 

@@ -68,3 +68,20 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
         pass
+
+
+def tidy(run):
+    """A task function that gives freed memory back when it ends."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name

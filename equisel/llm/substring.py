@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .store import files_for, tasks, written
+from .store import files_for, tasks, tidy, written
 
 K = 35
 M = 8
@@ -181,14 +181,14 @@ def repeated_ranges(keyed: DataFrame, k: int = K, m: int = M, hot: int = HOT) ->
     window that also starts elsewhere. ``keyed`` has ``rk`` (long) and ``text``."""
     spark = keyed.sparkSession
     n, files = tasks(spark), files_for(keyed)
-    pieces = keyed.select("rk", "text").mapInArrow(_pieces(k, m), "rk long, mz long")
+    pieces = keyed.select("rk", "text").mapInArrow(tidy(_pieces(k, m)), "rk long, mz long")
     often = pieces.groupBy("mz").count().where("count > 1").select(
         "mz", F.ceil(F.col("count") / hot).cast("int").alias("salts"))
     often = written(often, "pieces", files)
     hits = (pieces.join(often, "mz").groupBy("rk").agg(F.collect_set(F.struct("mz", "salts")).alias("hits")))
     packed = keyed.select("rk", "text").join(hits, "rk").mapInArrow(
         _pack(k, m), "mz long, salt long, rk long, at long, packed binary")
-    counted = packed.repartition(n, "mz", "salt").mapInArrow(_count(k), "rk long, lo long, hi long, wh long, mz long")
+    counted = packed.repartition(n, "mz", "salt").mapInArrow(tidy(_count(k)), "rk long, lo long, hi long, wh long, mz long")
     counted = written(counted, "windows", files)
     sure = counted.where("wh IS NULL").select("rk", "lo", "hi")
     across = (counted.where("wh IS NOT NULL").groupBy("mz", "wh").agg(F.collect_list(F.struct("rk", "lo", "hi")).alias("at"))
@@ -249,7 +249,7 @@ def passages(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, id_col: st
                  pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
@@ -266,7 +266,7 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
             arrays = [pa.array(new, pa.string()) if c == at else batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-1])
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
