@@ -84,6 +84,27 @@ def md5_normal(*parts) -> Column:
     return F.sqrt(-2 * F.ln(u1)) * F.cos(2 * 3.141592653589793 * u2)
 
 
+def key_of(by):
+    """One column for a list of key columns. A struct is never NULL itself and
+    equals another where all fields are equal, a NULL field to a NULL field:
+    rows whose key is NULL meet in joins and windows like any others."""
+    return F.struct(*[F.col(c) for c in by])
+
+
+def join_on(left, right, keys, how: str = "inner"):
+    """``left.join(right, on=keys)``, except that NULL keys meet each other."""
+    keys, k = list(keys), "__key"
+    out = left.withColumn(k, key_of(keys)).join(right.withColumn(k, key_of(keys)).drop(*keys), k, how)
+    rest = [c for c in out.columns if c != k and c not in keys]
+    return out.select(*[F.col(f"{k}.{c}").alias(c) for c in keys], *rest)
+
+
+def refuse(df, bad, message: str):
+    """``df``, failing with ``message`` at a row for which ``bad`` holds. The
+    check is a filter, so it goes with the plan; put it on aggregated rows."""
+    return df.where(F.when(bad, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
+
+
 def indexed_explode(df, arr: str, pos: str = "pos", value: str = "value", keep: list | None = None):
     """One row per array element with its 0-based position (the rows
     ``posexplode`` gives). Positions come from ``explode(sequence)`` and

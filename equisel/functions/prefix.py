@@ -10,6 +10,8 @@ holds about ``rows / n_buckets`` rows, and a hot ``by`` key is spread over
 all buckets. The boundaries are literals, so recomputation after an
 executor loss re-buckets identically.
 
+``by`` columns may be NULL: NULL is a group like any other.
+
 Rows must be unique on ``by + order_cols`` (aggregate ties first, as curves
 do) unless ``order_cols`` ends with a unique tie-breaker.
 """
@@ -23,7 +25,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exprs import key_of
+
 _BUCKET = "__bucket"
+_KEY = "__by"
 
 
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
@@ -102,19 +107,20 @@ def running_totals(
     b = add_range_bucket(df, order_cols, n_buckets)
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
 
-    totals = b.groupBy(*by, _BUCKET).agg(*[F.sum(c).alias(f"__tot_{c}") for c in sum_cols])
-    before = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn(_KEY, key_of(by)) if by else b.withColumn(_KEY, F.lit(0))  # one key, in which NULLs meet
+    totals = b.groupBy(_KEY, _BUCKET).agg(*[F.sum(c).alias(f"__tot_{c}") for c in sum_cols])
+    before = Window.partitionBy(_KEY).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by,
+        _KEY,
         _BUCKET,
         *[F.coalesce(F.sum(f"__tot_{c}").over(before), F.lit(0)).alias(f"__off_{c}") for c in sum_cols],
     )
 
     ords = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    within = Window.partitionBy(*by, _BUCKET).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(offsets, on=[*by, _BUCKET], how="inner")
+    within = Window.partitionBy(_KEY, _BUCKET).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.join(offsets, on=[_KEY, _BUCKET], how="inner")
     out = out.select(
-        *[c for c in b.columns if c != _BUCKET],
+        *[c for c in b.columns if c not in (_BUCKET, _KEY)],
         *[(F.col(f"__off_{c}") + F.sum(c).over(within)).alias(f"{prefix}{c}") for c in sum_cols],
     )
     return out
@@ -156,13 +162,14 @@ def running_agg(
     agg = {"max": F.max, "min": F.min, "sum": F.sum}[fn]
     b = add_range_bucket(df, order_cols, n_buckets)
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
-    totals = b.groupBy(*by, _BUCKET).agg(*[agg(c).alias(f"__tot_{c}") for c in cols])
-    before = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, _BUCKET, *[agg(f"__tot_{c}").over(before).alias(f"__off_{c}") for c in cols])
+    b = b.withColumn(_KEY, key_of(by)) if by else b.withColumn(_KEY, F.lit(0))
+    totals = b.groupBy(_KEY, _BUCKET).agg(*[agg(c).alias(f"__tot_{c}") for c in cols])
+    before = Window.partitionBy(_KEY).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_KEY, _BUCKET, *[agg(f"__tot_{c}").over(before).alias(f"__off_{c}") for c in cols])
     ords = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     end = 0 if inclusive else -1
-    within = Window.partitionBy(*by, _BUCKET).orderBy(*ords).rowsBetween(Window.unboundedPreceding, end)
-    out = b.join(offsets, on=[*by, _BUCKET], how="inner")
+    within = Window.partitionBy(_KEY, _BUCKET).orderBy(*ords).rowsBetween(Window.unboundedPreceding, end)
+    out = b.join(offsets, on=[_KEY, _BUCKET], how="inner")
 
     def combine(c):
         w = agg(c).over(within)
@@ -172,7 +179,7 @@ def running_agg(
         pick = F.greatest if fn == "max" else F.least  # both skip NULLs
         return pick(off, w)
 
-    return out.select(*[c for c in b.columns if c != _BUCKET], *[combine(c).alias(f"{prefix}{c}") for c in cols])
+    return out.select(*[c for c in b.columns if c not in (_BUCKET, _KEY)], *[combine(c).alias(f"{prefix}{c}") for c in cols])
 
 
 def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int, salt_col: str,

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import r6, safe_div, unit_hash
+from equisel.functions.exprs import join_on, r6, safe_div, unit_hash
 
 MAX_SENSITIVE_GROUPS = 20
 WORST_DISPARITY = 1.0
@@ -35,15 +35,18 @@ def binarize_favorable(df: DataFrame, favorable=1, cols=("y_true", "y_pred")) ->
 
 def group_counts(df: DataFrame, group="sensitive", by: Sequence[str] = (), favorable=1,
                  y_true="y_true", y_pred="y_pred") -> DataFrame:
-    """``(by, group, tp, fp, fn, tn, n)`` on favorable indicators: the one raw pass."""
+    """``(by, group, tp, fp, fn, tn, n)`` on favorable indicators: the one raw
+    pass. A NULL label or prediction is an error."""
+    from equisel.operators.metrics import counted
+
     by = _by(by)
     t = F.col(y_true) == F.lit(favorable)
     p = F.col(y_pred) == F.lit(favorable)
-    return df.groupBy(*by, F.col(group).cast("string").alias("group")).agg(
+    return counted(df, [*by, F.col(group).cast("string").alias("group")], [
         F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
         F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"),
         F.count(F.lit(1)).alias("n"),
-    )
+    ], (y_true, y_pred))
 
 
 def _rates(c: DataFrame, by) -> DataFrame:
@@ -229,7 +232,8 @@ def group_hulls(train: DataFrame, group="sensitive", constraint: str = "equalize
     flat = [g for g, (p, n) in sizes.items() if constraint == "equalized_odds" and not (p and n)]
     if flat:
         raise ValueError(f"equalized odds need both classes in every group; one class only: {sorted(map(str, flat))}")
-    c = running_totals(sc, "t", ["pos", "neg"], by=["group"], descending=True).join(totals, "group")
+    c = running_totals(sc, "t", ["pos", "neg"], by=["group"], descending=True)
+    c = join_on(c, totals, ["group"])
     if constraint == "equalized_odds":
         x, y = F.col("cum_neg") / F.col("N"), F.col("cum_pos") / F.col("P")
     else:

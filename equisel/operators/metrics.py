@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import indexed_explode, r6, safe_div
+from equisel.functions.exprs import indexed_explode, join_on, r6, refuse, safe_div
 from equisel.functions.prefix import running_totals
 
 MAX_LABELS = 20
@@ -28,11 +28,27 @@ def _by(by) -> list[str]:
 
 # ---------------------------------------------------------------- confusion
 def confusion_counts(df: DataFrame, by: Sequence[str] = (), y_true="y_true", y_pred="y_pred") -> DataFrame:
-    """Non-zero cells ``(by, y_true, y_pred, n)`` — the one raw-row aggregate."""
+    """Non-zero cells ``(by, y_true, y_pred, n)`` — the one raw-row aggregate.
+    A NULL label or prediction is an error."""
     by = _by(by)
-    return df.groupBy(*by, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(
+    cells = df.groupBy(*by, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    return refuse(cells, F.col("y_true").isNull() | F.col("y_pred").isNull(), lacking(y_true, y_pred))
+
+
+def lacking(*cols: str) -> str:
+    return f"NULL in {' or '.join(cols)}: no row may lack it"
+
+
+def counted(df: DataFrame, keys: Sequence, aggs: Sequence, cols: Sequence[str]) -> DataFrame:
+    """``df.groupBy(keys).agg(aggs)``; a NULL in one of ``cols`` is an error
+    (counted in the same pass, looked at on the aggregated rows)."""
+    bad = F.lit(False)
+    for c in cols:
+        bad = bad | F.col(c).isNull()
+    out = df.groupBy(*keys).agg(*aggs, F.count_if(bad).alias("__lacking"))
+    return refuse(out, F.col("__lacking") > 0, lacking(*cols)).drop("__lacking")
 
 
 def label_set(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,10 +73,8 @@ def confusion_matrix(df: DataFrame, by: Sequence[str] = (), y_true="y_true", y_p
     many = labs.groupBy(*by).agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") > MAX_LABELS)
     if not many.isEmpty():
         raise ValueError(f"more than {MAX_LABELS} labels; use confusion_counts for the cells that occur")
-    grid = labs.select(*by, F.col("label").alias("y_true")).join(
-        labs.select(*by, F.col("label").alias("y_pred")), on=by, how="inner"
-    ) if by else labs.select(F.col("label").alias("y_true")).crossJoin(labs.select(F.col("label").alias("y_pred")))
-    return grid.join(cells, on=[*by, "y_true", "y_pred"], how="left").select(
+    grid = join_on(labs.select(*by, F.col("label").alias("y_true")), labs.select(*by, F.col("label").alias("y_pred")), by) if by else labs.select(F.col("label").alias("y_true")).crossJoin(labs.select(F.col("label").alias("y_pred")))
+    return join_on(grid, cells, [*by, "y_true", "y_pred"], "left").select(
         *by, "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
@@ -77,7 +91,7 @@ def confusion_normalised(df: DataFrame, by: Sequence[str] = (), y_true="y_true",
 def accuracy(df: DataFrame, by: Sequence[str] = (), y_true="y_true", y_pred="y_pred") -> DataFrame:
     """Q3: share of rows with y_pred = y_true."""
     by = _by(by)
-    return df.groupBy(*by).agg(r6(F.avg((F.col(y_true) == F.col(y_pred)).cast("double"))).alias("accuracy"))
+    return counted(df, by, [r6(F.avg((F.col(y_true) == F.col(y_pred)).cast("double"))).alias("accuracy")], (y_true, y_pred))
 
 
 def binary_counts(df: DataFrame, by: Sequence[str] = (), y_true="y_true", y_pred="y_pred", pos=1) -> DataFrame:
@@ -85,13 +99,13 @@ def binary_counts(df: DataFrame, by: Sequence[str] = (), y_true="y_true", y_pred
     by = _by(by)
     t = F.col(y_true) == F.lit(pos)
     p = F.col(y_pred) == F.lit(pos)
-    return df.groupBy(*by).agg(
+    return counted(df, by, [
         F.count_if(t & p).alias("tp"),
         F.count_if(~t & p).alias("fp"),
         F.count_if(t & ~p).alias("fn"),
         F.count_if(~t & ~p).alias("tn"),
         F.count(F.lit(1)).alias("n"),
-    )
+    ], (y_true, y_pred))
 
 
 def _prf(tp, fp, fn):
@@ -128,7 +142,7 @@ def per_class_counts(df: DataFrame, by: Sequence[str] = (), y_true="y_true", y_p
     as_pred = cells.groupBy(*by, F.col("y_pred").alias("label")).agg(
         F.sum(F.when(F.col("y_true") != F.col("y_pred"), F.col("n")).otherwise(0)).alias("fp")
     )
-    return as_true.join(as_pred, on=[*by, "label"], how="full").select(
+    return join_on(as_true, as_pred, [*by, "label"], "full").select(
         *by,
         "label",
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn", "support")],
@@ -235,7 +249,7 @@ def _cumulative_from_counts(sc: DataFrame, by) -> DataFrame:
     cum = running_totals(sc, "score", ["pos", "neg"], by=by, descending=True)
     totals = sc.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if by:
-        return cum.join(totals, on=by, how="inner")
+        return join_on(cum, totals, by)
     return cum.crossJoin(F.broadcast(totals))  # one-row totals
 
 
@@ -401,8 +415,10 @@ def metric_report(df: DataFrame, by: Sequence[str] = (), multiclass: bool = Fals
     kappa = safe_div(c_ / s_ - sum_pt / (s_ * s_), F.lit(1.0) - sum_pt / (s_ * s_))
     scal = cnt.select(*by, r6(c_ / s_).alias("accuracy"), r6(p_).alias("precision"), r6(r_).alias("recall"),
                       r6(f_).alias("f1"), r6(mcc).alias("mcc"), r6(kappa).alias("kappa"))
-    # counts use every row; score metrics are defined only where every row has a score
-    lacking = base.groupBy(*by).agg(F.sum(F.when(F.col("score").isNull(), F.col("pos") + F.col("neg")).otherwise(0)).alias("lacking"))
+    # counts need a prediction for every row, score metrics a score
+    rows = F.col("pos") + F.col("neg")
+    unscored = base.groupBy(*by).agg(F.sum(F.when(F.col("score").isNull(), rows).otherwise(0)).alias("lacking"),
+                                     F.sum(F.when(F.col("yp").isNull(), rows).otherwise(0)).alias("unpredicted"))
     sc = base.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     clip = lambda c: F.least(F.greatest(c.cast("double"), F.lit(LOG_EPS)), F.lit(1.0 - LOG_EPS))
     ll = sc.groupBy(*by).agg(r6(-(F.sum(F.col("pos") * F.ln(clip(F.col("score"))) +
@@ -411,15 +427,17 @@ def metric_report(df: DataFrame, by: Sequence[str] = (), multiclass: bool = Fals
     curves = _auc_ap(_cumulative_from_counts(sc, by), by).withColumnRenamed("auc", "roc_auc")
     names = ["accuracy", "precision", "recall", "f1", "mcc", "kappa", "log_loss", "roc_auc", "average_precision"]
     if by:
-        wide = scal.join(ll, by, "left").join(curves, by, "left").join(lacking, by, "left")
+        wide = join_on(join_on(join_on(scal, ll, by, "left"), curves, by, "left"), unscored, by, "left")
     else:  # one-row tables; an aggregate over an empty curve table still yields one (null) row
         one = curves.agg(F.max("roc_auc").alias("roc_auc"), F.max("average_precision").alias("average_precision"))
-        wide = scal.crossJoin(ll.agg(F.max("log_loss").alias("log_loss"))).crossJoin(one).crossJoin(lacking)
+        wide = scal.crossJoin(ll.agg(F.max("log_loss").alias("log_loss"))).crossJoin(one).crossJoin(unscored)
     stack = ", ".join(f"'{m}', `{m}`" for m in names)
-    for m in ("log_loss", "roc_auc", "average_precision"):
-        wide = wide.withColumn(m, F.when(F.col("lacking") == 0, F.col(m)))
-    long = wide.select(*by, "lacking", F.expr(f"stack({len(names)}, {stack}) AS (metric, value)"))
+    by_score = ("log_loss", "roc_auc", "average_precision")
+    for m in names:
+        wide = wide.withColumn(m, F.when(F.col("lacking" if m in by_score else "unpredicted") == 0, F.col(m)))
+    long = wide.select(*by, "lacking", "unpredicted", F.expr(f"stack({len(names)}, {stack}) AS (metric, value)"))
     err = F.when(F.col("value").isNull(), F.concat(F.lit("ValueError: no "), F.col("metric"), F.when(
+        ~F.col("metric").isin(*by_score), F.concat(F.lit(", "), F.col("unpredicted").cast("string"), F.lit(" rows have no prediction"))).when(
         F.col("lacking") > 0, F.concat(F.lit(", "), F.col("lacking").cast("string"), F.lit(" rows have no score"))).otherwise(
         F.lit(", all labels are of one class"))))
     return long.select(*by, "metric", F.col("value").cast("double").alias("value"), err.alias("error"))

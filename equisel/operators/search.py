@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import hash32, r6, safe_div
+from equisel.functions.exprs import hash32, join_on, r6, refuse, safe_div
 from equisel.functions.prefix import dense_position, sliding
 
 # Default search space (param → ordered choices) of the reference.
@@ -184,10 +184,12 @@ def tune_threshold(preds: DataFrame, by: Sequence[str] = ("trial",), score: str
     wins and is adopted only if strictly better than the F1 of the given
     predictions.
 
-    No rows × cuts product: each row falls in cut bucket b = number of cuts
-    ≤ its score (exact comparison with the same k/20 doubles), one
-    aggregate gives ≤ 20 rows per group, and the counts at cut k are the
-    sums over buckets ≥ k (a window over those ≤ 20 rows)."""
+    No rows × cuts product and no join: each row falls in cut bucket b =
+    number of cuts ≤ its score (exact comparison with the same k/20 doubles),
+    one aggregate gives ≤ 40 rows per group, and the counts at cut k are
+    conditional sums over them. A NULL score or prediction is an error."""
+    from equisel.operators.metrics import lacking
+
     by = list(by)
     steps = THRESHOLD_STEPS
     t_ = F.col(y_true) == pos
@@ -196,29 +198,20 @@ def tune_threshold(preds: DataFrame, by: Sequence[str] = ("trial",), score: str
     cut = lambda k: k.cast("double") / F.lit(float(steps))
     b1 = F.when((b0 > 0) & (s_ < cut(b0)), b0 - 1).when((b0 < steps - 1) & (s_ >= cut(b0 + 1)), b0 + 1).otherwise(b0)
     # the one raw pass: (group, cut bucket, given prediction) → positives / negatives
-    lacking = F.raise_error(F.lit(f"NULL in score column {score!r}"))
-    raw = preds.groupBy(*by, F.when(s_.isNull(), lacking.cast("int")).otherwise(b1).alias("b"), (F.col(y_pred) == pos).alias("hit")).agg(
-        F.count_if(t_).alias("p"), F.count_if(~t_).alias("n"))
-    base = raw.groupBy(*by).agg(
-        F.sum(F.when(F.col("hit"), F.col("p")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~F.col("hit"), F.col("p")).otherwise(0)).alias("fn"))
-    base = base.select(*by, safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("base_f1"))
-    bk = raw.groupBy(*by, "b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    # every group gets all buckets 0..19 so that each cut k = 1..19 has a row
-    grid = raw.select(*by).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    g = grid.join(bk, [*by, "b"], "left").fillna(0, ["p", "n"])
-    above = Window.partitionBy(*by).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(*by)
-    g = g.select(*by, "b", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"),
-                 F.sum("p").over(tot).alias("P"))
-    at = g.where(F.col("b") >= 1).select(*by, F.col("b").alias("k"), safe_div(
-        2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + (F.col("P") - F.col("tp"))).alias("f1"))
-    best = at.groupBy(*by).agg(F.max_by(F.struct("k", "f1"), F.struct(F.col("f1"), -F.col("k"))).alias("bst"))
+    raw = preds.groupBy(*by, F.when(s_.isNotNull(), b1).alias("b"), (F.col(y_pred) == pos).alias("hit")).agg(F.count_if(t_).alias("p"), F.count_if(~t_).alias("n"))
+    raw = refuse(raw, F.col("b").isNull(), f"NULL in score column {score!r}")
+    raw = refuse(raw, F.col("hit").isNull(), lacking(y_pred))
+    # ≤ 2 · steps rows per group become one: the counts of the given prediction and, per cut, of the buckets from it on
+    at = [F.col("b") >= k for k in range(1, steps)]
+    sums = raw.groupBy(*by).agg(
+        F.sum(F.when(F.col("hit"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("fp"),
+        F.sum("p").alias("P"), *(F.sum(F.when(c, F.col(x)).otherwise(0)).alias(f"{x}{k}") for k, c in enumerate(at, 1) for x in ("p", "n")))
+    f1 = lambda tp, fp: safe_div(2 * tp, tp + fp + F.col("P"))  # noqa: E731  (P = tp + fn)
+    best = F.array_max(F.array(*(F.struct(f1(F.col(f"p{k}"), F.col(f"n{k}")).alias("f1"), F.lit(-k).alias("k")) for k in range(1, steps))))
+    out = sums.select(*by, best.alias("bst"), f1(F.col("tp"), F.col("fp")).alias("base_f1"))
     # compared before rounding
-    return best.join(base, by).select(*by, (F.col("bst.k") / F.lit(float(steps))).alias("best_threshold"),
-                                      r6("bst.f1").alias("best_f1"), r6("base_f1").alias("base_f1"),
-                                      (F.col("bst.f1") > F.col("base_f1")).alias("adopted"))
+    return out.select(*by, (-F.col("bst.k") / F.lit(float(steps))).alias("best_threshold"), r6("bst.f1").alias("best_f1"),
+                      r6("base_f1").alias("base_f1"), (F.col("bst.f1") > F.col("base_f1")).alias("adopted"))
 
 
 def family_attrs(scores: DataFrame, model_type: str = "model_type",
@@ -282,10 +275,10 @@ def asha_prune(reports: DataFrame, min_resource: int = 1, eta: int = 3, by: Sequ
     for rung in range(0 if top is None else top + 1):
         here = at.where(F.col("rung") == rung)
         if kept is not None:
-            here = here.join(kept, [*by, "study", "trial"], "left_semi")
+            here = join_on(here, kept, [*by, "study", "trial"], "left_semi")
         ranked = dense_position(here, ["__neg", "trial"], by=[*by, "study"], name="rank")
         n = here.groupBy(*by, "study").agg(F.count(F.lit(1)).alias("n"))
-        done = ranked.join(n, [*by, "study"]).select(
+        done = join_on(ranked, n, [*by, "study"]).select(
             *by, "study", "trial", "rung", F.col("report_idx").alias("resource"), "value", "rank", "n",
             (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(eta)))).alias("kept"))
         done = materialise(done)

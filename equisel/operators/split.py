@@ -15,13 +15,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import hash32
-from equisel.functions.prefix import dense_position
+from equisel.functions.exprs import hash32, join_on, refuse
+from equisel.functions.prefix import add_range_bucket, dense_position
 
 _H = "__h"
 _POS = "__pos"
 
 
+def _class_counts(df: DataFrame, label: str) -> DataFrame:
+    """``(label, n_c)``; a missing label is an error, never a row left out."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    return refuse(counts, F.col(label).isNull(), f"NULL in label column {label!r}")
+
+
 def _quota(counts: DataFrame, label: str, frac: float, rounding: str = "floor") -> DataFrame:
     """Largest-remainder allocation on the class table: ``(label, n_c, quota)``.
 
@@ -47,11 +53,11 @@ def stratified_split(df: DataFrame, key: str = "row_id", label: str = "y", frac:
     classes with the largest remainders until the total is reached. Rows
     of a class are taken in hash order. If any class has fewer than 2 rows
     the split is unstratified (X2): first floor(frac · n) rows in hash order.
+    A row without a label is an error.
     The class table is tiny (labels are capped), it is the only thing
     windowed globally."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    st = counts.agg(F.min("n_c").alias("m"), F.count(F.lit(1)).alias("k")).first()
-    min_c, n_classes = st["m"], st["k"]
+    counts = _class_counts(df, label)
+    min_c = counts.agg(F.min("n_c").alias("m")).first()["m"]
     base = df.withColumn(_H, hash32(key, seed))
     if min_c is None:
         return base.withColumn(out, F.lit(names[0])).drop(_H)
@@ -75,7 +81,7 @@ def validation_split(df: DataFrame, key: str = "row_id", label: str = "y", frac:
     if df.where(F.col(split) == "val").limit(1).count() > 0:
         return df
     train = df.where(F.col(split) == "train")
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    counts = _class_counts(train, label)
     n_train = counts.agg(F.sum("n_c")).first()[0] or 0
     if n_train < min_train:
         return df
@@ -103,17 +109,43 @@ def align_sensitive(split_df: DataFrame, raw: DataFrame, column: str, key: str =
     return j
 
 
-def minibatch(df: DataFrame, batch: int, seed: int, key: str = "row_id", draw: str = "draw") -> DataFrame:
+def _drawn(df: DataFrame, batch: int, key: str, seeds: dict, by: str | None, draw: str, n_buckets: int | None) -> DataFrame:
+    """``batch`` rows with replacement from every group of ``seeds`` (group →
+    seed), without positions for all rows: rows are counted per range bucket of
+    the key, a draw's position falls into one bucket by the counts, and only
+    the rows of buckets that were drawn from are ranked."""
+    group = F.col(by) if by else F.lit(0)
+    spark = df.sparkSession
+    b = add_range_bucket(df.withColumn("__g", group), key, n_buckets)
+    counts: dict = {}
+    for r in b.groupBy("__g", "__bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("__g", "__bucket").collect():  # groups x buckets rows
+        counts.setdefault(r["__g"], []).append((float(r["__bucket"]), r["n"]))
+    table = []
+    for g, seed in seeds.items():
+        start = 0
+        for bucket, n in counts.get(g, []):
+            table.append((g, seed, bucket, start, start + n))
+            start += n
+    kind = b.schema["__g"].dataType.simpleString()
+    parts = spark.createDataFrame(table, f"`__g` {kind}, __seed int, __bucket double, __from long, __to long")
+    ends = parts.groupBy("__g", "__seed").agg(F.max("__to").alias("__n"), F.array_sort(F.collect_list(F.struct("__to", "__from", "__bucket"))).alias("__parts"))
+    draws = ends.withColumn(draw, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batch - 1).cast("long"))))
+    draws = draws.withColumn(_POS, hash32(draw, F.col("__seed")) % F.col("__n") + 1)
+    part = F.element_at("__parts", F.size(F.filter("__parts", lambda p: p["__to"] < F.col(_POS))) + 1)
+    draws = draws.withColumn("__part", part).select(draw, "__g", _POS, "__part.__bucket", "__part.__from")
+    wanted = draws.select("__g", "__bucket", "__from").distinct()  # at most groups x buckets rows
+    own = b.join(F.broadcast(wanted), ["__g", "__bucket"])
+    rank = F.row_number().over(Window.partitionBy("__g", "__bucket").orderBy(key))
+    own = own.withColumn(_POS, F.col("__from") + rank).drop("__from", "__bucket")
+    return own.join(draws.select("__g", _POS, draw), ["__g", _POS]).drop("__g", _POS)
+
+
+def minibatch(df: DataFrame, batch: int, seed: int, key: str = "row_id", draw: str = "draw", n_buckets: int | None = None) -> DataFrame:
     """``batch`` rows drawn uniformly **with replacement**: draw j picks
-    position hash32(j, seed) mod n; the draw table (``batch`` rows) is
-    joined to the positioned rows."""
-    n = df.count()
-    if n == 0:
+    position hash32(j, seed) mod n of the rows in the order of the numeric key."""
+    if batch <= 0 or df.isEmpty():
         return df.withColumn(draw, F.lit(None).cast("long")).limit(0)
-    spark = df.sparkSession
-    draws = spark.range(batch).select(F.col("id").alias(draw), ((hash32("id", seed) % n) + 1).alias(_POS))
-    pos = dense_position(df, key, name=_POS)
-    return pos.join(draws, on=_POS, how="inner").drop(_POS)
+    return _drawn(df, batch, key, {0: seed}, None, draw, n_buckets).select(*df.columns, draw)
 
 
 def prefix_subset(df: DataFrame, n: int, key: str = "row_id") -> DataFrame:
@@ -132,7 +164,7 @@ def even_downsample(df: DataFrame, order_col: str, by: Sequence[str] = (), max_p
     m = max_points
     pos = dense_position(df, order_col, by=by, name=_POS, descending=descending)
     if by:  # group sizes by partial aggregation, not a window over the whole group
-        pos = pos.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by)
+        pos = join_on(pos, df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by)
     else:
         total = df.count()
         pos = pos.withColumn("__n", F.lit(total))
@@ -148,16 +180,23 @@ def even_downsample(df: DataFrame, order_col: str, by: Sequence[str] = (), max_p
 
 
 def balanced_take(df: DataFrame, n: int, label: str = "y", key: str = "row_id") -> DataFrame:
-    """First n/2 rows (by key) of each of two classes."""
+    """First n/2 rows (by key) of each of two classes. A row without a
+    label is an error."""
+    df = refuse(df, F.col(label).isNull(), f"NULL in label column {label!r}")
     pos = dense_position(df, key, by=[label], name=_POS)
     return pos.where(F.col(_POS) <= n // 2).drop(_POS)
 
 
+MAX_SPLITS = 20
+
+
 def bootstrap_rows(df: DataFrame, n: int, seed: int, split: str = "split", key: str = "row_id") -> DataFrame:
-    """``n`` rows with replacement from each split value separately."""
-    parts = [r[0] for r in df.select(split).distinct().collect()]  # split names: bounded (train/val/test)
-    out = None
-    for i, s in enumerate(sorted(parts)):
-        b = minibatch(df.where(F.col(split) == s), n, seed + i, key)
-        out = b if out is None else out.unionByName(b)
-    return out
+    """``n`` rows with replacement from each split value separately, in one
+    pass for all of them. More than ``MAX_SPLITS`` values are an error."""
+    parts = [r[0] for r in df.where(F.col(split).isNotNull()).select(split).distinct().limit(MAX_SPLITS + 1).collect()]
+    if len(parts) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} values in {split!r}")
+    if n <= 0 or not parts:
+        return df.withColumn("draw", F.lit(None).cast("long")).limit(0)
+    seeds = {s: seed + i for i, s in enumerate(sorted(parts))}
+    return _drawn(df.where(F.col(split).isNotNull()), n, key, seeds, split, "draw", None).select(*df.columns, "draw")

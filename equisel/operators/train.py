@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import r6
+from equisel.functions.exprs import join_on, r6
 from equisel.functions.prefix import dense_position, sliding
 
 
@@ -186,13 +186,13 @@ def loss_convergence(loss: DataFrame, w: int, by: Sequence[str] = ("study", "tri
     by = list(by)
     pos = dense_position(loss.select(*by, step, value), step, by=by, name="__p")
     nan_at = pos.where(F.isnan(value)).groupBy(*by).agg(F.min("__p").alias("__nan"))
-    pos = pos.join(nan_at, by, "left").where(F.col("__nan").isNull() | (F.col("__p") < F.col("__nan")))
+    pos = join_on(pos, nan_at, by, "left").where(F.col("__nan").isNull() | (F.col("__p") < F.col("__nan")))
     j = sliding(pos, "__p", {"__last": (F.avg(value), w - 1, 0), "__before": (F.avg(value), 2 * w - 1, w),
                              "__spread": (F.stddev_pop(value), w - 1, 0)}, 2 * w - 1, by)
     met = (F.col("__p") - 1 > 2 * w) & (F.abs(F.col("__before") - F.col("__last")) <= F.col("__spread") / F.lit(w ** 0.5) / 2)
     first = j.where(met).groupBy(*by).agg(F.min(F.col("__p") - 1).alias("converged_step"))
     allk = loss.select(*by).distinct()
-    return allk.join(first, by, "left").withColumn("converged", F.col("converged_step").isNotNull())
+    return join_on(allk, first, by, "left").withColumn("converged", F.col("converged_step").isNotNull())
 
 
 def normalise_loss(loss: DataFrame, by: Sequence[str] = ("study", "trial"), value: str = "value",
@@ -200,4 +200,4 @@ def normalise_loss(loss: DataFrame, by: Sequence[str] = ("study", "trial"), valu
     """Loss / max|loss| per run (per-run max by partial aggregation, joined back)."""
     by = list(by)
     mx = loss.groupBy(*by).agg(F.max(F.abs(value)).alias("__mx"))
-    return loss.join(mx, by).withColumn(out, r6(F.col(value) / F.col("__mx"))).drop("__mx")
+    return join_on(loss, mx, by).withColumn(out, r6(F.col(value) / F.col("__mx"))).drop("__mx")
