@@ -37,15 +37,28 @@ def upsert(store: DataFrame, records: DataFrame, key: str | Sequence[str], newes
         *[c for c in u.columns if c != "__prec"])
 
 
-def patch(store: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+def one_per_key(df: DataFrame, keys: Sequence[str], newest: str | None = None) -> DataFrame:
+    """One whole row per key: the largest ``newest``, then the least hash of
+    its values, by partial aggregation."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    order = ([F.col(newest).alias("newest")] if newest else []) + [F.bitwise_not(F.xxhash64(*rest)).alias("tie")]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__one"))
+    return best.select(*keys, "__one.*").select(*df.columns)
+
+
+def patch(store: DataFrame, patches: DataFrame, key: str, newest: str | None = None) -> DataFrame:
     """S6 ``patch_runs``: partial update of the given columns; a column not
     in the store is an error (checked before planning); a patch for a
-    missing key is a no-op (left join from the store)."""
-    unknown = [c for c in patches.columns if c not in store.columns]
+    missing key is a no-op (left join from the store). Of several patches for a
+    key one is applied, see :func:`one_per_key`; ``newest`` may be a column of
+    the patches only."""
+    unknown = [c for c in patches.columns if c not in store.columns and c != newest]
     if unknown:
         raise ValueError(f"the store has no column {', '.join(sorted(unknown))}")
-    cols = [c for c in patches.columns if c != key]
-    p = patches.select(key, *[F.col(c).alias(f"__p_{c}") for c in cols], F.lit(True).alias("__hit"))
+    cols = [c for c in patches.columns if c != key and c in store.columns]
+    p = one_per_key(patches, [key], newest).select(key, *[F.col(c).alias(f"__p_{c}") for c in cols], F.lit(True).alias("__hit"))
     j = store.join(p, key, "left")
     return j.select(*[F.when(F.col("__hit"), F.col(f"__p_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                       for c in store.columns])
@@ -173,8 +186,9 @@ def request_snapshots(requests: DataFrame, jobs: DataFrame | None = None) -> Dat
 
 
 def complete_snapshots(snapshots: DataFrame, results: DataFrame) -> DataFrame:
-    """A completed job replaces the payload and bumps the revision."""
-    r = results.select("optimization_id", "config_key", F.col("payload").alias("__pl"), F.lit(True).alias("__done"))
+    """A completed job replaces the payload and bumps the revision. Several
+    results for a snapshot count once, see :func:`one_per_key`."""
+    r = one_per_key(results.select("optimization_id", "config_key", "payload"), ["optimization_id", "config_key"]).select("optimization_id", "config_key", F.col("payload").alias("__pl"), F.lit(True).alias("__done"))
     j = snapshots.join(r, ["optimization_id", "config_key"], "left")
     return j.select(*[c for c in snapshots.columns if c not in ("revision", "payload")],
                     (F.col("revision") + F.when(F.col("__done"), 1).otherwise(0)).alias("revision"),

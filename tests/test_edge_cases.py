@@ -255,3 +255,16 @@ def test_reading_turns_nan_into_null(spark, tmp_path):
 
     spark.createDataFrame([(1.0, "a"), (float("nan"), "b")], "x double, y string").write.parquet(f"{tmp_path}/t.parquet")
     assert read_table(spark, f"{tmp_path}/t.parquet").where("x IS NULL").count() == 1
+
+
+def test_several_patches_or_results_for_one_key(spark):
+    store = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "job_id int, name string, n int")
+    patches = spark.createDataFrame([(1, "old", 5), (1, "new", 9), (3, "none", 1), (1, "mid", 7)], "job_id int, name string, at int")
+    assert sorted(map(tuple, S.patch(store, patches, "job_id", newest="at").collect())) == [(1, "new", 1), (2, "b", 2)]
+    once = S.patch(store, patches.drop("at").repartition(3), "job_id").collect()
+    assert len(once) == 2 and {r.name for r in once if r.job_id == 1} <= {"old", "new", "mid"}
+    assert sorted(map(tuple, S.patch(store, patches.drop("at").coalesce(1).orderBy("name"), "job_id").collect())) == sorted(map(tuple, once))
+    snaps = spark.createDataFrame([(1, "k", 0, None), (2, "k", 0, None)], "optimization_id int, config_key string, revision int, payload string")
+    results = spark.createDataFrame([(1, "k", "p1"), (1, "k", "p2")], "optimization_id int, config_key string, payload string")
+    got = {r.optimization_id: (r.revision, r.payload) for r in S.complete_snapshots(snaps, results).collect()}
+    assert got[2] == (0, None) and got[1][0] == 1 and got[1][1] in ("p1", "p2") and len(got) == 2
