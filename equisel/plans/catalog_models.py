@@ -13,8 +13,9 @@ from equisel.operators import split as X
 from equisel.operators import train as M
 from equisel.sources import views as V
 from equisel.sources.sql_views import H as HS, with_views
+from equisel.session import materialise
 from equisel.sources.tables import table
-from equisel.functions.exprs import hash32, indexed_explode, r6
+from equisel.functions.exprs import hash32, indexed_explode, r6, unit_hash
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -254,16 +255,21 @@ reg("v01_linear_shap", lambda s, d: _lshap(s, d)[0].select("row_id", "class_code
     _V1_SQL + "SELECT row_id, class_code, feature, round(value, 6) + 0.0 AS value, round(feature_value, 6) + 0.0 AS feature_value FROM sh")
 
 
-def _pshap(s, d):
+def _pshap(s, d, outputs=1):
     px = _part_x(s, d)
     bg = px.orderBy(hash32("p_partkey", 13), "p_partkey").limit(20)  # background set: a hash sample of 20 rows (the explainer's parameter)
     model = lambda arr: 1 / (1 + F.exp(-(F.aggregate(F.zip_with(arr, F.array(*[F.lit(w) for w in _W]), lambda a, b: a * b),
                                                     F.lit(0.0), lambda acc, v: acc + v) + F.lit(_B))))
+    if outputs > 1:  # class c: (c + 1) times the share, and c
+        several = lambda arr: F.array(*(model(arr) * (c + 1) + c for c in range(outputs)))
+        sh, _ = AT.permutation_shap(px, "x", "p_partkey", several, bg, n_perm=3, seed=1, names=_NAMES, n_outputs=outputs)
+        return sh.select("row_id", "class_code", "feature", r6("value").alias("value"))
     sh, base = AT.permutation_shap(px, "x", "p_partkey", model, bg, n_perm=3, seed=1, names=_NAMES)
     return sh.select("row_id", "feature", r6("value").alias("value"))
 
 
 reg("v02_permutation_shap", _pshap)
+reg("v02_permutation_shap_classes", lambda s, d: _pshap(s, d, 3))
 reg("v03_class_slice", lambda s, d: AT.class_slice(_lshap(s, d)[0], 2).select("row_id", "feature", F.round("value", 6).alias("value")),
     _V1_SQL + "SELECT row_id, feature, round(value, 6) AS value FROM sh")
 reg("v04_feature_importance", lambda s, d: AT.feature_importance(_lshap(s, d)[0]),
@@ -342,6 +348,99 @@ def _evaluate(s, d):
 
 reg("h05_evaluate_trials", _evaluate)
 
+# ---------------------------------------------------------------- studies: many configurations in one pass
+STUDY = [{"model_type": "SVClinear", "C": 0.1}, {"model_type": "SVClinear", "C": 10, "class_weight": "balanced"},
+         {"model_type": "LogisticRegression", "C": 1}, {"model_type": "Perceptron", "eta0": 1.0, "epochs": 5}, {"model_type": "NotAModel"}]
+
+
+def _study_data(s, d):
+    """orders → one feature, a noisy label by it, a hash split, the buyer's segment."""
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").join(table(s, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    f, part = F.col("o_totalprice") / 100000, hash32("o_orderkey", 22) % 5
+    return o.select(F.col("o_orderkey").alias("row_id"), f.alias("f"), F.when(f - 2 + 3 * (unit_hash("o_orderkey", 21) - 0.5) > 0, 1).otherwise(-1).alias("y"),
+                    F.when(part < 3, "train").when(part == 3, "val").otherwise("test").alias("split"), F.col("c_mktsegment").alias("sensitive"))
+
+
+def _study_constrained(s, d):
+    from equisel.plans.study import run_study
+
+    log, _, _ = run_study(_study_data(s, d), ["f"], configs=STUDY, sensitive="sensitive", mode="constrained", threshold=0.05)
+    return log.select("trial", "model_type", "state", *(F.round(c, 6).alias(c) for c in (
+        "value", "val_f1_unthresholded", "decision_threshold", "f1_score", "f1_score_thresholded", "accuracy", "fairness_disparity", "fairness_constraint")),
+        "feasible", "batch_size", "pruned")
+
+
+def _study_weights(s, d):
+    from equisel.operators.many import Study
+
+    train = _study_data(s, d).where("split = 'train'").select("row_id", "y", F.array("f").alias("x"))
+    models, _ = Study(materialise(train)).fit(STUDY)
+    rows = [(m.trial, i, round(float(w), 4) + 0.0) for m in models for u in m.units for i, w in enumerate(u.w)]
+    return s.createDataFrame(rows, "trial int, idx int, weight double")
+
+
+def _study_search(s, d):
+    from equisel.plans.study import best_of, run_study
+
+    log, _, _ = run_study(_study_data(s, d), ["f"], n_trials=8, per_round=4, models=["SVClinear", "Perceptron", "MLPClassifier"], sensitive="sensitive",
+                          mode="multi_objective", max_steps=20)
+    return best_of(log, "multi_objective").drop("training_time")
+
+
+_STUDY_TABLES = {
+    "data": f"""SELECT o_orderkey AS row_id, o_totalprice / 100000 AS f, c_mktsegment AS sensitive,
+       CASE WHEN o_totalprice / 100000 - 2 + 3 * ({HS('o_orderkey', 21)} / 4294967296.0::DOUBLE - 0.5) > 0 THEN 1 ELSE -1 END AS y,
+       CASE WHEN {HS('o_orderkey', 22)} % 5 < 3 THEN 'train' WHEN {HS('o_orderkey', 22)} % 5 = 3 THEN 'val' ELSE 'test' END AS split
+       FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "train": "SELECT f, y, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY y)) AS balance FROM data WHERE split = 'train'",
+    "w0": "SELECT * FROM (VALUES (0, 'hinge', 0.1, 0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 'hinge', 10.0, 1, 0.0, 0.0), (2, 'logistic', 1.0, 0, 0.0, 0.0)) v(trial, loss, c, balanced, w, b)"}
+
+
+def _newton_sql(k: int) -> str:
+    """One Newton step of every machine: gradient and curvature are sums over
+    the train rows, the 2 x 2 system is solved in closed form."""
+    return f"""SELECT trial, loss, c, balanced, w - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS w, b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b
+FROM (SELECT trial, loss, c, balanced, w, b, w + c * sum(slope * f) AS g1, (CASE WHEN loss = 'hinge' THEN b ELSE 0 END) + c * sum(slope) AS g2,
+        1 + c * sum(curve * f * f) AS h11, c * sum(curve * f) AS h12, (CASE WHEN loss = 'hinge' THEN 1 ELSE 1e-10 END) + c * sum(curve) AS h22
+      FROM (SELECT u.*, t.f, (CASE WHEN u.balanced = 1 THEN t.balance ELSE 1 END) * CASE WHEN loss = 'hinge' THEN -2 * t.y * greatest(0, 1 - m) ELSE -t.y * (1 - 1 / (1 + exp(-m))) END AS slope,
+              (CASE WHEN u.balanced = 1 THEN t.balance ELSE 1 END) * CASE WHEN loss = 'hinge' THEN CASE WHEN m < 1 THEN 2 ELSE 0 END ELSE exp(-m) / ((1 + exp(-m)) * (1 + exp(-m))) END AS curve
+            FROM (SELECT u.*, t.f AS f0, t.y AS y0, t.balance AS bal0, t.y * (u.w * t.f + u.b) AS m FROM w{k} u, train t) u, LATERAL (SELECT u.f0 AS f, u.y0 AS y, u.bal0 AS balance) t)
+      GROUP BY trial, loss, c, balanced, w, b)"""
+
+
+def _study_sql(rows: str, steps: int = 14, epochs: int = 5) -> str:
+    ctes = dict(_STUDY_TABLES)
+    for k in range(steps):
+        ctes[f"w{k + 1}"] = _newton_sql(k)
+    ctes["p0"] = "SELECT 0.0::DOUBLE AS w, 0.0::DOUBLE AS b"
+    for k in range(epochs):
+        ctes[f"p{k + 1}"] = f"""SELECT p.w + coalesce(sum(t.y * t.f) FILTER (t.y * (p.w * t.f + p.b) <= 0), 0) AS w,
+       p.b + coalesce(sum(t.y) FILTER (t.y * (p.w * t.f + p.b) <= 0), 0) AS b FROM p{k} p, train t GROUP BY p.w, p.b"""
+    ctes["fitted"] = f"SELECT trial, loss, w, b FROM w{steps} UNION ALL SELECT 3, 'perceptron', w, b FROM p{epochs}"
+    body = ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in ctes.items())
+    return f"WITH {body}\n{rows}"
+
+
+_f1 = lambda hit, y: f"coalesce(2.0 * count_if({hit} AND {y} = 1) / nullif(count_if({hit}) + count_if({y} = 1), 0), 0)"
+reg("m01_m04_grid_weights", _study_weights, _study_sql(
+    "SELECT trial, CAST(0 AS INTEGER) AS idx, round(w, 4) + 0.0 AS weight FROM fitted UNION ALL SELECT trial, 1, round(b, 4) + 0.0 FROM fitted"))
+reg("h05_study_constrained", _study_constrained, _study_sql(f"""
+, scored AS (SELECT f.trial, f.loss, d.split, d.y, d.sensitive, f.w * d.f + f.b > 0 AS hit, 1 / (1 + exp(-(f.w * d.f + f.b))) AS p FROM fitted f, data d WHERE d.split <> 'train'),
+val AS (SELECT trial, {_f1('hit', 'y')} AS val_f1 FROM scored WHERE split = 'val' GROUP BY trial),
+test AS (SELECT trial, {_f1('hit', 'y')} AS f1_score, avg((hit = (y = 1))::INT) AS accuracy FROM scored WHERE split = 'test' GROUP BY trial),
+cuts AS (SELECT trial, k, {_f1('p >= k / 20.0::DOUBLE', 'y')} AS f1 FROM scored, range(1, 20) r(k) WHERE split = 'val' AND loss = 'logistic' GROUP BY trial, k),
+tuned AS (SELECT c.trial, c.f1 AS best, c.k / 20.0::DOUBLE AS cut FROM (SELECT trial, arg_max({{'k': k, 'f1': f1}}, f1 * 1000 - k * 1e-9) AS b FROM cuts GROUP BY trial) x
+  JOIN cuts c ON c.trial = x.trial AND c.k = x.b.k JOIN val v ON v.trial = c.trial WHERE c.f1 > v.val_f1),
+after_ AS (SELECT s.trial, {_f1('p >= cut', 'y')} AS f1_score_thresholded FROM scored s JOIN tuned t ON t.trial = s.trial WHERE split = 'test' GROUP BY s.trial),
+gap AS (SELECT trial, max(rate) - min(rate) AS disparity FROM (SELECT trial, sensitive, avg(hit::INT) AS rate FROM scored WHERE split = 'test' GROUP BY 1, 2) GROUP BY trial)
+SELECT v.trial, m.model_type, 'COMPLETE' AS state, round(coalesce(t.best, v.val_f1), 6) AS value, CASE WHEN t.cut IS NOT NULL THEN round(v.val_f1, 6) END AS val_f1_unthresholded,
+       round(t.cut, 6) AS decision_threshold, round(e.f1_score, 6) AS f1_score, round(a.f1_score_thresholded, 6) AS f1_score_thresholded, round(e.accuracy, 6) AS accuracy,
+       round(g.disparity, 6) AS fairness_disparity, round(g.disparity - 0.05, 6) AS fairness_constraint, g.disparity <= 0.05 AS feasible, CAST(NULL AS INTEGER) AS batch_size, false AS pruned
+FROM val v JOIN test e USING (trial) JOIN gap g USING (trial) LEFT JOIN tuned t USING (trial) LEFT JOIN after_ a USING (trial)
+JOIN (VALUES (0, 'SVClinear'), (1, 'SVClinear'), (2, 'LogisticRegression'), (3, 'Perceptron')) m(trial, model_type) USING (trial)
+UNION ALL SELECT 4, 'NotAModel', 'FAIL', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false"""))
+reg("h05_study_search", _study_search)
+
 
 # ---------------------------------------------------------------- generator oracles (md5 draws reproduced in SQL)
 def _MU(*parts) -> str:
@@ -531,6 +630,8 @@ SELECT row_id, feature, round(avg(delta), 6) + 0.0 AS value FROM ({deltas}) GROU
 
 
 SQL["v02_permutation_shap"] = _v2_sql()
+SQL["v02_permutation_shap_classes"] = f"""SELECT row_id, CAST(c AS INTEGER) AS class_code, feature, round(v * (c + 1), 6) + 0.0 AS value
+FROM ({_v2_sql().replace('round(avg(delta), 6) + 0.0 AS value', 'avg(delta) AS v')}) CROSS JOIN range(3) r(c)"""
 
 
 def _m03_sql() -> str:

@@ -52,6 +52,27 @@ reg("p02_missing_counts_features", lambda s, d: PR.missing_counts(FEAT(s, d)),
 reg("p03_unique_counts_lineitem", lambda s, d: PR.unique_counts(table(s, d, "lineitem")),
     f'SELECT "column", n_unique FROM ({_profile_sql("lineitem", LI_COLS)})')
 
+def _sketches(s, d):
+    """Sketches stored per return flag, merged, held against exact counts."""
+    li = table(s, d, "lineitem")
+    merged = PR.merge_sketches(PR.sketch_profile(li, [c for c in li.columns if c != "l_returnflag"], ["l_returnflag"]))
+    got = PR.read_sketches(merged).collect()  # one row per column
+    exact = li.agg(*(F.countDistinct(F.col(r["column"])).alias(f"d{i}") for i, r in enumerate(got)),
+                   *(F.avg((F.col(r["column"]).cast("double") <= q).cast("double")).alias(f"q{i}_{k}") for i, r in enumerate(got) for k, q in enumerate(r["quantiles"] or [])),
+                   *(F.avg((F.col(r["column"]).cast("double") < q).cast("double")).alias(f"u{i}_{k}") for i, r in enumerate(got) for k, q in enumerate(r["quantiles"] or []))).first()
+    rows = []
+    for i, r in enumerate(got):
+        near = abs(r["distinct"] - exact[f"d{i}"]) <= 0.04 * exact[f"d{i}"]
+        ranks = [exact[f"u{i}_{k}"] - 0.015 <= p <= exact[f"q{i}_{k}"] + 0.015 for k, p in enumerate((0.25, 0.5, 0.75) if r["quantiles"] else ())]
+        rows.append((r["column"], r["n"], r["nulls"], exact[f"d{i}"], near, all(ranks) if ranks else None))
+    return s.createDataFrame(rows, "column string, n long, nulls long, n_unique long, distinct_within_4_percent boolean, ranks_within_2_percent boolean")
+
+
+_numbers = {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"}
+reg("p03_p04_stored_sketches", _sketches, "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_unique, true AS distinct_within_4_percent,
+       {'true' if c in _numbers else 'CAST(NULL AS BOOLEAN)'} AS ranks_within_2_percent FROM lineitem""" for c, *_ in LI_COLS if c != "l_returnflag"))
+
 _cand = "\nUNION ALL ".join(
     f"SELECT DISTINCT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM features WHERE {c} IS NOT NULL"
     for c, _ in FEAT_COLS)

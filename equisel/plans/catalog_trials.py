@@ -86,6 +86,13 @@ reg("a08_repair_best_value", lambda s, d: A.repair_best_value(V.runs(s, d), TR(s
 
 _LONG = f"""SELECT study, trial, {_VALUE} AS value, param, choice FROM trials
   UNPIVOT (choice FOR param IN (model_type, "C", learning_rate, n_layers)) WHERE {_FIN}"""
+def _forest(s, d):
+    log = TR(s, d)
+    best = A.scan_trials(log).where("value IS NOT NULL").groupBy("study").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "study").first()
+    return A.forest_importance(log, best["study"])  # the study with the most finished trials
+
+
+reg("a09_forest_importance", _forest)
 reg("a09_param_importance", lambda s, d: A.param_importance(TR(s, d)),
     with_views("""
 SELECT study, param, round(eta2, 6) AS eta2, round(CASE WHEN sum(eta2) OVER (PARTITION BY study) = 0 THEN 0.0

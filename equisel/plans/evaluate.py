@@ -74,8 +74,8 @@ def evaluate_trials(data: DataFrame, feats: Sequence[str], configs: Sequence[dic
     """H5: returns ``(trial_log, predictions)``. ``configs`` are dicts with
     ``model_type`` (SVClinear, SVC, Perceptron, MLPClassifier,
     LogisticRegression) and its params. The value is the validation F1 (macro
-    when K > 2); for binary trials it is the F1 after the threshold tuning of
-    H6, and ``untuned_value`` the one before. With ``sensitive`` the log also
+    when K > 2); for binary trials of models that give probabilities it is the F1
+    after the threshold tuning of H6, and ``untuned_value`` the one before. With ``sensitive`` the log also
     has the validation ``disparity`` of each trial."""
     binary = spec.kind == "binary"
     df = M.to_ml_label(M.assemble(data, feats), "y", binary=binary)
@@ -88,9 +88,10 @@ def evaluate_trials(data: DataFrame, feats: Sequence[str], configs: Sequence[dic
         try:
             mt = cfg["model_type"]
             p = fit_config(cfg, train, feats, spec)(df.where(F.col("split").isin(val_name, "test")))
-            keep = ["row_id", "split", "y", "y_pred"] + (["score"] if "score" in p.columns else []) + \
-                   ([sensitive] if sensitive else [])
-            preds.append(p.select(*keep).withColumn("trial", F.lit(i)))
+            # a cut is tuned on probabilities only: margins have no 0.05 … 0.95 scale
+            score = F.col("score") if "proba" in p.columns else F.lit(None).cast("double")
+            keep = ["row_id", "split", "y", "y_pred"] + ([sensitive] if sensitive else [])
+            preds.append(p.withColumn("score", score if binary else F.lit(None).cast("double")).select(*keep, "score").withColumn("trial", F.lit(i)))
             log.append((i, mt, "COMPLETE", None, time.time() - t0))
         except Exception as e:  # a failing trial is recorded and the study goes on
             last_err = f"{type(e).__name__}: {e}"
@@ -109,8 +110,8 @@ def evaluate_trials(data: DataFrame, feats: Sequence[str], configs: Sequence[dic
     tf = Q.precision_recall_f1(te, ["trial"], avg).select("trial", F.col("f1").alias("test_f1"))
     ta = Q.accuracy(te, ["trial"]).withColumnRenamed("accuracy", "test_accuracy")
     out = logdf.join(vf, "trial", "left").join(tf, "trial", "left").join(ta, "trial", "left")
-    if binary and "score" in allp.columns:
-        th = H.tune_threshold(v, ["trial"]).select("trial", "best_threshold", "adopted", "best_f1")
+    if binary:
+        th = H.tune_threshold(v.where("score IS NOT NULL"), ["trial"]).select("trial", "best_threshold", "adopted", "best_f1")
         out = out.join(th, "trial", "left").withColumn("untuned_value", F.col("value")).withColumn(
             "value", F.when(F.col("adopted"), F.col("best_f1")).otherwise(F.col("value"))).drop("best_f1")
         # test F1 with the tuned cut applied (only where it was adopted); ≤ trials rows, broadcast
