@@ -47,50 +47,59 @@ def linear_shap(df: DataFrame, x: str, key: str, weights: Sequence[float], bias:
 
 
 def permutation_shap(df: DataFrame, x: str, key: str, model: Callable[[F.Column], F.Column], background: DataFrame,
-                     n_perm: int = 4, seed: int = 0, names: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                     n_perm: int = 4, seed: int = 0, names: Sequence[str] | None = None, n_outputs: int = 1) -> tuple[DataFrame, DataFrame]:
     """V2: model-agnostic permutation SHAP. For each row, permutation p
     (feature order by hash(row, p, feature)) and background row b, the
     coalition of the first k features takes the row's values and the rest
     the background's; the marginal change of ``model`` when feature π_k
     joins is averaged over permutations and background rows. ``model``
     maps an array<double> Column to the model output Column (stays in the
-    JVM). Background rows are attached by a broadcast of a bounded table."""
+    JVM): one number, or an array of ``n_outputs`` numbers, one per class, which
+    are explained together. Values of a row and class add up to the output less
+    the class's base value. Everything happens inside the row; nothing is
+    shuffled. Background rows are attached by a broadcast of a bounded table."""
     d = len(df.select(x).first()[0])
     names = list(names) if names else [f"feature_{i}" for i in range(d)]
     bg_rows = background.select(x).limit(1001).collect()
     if len(bg_rows) > 1000:
         raise ValueError("background set must have at most 1000 rows")
     spark = df.sparkSession
+    outputs = model if n_outputs > 1 else lambda v: F.array(model(v))
     bg = spark.createDataFrame([(i, [float(v) for v in r[0]]) for i, r in enumerate(bg_rows)], "__bi int, __b array<double>")
-    perms = df.select(key, x).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    # rank of each feature in permutation p: order by hash(row, p, feature)
-    hs = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                     lambda i: F.struct(hash32(F.concat_ws(":", F.col(key).cast("string"), F.col("__p").cast("string"),
-                                                           i.cast("string")), seed).alias("h"), i.alias("i")))
-    perms = perms.withColumn("__order", F.transform(F.array_sort(hs), lambda s: s["i"]))
-    rank = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position(F.col("__order"), i))
     one = bg.agg(F.transform(F.array_sort(F.collect_list(F.struct("__bi", "__b"))), lambda r: r["__b"]).alias("__bg"))
-    j = perms.withColumn("__rank", rank).crossJoin(F.broadcast(one))  # one row of bounded background
+    upto = lambda n: F.sequence(F.lit(0), F.lit(n))
 
-    def mixed(k, b):
+    def order(p):
+        """The features of permutation p: by hash(row, p, feature)."""
+        hashed = F.transform(upto(d - 1), lambda i: F.struct(
+            hash32(F.concat_ws(":", F.col(key).cast("string"), p.cast("string"), i.cast("string")), seed).alias("h"), i.alias("i")))
+        return F.transform(F.array_sort(hashed), lambda s: s["i"])
+
+    j = df.select(key, x).withColumn("__orders", F.transform(upto(n_perm - 1), order)).crossJoin(F.broadcast(one))  # one row of bounded background
+    ranks = F.transform("__orders", lambda o: F.transform(upto(d - 1), lambda i: F.array_position(o, i).cast("int")))
+    j = j.withColumn("__ranks", ranks)
+
+    def mixed(rank, k, b):
         """The row's values for the first k features of the order, else b's."""
-        return F.transform(F.arrays_zip(F.col(x).alias("v"), F.col("__rank").alias("r"), b.alias("b")),
-                           lambda z: F.when(z["r"] <= k, z["v"]).otherwise(z["b"]))
-
-    # model values along the order for each background row, then their differences, all inside the row
-    path = F.transform(F.col("__bg"), lambda b: F.transform(F.sequence(F.lit(0), F.lit(d)), lambda k: model(mixed(k, b))))
-    j = j.withColumn("__path", path)
-    change = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda k: F.struct(
-        F.element_at(F.col("__order"), k).alias("__feat"),
-        (F.aggregate(F.col("__path"), F.lit(0.0), lambda acc, f: acc + (F.element_at(f, k + 1) - F.element_at(f, k))) / F.size("__path")).alias("__delta")))
-    agg = j.select(key, F.inline(change)).groupBy(key, "__feat").agg(F.avg("__delta").alias("value"))
+        return F.transform(F.arrays_zip(F.col(x).alias("v"), rank.alias("r"), b.alias("b")), lambda z: F.when(z["r"] <= k, z["v"]).otherwise(z["b"]))
+
+    # model outputs along each order for each background row
+    paths = F.transform("__ranks", lambda r: F.transform(F.col("__bg"), lambda b: F.transform(upto(d), lambda k: outputs(mixed(r, k, b)))))
+    j = j.withColumn("__paths", F.transform(F.arrays_zip(F.col("__ranks").alias("r"), paths.alias("path")), lambda z: z))
+
+    def value(f, c):
+        """Mean change of output c when feature f joins."""
+        def change(z):
+            at = F.element_at(z["r"], f + 1)
+            return F.aggregate(z["path"], F.lit(0.0), lambda acc, q: acc + (F.element_at(F.element_at(q, at + 1), c + 1) - F.element_at(F.element_at(q, at), c + 1)))
+        return F.aggregate("__paths", F.lit(0.0), lambda acc, z: acc + change(z) / F.size("__bg")) / F.lit(float(n_perm))
+
     nl = F.array(*[F.lit(n) for n in names])
-    vals = indexed_explode(df.select(key, x), x, "__feat", "feature_value")
-    sh = agg.join(vals, [key, "__feat"]).select(F.col(key).alias("row_id"), F.lit(0).alias("class_code"),
-                                                F.element_at(nl, F.col("__feat") + 1).alias("feature"), "value",
-                                                "feature_value")
-    base = bg.agg(F.avg(model(F.col("__b"))).alias("base_value")).select(F.lit(0).alias("class_code"), "base_value")
-    return sh, base
+    each = F.flatten(F.transform(upto(n_outputs - 1), lambda c: F.transform(upto(d - 1), lambda f: F.struct(
+        c.alias("class_code"), F.element_at(nl, f + 1).alias("feature"), value(f, c).alias("value"), F.element_at(F.col(x), f + 1).alias("feature_value")))))
+    sh = j.select(F.col(key).alias("row_id"), F.inline(each))
+    per = bg.select(F.inline(F.transform(F.arrays_zip(upto(n_outputs - 1).alias("class_code"), outputs(F.col("__b")).alias("o")), lambda z: z)))
+    return sh, per.groupBy("class_code").agg(F.avg("o").alias("base_value"))
 
 
 def class_slice(shap: DataFrame, n_classes: int, requested: int | None = None) -> DataFrame:
@@ -181,7 +190,7 @@ def heatmap(shap: DataFrame, n_rows: int = 50, top: int = 10, class_code: int =
 
 def violin_summary(shap: DataFrame, bins: int = 20, class_code: int = 0) -> DataFrame:
     """Per feature quartiles (exact) and a ``bins``-bucket histogram of values."""
-    from equisel.operators.profile import exact_quantiles
+    from equisel.operators.profile import long_quantiles
 
     s = shap.where(F.col("class_code") == class_code)
     st = s.groupBy("feature").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
@@ -189,8 +198,8 @@ def violin_summary(shap: DataFrame, bins: int = 20, class_code: int = 0) -> Data
     b = F.when(F.col("mx") > F.col("mn"),
                F.least(F.floor((F.col("value") - F.col("mn")) / (F.col("mx") - F.col("mn")) * bins), F.lit(bins - 1))).otherwise(0)
     hist = j.groupBy("feature", b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    wide = s.groupBy("row_id").pivot("feature").agg(F.first("value"))
-    q = exact_quantiles(wide.drop("row_id"), [0.25, 0.5, 0.75]).select(F.col("column").alias("feature"), "prob", "value")
+    q = long_quantiles(s.select(F.col("feature").alias("column"), F.col("value").cast("double").alias("value")), [0.25, 0.5, 0.75])
+    q = q.select(F.col("column").alias("feature"), "prob", "value")
     return hist, q
 
 
@@ -198,18 +207,21 @@ def evidence_bundle(sections: dict) -> DataFrame:
     """One JSON document from bounded section tables: each section is
     collected into a sorted array of structs by an aggregate and the sections
     are combined into one row; an empty section becomes an empty list. A
-    section is a table, or a function that makes one: if that fails, the
-    section is null and ``warnings`` has its name and error, and the others
-    stay. Only bounded tables (metric rows, confusion cells, feature summaries,
+    section is a table, or a function that makes one: if that fails, while it
+    is planned or while it runs, the section is null and ``warnings`` has its
+    name and error, and the others stay; so every section is run and written on
+    its own. Only bounded tables (metric rows, confusion cells, feature summaries,
     downsampled curves, audit rows) belong here."""
+    from equisel.session import materialise
+
     warnings, made = [], {}
     for name, section in sections.items():
         try:
             df = section() if callable(section) else section
             # sorted rows: the same inputs always give the same document
-            made[name] = df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
-        except Exception as e:
-            warnings.append((name, f"{type(e).__name__}: {e}"))
+            made[name] = materialise(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name)))
+        except Exception as e:  # whatever a section does, the others are delivered
+            warnings.append((name, f"{type(e).__name__}: {str(e).strip().splitlines()[0]}"))
     if not made:
         raise ValueError(f"no section could be made: {warnings}")
     one = None

@@ -145,6 +145,48 @@ def param_importance(log: DataFrame, params: Sequence[str] = PARAMS) -> DataFram
     return e.select("study", "param", r6("eta2").alias("eta2"), r6(safe_div(F.col("eta2"), norm)).alias("importance"))
 
 
+def forest_importance(log: DataFrame, study, params: Sequence[str] = PARAMS, n_trees: int = 64, depth: int = 8, seed: int = 0) -> DataFrame:
+    """A9 (forest variant): importance of each param for a study's objective by
+    a regression forest over the choices, one 0 / 1 feature per (param, choice)
+    and the impurity decreases added up per param. Columns: param, importance
+    (sum 1, or 0 where no split helps), best_choice (highest mean value).
+
+    Rows are COMPLETE trials with a value; a param that a trial lacks sets no
+    feature. Needs ≥ 2 trials and ≥ 2 params, as the exact variant; else no rows.
+    The features are as many as there are choices: at most ``MAX_CHOICES``."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import RandomForestRegressor
+
+    spark = log.sparkSession
+    done = scan_trials(log.where(F.col("study") == study)).where(F.col("value").isNotNull()).select("study", "trial", F.col("value").alias("label"))
+    long = param_slices(log.where(F.col("study") == study), params).where(F.col("value").isNotNull())
+    means = long.groupBy("param", "choice").agg(F.avg("value").alias("m")).orderBy("param", "choice").limit(MAX_CHOICES + 1).collect()
+    if len(means) > MAX_CHOICES:
+        raise ValueError(f"more than {MAX_CHOICES} choices in study {study!r}")
+    known = sorted({r["param"] for r in means})
+    out = "param string, importance double, best_choice string"
+    if len(known) < 2 or done.limit(2).count() < 2:
+        return spark.createDataFrame([], out)
+    place = F.create_map(*[x for i, r in enumerate(means) for x in (F.lit(_cell(r["param"], r["choice"])), F.lit(i))])
+    cell = F.concat(F.length("param").cast("string"), F.lit(":"), F.col("param"), F.coalesce(F.concat(F.lit("="), F.col("choice")), F.lit("")))
+    on = long.select("trial", F.element_at(place, cell).alias("i")).groupBy("trial").agg(F.collect_set("i").alias("on"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(len(means) - 1)), lambda i: F.array_contains(F.coalesce("on", F.array().cast("array<int>")), i).cast("double"))
+    rows = done.join(on, "trial", "left").orderBy("trial").select("label", array_to_vector(bits).alias("features"))
+    forest = RandomForestRegressor(numTrees=n_trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
+    weight = forest.featureImportances.toArray()
+    total = {p: sum(float(w) for w, r in zip(weight, means, strict=True) if r["param"] == p) for p in known}
+    best = {p: max((r for r in means if r["param"] == p), key=lambda r: (r["m"], str(r["choice"])))["choice"] for p in known}
+    return spark.createDataFrame([(p, total[p], best[p]) for p in known], out)
+
+
+#: Most (param, choice) pairs that a forest takes as features.
+MAX_CHOICES = 1000
+
+
+def _cell(param: str, choice: str | None) -> str:
+    return f"{len(param)}:{param}" + ("" if choice is None else f"={choice}")
+
+
 def timeline(log: DataFrame) -> DataFrame:
     """Start, end, duration (seconds) and state per trial."""
     dur = (F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1e6
