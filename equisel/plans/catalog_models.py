@@ -442,6 +442,80 @@ UNION ALL SELECT 4, 'NotAModel', 'FAIL', NULL, NULL, NULL, NULL, NULL, NULL, NUL
 reg("h05_study_search", _study_search)
 
 
+def _grid_scores(s, d):
+    """M1 / M4 / M7: predictions and probabilities of the test rows, all machines in one pass."""
+    from equisel.operators.many import Study
+
+    data = materialise(_study_data(s, d).withColumn("x", F.array("f")))
+    study = Study(data.where("split = 'train'"))
+    models, _ = study.fit(STUDY[:3])
+    out = study.score(data.where("split = 'test'"), models, ["row_id", "y"])
+    return out.select("row_id", "y", "trial", "y_pred", F.round("score", 4).alias("score"))
+
+
+reg("m01_m04_grid_scores", _grid_scores, _study_sql("""
+SELECT d.row_id, d.y, f.trial, CASE WHEN f.w * d.f + f.b > 0 THEN 1 ELSE -1 END AS y_pred,
+       CASE WHEN f.loss = 'logistic' THEN round(1 / (1 + exp(-(f.w * d.f + f.b))), 4) END AS score
+FROM fitted f, data d WHERE d.split = 'test' AND f.trial < 3"""))
+
+
+def _refit_machine(s, d):
+    """M9: the study's best trial is fitted again from its logged parameters and scores the test rows."""
+    from equisel.plans.study import best_of, refit, run_study
+
+    data = _study_data(s, d)
+    log, _, _ = run_study(data, ["f"], configs=STUDY)
+    best = best_of(log).first()
+    return refit(log, data, ["f"], best["trial"]).select("row_id", "y", "trial", "y_pred")
+
+
+reg("m09_refit_machine", _refit_machine, _study_sql(f"""
+, scored AS (SELECT f.trial, f.loss, d.y, f.w * d.f + f.b > 0 AS hit, 1 / (1 + exp(-(f.w * d.f + f.b))) AS p FROM fitted f, data d WHERE d.split = 'val'),
+val AS (SELECT trial, {_f1('hit', 'y')} AS f1 FROM scored GROUP BY trial UNION ALL
+  SELECT trial, {_f1('p >= k / 20.0::DOUBLE', 'y')} FROM scored, range(1, 20) r(k) WHERE loss = 'logistic' GROUP BY trial, k),
+best AS (SELECT trial FROM (SELECT trial, max(f1) AS f1 FROM val GROUP BY trial) ORDER BY round(f1, 6) DESC, trial LIMIT 1)
+SELECT d.row_id, d.y, b.trial, CASE WHEN f.w * d.f + f.b > 0 THEN 1 ELSE -1 END AS y_pred FROM data d, best b JOIN fitted f USING (trial) WHERE d.split = 'test'"""))
+
+
+def _one_vs_rest_machines(s, d):
+    """M6: one machine per class against the rest, each with its own convergence."""
+    from equisel.operators.many import Study
+
+    data = materialise(_study_data(s, d).withColumn("x", F.array("f")).withColumn("y", _three_classes()))
+    study = Study(data.where("split = 'train'"))
+    models, _ = study.fit([{"model_type": "SVClinear", "C": 0.1}])
+    ranks = study.score(data.where("split = 'test'"), models, ["y"]).groupBy("y", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    weights = s.createDataFrame([(u.target, round(float(u.w[0]), 4), round(float(u.w[1]), 4), u.converged) for u in models[0].units], "y int, w double, b double, converged boolean")
+    return ranks.join(F.broadcast(weights), "y")  # three classes
+
+
+def _three_classes():
+    noisy = F.col("f") + 2 * unit_hash("row_id", 23)
+    return F.when(noisy < 2, 0).when(noisy < 4.5, 1).otherwise(2)
+
+
+_three = f"CASE WHEN f + 2 * ({HS('row_id', 23)} / 4294967296.0::DOUBLE) < 2 THEN 0 WHEN f + 2 * ({HS('row_id', 23)} / 4294967296.0::DOUBLE) < 4.5 THEN 1 ELSE 2 END"
+
+
+def _one_vs_rest_sql(steps: int = 14) -> str:
+    ctes = {"data": _STUDY_TABLES["data"], "coded": f"SELECT split, f, CAST({_three} AS INTEGER) AS code FROM data",
+            "w0": "SELECT CAST(k AS INTEGER) AS trial, 'hinge' AS loss, 0.1 AS c, 0 AS balanced, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM range(3) r(k)"}
+    for k in range(steps):  # the rows of every machine carry its own signs
+        ctes[f"w{k + 1}"] = _newton_sql(k).replace(f"FROM w{k} u, train t)", f"FROM w{k} u JOIN signed t ON t.machine = u.trial)")
+    ctes = {**{n: q for n, q in ctes.items() if n in ("data", "coded")},
+            "signed": "SELECT CAST(k AS INTEGER) AS machine, f, CASE WHEN code = k THEN 1 ELSE -1 END AS y, 1.0 AS balance FROM coded, range(3) r(k) WHERE split = 'train'",
+            **{n: q for n, q in ctes.items() if n not in ("data", "coded")}}
+    body = ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in ctes.items())
+    return f"""WITH {body}
+SELECT s.y, s.y_pred, s.n, round(m.w, 4) AS w, round(m.b, 4) AS b, true AS converged
+FROM (SELECT y, y_pred, count(*) AS n FROM (
+        SELECT code AS y, (SELECT arg_max(trial, w * d.f + b) FROM w{steps}) AS y_pred FROM coded d WHERE split = 'test') GROUP BY 1, 2) s
+JOIN w{steps} m ON m.trial = s.y"""
+
+
+reg("m06_one_vs_rest_machines", _one_vs_rest_machines, _one_vs_rest_sql())
+
+
 # ---------------------------------------------------------------- generator oracles (md5 draws reproduced in SQL)
 def _MU(*parts) -> str:
     args = ", ".join(p if not isinstance(p, (int, float)) else str(p) for p in parts)

@@ -228,3 +228,18 @@ def best_of(log: DataFrame, mode: str = "off") -> DataFrame:
     order = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(rank)))
     rest = [c for c in done.columns if c != "study"]
     return done.groupBy("study").agg(F.max_by(F.struct(*rest), order).alias("b")).select("study", "b.*")
+
+
+def refit(log: DataFrame, data: DataFrame, feats: Sequence[str], trial: int | None = None, max_steps: int = 60, key: str = "row_id") -> DataFrame:
+    """M9: fit a trial's logged parameters again (default: the best trial) and
+    score the test rows: the key, split, y, trial, y_pred and score."""
+    row = (best_of(log) if trial is None else log.where(F.col("trial") == trial)).select("trial", "params").first()
+    if row is None:
+        raise ValueError("no completed trial" if trial is None else f"Trial {trial} not found")
+    cfg = {k: v if k == "model_type" else json.loads(v) for k, v in row["params"].items()}
+    df = materialise(data.select(key, "split", "y", F.array(*(F.col(f"`{c}`").cast("double") for c in feats)).alias("x")))
+    study = Study(df.where(F.col("split") == "train"), key)
+    models, _ = study.fit([cfg], max_steps, row["trial"])
+    if models[0].state != "COMPLETE":
+        raise ValueError(models[0].error)
+    return study.score(df.where(F.col("split") == "test"), models, [key, "split", "y"])
