@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .store import files_for, tasks, tidy, written
+from .store import files_for, free_name, tasks, tidy, written
 
 K = 35
 M = 8
@@ -119,12 +119,18 @@ def _lengths(column) -> list:
     return np.where(valid, np.diff(offs), 0).tolist()
 
 
+#: Windows that a task holds before it counts the buckets that are complete.
+HELD_WINDOWS = 1_000_000
+
+
 def _count(k: int) -> Callable:
-    """Sort the windows of a partition's strings. Rows out: a repeated range
+    """Sort the windows of each bucket's strings; the rows come sorted by bucket,
+    so what is held does not grow with the partition. Rows out: a repeated range
     (``wh`` null) or, from a salted bucket, one row of each distinct window (``wh`` set)."""
 
     def run(batches):
         parts: list[tuple] = []
+        held = 0
         for batch in batches:
             mz, salt, rk, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mz", "salt", "rk", "at"))
             for i, j, raw, offs in W.blocks(batch.column("packed").cast(pa.string())):
@@ -133,30 +139,42 @@ def _count(k: int) -> Callable:
                 n = len(wh)
                 keep = np.flatnonzero(w.doc[:n] == w.doc[k - 1 :])
                 row = w.doc[keep]
-                parts.append((wh[keep].view(np.int64), mz[i + row], rk[i + row], at[i + row] + keep - w.first[row], salt[i + row] >= 0))
-        if not parts:
-            return
-        wh, mz, rk, pos, salted = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        order = np.lexsort((mz, wh))
-        same = (wh[order][1:] == wh[order][:-1]) & (mz[order][1:] == mz[order][:-1])
-        twice = np.zeros(len(order), dtype=bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        repeated = np.zeros(len(order), dtype=bool)
-        repeated[order] = twice
-        # one row of every distinct window of a salted bucket meets the other salts
-        lead = np.zeros(len(order), dtype=bool)
-        lead[order[np.concatenate([[True], ~same])]] = True
-        alone = salted & lead
-        yield from _ranges(rk[repeated], pos[repeated], k)
-        for s in range(0, int(alone.sum()), 50_000):
-            pick = np.flatnonzero(alone)[s : s + 50_000]
-            yield _out(rk[pick], pos[pick], pos[pick] + k, wh[pick], mz[pick])
+                parts.append((wh[keep].view(np.int64), mz[i + row], rk[i + row], at[i + row] + keep - w.first[row], salt[i + row]))
+                held += len(keep)
+                if held >= HELD_WINDOWS:
+                    wh, mzs, rks, pos, salts = (np.concatenate(x) for x in zip(*parts))
+                    before = np.flatnonzero((mzs != mzs[-1]) | (salts != salts[-1]))  # all but the last bucket
+                    cut = int(before[-1]) + 1 if len(before) else 0
+                    yield from _counted(wh[:cut], mzs[:cut], rks[:cut], pos[:cut], salts[:cut] >= 0, k)
+                    parts = [tuple(x[cut:].copy() for x in (wh, mzs, rks, pos, salts))]
+                    held = len(wh) - cut
+        if parts:
+            wh, mzs, rks, pos, salts = (np.concatenate(x) for x in zip(*parts))
+            yield from _counted(wh, mzs, rks, pos, salts >= 0, k)
 
     return run
 
 
+def _counted(wh, mz, rk, pos, salted, k: int) -> Iterator[pa.RecordBatch]:
+    if not len(wh):
+        return
+    order = np.lexsort((mz, wh))
+    same = (wh[order][1:] == wh[order][:-1]) & (mz[order][1:] == mz[order][:-1])
+    twice = np.zeros(len(order), dtype=bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    repeated = np.zeros(len(order), dtype=bool)
+    repeated[order] = twice
+    # one row of every distinct window of a salted bucket meets the other salts
+    lead = np.zeros(len(order), dtype=bool)
+    lead[order[np.concatenate([[True], ~same])]] = True
+    alone = salted & lead
+    yield from _ranges(rk[repeated], pos[repeated], k)
+    for s in range(0, int(alone.sum()), 50_000):
+        pick = np.flatnonzero(alone)[s : s + 50_000]
+        yield _out(rk[pick], pos[pick], pos[pick] + k, wh[pick], mz[pick])
+
+
 def _out(rk, a, b, wh=None, mz=None) -> pa.RecordBatch:
     none = pa.nulls(len(rk), pa.int64())
     return pa.RecordBatch.from_arrays(
@@ -188,7 +206,7 @@ def repeated_ranges(keyed: DataFrame, k: int = K, m: int = M, hot: int = HOT) ->
     hits = (pieces.join(often, "mz").groupBy("rk").agg(F.collect_set(F.struct("mz", "salts")).alias("hits")))
     packed = keyed.select("rk", "text").join(hits, "rk").mapInArrow(
         _pack(k, m), "mz long, salt long, rk long, at long, packed binary")
-    counted = packed.repartition(n, "mz", "salt").mapInArrow(tidy(_count(k)), "rk long, lo long, hi long, wh long, mz long")
+    counted = packed.repartition(n, "mz", "salt").sortWithinPartitions("mz", "salt").mapInArrow(tidy(_count(k)), "rk long, lo long, hi long, wh long, mz long")
     counted = written(counted, "windows", files)
     sure = counted.where("wh IS NULL").select("rk", "lo", "hi")
     across = (counted.where("wh IS NOT NULL").groupBy("mz", "wh").agg(F.collect_list(F.struct("rk", "lo", "hi")).alias("at"))
@@ -220,18 +238,11 @@ def _joined(docs: DataFrame, text_col: str, id_col: str, k: int, m: int, hot: in
     the same."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     keyed = docs.select(key.alias("rk"), F.col(text_col).alias("text"))
-    rk, ranges = (_free(docs.columns, c) for c in ("_rk", "_ranges"))
+    rk, ranges = (free_name(docs.columns, c) for c in ("_rk", "_ranges"))
     found = repeated_ranges(keyed, k, m, hot).select(F.col("rk").alias(rk), F.col("ranges").alias(ranges))
     return docs.withColumn(rk, key).join(found, rk, "left").select(*(F.col(f"`{c}`") for c in docs.columns), ranges)
 
 
-def _free(taken: list[str], name: str) -> str:
-    """A column name that is not taken."""
-    while name.lower() in {c.lower() for c in taken}:
-        name = "_" + name
-    return name
-
-
 def passages(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the kept words
     joined by one space)."""
