@@ -295,6 +295,21 @@ def _mitigation(s, d):
 reg("b11_mitigation_comparison", _mitigation)
 
 
+def _group_cuts(s, d):
+    """B11 with one plain cut per group (no draw), so that SQL can say what changes."""
+    p = P(s, d)
+    groups = sorted(r[0] for r in p.select("sensitive").distinct().limit(21).collect())
+    cuts = s.createDataFrame([(g, 0.45 if len(g) % 2 == 0 else 0.55, float("inf"), 1.0, 0.0, 0.0) for g in groups], B.THRESHOLDS)
+    return B.mitigation_comparison(p, B.apply_group_thresholds(p, cuts)).select("measure", "before", "after")
+
+
+_now, _then = (_disp_sql(t, "sensitive", []) for t in ("predictions", "decided"))
+reg("b11_group_cuts_comparison", _group_cuts, with_views(f"""
+SELECT measure, b.before, a.after FROM (SELECT measure, before FROM ({_now}) UNPIVOT (before FOR measure IN ({', '.join(_DN)}))) b
+JOIN (SELECT measure, after FROM ({_then}) UNPIVOT (after FOR measure IN ({', '.join(_DN)}))) a USING (measure)""", "predictions", extra={
+    "decided": "SELECT * REPLACE (CASE WHEN score >= CASE WHEN length(sensitive) % 2 = 0 THEN 0.45 ELSE 0.55 END THEN 1 ELSE -1 END AS y_pred) FROM predictions"}))
+
+
 def _mitigated_rates(s, d):
     """Expected rates per group on the fit data: equal for all groups."""
     p = P(s, d)

@@ -335,6 +335,21 @@ def _bundle(s, d):
 reg("v11_evidence_bundle", _bundle)
 
 
+def _bundle_shape(s, d):
+    """Rows of every section of the bundle; warnings there must be none."""
+    names = ["metrics", "confusion", "curves", "importance", "shap", "shap_base", "fairness", "trials", "warnings"]
+    rows = F.array(*(F.struct(F.lit(n).alias("section"), F.json_array_length(F.get_json_object("bundle", f"$.{n}")).cast("long").alias("n_rows")) for n in names))
+    return _bundle(s, d).select(F.inline(rows))
+
+
+reg("v11_bundle_shape", _bundle_shape, with_views("""
+SELECT unnest(['metrics', 'confusion', 'curves', 'importance', 'shap', 'shap_base', 'fairness', 'trials', 'warnings']) AS section,
+       unnest([9, labels * labels, least(50, scores + 1), 3, 9, 1, (groups + 1) * 8 + 5, listed, 0]) AS n_rows
+FROM (SELECT count(DISTINCT label) AS labels FROM (SELECT y_true AS label FROM predictions UNION SELECT y_pred FROM predictions)),
+     (SELECT count(DISTINCT score) AS scores, count(DISTINCT sensitive) AS groups FROM predictions),
+     (SELECT CAST(sum(least(3, n)) AS BIGINT) AS listed FROM (SELECT count(*) AS n FROM trials GROUP BY study))""", "predictions", "trials"))
+
+
 def _evaluate(s, d):
     from equisel.plans.evaluate import evaluate_trials, prepare
     from equisel.sources.views import features

@@ -10,6 +10,7 @@ from equisel.operators import profile as PR
 from equisel.operators import split as X
 from equisel.operators import target as T
 from equisel.sources import views as V
+from equisel.functions.exprs import hash32
 from equisel.sources.sql_views import H, with_views
 from equisel.sources.tables import table
 
@@ -229,6 +230,22 @@ def _pca(s, d):
 
 reg("e13_pca_project", _pca)
 
+
+def _pca_two(s, d):
+    """Two standardised columns: the components are their sum and difference."""
+    v = V.vectors(s, d).select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(2)])
+    v = v.withColumn("split", F.when(hash32("vec_id", 5) % 4 < 3, "train").otherwise("test"))
+    out = E.pca_project(v, ["e0", "e1"], 2)
+    return out.select("vec_id", "split", *(F.round(F.abs(F.col("pca")[i]), 6).alias(f"c{i + 1}") for i in range(2)))
+
+
+reg("e13_pca_two_columns", _pca_two, with_views(f"""
+SELECT vec_id, split, round(abs(z0 + sign(r) * z1) / sqrt(2.0), 6) AS c1, round(abs(z0 - sign(r) * z1) / sqrt(2.0), 6) AS c2
+FROM (SELECT vec_id, split, r, (e0 - m0) / s0 AS z0, (e1 - m1) / s1 AS z1
+      FROM p CROSS JOIN (SELECT avg(e0) AS m0, avg(e1) AS m1, stddev_pop(e0) AS s0, stddev_pop(e1) AS s1, corr(e0, e1) AS r FROM p WHERE split = 'train'))""",
+    extra={"p": f"""SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
+       CASE WHEN {H('vec_id', 5)} % 4 < 3 THEN 'train' ELSE 'test' END AS split FROM embeddings"""}))
+
 # ---------------------------------------------------------------- targets
 reg("t01_task_spec", lambda s, d: T.task_spec_frame(V.split_input(s, d), "y"),
     with_views("""SELECT CASE WHEN count(DISTINCT y) = 2 THEN 'binary' ELSE 'multiclass' END AS kind,
