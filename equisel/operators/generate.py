@@ -49,27 +49,61 @@ def _zscore_array(df: DataFrame, x: str, d: int) -> DataFrame:
                                         F.element_at(_lit_vec(sd), i + 1)))
 
 
+#: Least share of draws that must lie outside the margin.
+MIN_SHARE = 1e-5
+
+
+def share_outside(d: int, margin: float) -> float:
+    """P(|Σx| > margin) for x uniform in [−1, 1]^d (Irwin–Hall)."""
+    def below(t):
+        return sum((-1) ** k * math.comb(d, k) * (t - k) ** d for k in range(math.floor(t) + 1)) / math.factorial(d) if t > 0 else 0.0
+    return 2 * below((d - margin) / 2)
+
+
 def gen_linearly_separable(keys: DataFrame, key: str, d: int, margin: float, seed: int = 0, attempts: int = 8,
                            n: int | None = None) -> DataFrame:
     """G1: x uniform in [−1, 1]^d outside |Σx| ≤ margin, label −1 if Σx > 0
-    else +1; optionally the first ``n`` by key. Each key draws ``attempts``
-    vectors and keeps the first that passes; where none does, the first draw is
-    moved: its coordinates are pushed towards the sign of their sum, each by the
-    same share of its way to ±1, until the sum is halfway between margin and d."""
+    else +1; optionally the first ``n`` by key. Each key keeps its first draw that
+    passes: ``attempts`` draws in the first round, and twice as many in every
+    further round for the keys that are left, until none is. A margin that fewer
+    than ``MIN_SHARE`` of all vectors pass is an error."""
     if margin >= d:
         raise ValueError(f"no vector of [-1, 1]^{d} lies outside a margin of {margin}")
-    def cand(a):
+    if margin >= max(0, d - 2):
+        return _corners(keys, key, d, margin, seed, n)
+    if share_outside(d, margin) < MIN_SHARE:
+        raise ValueError(f"less than {MIN_SHARE:g} of [-1, 1]^{d} lies outside a margin of {margin}")
+    from equisel.session import materialise
+
+    def total(x):
+        return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
+
+    def draw(a):
         return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: 2 * md5_uniform(F.col(key), seed, a, i) - 1)
-    tries = F.array(*[cand(a) for a in range(attempts)])
-    ok = F.filter(tries, lambda x: F.abs(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)) > margin)
-    first = F.element_at(tries, 1)
-    total = F.aggregate(first, F.lit(0.0), lambda acc, v: acc + v)
-    sign = F.when(total > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    share = (F.lit((margin + d) / 2) - F.abs(total)) / (F.lit(float(d)) - F.abs(total))
-    moved = F.transform(first, lambda v: v + (sign - v) * share)
-    out = keys.select(key, F.when(F.size(ok) > 0, F.get(ok, F.lit(0))).otherwise(moved).alias("x"))
-    s = F.aggregate(F.col("x"), F.lit(0.0), lambda acc, v: acc + v)
-    out = out.withColumn("y", F.when(s > 0, -1).otherwise(1))
+
+    out, left, start = None, keys.select(key), 0
+    while True:
+        tries = F.transform(F.sequence(F.lit(start), F.lit(start + attempts - 1)), draw)
+        tried = materialise(left.select(key, F.get(F.filter(tries, lambda x: F.abs(total(x)) > margin), F.lit(0)).alias("x")))
+        found = tried.where(F.col("x").isNotNull())
+        out = found if out is None else out.unionByName(found)
+        left = tried.where(F.col("x").isNull()).select(key)
+        if left.isEmpty():
+            break
+        start, attempts = start + attempts, 2 * attempts
+    out = out.withColumn("y", F.when(total(F.col("x")) > 0, -1).otherwise(1))
+    return out.orderBy(key).limit(n) if n else out
+
+
+def _corners(keys: DataFrame, key: str, d: int, margin: float, seed: int, n: int | None) -> DataFrame:
+    """Uniform outside a margin of at least d − 2: 1 − |x_i| along a random
+    corner's axes is uniform in the simplex of sum d − margin."""
+    spacing = F.transform(F.sequence(F.lit(0), F.lit(d)), lambda i: -F.ln(1 - md5_uniform(F.col(key), seed, "corner", i)))
+    side = F.when(md5_uniform(F.col(key), seed, "side") < 0.5, F.lit(1.0)).otherwise(F.lit(-1.0))
+    out = keys.select(key, spacing.alias("__e"), side.alias("__s"))
+    whole = F.aggregate("__e", F.lit(0.0), lambda acc, v: acc + v)
+    x = F.transform(F.slice("__e", 1, d), lambda v: F.col("__s") * (1 - v / whole * F.lit(float(d - margin))))
+    out = out.select(key, x.alias("x"), F.when(F.col("__s") > 0, -1).otherwise(1).alias("y"))
     return out.orderBy(key).limit(n) if n else out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from equisel.functions.exprs import hash32
 from equisel.functions.prefix import dense_position
 from equisel.operators import attribution as AT
+from equisel.operators import generate as G
 from equisel.operators import profile as P
 from equisel.operators import split as X
 from equisel.operators import trials as A
@@ -146,3 +147,19 @@ def test_a_section_that_fails_while_it_runs(spark):
     assert doc["good"] == [{"n": 1, "s": "a"}, {"n": 2, "s": "b"}] and doc["bad"] is None and doc["more"] == []
     said = {w["section"]: w["error"] for w in doc["warnings"]}
     assert set(said) == {"bad", "unplanned"} and "KeyError" in said["unplanned"] and "no " in said["bad"]
+
+
+def test_separable_vectors_are_uniform_outside_the_margin(spark):
+    """Further rounds and the corner draw against plain rejection."""
+    r = np.random.default_rng(5)
+    keys = spark.range(1500).withColumnRenamed("id", "k")
+    for d, margin, attempts in ((2, 1.9, 2), (3, 0.9, 1), (2, 1.0, 1), (4, 1.8, 1)):
+        got = np.array([x.x for x in G.gen_linearly_separable(keys, "k", d, margin, seed=2, attempts=attempts).collect()])
+        x = r.uniform(-1, 1, size=(400_000, d))
+        want = x[np.abs(x.sum(axis=1)) > margin]
+        assert len(got) == 1500 and (np.abs(got.sum(axis=1)) > margin).all() and abs(len(want) / 400_000 - G.share_outside(d, margin)) < 0.01
+        for stat in (lambda v: np.abs(v.sum(axis=1)), lambda v: v[:, 0] * np.sign(v.sum(axis=1)), lambda v: (v.sum(axis=1) > 0).astype(float)):
+            a, b = stat(got), stat(want)
+            assert abs(a.mean() - b.mean()) < 4 * b.std() * np.sqrt(1 / len(a) + 1 / len(b)) and abs(a.std() - b.std()) < 0.06
+    with pytest.raises(ValueError, match="lies outside"):
+        G.gen_linearly_separable(keys, "k", 30, 25.0)
