@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from equisel.functions.exprs import hash32, indexed_explode, r6
 from equisel.functions.prefix import dense_position
 from equisel.operators.split import even_downsample
+from equisel.session import tasks
 
 MAX_SHAP_ROWS = 200
 
@@ -56,8 +57,10 @@ def permutation_shap(df: DataFrame, x: str, key: str, model: Callable[[F.Column]
     maps an array<double> Column to the model output Column (stays in the
     JVM): one number, or an array of ``n_outputs`` numbers, one per class, which
     are explained together. Values of a row and class add up to the output less
-    the class's base value. Everything happens inside the row; nothing is
-    shuffled. Background rows are attached by a broadcast of a bounded table."""
+    the class's base value. A step's output is added up over the
+    background rows as it is made, so a row holds one number per order, step and
+    class. Rows are dealt evenly to the session's tasks; the rest happens inside
+    the row. Background rows are attached by a broadcast of a bounded table."""
     d = len(df.select(x).first()[0])
     names = list(names) if names else [f"feature_{i}" for i in range(d)]
     bg_rows = background.select(x).limit(1001).collect()
@@ -75,23 +78,37 @@ def permutation_shap(df: DataFrame, x: str, key: str, model: Callable[[F.Column]
             hash32(F.concat_ws(":", F.col(key).cast("string"), p.cast("string"), i.cast("string")), seed).alias("h"), i.alias("i")))
         return F.transform(F.array_sort(hashed), lambda s: s["i"])
 
-    j = df.select(key, x).withColumn("__orders", F.transform(upto(n_perm - 1), order)).crossJoin(F.broadcast(one))  # one row of bounded background
+    # the work per row is large and the rows are small: dealt to tasks by number, not by the files they lie in
+    j = df.select(key, x).repartition(tasks(spark)).withColumn("__orders", F.transform(upto(n_perm - 1), order)).crossJoin(F.broadcast(one))  # one row of bounded background
     ranks = F.transform("__orders", lambda o: F.transform(upto(d - 1), lambda i: F.array_position(o, i).cast("int")))
     j = j.withColumn("__ranks", ranks)
 
     def mixed(rank, k, b):
         """The row's values for the first k features of the order, else b's."""
-        return F.transform(F.arrays_zip(F.col(x).alias("v"), rank.alias("r"), b.alias("b")), lambda z: F.when(z["r"] <= k, z["v"]).otherwise(z["b"]))
+        return F.array(*[F.when(F.element_at(rank, i + 1) <= k, F.element_at(F.col(x), i + 1)).otherwise(F.element_at(b, i + 1)) for i in range(d)])
 
-    # model outputs along each order for each background row
-    paths = F.transform("__ranks", lambda r: F.transform(F.col("__bg"), lambda b: F.transform(upto(d), lambda k: outputs(mixed(r, k, b)))))
-    j = j.withColumn("__paths", F.transform(F.arrays_zip(F.col("__ranks").alias("r"), paths.alias("path")), lambda z: z))
+    def total(inputs):
+        """Sum of the model's outputs over an array of its inputs."""
+        if n_outputs == 1:
+            return F.array(F.aggregate(inputs, F.lit(0.0), lambda acc, v: acc + model(v)))
+        return F.aggregate(inputs, F.array(*[F.lit(0.0)] * n_outputs), lambda acc, v: F.zip_with(acc, model(v), lambda p, q: p + q))
+
+    # the two ends of every order are the same: the background alone, once in all, and the row alone, once per row
+    j = j.crossJoin(F.broadcast(one.select(total(F.col("__bg")).alias("__first"))))
+    j = j.withColumn("__last", F.transform(total(F.array(x)), lambda o: o * F.size("__bg")))
+
+    def path(rank):
+        between = F.transform(F.sequence(F.lit(1), F.lit(d - 1)), lambda k: total(F.transform("__bg", lambda b: mixed(rank, k, b))))
+        return F.concat(F.array("__first"), *([between] if d > 1 else []), F.array("__last"))
+
+    within = F.transform("__ranks", path)
+    j = j.withColumn("__paths", F.arrays_zip(F.col("__ranks").alias("r"), within.alias("path")))
 
     def value(f, c):
         """Mean change of output c when feature f joins."""
         def change(z):
             at = F.element_at(z["r"], f + 1)
-            return F.aggregate(z["path"], F.lit(0.0), lambda acc, q: acc + (F.element_at(F.element_at(q, at + 1), c + 1) - F.element_at(F.element_at(q, at), c + 1)))
+            return F.element_at(F.element_at(z["path"], at + 1), c + 1) - F.element_at(F.element_at(z["path"], at), c + 1)
         return F.aggregate("__paths", F.lit(0.0), lambda acc, z: acc + change(z) / F.size("__bg")) / F.lit(float(n_perm))
 
     nl = F.array(*[F.lit(n) for n in names])

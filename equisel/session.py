@@ -63,6 +63,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for an explicit shuffle: the session's own setting, and two
+    for each core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 

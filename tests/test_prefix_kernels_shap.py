@@ -100,3 +100,19 @@ def test_running_totals_keep_null_order_rows(spark):
         want = df.withColumn("w", F.sum("v").over(Window.partitionBy("g").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)))
         j = got.join(want, ["g", "t", "v"])
         assert j.where(F.col("cum_v") != F.col("w")).count() == 0
+
+
+def test_permutation_shap_is_dealt_to_all_tasks(spark):
+    """The rows of one small file are one partition: the explanation may not stay in it."""
+    df = spark.range(0, 400, 1, 1).select(F.col("id").alias("k"), F.array(*[F.sin(F.col("id") * (i + 1)) for i in range(3)]).alias("x"))
+    sh, _ = AT.permutation_shap(df, "x", "k", lambda a: a[0] * a[1] + F.exp(a[2]), df.orderBy("k").limit(5), n_perm=2)
+    assert sh.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = {tuple(r) for r in sh.groupBy(F.spark_partition_id().alias("p")).count().select("p").collect()}
+    assert len(rows) >= spark.sparkContext.defaultParallelism and sh.count() == 1200
+
+
+def test_permutation_shap_of_a_single_feature(spark):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "k long, x array<double>")
+    sh, base = AT.permutation_shap(df, "x", "k", lambda a: a[0] * 2, df.where("k < 2"), n_perm=2)
+    assert base.first().base_value == pytest.approx(1.0)
+    assert {r.row_id: r.value for r in sh.collect()} == pytest.approx({i: 2.0 * i - 1.0 for i in range(6)})
