@@ -197,7 +197,9 @@ def loss_convergence(loss: DataFrame, w: int, by: Sequence[str] = ("study", "tri
 
 def normalise_loss(loss: DataFrame, by: Sequence[str] = ("study", "trial"), value: str = "value",
                    out: str = "norm_loss") -> DataFrame:
-    """Loss / max|loss| per run (per-run max by partial aggregation, joined back)."""
+    """Loss / max|loss| per run (per-run max by partial aggregation, joined
+    back). A run whose losses are all 0 has no scale: NaN, as 0 / 0 is."""
     by = list(by)
     mx = loss.groupBy(*by).agg(F.max(F.abs(value)).alias("__mx"))
-    return join_on(loss, mx, by).withColumn(out, r6(F.col(value) / F.col("__mx"))).drop("__mx")
+    scaled = F.when(F.col("__mx") == 0, F.col(value) * F.lit(float("nan"))).otherwise(F.col(value) / F.col("__mx"))
+    return join_on(loss, mx, by).withColumn(out, r6(scaled)).drop("__mx")

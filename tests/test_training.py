@@ -1,8 +1,11 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from equisel.operators import encode as E
 from equisel.operators import split as X
+from equisel.operators import train as M
 from equisel.plans.evaluate import evaluate_trials, prepare
 
 
@@ -27,3 +30,11 @@ def test_pca_projection_dims(spark):
     sp = X.stratified_split(df, "k", "y", 0.75, 42)
     out = E.pca_project(sp, ["f1", "f2"], 1)
     assert out.count() == 240 and {len(r["pca"]) for r in out.select("pca").collect()} == {1}
+
+
+def test_normalise_loss_of_a_run_of_zeros(spark):
+    rows = [(1, 0, 0, 0.0), (1, 0, 1, -0.0), (1, 0, 2, None), (1, 1, 0, 2.0), (1, 1, 1, -4.0), (2, 0, 0, None)]
+    df = spark.createDataFrame(rows, "study long, trial long, step long, value double")
+    got = {(r.study, r.trial, r.step): r.norm_loss for r in M.normalise_loss(df).collect()}
+    assert math.isnan(got[1, 0, 0]) and math.isnan(got[1, 0, 1]) and got[1, 0, 2] is None
+    assert (got[1, 1, 0], got[1, 1, 1], got[2, 0, 0]) == (0.5, -1.0, None) and len(got) == 6
