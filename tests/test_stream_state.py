@@ -127,3 +127,19 @@ def test_state_holds_the_trials_under_way_only(spark, tmp_path):
     assert len(sizes) >= 10 and max(sizes) <= 20
     rows = {x.trial: (x.n_reports, x.last_value) for x in got.collect()}
     assert set(rows) >= set(range(80)) and set(rows.values()) == {(3, 2.0)} and 99 not in rows
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keys_that_share_a_bucket_keep_their_own_state(spark, tmp_path, monkeypatch, buckets):
+    """State is kept per bucket of keys, and keys of a bucket start, go on and fall idle on their own."""
+    monkeypatch.setattr(S, "BUCKETS", buckets)
+    rows = some(7)
+    batches = [rows[i : i + 60] for i in range(0, 200, 60)]
+    src, out = f"{tmp_path}/src", f"{tmp_path}/out"
+    written(spark, src, batches)
+    got = S.async_halving(spark, stream(spark, src), folder=out).collect()
+    assert sorted([(r.study, r.trial, r.rung, r.resource, r["rank"], r.n, r.kept) for r in got], key=str) == replay(batches)
+    src, out, day = f"{tmp_path}/src2", f"{tmp_path}/out2", 86400
+    written(spark, src, [[(1, t, s, 1.0, 60 * s) for t in range(6) for s in range(3)], [(1, 0, 3, 1.0, 5 * day)], [(1, 0, 4, 1.0, 5 * day + 60), (1, 1, 0, 1.0, 5 * day + 70)]])
+    got = {x.trial: (x.n_steps, x.final) for x in S.running_convergence(spark, stream(spark, src), 2, idle="1 day", delay="1 hour", folder=out).collect()}
+    assert got == {0: (2, False), 1: (1, False), **{t: (3, True) for t in range(2, 6)}}
