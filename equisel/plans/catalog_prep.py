@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equisel.operators import clean as C
@@ -58,9 +61,14 @@ def _sketches(s, d):
     li = table(s, d, "lineitem")
     merged = PR.merge_sketches(PR.sketch_profile(li, [c for c in li.columns if c != "l_returnflag"], ["l_returnflag"]))
     got = PR.read_sketches(merged).collect()  # one row per column
-    exact = li.agg(*(F.countDistinct(F.col(r["column"])).alias(f"d{i}") for i, r in enumerate(got)),
-                   *(F.avg((F.col(r["column"]).cast("double") <= q).cast("double")).alias(f"q{i}_{k}") for i, r in enumerate(got) for k, q in enumerate(r["quantiles"] or [])),
-                   *(F.avg((F.col(r["column"]).cast("double") < q).cast("double")).alias(f"u{i}_{k}") for i, r in enumerate(got) for k, q in enumerate(r["quantiles"] or []))).first()
+    # a count of distinct values for each column on its own: together they make a copy of every row per column
+    counts = [li.agg(F.countDistinct(F.col(r["column"])).alias("n")).select(F.lit(f"d{i}").alias("name"), "n") for i, r in enumerate(got)]
+    exact = {x["name"]: x["n"] for x in reduce(DataFrame.unionByName, counts).collect()}
+    ranks = [x for i, r in enumerate(got) for k, q in enumerate(r["quantiles"] or []) for x in (
+        F.avg((F.col(r["column"]).cast("double") <= q).cast("double")).alias(f"q{i}_{k}"),
+        F.avg((F.col(r["column"]).cast("double") < q).cast("double")).alias(f"u{i}_{k}"))]
+    if ranks:
+        exact |= li.agg(*ranks).first().asDict()
     rows = []
     for i, r in enumerate(got):
         near = abs(r["distinct"] - exact[f"d{i}"]) <= 0.04 * exact[f"d{i}"]

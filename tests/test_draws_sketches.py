@@ -163,3 +163,25 @@ def test_separable_vectors_are_uniform_outside_the_margin(spark):
             assert abs(a.mean() - b.mean()) < 4 * b.std() * np.sqrt(1 / len(a) + 1 / len(b)) and abs(a.std() - b.std()) < 0.06
     with pytest.raises(ValueError, match="lies outside"):
         G.gen_linearly_separable(keys, "k", 30, 25.0)
+
+
+def test_exact_counts_make_no_copy_of_rows_per_column(spark, tmp_path, monkeypatch):
+    """Several distinct counts in one aggregate expand every row once per column."""
+    from equisel.plans import catalog_prep
+
+    rows = [(i % 40, i % 7, None if i % 9 == 0 else i % 5, i % 3, float(i % 11), i * 1.5, 0.01 * (i % 4), 0.0, "ANR"[i % 3], "FO"[i % 2], i) for i in range(300)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string, l_linestatus string, at long").withColumn(
+        "l_shipdate", F.timestamp_seconds("at").cast("timestamp_ntz")).drop("at").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans, old = [], type(spark.range(1)).agg
+
+    def agg(self, *exprs):
+        plans.append(out := old(self, *exprs))
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "agg", agg)
+    got = {r["column"]: r for r in catalog_prep._sketches(spark, str(tmp_path)).collect()}
+    assert plans and not any("Expand" in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+    assert (got["l_suppkey"].n, got["l_suppkey"].nulls, got["l_suppkey"].n_unique) == (266, 34, 5)
+    assert got["l_shipdate"].n_unique == 300 and got["l_shipdate"].ranks_within_2_percent is None and len(got) == 10
+    assert all(r.distinct_within_4_percent and r.ranks_within_2_percent is not False for r in got.values())
