@@ -91,7 +91,8 @@ def permutation_shap(df: DataFrame, x: str, key: str, model: Callable[[F.Column]
         """Sum of the model's outputs over an array of its inputs."""
         if n_outputs == 1:
             return F.array(F.aggregate(inputs, F.lit(0.0), lambda acc, v: acc + model(v)))
-        return F.aggregate(inputs, F.array(*[F.lit(0.0)] * n_outputs), lambda acc, v: F.zip_with(acc, model(v), lambda p, q: p + q))
+        added = lambda made: F.transform(upto(n_outputs - 1), lambda c: F.aggregate(made, F.lit(0.0), lambda acc, o: acc + F.element_at(o, c + 1)))
+        return F.element_at(F.transform(F.array(F.transform(inputs, model)), added), 1)
 
     # the two ends of every order are the same: the background alone, once in all, and the row alone, once per row
     j = j.crossJoin(F.broadcast(one.select(total(F.col("__bg")).alias("__first"))))

@@ -116,3 +116,13 @@ def test_permutation_shap_of_a_single_feature(spark):
     sh, base = AT.permutation_shap(df, "x", "k", lambda a: a[0] * 2, df.where("k < 2"), n_perm=2)
     assert base.first().base_value == pytest.approx(1.0)
     assert {r.row_id: r.value for r in sh.collect()} == pytest.approx({i: 2.0 * i - 1.0 for i in range(6)})
+
+
+@pytest.mark.parametrize("outputs", [1, 2])
+def test_permutation_shap_of_a_missing_value_is_missing(spark, outputs):
+    df = spark.createDataFrame([(i, [None if i == 3 else float(i), 1.0 + i, 2.0]) for i in range(6)], "k long, x array<double>")
+    model = (lambda a: a[0] + a[1] * a[2]) if outputs == 1 else (lambda a: F.array(a[0] + a[1] * a[2], a[1]))
+    sh, _ = AT.permutation_shap(df, "x", "k", model, df.where("k < 2"), n_perm=2, n_outputs=outputs)
+    got = {(r.row_id, r.class_code, r.feature): r.value for r in sh.collect()}
+    assert {k[0] for k, v in got.items() if v is None} == {3} and len(got) == 18 * outputs
+    assert all(got[i, 0, "feature_0"] == pytest.approx(i - 0.5) for i in (0, 1, 2, 4, 5))
