@@ -38,8 +38,10 @@ _LONG = 1 << 63
 def integers(df: DataFrame, vector_col: str, keep: Sequence[str]) -> DataFrame:
     """``keep`` and x, the integer vector, of the rows whose entries are all finite."""
     c = F.col(f"`{vector_col}`")
-    bad = F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    x = F.transform(c, lambda v: F.floor(F.lit(float(SCALE)) * v.cast("double")) + F.lit(SHIFT))
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    bad = F.exists(c, odd)
+    # filters on x may be asked before the one on the entries, and an infinite entry has no integer
+    x = F.transform(c, lambda v: F.when(~odd(v), F.floor(F.lit(float(SCALE)) * v.cast("double")) + F.lit(SHIFT)))
     return df.where(c.isNotNull() & (F.size(c) > 0)).where(~bad).select(*(F.col(f"`{k}`") for k in keep), x.alias("x"))
 
 
