@@ -40,7 +40,7 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def found(spark, rows, parts=3, **kw):
+def found(spark, rows, /, parts=3, **kw):
     df = spark.createDataFrame(rows, SCHEMA).repartition(parts) if rows else spark.createDataFrame([], SCHEMA)
     return sorted(map(tuple, T.digest(T.trie(df, **kw)).collect()), key=str)
 
