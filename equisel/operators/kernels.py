@@ -11,13 +11,17 @@ yields the same features and SQL can reproduce them.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equisel.functions.exprs import hash32, md5_normal, md5_uniform
+from equisel.functions.exprs import TWO_POW_32, hash32, md5_normal, md5_uniform
 
 MAX_LANDMARKS = 4096
 LANDMARK_SEED = 11
@@ -57,25 +61,38 @@ def random_binary_features(df: DataFrame, x: str, key: str, episodes: int, q: in
     predict see the same bits."""
     d = len(df.select(x).first()[0])
     q = q or d
-    params = kitchen_sink_params(df.sparkSession, episodes, q, d, var, seed)
-    j = df.crossJoin(F.broadcast(params))  # one row of bounded parameters
-    # θ[e][i] = ω[e][i]·x + β[e][i]
-    theta = F.transform(F.sequence(F.lit(0), F.lit(episodes - 1)), lambda e: F.transform(
-        F.sequence(F.lit(0), F.lit(q - 1)), lambda i: F.aggregate(
-            F.zip_with(F.element_at(F.element_at(F.col("omegas"), e + 1), i + 1), F.col(x), lambda a, b: a * b),
-            F.lit(0.0), lambda acc, v: acc + v) + F.element_at(F.element_at(F.col("betas"), e + 1), i + 1)))
-    j = j.withColumn("__theta", theta).drop("omegas", "betas")
-    # one measurement shot: bit ~ Bernoulli(sin²(θ/2)), seeded by (row, episode, qubit)
-    raw = F.transform(F.col("__theta"), lambda ep, e: F.transform(ep, lambda t, i: F.when(
-        md5_uniform(F.col(key), seed, "bit", e, i) < F.pow(F.sin(t / 2), 2), 1).otherwise(0)))
-    j = j.withColumn("__raw", raw).drop("__theta")
-    # CNOT(i, i+1) for even i
-    j = j.withColumn("__c", F.transform(F.col("__raw"), lambda r: F.transform(
-        r, lambda v, i: F.when(i % 2 == 1, v.bitwiseXOR(F.element_at(r, i))).otherwise(v)))).drop("__raw")
-    # CNOT(i, i+2) in order: running XOR over positions of the same parity
-    fin = F.transform(F.col("__c"), lambda c: F.transform(c, lambda v, i: F.aggregate(
-        F.filter(F.slice(c, 1, i + 1), lambda u, k: (k % 2) == (i % 2)), F.lit(0), lambda acc, u: acc.bitwiseXOR(u))))
-    return j.withColumn(out, F.flatten(fin)).drop("__c")
+    p = kitchen_sink_params(df.sparkSession, episodes, q, d, var, seed).first()  # bounded, checked
+    omega, beta = np.array(p["omegas"], dtype=float).reshape(episodes * q, d), np.array(p["betas"], dtype=float).ravel()
+    tails = [f":{e}:{i}".encode() for e in range(episodes) for i in range(q)]
+    md5 = hashlib.md5
+
+    @F.arrow_udf("array<int>")
+    def bits(texts: pa.Array, xs: pa.Array) -> pa.Array:
+        whole = pc.equal(pc.list_value_length(xs), d).fill_null(False)
+        flat = xs.filter(whole).flatten()
+        v = flat.to_numpy(zero_copy_only=False).reshape(pc.sum(whole).as_py() or 0, d)
+        lacks = flat.is_null().to_numpy(zero_copy_only=False).reshape(v.shape).any(axis=1)
+        theta = np.zeros((len(v), len(beta)))
+        for k in range(d):
+            theta += v[:, k, None] * omega[:, k]
+        # one measurement shot: bit ~ Bernoulli(sin²(θ/2)), seeded by (row, episode, qubit); 0 where x lacks a value
+        heads = texts.filter(whole).to_pylist()
+        u = np.frombuffer(b"".join([md5(h + t).digest()[:4] for h in map(str.encode, heads) for t in tails]), ">u4").reshape(theta.shape)
+        raw = np.zeros((len(xs), episodes, q), dtype=np.int32)
+        with np.errstate(invalid="ignore"):
+            hit = ~(np.sin((theta + beta) / 2) ** 2 <= u / TWO_POW_32)  # NaN counts as large, as in SQL
+        raw[whole.to_numpy(zero_copy_only=False)] = (hit & ~lacks[:, None]).reshape(-1, episodes, q)
+        # CNOT(i, i+1) for even i
+        for i in range(1, q, 2):
+            raw[:, :, i] ^= raw[:, :, i - 1]
+        # CNOT(i, i+2) in order: running XOR over positions of the same parity
+        for i in range(2, q):
+            raw[:, :, i] ^= raw[:, :, i - 2]
+        ends = np.arange(0, raw.size + 1, episodes * q, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(raw.ravel()))
+
+    text = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit("bit"))
+    return df.withColumn(out, bits(text, F.col(x).cast("array<double>")))
 
 
 # ---------------------------------------------------------------- product kernel

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -56,6 +57,27 @@ def test_kitchen_sink_xor_law(spark):
         assert fin == _cnot_circuit(raw)
 
 
+def test_random_binary_features_by_hand(spark):
+    e_, q, d, seed = 2, 3, 2, 4
+    rows = [(7, [0.5, -1.0]), (None, [2.0, 0.25]), (8, [None, 1.0]), (9, None), (10, [1.0]), (11, [1.0, 2.0, 3.0]), (12, [float("nan"), 0.0])]
+    df = spark.createDataFrame(rows, "k long, x array<double>")
+    out = K.random_binary_features(df, "x", "k", episodes=e_, q=q, seed=seed)
+    p = K.kitchen_sink_params(spark, e_, q, d, seed=seed).first()
+
+    def raw(k, x, e, i):
+        if x is None or len(x) != d or None in x:
+            return 0
+        th = sum(w * v for w, v in zip(p["omegas"][e][i], x)) + p["betas"][e][i]
+        text = ":".join([*([] if k is None else [str(k)]), str(seed), "bit", str(e), str(i)])
+        u = int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 2 ** 32
+        return int(math.isnan(th) or u < math.sin(th / 2) ** 2)
+
+    want = {k: [b for e in range(e_) for b in _cnot_circuit([raw(k, x, e, i) for i in range(q)])] for k, x in rows}
+    assert {r["k"]: list(r["qfeatures"]) for r in out.collect()} == want
+    # the draws are not left to lambda functions, which are interpreted row by row
+    assert "lambdafunction" not in out._jdf.queryExecution().toString()
+
+
 def test_product_kernel_numpy(spark):
     df = spark.createDataFrame([(i, [0.1 * i, -0.3 * i, 0.7]) for i in range(5)], "k long, x array<double>")
     lm = K.landmarks(df, "k", ["x"], 2)
