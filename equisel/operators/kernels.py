@@ -2,9 +2,8 @@
 
 Pairwise kernels are never an n × n cross product. One side is a bounded
 landmark set (``MAX_LANDMARKS`` is checked before anything is collected), a hash
-sample of the rows, attached to every row as one broadcast row, and each row
-computes its whole kernel row as an array with higher-order array
-functions — no shuffle, no pair explosion. Random parameters and draws
+sample of the rows, which goes along with every task, and each row computes its
+whole kernel row as an array — no shuffle, no pair explosion. Random parameters and draws
 come from md5 of (seed, tag, index / row key), so a recomputed partition
 yields the same features and SQL can reproduce them.
 """
@@ -130,11 +129,37 @@ def rbf_kernel(df: DataFrame, lm: DataFrame, x: str, key: str, gamma_factor: flo
                out: str = "kernel") -> DataFrame:
     """K4: exp(−γ · factor · ‖v − l‖²) against every landmark, array per row."""
     g = rbf_gamma(df, x) if gamma is None else gamma
-    lrow = _landmark_row(lm, key, F.col(x), "__lm")
-    j = df.crossJoin(F.broadcast(lrow))
-    k = F.transform(F.col("__lm"), lambda l: F.exp(F.lit(-g * gamma_factor) * F.aggregate(
-        F.zip_with(F.col(x), l, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)))
-    return j.withColumn(out, k).drop("__lm")
+    near = squared_distances([v for v in _landmark_row(lm, key, F.col(x), "l").first()["l"]])
+    return df.withColumn(out, F.transform(near(F.col(x).cast("array<double>")), lambda v: F.exp(F.lit(-g * gamma_factor) * v)))
+
+
+def squared_distances(points: list):
+    """A function of a vector column: ‖v − p‖² for each of ``points`` (bounded,
+    collected) as an array; null where either lacks a value or sizes differ."""
+    sizes = {n: [i for i, p in enumerate(points) if p is not None and len(p) == n and None not in p]
+             for n in {len(p) for p in points if p is not None}}
+    sets = {n: (at, np.array([points[i] for i in at], dtype=float).reshape(len(at), n)) for n, at in sizes.items()}
+    m = len(points)
+
+    @F.arrow_udf("array<double>")
+    def distances(xs: pa.Array) -> pa.Array:
+        res, known = np.zeros((len(xs), m)), np.zeros((len(xs), m), dtype=bool)
+        for n, (at, p) in sets.items():
+            whole = pc.equal(pc.list_value_length(xs), n).fill_null(False)
+            flat = xs.filter(whole).flatten()
+            rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            v = flat.to_numpy(zero_copy_only=False).reshape(len(rows), n)
+            full = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(v.shape).any(axis=1)
+            for s in range(0, len(rows), 1024):
+                acc = np.zeros((len(rows[s : s + 1024]), len(at)))
+                for k in range(n):  # in order, as a running sum
+                    acc += (v[s : s + 1024, k, None] - p[:, k]) ** 2
+                res[np.ix_(rows[s : s + 1024], at)] = acc
+            known[np.ix_(rows[full], at)] = True
+        flat = pa.array(res.ravel()) if known.all() else pa.array(res.ravel(), mask=~known.ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(xs) + 1, dtype=np.int32) * m), flat)
+
+    return distances
 
 
 def class_mean_similarity(df: DataFrame, train: DataFrame, x: str, key: str, y: str, n_examples: int, out: str = "proba") -> DataFrame:

@@ -78,6 +78,18 @@ def test_random_binary_features_by_hand(spark):
     assert "lambdafunction" not in out._jdf.queryExecution().toString()
 
 
+def test_rbf_kernel_by_hand(spark):
+    rows = [(1, [0.5, -1.0]), (2, [2.0, 0.25]), (3, [None, 1.0]), (4, None), (5, [1.0]), (6, [0.5, -1.0])]
+    df = spark.createDataFrame(rows, "k long, x array<double>")
+    out = K.rbf_kernel(df, df.where("k in (1, 2, 3, 5)"), "x", "k", gamma=0.3)
+    whole = lambda v: v is not None and None not in v
+    value = lambda a, b: math.exp(-0.3 * sum((u - w) ** 2 for u, w in zip(a, b))) if whole(a) and whole(b) and len(a) == len(b) else None
+    for r in out.collect():
+        assert list(r["kernel"]) == pytest.approx([value(dict(rows)[r["k"]], dict(rows)[k]) for k in (1, 2, 3, 5)], abs=1e-15)
+    # the sums over the features are not left to lambda functions, which are interpreted row by row
+    assert "zip_with" not in out._jdf.queryExecution().toString()
+
+
 def test_product_kernel_numpy(spark):
     df = spark.createDataFrame([(i, [0.1 * i, -0.3 * i, 0.7]) for i in range(5)], "k long, x array<double>")
     lm = K.landmarks(df, "k", ["x"], 2)
