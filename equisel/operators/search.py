@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from equisel.functions.exprs import hash32, join_on, r6, refuse, safe_div
 from equisel.functions.prefix import dense_position, sliding
+from equisel.session import materialise
 
 # Default search space (param → ordered choices) of the reference.
 DEFAULT_SEARCH_SPACE: dict = {
@@ -160,19 +161,22 @@ def tpe_rank(log: DataFrame, candidates: DataFrame, params: Sequence[str], gamma
     done = log.where(F.col("state") == "COMPLETE").select("study", "trial", "f1", "params")
     pos = dense_position(done.withColumn("__neg", -F.col("f1")), ["__neg", "trial"], by=["study"], name="__pos")
     n = done.groupBy("study").agg(F.count(F.lit(1)).alias("__n"))
-    lab = pos.join(n, "study").withColumn("good", F.col("__pos") <= F.ceil(F.col("__n") * F.lit(gamma)))
+    # positions are dense, so a study has ceil(γ·n) good trials
+    most = F.ceil(F.col("__n") * F.lit(gamma))
+    lab = pos.join(n, "study").withColumn("good", F.col("__pos") <= most)
     long = lab.select("study", "good", F.explode("params").alias("param", "choice")).where(F.col("param").isin(*params))
     cnt = long.groupBy("study", "param", "choice").agg(F.count_if("good").alias("ng_c"), F.count_if(~F.col("good")).alias("nb_c"))
     cl = candidates.select("study", "cand_id", F.explode("params").alias("param", "choice")).where(F.col("param").isin(*params))
-    # a choice that no finished trial has counts 0 in both groups and as one of the K choices
-    cnt = cl.select("study", "param", "choice").distinct().join(cnt, ["study", "param", "choice"], "full").fillna(0, ["ng_c", "nb_c"])
+    # a choice that no finished trial has counts 0 in both groups and as one of the K choices;
+    # one row per choice, written once: positions and logs are not computed again for each use
+    cnt = materialise(cl.select("study", "param", "choice").distinct().join(cnt, ["study", "param", "choice"], "full").fillna(0, ["ng_c", "nb_c"]))
     k = cnt.groupBy("study", "param").agg(F.count(F.lit(1)).alias("K"))
-    tot = lab.groupBy("study").agg(F.count_if("good").alias("ng"), F.count_if(~F.col("good")).alias("nb"))
+    tot = n.select("study", F.least("__n", most).alias("ng"), (F.col("__n") - F.least("__n", most)).alias("nb"))
     dens = cnt.join(k, ["study", "param"]).join(tot, "study").select(
         "study", "param", "choice",
         (F.log((F.col("ng_c") + 1) / (F.col("ng") + F.col("K"))) - F.log((F.col("nb_c") + 1) / (F.col("nb") + F.col("K")))).alias("llr"))
-    sc = cl.join(dens, ["study", "param", "choice"], "left").groupBy("study", "cand_id").agg(
-        r6(F.sum(F.coalesce("llr", F.lit(0.0)))).alias("score"))
+    sc = materialise(cl.join(dens, ["study", "param", "choice"], "left").groupBy("study", "cand_id").agg(
+        r6(F.sum(F.coalesce("llr", F.lit(0.0)))).alias("score")))
     # candidate ids are unique, so rank = position by (score desc, id); bucketed, not one window per study
     pos = dense_position(sc.withColumn("__neg", -F.col("score")), ["__neg", "cand_id"], by=["study"], name="rank")
     return pos.select("study", "cand_id", "score", F.col("rank").cast("int").alias("rank"))

@@ -124,6 +124,25 @@ def test_unseen_choice_is_smoothed(spark):
     assert got[11] == pytest.approx(math.log(3 / (good + k)) - math.log(3 / (bad + k)), abs=1e-6)
 
 
+def test_tpe_rank_counts_each_log_once(spark):
+    log = spark.createDataFrame([(g, t, "COMPLETE", float(t % 3), {"C": "a" if t % 2 else "b"}) for g in (1, 2) for t in range(5 * g)],
+                                "study long, trial long, state string, f1 double, params map<string,string>")
+    cands = spark.createDataFrame([(g, i, {"C": c}) for g in (1, 2, 3) for i, c in enumerate("abz")], "study long, cand_id long, params map<string,string>")
+    out = H.tpe_rank(log, cands, ["C"])
+    want = {}
+    for g in (1, 2):
+        best = sorted(range(5 * g), key=lambda t: (-(t % 3), t))
+        good = math.ceil(len(best) * 0.25)
+        part = {True: best[:good], False: best[good:]}
+        f = lambda c, k: math.log((sum(("a" if t % 2 else "b") == c for t in part[k]) + 1) / (len(part[k]) + 3))
+        want.update({(g, i): f(c, True) - f(c, False) for i, c in enumerate("abz")})
+    want.update({(3, i): 0.0 for i in range(3)})  # no finished trial
+    got = {(r["study"], r["cand_id"]): r["score"] for r in out.collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    # the ranks read the written scores: the logs are in the plan no more
+    assert "LogicalRDD" in out._jdf.queryExecution().analyzed().toString() and "params" not in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_resume_compares_kept_lists(spark):
     old = H.stored_space(spark, {"C": [0.1, 1, 10], "w": [None, "balanced"], "gone": [1]}, ["SVC"])
     same = H.stored_space(spark, {"C": [0.1, 1, 10], "w": [None, "balanced"]}, ["SVC"])
