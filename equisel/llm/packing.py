@@ -42,9 +42,23 @@ class Packer:
     def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN):
         self.window, self.max_open = window, max_open
         self.level = np.zeros(window + 1, dtype=np.int64)
+        #: Change of the sum of squares when a window of a level comes or goes; kept with the counts.
+        self.come, self.go = np.zeros_like(self.level), np.zeros_like(self.level)
+        self._empty()
         self.open: dict[int, list[list]] = defaultdict(list)
         self.n_open = self.sequence = 0
 
+    def _empty(self) -> None:
+        self.level[:], self.come[:], self.go[:] = 0, 1, -self.window * self.max_open
+        self.come[-1] = 0  # a full window is no longer partial
+        self.go[0] = 0  # a new window
+
+    def _count(self, h: int, by: int) -> None:
+        n = self.level[h] + by
+        self.level[h] = n
+        self.come[h] = 2 * n + 1
+        self.go[h] = 2 * n - 1 if n else -self.window * self.max_open
+
     def _emit(self, pieces: list) -> Iterator[tuple]:
         offset = 0
         for p in pieces:
@@ -64,30 +78,25 @@ class Packer:
 
     def _place(self, piece: tuple) -> Iterator[tuple]:
         s = len(piece[2]) // 4
-        n = self.level
         # change of the sum of squares for every level h that leaves room
-        after = 2 * n[s : self.window + 1] + 1
-        after[-1] = 0  # a full window is no longer partial
-        change = after - np.where(n[: self.window - s + 1] > 0, 2 * n[: self.window - s + 1] - 1, -self.window * self.max_open)
-        change[0] = after[0]  # a new window
-        h = int(np.argmin(change))
+        h = int(np.argmin(self.come[s:] - self.go[: self.window - s + 1]))
         pieces = self.open[h].pop() if h else []
         if h:
-            n[h] -= 1
+            self._count(h, -1)
             self.n_open -= 1
         pieces.append(piece)
         if h + s == self.window:
             yield from self._emit(pieces)
         else:
             self.open[h + s].append(pieces)
-            n[h + s] += 1
+            self._count(h + s, 1)
             self.n_open += 1
 
     def close(self) -> Iterator[tuple]:
         """Empty all open windows."""
         rest = [(h, p) for h in sorted(self.open, reverse=True) for p in self.open[h]]
         self.open.clear()
-        self.level[:] = 0
+        self._empty()
         self.n_open = 0
         lo, hi = 0, len(rest) - 1
         spare: list = []  # pieces of the window that is being cut up

@@ -136,3 +136,15 @@ def test_token_files(spark, clashing, odd_rows, direct):
 
 def test_token_files_of_an_empty_table(spark, frame):
     assert dac.documents(spark, dac.write(frame([]))).count() == 0
+
+
+def test_kept_costs_follow_the_counts():
+    rng = np.random.default_rng(3)
+    packer = packing.Packer(window=16, max_open=5)
+    for i in range(400):
+        list(packer.add(i, bytes(4 * int(rng.integers(1, 40)))))
+        n = packer.level
+        assert n.sum() == packer.n_open
+        come, go = 2 * n + 1, np.where(n > 0, 2 * n - 1, -16 * 5)
+        come[-1] = go[0] = 0
+        assert (packer.come == come).all() and (packer.go == go).all()
