@@ -11,12 +11,20 @@ from __future__ import annotations
 import ast
 from collections.abc import Sequence
 
-from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest)
+import numpy as np
+from pyspark import SparkContext
+from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
+                                       OneVsRestModel)
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equisel.operators import hinge
 from equisel.functions.exprs import join_on, r6
 from equisel.functions.prefix import dense_position, sliding
 
@@ -103,10 +111,28 @@ def fit_kernel_svc(train: DataFrame, lm: DataFrame, x: str, key: str, C: float =
 
 def fit_one_vs_rest(train: DataFrame, C: float = 1.0, parallelism: int = 4, features: str = "features",
                     label: str = "label"):
-    """M6: K one-vs-rest sub-models (``OneVsRest``)."""
-    n = train.count()
-    base = LinearSVC(regParam=1.0 / (C * max(n, 1)))
-    return OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=parallelism).fit(train)
+    """M6: K one-vs-rest sub-models (``OneVsRest`` of ``LinearSVC``). Rows of
+    more than one block are fitted for all classes together (``hinge``): the
+    same loss and optimiser in far fewer jobs."""
+    est = OneVsRest(featuresCol=features, labelCol=label, parallelism=parallelism)
+    s = train.agg(F.count(F.lit(1)).alias("n"), F.max(label).alias("last"),
+                  Summarizer.metrics("mean", "std").summary(F.col(features)).alias("s")).first()
+    base = LinearSVC(regParam=1.0 / (C * max(s["n"], 1)))
+    est.setClassifier(base)
+    if s["n"] * (s["s"]["mean"].size + 1) <= hinge.BLOCK:
+        return est.fit(train.coalesce(1))
+    mean, std = s["s"]["mean"].toArray(), s["s"]["std"].toArray()
+    if not (np.isfinite(mean).all() and np.isfinite(std).all()):
+        raise ValueError("a feature is not a finite number")
+    fitted = hinge.fit_machines(train, s["n"], int(s["last"]) + 1, mean, std, base.getRegParam(), features, label, base.getMaxIter(), base.getTol())
+    return est._copyValues(OneVsRestModel([_svc_model(base, w, b, features) for w, b in fitted]))
+
+
+def _svc_model(base: LinearSVC, w: np.ndarray, b: float, features: str) -> LinearSVCModel:
+    """The model that ``base`` would give for these weights."""
+    vector = _py2java(SparkContext._active_spark_context, Vectors.dense(w))
+    made = LinearSVCModel(JavaWrapper._new_java_obj("org.apache.spark.ml.classification.LinearSVCModel", base.uid, vector, b))
+    return base._copyValues(made).setFeaturesCol(features)
 
 
 def _margin(x: str, w: list[float], b: float) -> F.Column:
